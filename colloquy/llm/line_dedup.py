@@ -127,7 +127,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout: i
     drops = stored(drops, "drops")
     lines = lines_of(F.col("text"))
     return (
-        rows.join(drops, ["key", "part"], "left")
+        rows.join(drops.hint("merge"), ["key", "part"], "left")
         .withColumn("_lines", lines)
         .select(
             F.when(F.col("key") < (1 << 63) - 1, F.col("key")).alias("doc_id"),
