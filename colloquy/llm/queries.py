@@ -2,6 +2,7 @@
 
 from .ann import op4_nearest
 from .chat_format import OP9_SQL, op9_chat_format
+from .jaccard_join import op7_jaccard_join
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_mixing
 
@@ -9,6 +10,7 @@ QUERIES = {
     "op4_nearest": op4_nearest,
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_chat_format": op9_chat_format,
 }
 SQL = {
