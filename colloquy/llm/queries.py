@@ -5,12 +5,14 @@ from .chat_format import OP9_SQL, op9_chat_format
 from .jaccard_join import op7_jaccard_join
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_mixing
+from .suffix_dedup import op8_substring_dedup
 
 QUERIES = {
     "op4_nearest": op4_nearest,
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_format": op9_chat_format,
 }
 SQL = {
