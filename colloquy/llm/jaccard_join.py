@@ -9,8 +9,10 @@ over all documents) and differ in the hash that breaks ties:
 1. The first order's prefixes meet in posting lists. Lists that hold the same
    documents are merged, so a group of copies makes a few lists and not one for
    each shared shingle.
-2. Candidates must also have sizes within the threshold and share a shingle in
-   their prefixes under each further order; only then are the sets intersected.
+2. Candidates must also have sizes within the threshold, parity bitmaps that
+   differ in no more bits than two linked sets can (each shingle flips one bit, so
+   the bits that differ are at most the shingles that differ), and a shared shingle
+   in their prefixes under each further order; only then are the sets intersected.
 3. A list is first linked through its leader (each member with the smallest id),
    so a group of n copies costs n comparisons and not n squared. Documents then
    known to be connected need no further comparison; a second round takes
@@ -40,6 +42,8 @@ from .words import U, mix, shingle_sets, text_chunks, word_hashes
 #: Cells of the counting sketch and the blocks it travels in.
 CELL_BITS, BLOCKS = 20, 16
 ORDERS = 3
+#: Words of 64 bits in a parity bitmap.
+BITMAP = 8
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -65,13 +69,16 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.uint32)
-        names = ["id", "n", "sig", "block", "cells"]
+        names = ["id", "n", "sig", "bits", "block", "cells"]
+        bits_type = pa.list_(pa.int64())
         for batch in batches:
-            n, sig, pending, held = [], [], [], 0
+            n, sig, bits, pending, held = [], [], [], [], 0
             for _, _, data, off in text_chunks(batch.column(1)):
                 for s in shingle_sets(*word_hashes(data, off), width):
                     n.append(len(s))
                     sig.append(int(np.bitwise_xor.reduce(mix(s ^ U(0x5851F42D4C957F2D))).astype(np.int64)) if len(s) else 0)
+                    odd = (np.bincount((s & U(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(bool)
+                    bits.append(np.packbits(odd).view(np.int64))
                     pending.append(s)
                     held += len(s)
                     if held > 4_000_000:
@@ -80,15 +87,16 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
             if pending:
                 cells += np.bincount((np.concatenate(pending) >> U(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, bits_type),
+                 pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names,
             )
         parts = cells.reshape(BLOCKS, -1)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()),
+            [pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, bits_type),
              pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names,
         )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, sig long, block int, cells binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, sig long, bits array<long>, block int, cells binary")
 
 
 def summed(sketches: DataFrame) -> np.ndarray:
@@ -117,7 +125,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, order
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     first = stored(set_sizes(rows, width), "sets")
     sketch = spark.sparkContext.broadcast(summed(first.filter("block IS NOT NULL").select("block", "cells")))
-    sizes = first.filter("block IS NULL").select("id", "n", "sig")
+    sizes = first.filter("block IS NULL").select("id", "n", "sig", "bits")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -143,7 +151,11 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, order
     release(spark)
     near = lists.select("id").distinct()
     sizes = stored(sizes, "sizes")
-    nodes = stored(sizes.join(near.hint("merge"), "id").groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("sig").alias("sig"), F.max("sig").alias("sig2")), "nodes")
+    # Ids that stand on several rows are only held to the filters by size, with the range of their sizes.
+    nodes = sizes.join(near.hint("merge"), "id").groupBy("id").agg(
+        F.min("n").alias("n"), F.max("n").alias("most"), F.min("sig").alias("sig"), F.first("bits").alias("bits"), F.count("*").alias("rows")
+    )
+    nodes = stored(nodes, "nodes")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,29 +198,36 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, order
                 ok.append(good)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    texts = known.join(near.hint("merge"), "id", "left_semi")
-    sets = stored(texts.mapInArrow(whole_sets, "id long, set binary"), "whole")
-    release(spark)
-
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link. Equal sets need no comparison; sizes and orders filter before it."""
-        a = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("sig").alias("sa"), F.col("sig2").alias("sa2"))
-        b = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("sig").alias("sb"), F.col("sig2").alias("sb2"))
+        a = nodes.select(F.col("id").alias("a"), F.struct("n", "most", "sig", "bits", "rows").alias("x"))
+        b = nodes.select(F.col("id").alias("b"), F.struct("n", "most", "sig", "bits", "rows").alias("y"))
+        apart = sum((F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(BITMAP)), F.lit(0))
+        alone = (F.col("x.rows") == 1) & (F.col("y.rows") == 1)
+        # Linked sets differ in at most (100 - percent) / (100 + percent) of the sum of their sizes.
+        fits = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
         both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-        both = stored(both.filter(f"100 * least(ma, mb) >= {percent} * greatest(na, nb)"), "pairs")
-        equal = (F.col("sa") == F.col("sb")) & (F.col("na") == F.col("nb")) & (F.col("sa") == F.col("sa2")) & (F.col("sb") == F.col("sb2")) & (F.col("na") == F.col("ma")) & (F.col("nb") == F.col("mb"))
-        same, other = both.filter(equal & (F.col("na") > 0)), both.filter(~equal)
+        both = both.filter(f"100 * least(x.most, y.most) >= {percent} * greatest(x.n, y.n)").filter(~alone | fits)
+        equal = alone & (F.col("x.sig") == F.col("y.sig")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.n") > 0) & (apart == 0)
+        both = stored(both.select("a", "b", equal.alias("equal")), "pairs")
+        same, other = both.filter("equal").select("a", "b"), both.filter("NOT equal").select("a", "b")
+        if not other.limit(1).count():
+            return same
+        need = other.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = known.join(need.hint("merge"), "id", "left_semi")
+        sets = stored(texts.mapInArrow(whole_sets, "id long, set binary"), "whole")
+        release(spark)
         with_sets = (
-            other.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
+            other.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
         )
-        good = with_sets.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
-        return same.select("a", "b").unionByName(good)
+        return same.unionByName(with_sets.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"))
 
     member = Window.partitionBy("list")
     pairs = lists.withColumn("a", F.min("id").over(member)).filter("a < id").select("a", F.col("id").alias("b")).distinct()
     tried = stored(pairs, "tried")
     edges = stored(linked(tried).distinct(), "links")
+    release(spark)
     found = stored(components(edges), "components")
     for last in (False, True):
         open_ = (
