@@ -5,7 +5,10 @@ Candidates. Each window of ``length`` bytes picks its anchor: the gram of
 pick equal anchors, so a repeated window lies in a passage (the consecutive
 windows with one anchor, at most ``length - GRAM + 1`` of them) whose anchor
 occurs twice. Passages with the same bytes around the same anchor are gathered
-to one, with its first place; their other places hold only later copies.
+to one, with its first place; their other places hold only later copies. An
+anchor with one surrounding only has nothing further to compare: none of its
+windows can stand elsewhere. The distinct passages of all other anchors are put
+in order by the construction.
 
 Construction. The passages of a block are the documents of a collection. They
 are read column by column from their ends: round j inserts the suffix of j
@@ -46,9 +49,9 @@ from .words import U, mix, prefix_sums, range_hash, text_chunks
 
 GRAM = 20
 SYMBOL = 2
-HOT = 4096
+HOT = 2_000
 #: Passages in a block.
-BLOCK = 24_000
+BLOCK = 2_000
 #: Bits of a place that hold the byte offset; the part is above.
 AT_BITS = 40
 
@@ -94,17 +97,26 @@ def passages(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
 
 
 class Columns:
-    """The external files of a collection: one sequential read and one sequential write of each column a round."""
+    """The external files of a collection, two of each column: a round reads one in sequence and writes the other.
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    The files have their full size from the start, so a round only overwrites them.
+    """
+
+    def __init__(self, folder: str, room: int, **kinds):
+        self.size, self.turn = 0, 0
+        self.files = {
+            name: [np.memmap(os.path.join(folder, f"{name}{k}"), kind, "w+", shape=(max(1, room),)) for k in (0, 1)]
+            for name, kind in kinds.items()
+        }
 
-    def put(self, **columns: np.ndarray) -> None:
-        for name, a in columns.items():
-            a.tofile(os.path.join(self.folder, name))
+    def now(self, name: str) -> np.ndarray:
+        return self.files[name][self.turn][: self.size]
 
-    def get(self, name: str, kind) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, name), kind)
+    def next(self, name: str, size: int) -> np.ndarray:
+        return self.files[name][1 - self.turn][:size]
+
+    def swap(self, size: int) -> None:
+        self.size, self.turn = size, 1 - self.turn
 
 
 def range_minimum(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -148,49 +160,39 @@ def collection_order(strings: list[bytes], length: int, symbol: int = SYMBOL) ->
         at = columns[member] - used - 1
         return np.where(at >= 0, code[units[np.minimum(base[member] + symbol * np.maximum(at, 0), len(units) - 1)]], 0).astype(np.uint16)
 
-    everyone = np.arange(m)
     with tempfile.TemporaryDirectory() as folder:
-        files = Columns(folder)
-        files.put(bwt=before(everyone, 0), lcp=np.zeros(m, np.uint8), member=everyone.astype(np.int32), used=np.zeros(m, np.uint8), new=np.ones(m, bool))
+        files = Columns(folder, m + int(columns.sum()), bwt=np.uint16, lcp=np.uint8, member=np.int32, used=np.uint8)
+        for name, values in (("bwt", before(np.arange(m), 0)), ("lcp", 0), ("member", np.arange(m)), ("used", 0)):
+            files.next(name, m)[:] = values
+        files.swap(m)
         for r in range(rounds):
-            bwt, new = files.get("bwt", np.uint16), files.get("new", bool)
+            bwt, lcp, member, used = (files.now(name) for name in ("bwt", "lcp", "member", "used"))
             order = np.argsort(bwt, kind="stable")
             order = order[np.searchsorted(bwt[order], 1) :]  # LF: the k-th of these goes to place m + k
-            fresh = np.flatnonzero(new[order])
-            if not len(fresh):
-                break
-            source = order[fresh]
+            fresh = np.flatnonzero(used[order] == r)
             # Common prefixes of the new suffixes with the one before, and of those after them.
-            touched = np.union1d(fresh, fresh[fresh + 1 < len(order)] + 1)
-            touched = touched[touched > 0]
+            touch = np.zeros(len(order) + 1, bool)
+            touch[fresh] = True
+            touch[fresh + 1] = True
+            touched = np.flatnonzero(touch[1:-1]) + 1
             left, right = order[touched - 1], order[touched]
-            same = bwt[left] == bwt[right]
-            lcp = files.get("lcp", np.uint8)
-            common = np.zeros(len(order), np.uint8)
-            old = np.ones(len(order), bool)
-            old[fresh] = False
-            common[old] = lcp[m:]
+            same = np.flatnonzero(bwt[left] == bwt[right])
             grown = np.zeros(len(touched), np.uint8)
             grown[same] = np.minimum(range_minimum(lcp, left[same] + 1, right[same] + 1), deep - 1) + 1
-            common[touched] = grown
-            member, used = files.get("member", np.int32), files.get("used", np.uint8)
-            who = member[source]
-
-            def merged(was: np.ndarray, now: np.ndarray) -> np.ndarray:
-                out = np.empty(m + len(order), was.dtype)
+            who = member[order[fresh]]
+            old = np.ones(len(order), bool)
+            old[fresh] = False
+            size = m + len(order)
+            for name, values in (("bwt", before(who, r + 1)), ("lcp", 0), ("member", who), ("used", r + 1)):
+                was, out = files.now(name), files.next(name, size)
                 out[:m] = was[:m]
                 tail = out[m:]
                 tail[old] = was[m:]
-                tail[fresh] = now
-                return out
-
-            flags = np.zeros(m + len(order), bool)
-            flags[m + fresh] = True
-            files.put(
-                bwt=merged(bwt, before(who, r + 1)), lcp=np.concatenate([np.zeros(m, np.uint8), common]),
-                member=merged(member, who), used=merged(used, np.full(len(who), r + 1, np.uint8)), new=flags,
-            )
-        lcp, member, used = files.get("lcp", np.uint8), files.get("member", np.int32), files.get("used", np.uint8)
+                tail[fresh] = values
+            files.next("lcp", size)[m + touched] = grown
+            files.swap(size)
+        lcp, member, used = (np.array(files.now(name)) for name in ("lcp", "member", "used"))
+        files.files.clear()
     # A suffix of fewer symbols can't share ``deep`` of them, so leaving it out parts no class.
     far = used >= deep
     start = phase[member] + symbol * (columns[member] - used)
@@ -252,7 +254,7 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
     again = stored(again, "passages")
     release(spark)
     copies = again.filter("kind = 0").select("key", "place", "n")
-    firsts = again.filter("kind = 1")
+    firsts = again.filter("kind = 1 AND bodies > 1")
 
     # The bytes of the first places, cut out of their texts.
     wanted = firsts.groupBy("key", (F.shiftright("place", AT_BITS)).alias("part")).agg(
