@@ -48,7 +48,7 @@ from .common import MAX_ID, documents, release, stored, with_part
 from .words import U, mix, prefix_sums, range_hash, text_chunks
 
 GRAM = 20
-SYMBOL = 2
+SYMBOL = 4
 HOT = 2_000
 #: Passages in a block.
 BLOCK = 2_000
@@ -138,27 +138,31 @@ def collection_order(strings: list[bytes], length: int, symbol: int = SYMBOL) ->
     """(string, start, common) of all suffixes of ``length`` bytes or more, in sorted order.
 
     ``common`` tells whether a suffix shares its first ``length`` bytes with the
-    one before it. ``length`` must be a multiple of ``symbol`` (1 or 2 bytes).
+    one before it. ``length`` must be a multiple of ``symbol`` bytes (1, 2 or 4);
+    a collection of more than 65,535 different symbols is read by single bytes.
     """
     deep = length // symbol
     sizes = np.array([len(s) for s in strings], np.int64)
     heads = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b"".join(strings) + b"\0", np.uint8).astype(np.int32)
+    data = np.frombuffer(b"".join(strings) + bytes(symbol), np.uint8).astype(np.uint32)
+    units = np.zeros(len(data) - symbol + 1, np.uint32)
+    for k in range(symbol):
+        units = (units << np.uint32(8)) | data[k : len(data) - symbol + 1 + k]
+    known, code = np.unique(units, return_inverse=True)
+    if len(known) > 65535:
+        return collection_order(strings, length, 1)
+    code = (code + 1).astype(np.uint16)  # in order of the symbols; 0 is the end of a string
     # Members: a string in each phase; suffixes of it start at phase + symbol * k.
     owner = np.repeat(np.arange(len(strings)), symbol)
     phase = np.tile(np.arange(symbol), len(strings))
     columns = np.maximum(0, (sizes[owner] - phase) // symbol)
     base = heads[owner] + phase
-    units = data[:-1] if symbol == 1 else data[:-1] * 256 + data[1:]
-    present = np.zeros(65536, bool)
-    present[units] = True
-    code = np.cumsum(present).astype(np.uint16)  # 1, 2, ... in order of the symbols; 0 is the end of a string
     m, rounds = len(owner), int(columns.max(initial=0))
 
     def before(member: np.ndarray, used: int) -> np.ndarray:
         """The symbol in front of the suffix of ``used`` symbols; 0 at the start of the string."""
         at = columns[member] - used - 1
-        return np.where(at >= 0, code[units[np.minimum(base[member] + symbol * np.maximum(at, 0), len(units) - 1)]], 0).astype(np.uint16)
+        return np.where(at >= 0, code[np.minimum(base[member] + symbol * np.maximum(at, 0), len(code) - 1)], 0).astype(np.uint16)
 
     with tempfile.TemporaryDirectory() as folder:
         files = Columns(folder, m + int(columns.sum()), bwt=np.uint16, lcp=np.uint8, member=np.int32, used=np.uint8)
