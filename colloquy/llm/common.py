@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,3 +147,33 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
     members = now.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return members.union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+
+
+def add_blocks(rows: DataFrame, blocks: int) -> np.ndarray:
+    """The sum of arrays of int64 that tasks sent as rows (block, cells), as float64.
+
+    The blocks are added up in ``blocks`` tasks that hold one sum each; the
+    driver receives one row of fixed size per block, whatever the input.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                one = np.frombuffer(v.as_buffer(), np.int64)
+                total[k] = total[k] + one if k in total else one
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "cells"]
+        )
+
+    found = rows.select("block", "cells").repartition(blocks, "block").mapInArrow(add, "block int, cells binary").collect()
+    out = [np.frombuffer(r["cells"], np.int64) for r in sorted(found, key=lambda r: r["block"])]
+    return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
+
+
+def as_blocks(cells: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """The rows (block, cells) for ``add_blocks``."""
+    parts = np.array_split(cells.astype(np.int64), blocks)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "cells"]
+    )

@@ -23,6 +23,8 @@ MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and all other ASCII signs that are no letters or digits.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -81,10 +83,10 @@ def range_hash(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.nd
     return mix(h + (end - start).astype(U) * U(MIX[0]))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first word of each text): words never cross texts."""
     n = len(data)
-    inside = ~SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
@@ -100,9 +102,9 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of the first word of each text and the end)."""
-    start, end, first = word_bounds(data, offsets)
+    start, end, first = word_bounds(data, offsets, between)
     sums, down = prefix_sums(data)
     return range_hash(sums, down, start, end), first
 
