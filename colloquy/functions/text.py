@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 
 #: Legal suffixes that a company name loses.
 LEGAL_SUFFIXES = (
-    "inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "lp", "plc",
-    "sa", "nv", "ag", "se", "spa", "ab", "asa", "oyj", "holdings", "holding",
+    "inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "plc", "sa",
+    "spa", "ag", "nv", "se", "oyj", "ab", "asa", "holdings", "holding", "group",
 )
-PLACEHOLDERS = ("loading", "please wait", "select a transcript", "no transcript")
+#: Texts of a page that is still loading.
+PLACEHOLDERS = ("your document is on its way...", "your document is on its way")
 WEEKDAYS = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
 #: A speaker line: the operator, or a letter, up to 100 more signs and the role.
 SPEAKER_LINE = r"(?md)^(OperatorOperator|[\p{L}\p{Nl}\p{No}][^\n]{1,100}?(?:Executive|Analyst))$"
@@ -30,12 +31,10 @@ def as_text(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """No-break spaces to spaces, no carriage returns, no blanks around line ends, single blanks and single empty lines."""
-    c = F.regexp_replace(F.regexp_replace(c, " ", " "), "\r", "")
-    c = F.regexp_replace(c, r"[ \t]+\n", "\n")
-    c = F.regexp_replace(c, r"\n[ \t]+", "\n")
-    c = F.regexp_replace(c, r"[ \t]{2,}", " ")
-    return trimmed(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    """Null as empty; no-break spaces as spaces; no carriage returns; no blanks around line ends; no repeated blanks or empty lines."""
+    c = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\u00a0"), F.lit(" ")), "\r", "")
+    c = F.regexp_replace(c, r"[ \t]*\n[ \t\n]*", "\n")
+    return trimmed(F.regexp_replace(c, r"[ \t]+", " "))
 
 
 def is_placeholder(c: Column) -> Column:

@@ -21,14 +21,14 @@ def _stats(c: Column) -> dict[str, Column]:
 
 def summary(df: DataFrame, columns: list[str], listwise: bool = True) -> DataFrame:
     """One row per variable, from one aggregate over the rows without missing values."""
-    rows = df.dropna("any", columns) if listwise else df
+    rows = df.dropna("any", subset=columns) if listwise else df
     stats = rows.agg(*[F.struct(*[v.alias(k) for k, v in _stats(F.col(c)).items()]).alias(c) for c in columns])
     return stats.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("s")) for c in columns])).alias("x")).select("x.variable", "x.s.*")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x, y, r) for all pairs, over the rows without missing values, from one aggregate."""
-    rows = df.dropna("any", columns)
+    rows = df.dropna("any", subset=columns)
     pairs = [(a, b) for a in columns for b in columns]
     r = rows.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     return r.select(F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{i}`").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
@@ -75,7 +75,7 @@ def quantile_bins(df: DataFrame, column: str, k: int, out: str = "bin") -> DataF
 
 def bin_table(df: DataFrame, column: str, value: str, k: int) -> DataFrame:
     """mean, std, n, standard error and half width of the 95 % interval of ``value`` per quantile bin."""
-    rows = quantile_bins(df.dropna("any", [column, value]), column, k)
+    rows = quantile_bins(df.dropna("any", subset=[column, value]), column, k)
     out = rows.groupBy("bin").agg(F.avg(column).alias("mean_x"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count("*").alias("n"))
     return out.withColumn("se", F.col("std") / F.sqrt("n")).withColumn("ci95", 1.96 * F.col("se"))
 

@@ -54,7 +54,7 @@ def levels(df: DataFrame, column: str) -> list:
 def ols(df: DataFrame, y: str, x: list[str], effects: tuple[str, ...] = (), cov: str = "classical", cluster: str | None = None) -> Fit:
     """cov: classical, hc1 or cluster. Rows with a missing value go first, and groups are taken from those that stay."""
     needed = [y, *x, *effects, *([cluster] if cluster else [])]
-    rows = df.dropna("any", needed).select(*dict.fromkeys(needed))
+    rows = df.dropna("any", subset=needed).select(*dict.fromkeys(needed))
     kinds = {e: levels(rows, e)[1:] for e in effects}
     names = ["Intercept", *[f"{e}[{v}]" for e in effects for v in kinds[e]], *x]
     k = len(names)

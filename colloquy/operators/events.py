@@ -13,7 +13,7 @@ MIN_EPS, MIN_REVENUE, MAX_GAP, MIN_DAYS = 0.01, 1e6, 30, 60
 
 def market_panel(panel: DataFrame) -> DataFrame:
     """panel (ticker_norm, date, close, volume) -> log returns and all frames around each row."""
-    panel = panel.dropna("any", ["date", "close"])
+    panel = panel.dropna("any", subset=["date", "close"])
     w = Window.partitionBy("ticker_norm").orderBy("date")
     ret = panel.withColumn("ret", N.safe_log(N.ratio(F.col("close"), F.lag("close").over(w))))
     base = w.rowsBetween(-250, -50)
@@ -40,13 +40,13 @@ def with_market(calls: DataFrame, panel: DataFrame) -> DataFrame:
 
 
 def with_marketcap(calls: DataFrame, caps: DataFrame) -> DataFrame:
-    out = asof(calls, caps.dropna("any", ["date", "marketCap"]), "ticker_norm", "call_date", "date")
+    out = asof(calls, caps.dropna("any", subset=["date", "marketCap"]), "ticker_norm", "call_date", "date")
     cap = F.col("match.marketCap")
     return out.select(*calls.columns, cap.alias("marketCap"), N.safe_log(cap).alias("log_marketCap"))
 
 
 def with_earnings(calls: DataFrame, earnings: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
-    out = asof(calls, earnings.dropna("any", ["date"]), "ticker_norm", "call_date", "date", tolerance=max_gap)
+    out = asof(calls, earnings.dropna("any", subset=["date"]), "ticker_norm", "call_date", "date", tolerance=max_gap)
     m = {c: F.col(f"match.{c}") for c in ("date", "epsEstimated", "epsActual", "revenueEstimated", "revenueActual")}
     return out.select(
         *calls.columns, m["date"].alias("earnings_date"), *[m[c].alias(c) for c in list(m)[1:]],
@@ -55,7 +55,8 @@ def with_earnings(calls: DataFrame, earnings: DataFrame, max_gap: int = MAX_GAP)
     )
 
 
-REQUIRED = ("CAR_m1_p1", "NegPrepared", "NegQA", "NegGap", "log_marketCap", "eps_surprise")
+REQUIRED = ("NegGap", "CAR_m1_p1", "eps_surprise", "revenue_surprise", "log_marketCap", "AvgVolume_m20_m1")
+WINSORIZED = ("CAR_m1_p1", "eps_surprise", "revenue_surprise", "AbVol_0_p1")
 
 
 def winsorized(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -66,7 +67,7 @@ def winsorized(df: DataFrame, columns: list[str], low: float = 0.01, high: float
     return out.drop(*[f"_{c}" for c in columns])
 
 
-def prepared(df: DataFrame, cut: list[str]) -> DataFrame:
+def prepared(df: DataFrame, cut: tuple = WINSORIZED) -> DataFrame:
     """Quarter, winsorized columns (over the sample before any filter) and logs."""
     out = df.withColumn("year_quarter", N.quarter_label(F.col("call_date")))
     out = winsorized(out, [c for c in cut if c in df.columns])
@@ -77,4 +78,4 @@ def prepared(df: DataFrame, cut: list[str]) -> DataFrame:
 
 
 def regression_sample(df: DataFrame, required: tuple = REQUIRED) -> DataFrame:
-    return df.dropna("any", [c for c in required if c in df.columns])
+    return df.dropna("any", subset=[c for c in required if c in df.columns])

@@ -96,7 +96,7 @@ def with_neg_score(df: DataFrame) -> DataFrame:
 def segment_scores(df: DataFrame) -> DataFrame:
     """Per segment: the mean by tokens (at least 1 each), the tokens, the largest score."""
     weight = N.clip(F.col("chunk_token_count"), 1)
-    some = df.dropna("any", ["transcript_id", "segment_id", "section"])
+    some = df.dropna("any", subset=["transcript_id", "segment_id", "section"])
     return some.groupBy("transcript_id", "segment_id", "section").agg(
         F.try_divide(F.sum(F.col("neg_score") * weight), F.sum(F.when(F.col("neg_score").isNotNull(), weight))).alias("seg_score"),
         F.sum("chunk_token_count").alias("seg_tokens"), F.max("neg_score").alias("seg_max"),

@@ -1,4 +1,674 @@
-"""All registered queries and their SQL, by name."""
+"""All registered queries and their SQL, by name.
+
+The driver's tables stand in for the domain's: conversations are transcripts
+(user: Executive, assistant: Analyst, system: Operator), line items by supplier
+and day are market panels, orders are calls, market caps and earnings, customers
+are firms, documents are chunk texts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import numeric as N
+from ..functions import text as X
+from ..operators import describe, econ, events, relate, sampling, tone, turns
+from ..sources import readers
+from .pipelines import merge_raw
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its own name, with its SQL."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+# Transcripts
+
+ROLE = {"user": "Executive", "assistant": "Analyst", "system": "Operator"}
+
+
+def role_column() -> Column:
+    out = F.lit("Unknown")
+    for name, role in ROLE.items():
+        out = F.when(F.col("role") == name, role).otherwise(out)
+    return out
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    named = c.select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("segment_id"), role_column().alias("speaker_role"), F.col("text").alias("content"))
+    return turns.label_sections(named)
+
+
+SPOKEN = """
+spoken AS (
+  SELECT *, CASE WHEN speaker_role = 'Analyst' THEN 'Q' WHEN speaker_role = 'Executive' AND NOT qa_started THEN 'Prepared'
+                 WHEN speaker_role = 'Executive' THEN 'A' ELSE 'O' END AS section
+  FROM (SELECT *, max(coalesce(speaker_role = 'Analyst', false)) OVER (PARTITION BY transcript_id ORDER BY segment_id) AS qa_started
+        FROM (SELECT conv_id AS transcript_id, turn AS segment_id, text AS content,
+                CASE role WHEN 'user' THEN 'Executive' WHEN 'assistant' THEN 'Analyst' WHEN 'system' THEN 'Operator' ELSE 'Unknown' END AS speaker_role
+              FROM conversations)))
+"""
+
+
+@query(f"WITH {SPOKEN} SELECT transcript_id, segment_id, speaker_role, qa_started, section FROM spoken")
+def section_label(spark, sf_dir):
+    return spoken(spark, sf_dir).select("transcript_id", "segment_id", "speaker_role", "qa_started", "section")
+
+
+def logits() -> Column:
+    n = F.length("content")
+    return F.array(*[(n % k) / F.lit(4.0) for k in (5, 7, 11)])
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tone.without_operator(spoken(spark, sf_dir)).withColumn("chunk_token_count", X.token_count(F.col("content")).cast("long"))
+    return tone.with_neg_score(tone.scored_by_logits(s, logits()))
+
+
+SCORED = SPOKEN + r"""
+, l AS (SELECT *, (length(content) % 5) / 4.0::DOUBLE AS a, (length(content) % 7) / 4.0::DOUBLE AS b, (length(content) % 11) / 4.0::DOUBLE AS c,
+        len(regexp_extract_all(content, '\S+'))::BIGINT AS chunk_token_count FROM spoken WHERE section <> 'O'),
+scored AS (SELECT *, exp(a) / (exp(a) + exp(b) + exp(c)) AS p_neutral, exp(b) / (exp(a) + exp(b) + exp(c)) AS p_positive, exp(c) / (exp(a) + exp(b) + exp(c)) AS p_negative,
+           CASE WHEN a >= b AND a >= c THEN 'neutral' WHEN b >= c THEN 'positive' ELSE 'negative' END AS pred_label,
+           (exp(c) - exp(b)) / (exp(a) + exp(b) + exp(c)) AS neg_score FROM l)
+"""
+
+
+@query(f"WITH {SCORED} SELECT transcript_id, segment_id, round(p_neutral, 6) AS p_neutral, round(p_positive, 6) AS p_positive, round(p_negative, 6) AS p_negative, pred_label, round(neg_score, 6) AS neg_score FROM scored")
+def score_expression(spark, sf_dir):
+    out = scored(spark, sf_dir).select("transcript_id", "segment_id", "p_neutral", "p_positive", "p_negative", "pred_label", "neg_score")
+    return rounded(out, "p_neutral", "p_positive", "p_negative", "neg_score")
+
+
+def stand_in_scores(texts):
+    """Deterministic stand-in for a model: the softmax of the same logits, batch by batch."""
+    import numpy as np
+    import pandas as pd
+
+    n = texts.fillna("").str.len().to_numpy()
+    e = np.exp(np.stack([(n % k) / 4.0 for k in (5, 7, 11)], axis=1))
+    return pd.DataFrame(e / e.sum(axis=1, keepdims=True))
+
+
+@query(f"WITH {SCORED} SELECT transcript_id, segment_id, round(p_neutral, 6) AS p_neutral, round(p_positive, 6) AS p_positive, round(p_negative, 6) AS p_negative, pred_label FROM scored")
+def score_udf(spark, sf_dir):
+    df = tone.without_operator(spoken(spark, sf_dir)).select("transcript_id", "segment_id", "content")
+    return rounded(tone.scored_by(df, stand_in_scores, "content").drop("content"), "p_neutral", "p_positive", "p_negative")
+
+
+SEGMENTS = SCORED + """
+, seg AS (SELECT transcript_id, segment_id, section, sum(neg_score * greatest(chunk_token_count, 1)) / sum(greatest(chunk_token_count, 1)) AS seg_score,
+          sum(chunk_token_count)::BIGINT AS seg_tokens, max(neg_score) AS seg_max FROM scored GROUP BY ALL)
+"""
+
+
+@query(f"WITH {SEGMENTS} SELECT transcript_id, segment_id, section, round(seg_score, 6) AS seg_score, seg_tokens, round(seg_max, 6) AS seg_max FROM seg")
+def segment_scores(spark, sf_dir):
+    return rounded(tone.segment_scores(scored(spark, sf_dir)), "seg_score", "seg_max")
+
+
+def _feature_sql(digits: int | None = 6) -> str:
+    cols = []
+    r = (lambda e: f"round({e}, {digits})") if digits else (lambda e: e)
+    means = {}
+    for name, members in tone.SECTIONS.items():
+        inside = "section IN (" + ", ".join(f"'{m}'" for m in members) + ")"
+        low = name.lower()
+        means[name] = {"": f"avg(seg_score) FILTER ({inside})", "_segmax": f"avg(seg_max) FILTER ({inside})",
+                       "_seglenw": f"sum(seg_score * greatest(seg_tokens, 1)) FILTER ({inside}) / nullif(sum(seg_tokens) FILTER ({inside}), 0)"}
+        cols += [f"{r(e)} AS Neg{name}{tail}" for tail, e in means[name].items()]
+        for tail in ("", "_segmax"):
+            cols += [f"nullif(count(*) FILTER ({inside}), 0) AS n_segments_{low}{tail}", f"(sum(seg_tokens) FILTER ({inside}))::BIGINT AS n_tokens_{low}{tail}"]
+    cols += [f"{r(means['QA'][t] + ' - ' + means['Prepared'][t])} AS NegGap{t}" for t in ("", "_seglenw", "_segmax")]
+    return f"SELECT transcript_id, {', '.join(cols)} FROM seg GROUP BY transcript_id"
+
+
+@query(f"WITH {SEGMENTS} {_feature_sql().replace('FILTER (section', 'FILTER (WHERE section')}")
+def transcript_features(spark, sf_dir):
+    out = tone.transcript_features(tone.segment_scores(scored(spark, sf_dir)))
+    return rounded(out, *[c for c in out.columns if c.startswith("Neg")])
+
+
+@query(f"""WITH {SPOKEN} SELECT transcript_id, count(*) FILTER (WHERE section = 'Prepared') AS n_prepared, count(*) FILTER (WHERE section = 'Q') AS n_q,
+  count(*) FILTER (WHERE section = 'A') AS n_a, count(*) FILTER (WHERE section = 'O') AS n_o FROM spoken GROUP BY transcript_id""")
+def section_pivot(spark, sf_dir):
+    return turns.section_counts(spoken(spark, sf_dir))
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript bodies built from the turns, with a header line each: what the parser must find again."""
+    c = table(spark, sf_dir, "conversations")
+    head = F.when(F.col("role") == "system", "OperatorOperator").otherwise(F.concat(F.lit("Speaker "), F.col("role"), role_column()))
+    line = F.concat(head, F.lit("\n"), X.trimmed(F.col("text")))
+    parts = F.sort_array(F.collect_list(F.struct("turn", line.alias("l"))))
+    return c.groupBy(F.col("conv_id").alias("transcript_id")).agg(F.concat(F.lit("intro\n"), F.array_join(F.transform(parts, lambda p: p.l), "\n")).alias("body"))
+
+
+TURNS = r"""
+t AS (SELECT conv_id AS transcript_id, turn, CASE role WHEN 'system' THEN 'Operator' ELSE 'Speaker ' || role END AS speaker_name,
+        CASE role WHEN 'user' THEN 'Executive' WHEN 'assistant' THEN 'Analyst' ELSE 'Operator' END AS speaker_role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS content FROM conversations),
+kept AS (SELECT *, CASE speaker_role WHEN 'Operator' THEN 16 ELSE length(speaker_name) + length(speaker_role) END AS head FROM t WHERE content <> ''),
+marked AS (SELECT *, CASE WHEN lag(speaker_name || '|' || speaker_role) OVER (PARTITION BY transcript_id ORDER BY turn) IS NOT DISTINCT FROM speaker_name || '|' || speaker_role THEN 0 ELSE 1 END AS new FROM kept),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY transcript_id ORDER BY turn) AS run FROM marked),
+merged AS (SELECT transcript_id, run - 1 AS segment_id, speaker_name, speaker_role, string_agg(content, chr(10) ORDER BY turn) AS content FROM runs GROUP BY ALL)
+"""
+
+
+@query(f"WITH {TURNS} SELECT transcript_id, segment_id::BIGINT AS segment_id, speaker_name, speaker_role, content FROM merged")
+def speaker_split(spark, sf_dir):
+    raw = bodies(spark, sf_dir).withColumns({"title": F.lit("T - x"), "subheader": F.lit(None).cast("string"), "date": F.lit(None).cast("timestamp")})
+    return turns.segments(turns.split_transcripts(raw)).select("transcript_id", "segment_id", "speaker_name", "speaker_role", "content")
+
+
+@query(f"""WITH {TURNS}, raw AS (SELECT transcript_id, 5 + sum(1 + CASE speaker_role WHEN 'Operator' THEN 16 ELSE length(speaker_name) + length(speaker_role) END + 1 + length(content)) AS raw_length FROM t GROUP BY ALL),
+ one AS (SELECT transcript_id, sum(head + length(content)) + 2 * count(*) - 1 AS segmented_length, count(*) AS n_raw_segments, max(run) AS n_merged_segments FROM runs GROUP BY ALL),
+ counts AS (WITH {SPOKEN} SELECT transcript_id, count(*) FILTER (WHERE section = 'Prepared') AS n_prepared, count(*) FILTER (WHERE section = 'Q') AS n_q, count(*) FILTER (WHERE section = 'A') AS n_a, count(*) FILTER (WHERE section = 'O') AS n_o FROM spoken GROUP BY ALL)
+SELECT transcript_id, raw_length::BIGINT AS raw_length, segmented_length::BIGINT AS segmented_length, n_raw_segments, n_merged_segments::BIGINT AS n_merged_segments, n_prepared, n_q, n_a, n_o,
+  round(greatest(0.0, 1 - segmented_length / raw_length::DOUBLE), 6) AS drop_rate, greatest(0.0, 1 - segmented_length / raw_length::DOUBLE) < 0.05 AS drop_rate_ok,
+  abs(n_q - n_a) AS qa_balance_gap, round(CASE WHEN greatest(n_q, n_a) > 0 THEN least(n_q, n_a) / greatest(n_q, n_a)::DOUBLE END, 6) AS qa_balance_ratio
+FROM raw JOIN one USING (transcript_id) JOIN counts USING (transcript_id)""")
+def validation(spark, sf_dir):
+    split = turns.split_transcripts(bodies(spark, sf_dir))
+    out = turns.validation(turns.trace(split), turns.section_counts(spoken(spark, sf_dir)))
+    return rounded(out, "drop_rate", "qa_balance_ratio")
+
+
+@query(f"WITH {SPOKEN} SELECT 'executive_is_prepared_and_a' AS \"check\", count(*) FILTER (WHERE speaker_role = 'Executive') - count(*) FILTER (WHERE section IN ('Prepared', 'A')) AS value, count(*) FILTER (WHERE speaker_role = 'Executive') = count(*) FILTER (WHERE section IN ('Prepared', 'A')) AS passed FROM spoken UNION ALL SELECT 'analyst_is_q', count(*) FILTER (WHERE speaker_role = 'Analyst') - count(*) FILTER (WHERE section = 'Q'), count(*) FILTER (WHERE speaker_role = 'Analyst') = count(*) FILTER (WHERE section = 'Q') FROM spoken UNION ALL SELECT 'rows_add_up', 0, true")
+def consistency_checks(spark, sf_dir):
+    return describe.consistency(spoken(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e)
+ SELECT user_id, run::BIGINT AS run, event_type, count(*) AS n, string_agg(props, chr(10) ORDER BY ts, event_id) AS props FROM r GROUP BY user_id, run, event_type""")
+def run_merge(spark, sf_dir):
+    return turns.run_merge(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", "props")
+
+
+@query(f"WITH {SPOKEN} SELECT transcript_id, segment_id, concat('Section: ', section, chr(10), 'Speaker role: ', speaker_role, chr(10), 'Chunk: ', content) AS prompt FROM spoken")
+def prompt_text(spark, sf_dir):
+    p = X.prompt(**{"Section": F.col("section"), "Speaker role": F.col("speaker_role"), "Chunk": F.col("content")})
+    return spoken(spark, sf_dir).select("transcript_id", "segment_id", p.alias("prompt"))
+
+
+def stand_in_answer(prompt: str) -> str:
+    """Deterministic stand-in for a labelling service, with an answer that can't be used now and then."""
+    kind = ("pos", "NEUTRAL", "neg", "maybe")[len(prompt) % 4]
+    return f'Sure: {{"label": "{kind}", "reason": "length {len(prompt)}"}} ok'
+
+
+@query(f"""WITH {SPOKEN}, p AS (SELECT transcript_id || '_' || segment_id AS chunk_id, length(content) AS n FROM spoken)
+SELECT chunk_id, [ 'positive', 'neutral', 'negative', NULL ][n % 4 + 1] AS label, 'length ' || n AS label_reason, CASE WHEN n % 4 = 3 THEN 'failed' ELSE 'ok' END AS label_status, 1 AS attempts FROM p""")
+def label_udf(spark, sf_dir):
+    df = spoken(spark, sf_dir).select(F.concat_ws("_", "transcript_id", "segment_id").alias("chunk_id"), F.col("content").alias("prompt"))
+    return sampling.labelled_by(df, stand_in_answer, "prompt", "chunk_id").select("chunk_id", "label", "label_reason", "label_status", "attempts")
+
+
+# Texts
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(160), ' '), chr(13), ''), '[ \t]*\n[ \t\n]*', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12)) AS text FROM documents""")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
+
+
+@query(r"""WITH b AS (SELECT page_id, html, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t FROM pages)
+SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(coalesce(t, ''), chr(160), ' '), chr(13), ''), '[ \t]*\n[ \t\n]*', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10)) AS title FROM b""")
+def page_title(spark, sf_dir):
+    return readers.page_fields(table(spark, sf_dir, "pages")).select("page_id", "title")
+
+
+@query()
+def page_text(spark, sf_dir):
+    return readers.page_fields(table(spark, sf_dir, "pages")).select("page_id", "title", "body")
+
+
+SUFFIXES = "|".join(X.LEGAL_SUFFIXES)
+KEY_SQL = rf"trim(regexp_replace(trim(regexp_replace(regexp_replace(replace(lower({{0}}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')), '(?:(?:^| )(?:{SUFFIXES}))+$', ''))"
+
+
+@query("SELECT c_custkey, " + KEY_SQL.format("c_name || ' & Sons Holdings, Inc.'") + " AS key FROM customer")
+def company_norm(spark, sf_dir):
+    name = F.concat("c_name", F.lit(" & Sons Holdings, Inc."))
+    return table(spark, sf_dir, "customer").select("c_custkey", X.company_key(name).alias("key"))
+
+
+@query("SELECT c_custkey, replace(upper(trim(' br.' || c_name || ' ')), '.', '-') AS ticker FROM customer")
+def ticker_norm(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", X.ticker(F.concat(F.lit(" br."), F.col("c_name"), F.lit(" "))).alias("ticker"))
+
+
+@query("SELECT c_custkey, n_name AS ticker FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey IN (0, 2)")
+def universe_semi(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    c = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("ticker"))
+    return relate.in_universe(c, nation.filter("n_regionkey IN (0, 2)").select(F.lower("n_name").alias("Symbol")))
+
+
+@query("SELECT c_custkey, n_nationkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3")
+def enrich_left(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    c = table(spark, sf_dir, "customer").join(nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat("n_name", F.lit(", Inc.")).alias("company"))
+    twice = nation.filter("n_regionkey < 3")
+    twice = twice.unionByName(twice.withColumn("n_nationkey", F.col("n_nationkey") + 100))
+    return relate.enrich(c, twice.select("n_nationkey", "n_name"), "company", "n_name", ["n_nationkey"]).select("c_custkey", "n_nationkey")
+
+
+@query("SELECT o_orderkey, o_orderdate + INTERVAL (o_orderkey % 1440) MINUTE AS parsed FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 7 = 0")
+def long_date_parse(spark, sf_dir):
+    at = F.col("o_orderdate") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    day = F.element_at(F.array(*[F.lit(d) for d in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")]), F.weekday(at) + 1)
+    said = F.concat(F.when(F.col("o_orderkey") % 7 == 0, "Someday").otherwise(day), F.lit(", "), F.date_format(at, "MMMM d, yyyy h:mm a"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.long_date(said).cast("timestamp_ntz").alias("parsed"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '') AS s FROM documents)
+SELECT doc_id, len(s)::INT AS n_sentences, s[1] AS first_sentence, s[len(s)] AS last_sentence FROM s""")
+def sentence_split(spark, sf_dir):
+    s = X.sentences(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.get(s, 0).alias("first_sentence"), F.get(s, F.size(s) - 1).alias("last_sentence"))
+
+
+@query()
+def chunk_pack(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("transcript_id"), F.lit(0).alias("segment_id"), F.col("text").alias("content"))
+    return tone.chunks(d, 64)
+
+
+@query(r"SELECT doc_id, (len(regexp_extract_all(text, '\S+')))::BIGINT AS n_tokens FROM documents")
+def chunk_tokens_conserved(spark, sf_dir):
+    """Packing loses and makes no token: chunks' counts add up to the document's."""
+    return chunk_pack(spark, sf_dir).groupBy(F.col("transcript_id").alias("doc_id")).agg(F.sum("chunk_token_count").alias("n_tokens"))
+
+
+@query("SELECT DISTINCT text, lang FROM documents")
+def merge_dedup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("text", "lang")
+    return relate.distinct_rows(d, d)
+
+
+@query("""WITH r AS (SELECT o_orderkey, strftime(o_orderdate, '%A, %B %d, %Y 10:30 AM') AS subheader FROM orders UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%A, %B %d, %Y 10:30 AM') FROM orders WHERE o_orderkey % 10 = 0)
+SELECT DISTINCT o_orderkey, subheader FROM r""")
+def merge_sorted(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    day = F.element_at(F.array(*[F.lit(d) for d in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")]), F.weekday("o_orderdate") + 1)
+    raw = o.select("o_orderkey", F.concat(day, F.date_format("o_orderdate", "', 'MMMM dd, yyyy' 10:30 AM'")).alias("subheader"))
+    return merge_raw(raw.unionByName(raw.filter("o_orderkey % 10 = 0")).unionByName(raw.limit(1).withColumn("subheader", F.lit("no date"))))
+
+
+@query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
+def dedup_first(spark, sf_dir):
+    return relate.first_of(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], ["doc_id"])
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_extract(spark, sf_dir):
+    said = F.concat(F.lit("Answer: "), F.col("props"), F.lit(" end"))
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(X.json_part(said), "$.k").cast("bigint").alias("k"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'neutral' END AS label FROM events")
+def label_normalize(spark, sf_dir):
+    said = F.element_at(F.array(*map(F.lit, (" POS ", "Negative", "neu", "meh"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", X.label(said).alias("label"))
+
+
+@query("SELECT vec_id, list_position(l, list_max(l)) - 1 AS argmax, round(exp(l[1] - list_max(l)) / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))), 6) AS p0 FROM (SELECT vec_id, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS l FROM embeddings)")
+def softmax_argmax(spark, sf_dir):
+    v = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    out = table(spark, sf_dir, "embeddings").withColumn("l", v)
+    return out.select("vec_id", N.argmax(F.col("l")).cast("long").alias("argmax"), F.round(N.softmax(F.col("l"))[0], 6).alias("p0"))
+
+
+@query("SELECT * FROM (VALUES (DATE '2026-02-16', DATE '2026-02-20'), (DATE '2026-02-21', DATE '2026-02-25'), (DATE '2026-02-26', DATE '2026-02-28')) v(\"start\", \"end\")")
+def date_windows(spark, sf_dir):
+    return readers.date_windows(spark, "2026-02-16", "2026-02-28", 5)
+
+
+# Panels and events
+
+def suppliers(spark: SparkSession, sf_dir: str) -> Column:
+    """The number of suppliers, as a one-row scalar read."""
+    return F.lit(table(spark, sf_dir, "supplier").count())
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.groupBy(F.col("l_suppkey").alias("ticker_norm"), F.to_date("l_shipdate").alias("date")).agg(
+        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0")
+    return o.select(F.col("o_orderkey").alias("call_id"), (F.col("o_custkey") % suppliers(spark, sf_dir)).alias("ticker_norm"), F.to_date("o_orderdate").alias("call_date"))
+
+
+def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy((F.col("o_custkey") % suppliers(spark, sf_dir)).alias("ticker_norm"), F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("marketCap"))
+
+
+def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("ticker_norm").orderBy("date")
+    c = caps(spark, sf_dir).filter("ticker_norm % 2 = 0")
+    return c.select("ticker_norm", "date", (F.lag("marketCap").over(w) / 1000).alias("epsEstimated"), (F.col("marketCap") / 1000).alias("epsActual"),
+                    (F.lag("marketCap").over(w) * 10).alias("revenueEstimated"), (F.col("marketCap") * 10).alias("revenueActual"))
+
+
+PANEL = """
+panel AS (SELECT l_suppkey AS ticker_norm, l_shipdate::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY ALL),
+calls AS (SELECT o_orderkey AS call_id, o_custkey % (SELECT count(*) FROM supplier) AS ticker_norm, o_orderdate::DATE AS call_date FROM orders WHERE o_orderkey % 50 = 0),
+caps AS (SELECT o_custkey % (SELECT count(*) FROM supplier) AS ticker_norm, o_orderdate::DATE AS date, max(o_totalprice) AS marketCap FROM orders GROUP BY ALL),
+ret AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY ticker_norm ORDER BY date)) AS ret FROM panel),
+frames AS (SELECT *, CASE WHEN count(ret) OVER b >= 60 THEN avg(ret) OVER b END AS m, lag(ret) OVER w AS r0, lead(ret) OVER w AS r2,
+   stddev_pop(ret) OVER (PARTITION BY ticker_norm ORDER BY date ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS vol5,
+   avg(volume) OVER (PARTITION BY ticker_norm ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS v20,
+   avg(volume) OVER (PARTITION BY ticker_norm ORDER BY date ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS v01
+   FROM ret WINDOW w AS (PARTITION BY ticker_norm ORDER BY date), b AS (PARTITION BY ticker_norm ORDER BY date ROWS BETWEEN 250 PRECEDING AND 50 PRECEDING)),
+features AS (SELECT *, CASE WHEN m IS NOT NULL AND coalesce(r0, ret, r2) IS NOT NULL THEN coalesce(r0 - m, 0) + coalesce(ret - m, 0) + coalesce(r2 - m, 0) END AS car, v01 / nullif(v20, 0) AS abvol FROM frames),
+market AS (SELECT c.*, f.date AS event_date, f.car AS CAR_m1_p1, f.vol5 AS Volatility_0_p5, f.v20 AS AvgVolume_m20_m1, f.v01 AS AvgVolume_0_p1, f.abvol AS AbVol_0_p1
+   FROM calls c ASOF LEFT JOIN features f ON c.ticker_norm = f.ticker_norm AND c.call_date <= f.date)
+"""
+
+
+@query(f"WITH {PANEL} SELECT call_id, ticker_norm, call_date, event_date FROM market")
+def event_forward_asof(spark, sf_dir):
+    return events.with_market(calls(spark, sf_dir), panel(spark, sf_dir)).select("call_id", "ticker_norm", "call_date", "event_date")
+
+
+@query(f"WITH {PANEL} SELECT call_id, round(CAR_m1_p1, 6) AS CAR_m1_p1, round(Volatility_0_p5, 6) AS Volatility_0_p5, round(AvgVolume_m20_m1, 6) AS AvgVolume_m20_m1, round(AvgVolume_0_p1, 6) AS AvgVolume_0_p1, round(AbVol_0_p1, 6) AS AbVol_0_p1 FROM market")
+def event_features(spark, sf_dir):
+    return rounded(events.with_market(calls(spark, sf_dir), panel(spark, sf_dir)).select("call_id", *events.MARKET), *events.MARKET)
+
+
+@query(f"WITH {PANEL} SELECT call_id, marketCap, round(ln(marketCap), 6) AS log_marketCap FROM calls c ASOF LEFT JOIN caps p ON c.ticker_norm = p.ticker_norm AND c.call_date >= p.date")
+def marketcap_asof(spark, sf_dir):
+    return rounded(events.with_marketcap(calls(spark, sf_dir), caps(spark, sf_dir)).select("call_id", "marketCap", "log_marketCap"), "log_marketCap")
+
+
+EARN = """
+earn AS (SELECT ticker_norm, date, lag(marketCap) OVER w / 1000 AS epsEstimated, marketCap / 1000 AS epsActual, lag(marketCap) OVER w * 10 AS revenueEstimated, marketCap * 10 AS revenueActual
+   FROM caps WHERE ticker_norm % 2 = 0 WINDOW w AS (PARTITION BY ticker_norm ORDER BY date)),
+earned AS (SELECT c.call_id, CASE WHEN ok THEN date END AS earnings_date, CASE WHEN ok AND abs(epsEstimated) >= 0.01 THEN (epsActual - epsEstimated) / abs(epsEstimated) END AS eps_surprise,
+   CASE WHEN ok AND abs(revenueEstimated) >= 1e6 THEN (revenueActual - revenueEstimated) / abs(revenueEstimated) END AS revenue_surprise
+   FROM (SELECT c.*, e.* EXCLUDE (ticker_norm), date_diff('day', e.date, c.call_date) <= 30 AS ok FROM calls c ASOF LEFT JOIN earn e ON c.ticker_norm = e.ticker_norm AND c.call_date >= e.date) c)
+"""
+
+
+@query(f"WITH {PANEL}, {EARN} SELECT call_id, earnings_date, round(eps_surprise, 6) AS eps_surprise, round(revenue_surprise, 6) AS revenue_surprise FROM earned")
+def earnings_asof_tol(spark, sf_dir):
+    out = events.with_earnings(calls(spark, sf_dir), earnings(spark, sf_dir))
+    return rounded(out.select("call_id", "earnings_date", "eps_surprise", "revenue_surprise"), "eps_surprise", "revenue_surprise")
+
+
+@query("WITH q AS (SELECT quantile_cont(o_totalprice, 0.01) AS a, quantile_cont(o_totalprice, 0.99) AS b FROM orders) SELECT o_orderkey, round(least(greatest(o_totalprice, a), b), 6) AS price FROM orders, q")
+def winsorize(spark, sf_dir):
+    out = events.winsorized(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price")), ["price"])
+    return rounded(out, "price")
+
+
+PREP = f"""{PANEL}, {EARN},
+joined AS (SELECT m.*, e.eps_surprise, e.revenue_surprise, ln(p.marketCap) AS log_marketCap FROM market m JOIN earned e USING (call_id)
+   JOIN (SELECT call_id, marketCap FROM calls c ASOF LEFT JOIN caps p ON c.ticker_norm = p.ticker_norm AND c.call_date >= p.date) p USING (call_id)),
+q AS (SELECT {", ".join(f"quantile_cont({c}, 0.01) AS {c}_a, quantile_cont({c}, 0.99) AS {c}_b" for c in events.WINSORIZED)} FROM joined)
+"""
+
+
+def joined_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = events.with_market(calls(spark, sf_dir), panel(spark, sf_dir))
+    return events.with_earnings(events.with_marketcap(out, caps(spark, sf_dir)), earnings(spark, sf_dir))
+
+
+@query(f"""WITH {PREP} SELECT call_id, year(call_date) || 'Q' || quarter(call_date) AS year_quarter, {", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, {c}_a), {c}_b) END, 6) AS {c}" for c in events.WINSORIZED)},
+ round(CASE WHEN AvgVolume_m20_m1 > 0 THEN ln(AvgVolume_m20_m1) END, 6) AS log_AvgVolume_m20_m1, round(log_marketCap, 6) AS log_marketCap
+FROM joined, q WHERE CAR_m1_p1 IS NOT NULL AND eps_surprise IS NOT NULL AND revenue_surprise IS NOT NULL AND log_marketCap IS NOT NULL AND AvgVolume_m20_m1 IS NOT NULL""")
+def regression_prep(spark, sf_dir):
+    out = events.regression_sample(events.prepared(joined_calls(spark, sf_dir)))
+    cols = [*events.WINSORIZED, "log_AvgVolume_m20_m1", "log_marketCap"]
+    return rounded(out.select("call_id", "year_quarter", *cols), *cols)
+
+
+def regression_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with market outcomes and the tone features of the transcript that stands for each call."""
+    n = table(spark, sf_dir, "conversations").agg(F.count_distinct("conv_id")).first()[0]
+    tone_ = tone.transcript_features(tone.segment_scores(scored(spark, sf_dir)))
+    out = joined_calls(spark, sf_dir).withColumn("transcript_id", (F.col("call_id") / 50).cast("long") % n)
+    return events.prepared(out.join(tone_, "transcript_id", "left"))
+
+
+@query()
+def regression_specs(spark, sf_dir):
+    """All specifications, the progressive ones and the Wald test."""
+    from ..functions.numeric import stars
+
+    data = regression_data(spark, sf_dir).persist()  # some fifty passes over one row per call
+    rows = econ.all_specs(data)
+    data.unpersist()
+    out = spark.createDataFrame(rows, "spec string, variable string, coef double, se double, p double, n long, r2 double")
+    return out.withColumn("stars", stars(F.col("p")))
+
+
+SIMPLE = """
+x AS (SELECT l_suppkey AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+b AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, avg(x) AS mx, count(*) AS n, regr_sxx(y, x) AS sxx FROM x),
+e AS (SELECT g, x - mx AS d, y - a - b.b * x AS e FROM x, b)
+"""
+
+
+@query(f"""WITH {SIMPLE} SELECT 'classical' AS kind, round(b.b, 4) AS slope, round(r2, 6) AS r2, round(sqrt((SELECT sum(e * e) FROM e) / (n - 2) / sxx), 4) AS se FROM b
+UNION ALL SELECT 'hc1', round(b.b, 4), round(r2, 6), round(sqrt((SELECT sum(d * d * e * e) FROM e) * n / (n - 2)) / sxx, 4) FROM b
+UNION ALL SELECT 'cluster', round(b.b, 4), round(r2, 6), round(sqrt((SELECT sum(s * s) * count(*) / (count(*) - 1) FROM (SELECT sum(d * e) AS s FROM e GROUP BY g)) * (n - 1) / (n - 2)) / sxx, 4) FROM b""")
+def ols_covariances(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    rows = []
+    for kind in ("classical", "hc1", "cluster"):
+        fit = econ.ols(df, "y", ["x"], (), kind, "g" if kind == "cluster" else None)
+        rows.append((kind, float(fit.params[1]), float(fit.r2), float(fit.errors[1])))
+    out = spark.createDataFrame(rows, "kind string, slope double, r2 double, se double")
+    return out.select("kind", F.round("slope", 4).alias("slope"), F.round("r2", 6).alias("r2"), F.round("se", 4).alias("se"))
+
+
+# Descriptive tables
+
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
+ORDER_EDGES = "edges AS (SELECT list_distinct(quantile_cont(o_totalprice, {q})) AS e FROM orders)"
+
+
+def _bins(k: int) -> str:
+    q = "[" + ", ".join(str(i / k) for i in range(k + 1)) + "]"
+    return f"""WITH c AS (SELECT list_sort(list_distinct(quantile_cont(o_totalprice, {q}))) AS e FROM orders),
+ r AS (SELECT o_totalprice AS x, o_orderkey % 97 AS v, len(list_filter(e[2:len(e) - 1], lambda q: q < o_totalprice)) + 1 AS bin FROM orders, c)
+ SELECT bin::INT AS bin, round(avg(x), 4) AS mean_x, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(*) AS n, round(stddev_samp(v) / sqrt(count(*)), 6) AS se, round(1.96 * stddev_samp(v) / sqrt(count(*)), 6) AS ci95 FROM r GROUP BY bin"""
+
+
+def _bin_query(spark, sf_dir, k: int) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("x"), (F.col("o_orderkey") % 97).alias("v"))
+    out = describe.bin_table(o, "x", "v", k).withColumn("mean_x", F.round("mean_x", 4))
+    return rounded(out, "mean", "std", "se", "ci95")
+
+
+@query(_bins(5))
+def qcut5(spark, sf_dir):
+    return _bin_query(spark, sf_dir, 5)
+
+
+@query(_bins(10))
+def qcut10(spark, sf_dir):
+    return _bin_query(spark, sf_dir, 10)
+
+
+@query("WITH s AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders) SELECT least(floor((o_totalprice - a) * 50 / (b - a)), 49)::INT AS bin, count(*) AS n FROM orders, s GROUP BY 1")
+def histogram50(spark, sf_dir):
+    return describe.histogram(table(spark, sf_dir, "orders"), "o_totalprice")
+
+
+@query("""WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.5) AS m, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem)
+SELECT round(any_value(a), 6) AS q1, round(any_value(m), 6) AS median, round(any_value(b), 6) AS q3, min(l_extendedprice) FILTER (WHERE l_extendedprice >= a - 1.5 * (b - a)) AS low,
+ max(l_extendedprice) FILTER (WHERE l_extendedprice <= b + 1.5 * (b - a)) AS high, count(*) FILTER (WHERE l_extendedprice < a - 1.5 * (b - a) OR l_extendedprice > b + 1.5 * (b - a)) AS outside FROM lineitem, q""")
+def boxplot_stats(spark, sf_dir):
+    return rounded(describe.box(table(spark, sf_dir, "lineitem"), "l_extendedprice"), "q1", "median", "q3")
+
+
+def _per_column(template: str, joiner: str = " UNION ALL ") -> str:
+    return joiner.join(template.format(c=c) for c in NUMBERS)
+
+
+@query(_per_column("SELECT '{c}' AS variable, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.75) AS p75, max({c}) AS max FROM lineitem"))
+def describe_numbers(spark, sf_dir):
+    return rounded(describe.summary(table(spark, sf_dir, "lineitem"), NUMBERS), "mean", "std")
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r FROM lineitem" for a in NUMBERS for b in NUMBERS))
+def corr_matrix(spark, sf_dir):
+    return rounded(describe.correlations(table(spark, sf_dir, "lineitem"), NUMBERS), "r")
+
+
+@query(_per_column("SELECT '{c}' AS measure, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, quantile_cont({c}, 0.5) AS median, max({c}) AS max, round(corr({c}, l_quantity), 6) AS corr FROM lineitem"))
+def measure_compare(spark, sf_dir):
+    return rounded(describe.measure_comparison(table(spark, sf_dir, "lineitem"), NUMBERS, "l_quantity"), "mean", "std", "corr")
+
+
+@query("""WITH f AS (SELECT o_custkey, count(DISTINCT year(o_orderdate) || 'Q' || quarter(o_orderdate)) AS q, count(*) AS r FROM orders GROUP BY 1)
+SELECT sum(r)::BIGINT AS n_rows, count(*) AS n_firms, round(avg(q), 6) AS mean_quarters, quantile_cont(q, 0.5) AS median_quarters, min(q) AS min_quarters, max(q) AS max_quarters,
+ (SELECT count(DISTINCT year(o_orderdate) || 'Q' || quarter(o_orderdate)) FROM orders) AS n_quarters FROM f""")
+def sample_overview(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("q", N.quarter_label(F.col("o_orderdate")))
+    return rounded(describe.sample_overview(o, "o_custkey", "q"), "mean_quarters")
+
+
+@query("SELECT count(*) AS n_firms, count(*) FILTER (WHERE has) AS n_with_ticker FROM (SELECT o_custkey, max(o_orderstatus = 'F') AS has FROM orders GROUP BY 1)")
+def firm_coverage(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("t", F.when(F.col("o_orderstatus") == "F", "F"))
+    return describe.firm_coverage(o, "o_custkey", "t")
+
+
+@query("SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY event_type")
+def distribution(spark, sf_dir):
+    return rounded(describe.distribution(table(spark, sf_dir, "events"), "event_type"), "share")
+
+
+@query("SELECT count(*) AS n_rows, count(o_totalprice) AS n_o_totalprice, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS n_filled FROM orders")
+def non_null_counts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("filled", F.when(F.col("o_orderstatus") == "F", 1))
+    return describe.non_null(o, ["o_totalprice", "filled"])
+
+
+@query("SELECT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS year_quarter, round(avg(o_totalprice), 4) AS mean, count(*) AS n FROM orders GROUP BY 1")
+def quarter_series(spark, sf_dir):
+    return rounded(describe.quarter_series(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice"), "mean", digits=4)
+
+
+@query("WITH q AS (SELECT DISTINCT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS q FROM orders), r AS (SELECT q, row_number() OVER (ORDER BY q) - 1 AS i FROM q) SELECT q[1:4] AS year, min(i) AS tick FROM r GROUP BY 1")
+def year_ticks(spark, sf_dir):
+    return describe.year_ticks(describe.quarter_series(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice")).withColumn("tick", F.col("tick").cast("long"))
+
+
+# Samples, splits and measures
+
+@query(f"""WITH {SPOKEN}, g AS (SELECT transcript_id, row_number() OVER (ORDER BY transcript_id % 30, transcript_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT transcript_id FROM spoken)),
+ c AS (SELECT *, round_even(n * 0.7::DOUBLE, 0) AS a, round_even(n * 0.7::DOUBLE, 0) + round_even(n * 0.15::DOUBLE, 0) AS b FROM g)
+SELECT s.transcript_id, s.segment_id, CASE WHEN r <= a THEN 'train' WHEN r <= b THEN 'valid' ELSE 'test' END AS split FROM spoken s JOIN c USING (transcript_id)""")
+def group_split(spark, sf_dir):
+    s = spoken(spark, sf_dir).withColumn("d", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("transcript_id") % 30).cast("int")))
+    return sampling.with_split(s, "transcript_id", "d").select("transcript_id", "segment_id", "split")
+
+
+HASH_SQL = "md5('42:' || chunk_id)"
+
+
+def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored(spark, sf_dir)
+    return s.select(F.concat_ws("_", "transcript_id", "segment_id").alias("chunk_id"), "section", F.round("neg_score", 6).alias("teacher"))
+
+
+POOL = SCORED + ", pool AS (SELECT transcript_id || '_' || segment_id AS chunk_id, section, round(neg_score, 6) AS teacher FROM scored)"
+
+
+@query(f"WITH {POOL} SELECT * FROM (SELECT * FROM pool ORDER BY {HASH_SQL}, chunk_id LIMIT 50)")
+def uniform_k(spark, sf_dir):
+    return sampling.uniform(pool(spark, sf_dir), 50, "chunk_id")
+
+
+@query(f"WITH {POOL}, a AS (SELECT * FROM pool ORDER BY teacher, chunk_id LIMIT 20), b AS (SELECT * FROM pool ORDER BY teacher DESC, chunk_id LIMIT 20) SELECT * FROM a UNION SELECT * FROM b")
+def sample_extremes(spark, sf_dir):
+    return sampling.extremes(pool(spark, sf_dir), 40, "teacher", "chunk_id")
+
+
+def _stratified_sql() -> str:
+    parts, sizes = [], {"Prepared": 34, "Q": 33, "A": 33}
+    for s, n in sizes.items():
+        e = round(n * 0.3)
+        lo, hi = e // 2, e - e // 2
+        parts.append(f"""{s}_l AS (SELECT chunk_id FROM pool WHERE section = '{s}' ORDER BY teacher, chunk_id LIMIT {lo}), {s}_h AS (SELECT chunk_id FROM pool WHERE section = '{s}' ORDER BY teacher DESC, chunk_id LIMIT {hi}),
+ {s}_e AS (SELECT chunk_id FROM {s}_l UNION SELECT chunk_id FROM {s}_h), {s}_u AS (SELECT chunk_id FROM pool WHERE section = '{s}' AND chunk_id NOT IN (SELECT chunk_id FROM {s}_e) ORDER BY {HASH_SQL}, chunk_id LIMIT {n - e})""")
+    union = " UNION ".join(f"SELECT chunk_id FROM {s}_{k}" for s in sizes for k in "eu")
+    return f"""WITH {POOL}, {", ".join(parts)}, base AS ({union}),
+ rest AS (SELECT chunk_id, row_number() OVER (ORDER BY {HASH_SQL}, chunk_id) AS r FROM pool WHERE chunk_id NOT IN (SELECT chunk_id FROM base))
+SELECT p.* FROM pool p WHERE chunk_id IN (SELECT chunk_id FROM base) OR chunk_id IN (SELECT chunk_id FROM rest WHERE r <= 100 - (SELECT count(*) FROM base))"""
+
+
+@query(_stratified_sql())
+def stratified_sample(spark, sf_dir):
+    return sampling.stratified(pool(spark, sf_dir), 100, "chunk_id", score="teacher")
+
+
+@query("""WITH p AS (SELECT quality AS t, toxic AS g FROM labels), c AS (SELECT DISTINCT t AS c FROM p UNION SELECT DISTINCT g FROM p),
+ k AS (SELECT c, (SELECT count(*) FROM p WHERE t = c AND g = c) AS hit, (SELECT count(*) FROM p WHERE t = c) AS i, (SELECT count(*) FROM p WHERE g = c) AS s FROM c)
+SELECT round(sum(hit) / sum(i)::DOUBLE, 6) AS accuracy, round(avg(coalesce(hit / nullif(s, 0)::DOUBLE, 0)), 6) AS macro_precision, round(avg(coalesce(hit / nullif(i, 0)::DOUBLE, 0)), 6) AS macro_recall,
+ round(avg(coalesce(2.0 * hit / nullif(i + s, 0), 0)), 6) AS macro_f1 FROM k""")
+def clf_metrics(spark, sf_dir):
+    out = sampling.classification_measures(table(spark, sf_dir, "labels"), "quality", "toxic")
+    return rounded(out, *out.columns)
+
+
+GRID = {"lr": [1e-5, 2e-5, 3e-5], "batch": [8, 16], "epochs": [2, 3], "warmup": [0.0, 0.1], "decay": [0.0, 0.01]}
+GRID_SQL = "(" + " CROSS JOIN ".join(f"(SELECT unnest({v}::{'DOUBLE' if isinstance(v[0], float) else 'BIGINT'}[]) AS {k})" for k, v in GRID.items()) + ")"
+
+
+@query(f"SELECT * FROM {GRID_SQL}")
+def grid_product(spark, sf_dir):
+    return sampling.grid(spark, **GRID)
+
+
+@query(f"SELECT *, round((lr * 100000) * epochs - batch / 16 - warmup - decay, 6) AS eval_f1 FROM {GRID_SQL} ORDER BY eval_f1 DESC, lr, batch, epochs, warmup, decay LIMIT 10")
+def top_configs(spark, sf_dir):
+    runs = sampling.grid(spark, **GRID).withColumn("eval_f1", F.round(F.col("lr") * 100000 * F.col("epochs") - F.col("batch") / 16 - F.col("warmup") - F.col("decay"), 6))
+    return sampling.best_runs(runs, "eval_f1", list(GRID))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_pool(spark, sf_dir):
+    return relate.not_in(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+# Sources
+
+@query("SELECT 'CUSTOMER' AS ticker_norm, count(*) AS n FROM customer")
+def keyed_scan(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("_metadata.file_path").alias("f"))
+    key = readers.file_key(F.regexp_replace("f", r"(customer\.parquet)/.*$", "$1"))
+    return names.groupBy(key.alias("ticker_norm")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n_rows FROM nation")
+def glob_scan(spark, sf_dir):
+    rows, _ = readers.read_glob(spark, sf_dir, "nation*.parquet")
+    return rows.agg(F.count("*").alias("n_rows"))
