@@ -157,18 +157,11 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, order
     )
     nodes = stored(nodes, "nodes")
 
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, k, data, off in text_chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, k), pa.array([s.tobytes() for s in shingle_sets(*word_hashes(data, off), width)], pa.binary())], ["id", "set"]
-                )
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
-        kept: dict[bytes, list] = {}
+        kept: dict[str, list] = {}
 
-        def prefix(raw: bytes, one: np.ndarray, order: int) -> np.ndarray:
+        def prefix(one: np.ndarray, order: int) -> np.ndarray:
             return np.sort(prefix_of(one, counts, order, percent))
 
         def shares(x: np.ndarray, y: np.ndarray) -> bool:
@@ -177,18 +170,19 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, order
             at = np.searchsorted(y, x)
             return bool(np.any(y[np.minimum(at, len(y) - 1)] == x))
 
-        def parts(raw: bytes) -> list:
-            if raw not in kept:
+        def parts(text: str) -> list:
+            if text not in kept:
                 if len(kept) >= 256:
                     kept.clear()
-                one = np.frombuffer(raw, U)
-                kept[raw] = [one, *(prefix(raw, one, o) for o in range(1, orders))]
-            return kept[raw]
+                (_, _, data, off), = text_chunks(pa.array([text], pa.string()))
+                (one,) = shingle_sets(*word_hashes(data, off), width)
+                kept[text] = [one, *(prefix(one, o) for o in range(1, orders))]
+            return kept[text]
 
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = parts(x), parts(y)
+                p, q = parts(x or ""), parts(y or "")
                 n, m = len(p[0]), len(q[0])
                 good = n > 0 and m > 0 and 100 * min(n, m) >= percent * max(n, m)
                 good = good and all(shares(a, b) for a, b in zip(p[1:], q[1:]))
@@ -214,14 +208,14 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, order
         if not other.limit(1).count():
             return same
         need = other.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = known.join(need.hint("merge"), "id", "left_semi")
-        sets = stored(texts.mapInArrow(whole_sets, "id long, set binary"), "whole")
+        # The texts of these documents alone; they are smaller than their sets, which are made again where they meet.
+        texts = stored(known.join(need.hint("merge"), "id", "left_semi"), "texts")
         release(spark)
-        with_sets = (
-            other.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
+        with_texts = (
+            other.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
         )
-        return same.unionByName(with_sets.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"))
+        return same.unionByName(with_texts.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"))
 
     member = Window.partitionBy("list")
     pairs = lists.withColumn("a", F.min("id").over(member)).filter("a < id").select("a", F.col("id").alias("b")).distinct()
