@@ -5,15 +5,15 @@ text follows its last id and fills its last sequence. Sequences are numbered
 0 .. n-1 in order of a hash of their document. A Feistel network over the next
 power of four, with a key, walks its cycle until the number lies below n again,
 so it is a permutation of 0 .. n-1 that needs no table: slot = permuted number.
-Slots are range-partitioned by shard, sorted, and each shard is written as one
-file of ``rows`` records of ``2 * length`` bytes (little-endian uint16), so slot s
+Slots are range-partitioned by shard and sorted; ``token_records`` gives the
+records in that order, and ``write_shards`` writes each shard as one file of ``rows`` records of ``2 * length`` bytes (little-endian uint16), so slot s
 stands at byte ``(s mod rows) * 2 * length`` of shard ``s div rows``. A reader can
 start at any slot. A file appears under its name only when it is complete, so a
 repeated task leaves the same file.
 
 Defined cases: a null or empty text is one sequence of end signs; a null doc_id
-is kept as null; rows that share an id are tokenised each; an empty table writes
-no shard; extra columns are ignored.
+is kept as null; rows that share an id are tokenised each; an empty table gives
+no record; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,12 +31,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, running_total, shared_path, stored
+from .common import documents, release, running_total, stored
 
 LENGTH, ROWS, KEY, ROUNDS = 512, 4096, 0x5DEECE66D, 6
 #: Cached word pieces in a worker.
 PIECES = 300_000
-OUTPUT = "slot long, shard long, byte_offset long, doc_id long, part long, n_tokens int, record_sha256 string"
+OUTPUT = "slot long, shard long, byte_offset long, doc_id long, part long, n_tokens int, record binary"
 
 
 def vocabulary() -> str:
@@ -107,9 +108,15 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def token_shards(docs: DataFrame, folder: str, length: int = LENGTH, rows: int = ROWS, key: int = KEY, path: str | None = None) -> DataFrame:
-    """Write the shards to ``folder`` and tell where each sequence stands: (slot, shard, byte_offset, doc_id, part, n_tokens, record_sha256)."""
+def token_records(docs: DataFrame, length: int = LENGTH, rows: int = ROWS, key: int = KEY, path: str | None = None) -> DataFrame:
+    """(slot, shard, byte_offset, doc_id, part, n_tokens, record): all records in slot order within range partitions of whole shards.
+
+    The ids are written once, bucketed by the hash of their document, so numbering
+    them moves only the hashes; the one exchange of ids is that to their shard.
+    """
+    spark = docs.sparkSession
     path = path or vocabulary()
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
@@ -123,14 +130,18 @@ def token_shards(docs: DataFrame, folder: str, length: int = LENGTH, rows: int =
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = slim.mapInArrow(tokenise, "doc_id long, ids binary, n long")
-    made = stored(made.withColumn("hash", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.col("ids")))), "tokens")
-    # Number the sequences from the hashes alone; each document then cuts its own sequences.
-    total = made.agg(F.count("*"), F.sum("n")).first()
-    docs_n, n = int(total[0]), int(total[1] or 0)
-    numbered = running_total(made.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("times")), [], ["hash"], "n", "before", docs_n)
+    name = f"tokens_{uuid.uuid4().hex[:12]}"
+    hashed = made.withColumn("hash", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.col("ids"))))
+    hashed.repartition(buckets, "hash").write.format("parquet").bucketBy(buckets, "hash").sortBy("hash").saveAsTable(name)
+    release(spark)
+    made = spark.table(name)
+    counts = made.groupBy("hash").agg(F.max("n").alias("each"), F.count("*").alias("times"))
+    counts = stored(counts.withColumn("all", F.col("each") * F.col("times")), "counts")
+    total = counts.agg(F.count("*"), F.sum("all"), F.max("times")).first()
+    n = int(total[1] or 0)
+    numbered = running_total(counts.select("hash", "all", "times"), [], ["hash"], "all", "before", int(total[0])).select("hash", "times", "before")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_end = np.uint16(tokenizer(path).end)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 out: list[list] = [[], [], [], [], []]
@@ -145,44 +156,54 @@ def token_shards(docs: DataFrame, folder: str, length: int = LENGTH, rows: int =
                     [pa.array(slot), pa.array(slot // rows), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())],
                     ["slot", "shard", "doc_id", "part", "n_tokens", "record"],
                 )
-        del encode_end
 
-    # Equal documents of equal id have one hash; the first of them stands for all.
-    once = made.dropDuplicates(["hash"]) if docs_n and made.groupBy("hash").count().filter("count > 1").limit(1).count() else made
-    sequences = once.join(numbered.select("hash", "before", "times").hint("merge"), "hash").select("doc_id", "ids", "n", "times", "before").mapInArrow(
+    # Equal documents of equal id have one hash; one of them stands for all.
+    once = made.dropDuplicates(["hash"]) if (total[2] or 0) > 1 else made
+    sequences = once.join(numbered.hint("merge"), "hash").select("doc_id", "ids", "n", "times", "before").mapInArrow(
         cut, "slot long, shard long, doc_id long, part long, n_tokens int, record binary"
     )
-    end_id = tokenizer(path).end
-    parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows)))
+    end_id = np.array([tokenizer(path).end], np.uint16).tobytes()
+    parts = max(1, min(buckets, -(-n // rows)))
+
+    def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                full = [r + end_id * (length - len(r) // 2) for r in part.column(5).to_pylist()]
+                at = pa.array([s % rows * 2 * length for s in part.column(0).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), at, part.column(2), part.column(3), part.column(4), pa.array(full, pa.binary())], ["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "record"])
+
+    return sequences.repartitionByRange(parts, "shard").sortWithinPartitions("slot").mapInArrow(padded, OUTPUT)
+
+
+def write_shards(records: DataFrame, folder: str) -> DataFrame:
+    """Write each shard as one file of ``folder``; returns (shard, n_records, sha256) of the files. Runs when it is read."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = filesystem(folder)
-        now, out, name = None, None, ""
+        store.create_dir(root, recursive=True)
+        now, out, name, told, digest = None, None, "", [], None
 
         def close() -> None:
             if out is not None:
                 out.close()
                 store.move(name, f"{root}/shard-{now:08d}.bin")
+                told.append((now, count, digest.hexdigest()))
 
-        store.create_dir(root, recursive=True)
+        count = 0
         for batch in batches:
-            slots, shards, records = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(5).to_pylist()
-            prints = []
-            for slot, shard, record in zip(slots, shards, records):
+            for shard, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if shard != now:
                     close()
-                    now, name = shard, f"{root}/.shard-{shard:08d}-{os.urandom(6).hex()}"
+                    now, name, count, digest = shard, f"{root}/.shard-{shard:08d}-{os.urandom(6).hex()}", 0, hashlib.sha256()
                     out = store.open_output_stream(name)
-                full = record + np.full(length - len(record) // 2, end_id, np.uint16).tobytes()
-                out.write(full)
-                prints.append(hashlib.sha256(full).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([s % rows * 2 * length for s in slots], pa.int64()), batch.column(2), batch.column(3), batch.column(4), pa.array(prints, pa.string())],
-                ["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "record_sha256"],
-            )
+                out.write(record)
+                digest.update(record)
+                count += 1
         close()
+        yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], ["shard", "n_records", "sha256"])
 
-    return sequences.repartitionByRange(parts, "shard").sortWithinPartitions("slot").mapInArrow(write, OUTPUT)
+    return records.select("shard", "record").mapInArrow(write, "shard long, n_records long, sha256 string")
 
 
 def read_slots(folder: str, start: int, count: int, length: int = LENGTH, rows: int = ROWS) -> Iterator[np.ndarray]:
@@ -204,5 +225,5 @@ def read_slots(folder: str, start: int, count: int, length: int = LENGTH, rows:
 
 
 def op1_token_shards(spark, sf_dir: str) -> DataFrame:
-    """The whole index, once the shards are written; stored, so that reading it twice writes nothing twice."""
-    return stored(token_shards(documents(spark, sf_dir), shared_path(spark, "shards")), "index")
+    """Every record of every shard, in slot order within range partitions."""
+    return token_records(documents(spark, sf_dir))
