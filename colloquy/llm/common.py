@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ID = (1 << 63) - 1
+#: Blocks in which the cells of a counting sketch travel.
+BLOCKS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +50,31 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def cell_blocks(cells: np.ndarray) -> list[pa.Array]:
+    """The columns (block, cells) of the uint32 sketch of one task."""
+    return [pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in cells.reshape(BLOCKS, -1)], pa.binary())]
+
+
+def summed(sketches: DataFrame, cells: int) -> np.ndarray:
+    """The sketch of ``cells`` cells of all rows (block, cells): blocks are added up in ``BLOCKS`` tasks, one row of fixed size each reaches the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                one = np.frombuffer(v.as_buffer(), np.uint32).astype(np.float64)
+                total[k] = total[k] + one if k in total else one
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], ["block", "cells"]
+        )
+
+    rows = sketches.repartition(BLOCKS, "block").mapInArrow(add, "block int, cells binary").collect()
+    out = np.zeros((BLOCKS, cells // BLOCKS), np.float32)
+    for r in rows:
+        out[r["block"]] = np.frombuffer(r["cells"], np.float32)
+    return out.reshape(-1)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

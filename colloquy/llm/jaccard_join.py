@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, documents, release, stored
+from .common import BLOCKS, cell_blocks, components, documents, release, stored, summed
 from .words import U, mix, shingle_sets, text_chunks, word_hashes
 
-#: Cells of the counting sketch and the blocks it travels in.
-CELL_BITS, BLOCKS = 20, 16
+#: Cells of the counting sketch.
+CELL_BITS = 20
 ORDERS = 3
 #: Words of 64 bits in a parity bitmap.
 BITMAP = 8
@@ -90,41 +90,19 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, bits_type),
                  pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names,
             )
-        parts = cells.reshape(BLOCKS, -1)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, bits_type),
-             pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names,
+            [pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, bits_type), *cell_blocks(cells)], names,
         )
 
     return docs.select("id", "text").mapInArrow(run, "id long, n long, sig long, bits array<long>, block int, cells binary")
 
 
-def summed(sketches: DataFrame) -> np.ndarray:
-    """The whole sketch: blocks are added up in ``BLOCKS`` tasks, one row of fixed size each reaches the driver."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                one = np.frombuffer(v.as_buffer(), np.uint32).astype(np.float64)
-                total[k] = total[k] + one if k in total else one
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], ["block", "cells"]
-        )
-
-    rows = sketches.repartition(BLOCKS, "block").mapInArrow(add, "block int, cells binary").collect()
-    out = np.zeros((BLOCKS, (1 << CELL_BITS) // BLOCKS), np.float32)
-    for r in rows:
-        out[r["block"]] = np.frombuffer(r["cells"], np.float32)
-    return out.reshape(-1)
-
-
 def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, orders: int = ORDERS) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     first = stored(set_sizes(rows, width), "sets")
-    sketch = spark.sparkContext.broadcast(summed(first.filter("block IS NOT NULL").select("block", "cells")))
+    sketch = spark.sparkContext.broadcast(summed(first.filter("block IS NOT NULL").select("block", "cells"), 1 << CELL_BITS))
     sizes = first.filter("block IS NULL").select("id", "n", "sig", "bits")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

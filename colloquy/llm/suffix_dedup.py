@@ -20,7 +20,10 @@ share ``length`` bytes are the classes of equal windows; all but the first place
 of a class are repeats. A symbol is ``SYMBOL`` bytes, and a passage enters once
 for each phase, which makes the rounds fewer.
 
-Skew. All passages of an anchor go to one block, unless it has more than
+Skew. Anchors are counted in a sketch first. The passages of an anchor whose cell
+holds far more than the average are salted by place: copies are told apart inside
+each salt, then what stays (one place a salt and body) once more by body. All
+distinct passages of an anchor go to one block, unless it has more than
 ``HOT`` of them: then it is salted over blocks, each block also tells the first
 place of every class of such an anchor, and a grouped minimum over the hash of
 the window joins the blocks. Nothing is capped or left out.
@@ -44,12 +47,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_ID, documents, release, stored, with_part
+from .common import MAX_ID, cell_blocks, documents, release, stored, summed, with_part
 from .words import U, mix, prefix_sums, range_hash, text_chunks
 
 GRAM = 20
 SYMBOL = 4
 HOT = 2_000
+#: Cells of the sketch that counts anchors. A cell is spread where it holds more than
+#: ``SPREAD`` times the average of the cells and of ``LEAST_CELL`` passages.
+CELL_BITS, SPREAD, LEAST_CELL = 18, 4, 500
 #: Passages in a block.
 BLOCK = 2_000
 #: Bits of a place that hold the byte offset; the part is above.
@@ -235,30 +241,60 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
     """rows (key, part, text) -> (key, part, spans): the window starts [s, e) of each row that repeat an earlier place."""
     spark = rows.sparkSession
 
+    def cell_of(anchor: np.ndarray) -> np.ndarray:
+        # Anchors are least hashes, so their high bits are alike until mixed.
+        return (mix(anchor) >> U(64 - CELL_BITS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << CELL_BITS, np.uint32)
+        for batch in batches:
+            for _, _, data, off in text_chunks(batch.column(0)):
+                cells += np.bincount(cell_of(passages(data, off, length)[3]), minlength=len(cells)).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays(cell_blocks(cells), ["block", "cells"])
+
+    cells = summed(rows.select("text").mapInArrow(count, "block int, cells binary"), 1 << CELL_BITS)
+    fair = max(LEAST_CELL, float(cells.sum(dtype=np.float64)) / (1 << CELL_BITS))
+    # Of fixed size: one number for each cell; 0 where it isn't spread.
+    spread = spark.sparkContext.broadcast(np.where(cells > SPREAD * fair, np.ceil(cells / fair), 0).astype(np.uint64))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = spread.value
         for batch in batches:
             keys, parts = (batch.column(c).to_numpy() for c in (0, 1))
             for i, _, data, off in text_chunks(batch.column(2)):
                 text, first, n, anchor, whole = passages(data, off, length)
+                key, place = keys[i + text], (parts[i + text] << AT_BITS) + first
+                many = salts[cell_of(anchor)] if len(anchor) else anchor
+                salt = np.where(many > 0, U(1) + mix(key.astype(U) ^ mix(place.astype(U))) % np.maximum(many, U(1)), U(0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.astype(np.int64)), pa.array(whole.astype(np.int64)), pa.array(keys[i + text]),
-                     pa.array((parts[i + text] << AT_BITS) + first), pa.array(n.astype(np.int32))],
-                    ["anchor", "body", "key", "place", "n"],
+                    [pa.array(anchor.astype(np.int64)), pa.array(salt.astype(np.int32)), pa.array(whole.astype(np.int64)), pa.array(key),
+                     pa.array(place), pa.array(n.astype(np.int32))],
+                    ["anchor", "salt", "body", "key", "place", "n"],
                 )
 
-    found = rows.mapInArrow(scan, "anchor long, body long, key long, place long, n int")
-    ordered, whole = Window.partitionBy("anchor").orderBy("body", "key", "place"), Window.partitionBy("anchor")
+    found = rows.mapInArrow(scan, "anchor long, salt int, body long, key long, place long, n int")
+    whole = Window.partitionBy("anchor", "salt")
+    ordered = whole.orderBy("body", "n", "key", "place")
     again = (
-        found.withColumn("times", F.count("*").over(whole)).filter("times > 1")
-        .withColumn("was", F.lag(F.struct("body", "n", "key", "place")).over(ordered))
+        found.withColumn("times", F.count("*").over(whole)).filter("times > 1 OR salt > 0")
+        .withColumn("was", F.lag(F.struct("body", "n")).over(ordered))
         .withColumn("kind", F.when(F.col("was.body").isNull() | (F.col("was.body") != F.col("body")) | (F.col("was.n") != F.col("n")), 1).otherwise(0))
         .withColumn("bodies", F.sum("kind").over(whole))
-        .select("anchor", "body", "key", "place", "n", "kind", "bodies")
+        .select("anchor", "salt", "body", "key", "place", "n", "kind", "bodies")
     )
     again = stored(again, "passages")
     release(spark)
-    copies = again.filter("kind = 0").select("key", "place", "n")
-    firsts = again.filter("kind = 1 AND bodies > 1")
+    # Spread anchors: a body has at most one place left for each salt.
+    by_body = Window.partitionBy("anchor", "body", "n").orderBy("key", "place")
+    left = again.filter("salt > 0 AND kind = 1").withColumn("turn", F.row_number().over(by_body))
+    left = stored(left.select("anchor", "body", "key", "place", "n", "turn"), "spread")
+    heads = left.filter("turn = 1").drop("turn")
+    bodies = heads.groupBy("anchor").agg(F.count("*").alias("bodies")).filter("bodies > 1")
+    copies = again.filter("kind = 0").select("key", "place", "n").unionByName(left.filter("turn > 1").select("key", "place", "n"))
+    firsts = (
+        again.filter("salt = 0 AND kind = 1 AND bodies > 1").select("anchor", "body", "key", "place", "n", "bodies")
+        .unionByName(heads.join(bodies.hint("merge"), "anchor").select("anchor", "body", "key", "place", "n", "bodies"))
+    )
 
     # The bytes of the first places, cut out of their texts.
     wanted = firsts.groupBy("key", (F.shiftright("place", AT_BITS)).alias("part")).agg(

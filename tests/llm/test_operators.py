@@ -130,6 +130,13 @@ def test_substring_dedup_salted_anchors(docs, rows, monkeypatch):
     assert got == brute_substrings(rows, 100)
 
 
+def test_substring_dedup_spread_anchors(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPREAD", 0)
+    monkeypatch.setattr(suffix_dedup, "LEAST_CELL", 1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.substring_dedup(docs).collect()}
+    assert got == brute_substrings(rows, 100)
+
+
 def test_substring_dedup_odd_tables(empty, odd):
     assert suffix_dedup.substring_dedup(empty).count() == 0
     out = suffix_dedup.substring_dedup(odd).collect()
