@@ -289,7 +289,8 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
     left = again.filter("salt > 0 AND kind = 1").withColumn("turn", F.row_number().over(by_body))
     left = stored(left.select("anchor", "body", "key", "place", "n", "turn"), "spread")
     heads = left.filter("turn = 1").drop("turn")
-    bodies = heads.groupBy("anchor").agg(F.count("*").alias("bodies")).filter("bodies > 1")
+    # Stored, so that both sides of the join are plain exchanges and a hot anchor can be split.
+    bodies = stored(heads.groupBy("anchor").agg(F.count("*").alias("bodies")).filter("bodies > 1"), "bodies")
     copies = again.filter("kind = 0").select("key", "place", "n").unionByName(left.filter("turn > 1").select("key", "place", "n"))
     firsts = (
         again.filter("salt = 0 AND kind = 1 AND bodies > 1").select("anchor", "body", "key", "place", "n", "bodies")
