@@ -6,9 +6,10 @@ text follows its last id and fills its last sequence. Sequences are numbered
 power of four, with a key, walks its cycle until the number lies below n again,
 so it is a permutation of 0 .. n-1 that needs no table: slot = permuted number.
 Slots are range-partitioned by shard and sorted; ``token_records`` gives the
-records in that order, and ``write_shards`` writes each shard as one file of ``rows`` records of ``2 * length`` bytes (little-endian uint16), so slot s
-stands at byte ``(s mod rows) * 2 * length`` of shard ``s div rows``. A reader can
-start at any slot. A file appears under its name only when it is complete, so a
+records in that order, and ``token_shards`` writes each shard as one file of
+``rows`` records of ``2 * length`` bytes (little-endian uint16), so slot s stands
+at byte ``(s mod rows) * 2 * length`` of shard ``s div rows``. A reader can start at
+any slot. A file appears under its name only when it is complete, so a
 repeated task leaves the same file.
 
 Defined cases: a null or empty text is one sequence of end signs; a null doc_id
@@ -31,12 +32,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, release, running_total, stored
+from .common import documents, release, running_total, shared_path, stored
 
 LENGTH, ROWS, KEY, ROUNDS = 512, 4096, 0x5DEECE66D, 6
 #: Cached word pieces in a worker.
 PIECES = 300_000
-OUTPUT = "slot long, shard long, byte_offset long, doc_id long, part long, n_tokens int, record binary"
+#: Ranges of shards that ``token_shards`` writes one after the other.
+PASSES = 3
+INDEX = "slot long, shard long, byte_offset long, doc_id long, part long, n_tokens int"
+OUTPUT = f"{INDEX}, record binary"
 
 
 def vocabulary() -> str:
@@ -108,14 +112,13 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def token_records(docs: DataFrame, length: int = LENGTH, rows: int = ROWS, key: int = KEY, path: str | None = None) -> DataFrame:
-    """(slot, shard, byte_offset, doc_id, part, n_tokens, record): all records in slot order within range partitions of whole shards.
+def numbered_documents(docs: DataFrame, length: int, path: str) -> tuple[DataFrame, int, str]:
+    """((doc_id, ids, n, times, before) of each document, the number of all sequences, the table the ids are kept in).
 
     The ids are written once, bucketed by the hash of their document, so numbering
-    them moves only the hashes; the one exchange of ids is that to their shard.
+    them moves only the hashes.
     """
     spark = docs.sparkSession
-    path = path or vocabulary()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,76 +135,153 @@ def token_records(docs: DataFrame, length: int = LENGTH, rows: int = ROWS, key:
     made = slim.mapInArrow(tokenise, "doc_id long, ids binary, n long")
     name = f"tokens_{uuid.uuid4().hex[:12]}"
     hashed = made.withColumn("hash", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.col("ids"))))
-    hashed.repartition(buckets, "hash").write.format("parquet").bucketBy(buckets, "hash").sortBy("hash").saveAsTable(name)
+    hashed.repartition(buckets, "hash").write.format("parquet").option("compression", "zstd").bucketBy(buckets, "hash").sortBy("hash").saveAsTable(name)
     release(spark)
     made = spark.table(name)
     counts = made.groupBy("hash").agg(F.max("n").alias("each"), F.count("*").alias("times"))
     counts = stored(counts.withColumn("all", F.col("each") * F.col("times")), "counts")
     total = counts.agg(F.count("*"), F.sum("all"), F.max("times")).first()
-    n = int(total[1] or 0)
     numbered = running_total(counts.select("hash", "all", "times"), [], ["hash"], "all", "before", int(total[0])).select("hash", "times", "before")
+    # Equal documents of equal id have one hash; one of them stands for all.
+    once = made.dropDuplicates(["hash"]) if (total[2] or 0) > 1 else made
+    return once.join(numbered.hint("merge"), "hash").select("doc_id", "ids", "n", "times", "before"), int(total[1] or 0), name
+
+
+def records_of(numbered: DataFrame, n: int, low: int, high: int, length: int, rows: int, key: int) -> DataFrame:
+    """(slot, shard, doc_id, part, n_tokens, record) of shards low .. high-1 without their padding, in slot order within partitions of whole shards."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                out: list[list] = [[], [], [], [], []]
-                for doc, ids, k, times, before in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns)):
-                    for again in range(times):
-                        for p in range(k):
-                            record = ids[p * 2 * length : (p + 1) * 2 * length]
-                            for o, v in zip(out, (before + again * k + p, doc, p, len(record) // 2, record)):
-                                o.append(v)
-                slot = permuted(np.array(out[0], np.int64), n, key)
+                docs, ids, size, times, before = (c.to_pylist() for c in batch.slice(i, 256).columns)
+                each = np.array(size, np.int64)
+                all_ = each * np.array(times, np.int64)
+                who = np.repeat(np.arange(len(docs)), all_)
+                within = np.arange(len(who)) - np.repeat(np.cumsum(all_) - all_, all_)
+                slot = permuted(np.array(before, np.int64)[who] + within, n, key)
+                good = np.flatnonzero((slot >= low * rows) & (slot < high * rows))
+                slot, who = slot[good], who[good]
+                part = within[good] % each[who]
+                record = [ids[d][p * 2 * length : (p + 1) * 2 * length] for d, p in zip(who.tolist(), part.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array(slot // rows), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())],
+                    [pa.array(slot), pa.array(slot // rows), pa.array([docs[d] for d in who.tolist()], pa.int64()), pa.array(part), pa.array([len(r) // 2 for r in record], pa.int32()), pa.array(record, pa.binary())],
                     ["slot", "shard", "doc_id", "part", "n_tokens", "record"],
                 )
 
-    # Equal documents of equal id have one hash; one of them stands for all.
-    once = made.dropDuplicates(["hash"]) if (total[2] or 0) > 1 else made
-    sequences = once.join(numbered.hint("merge"), "hash").select("doc_id", "ids", "n", "times", "before").mapInArrow(
-        cut, "slot long, shard long, doc_id long, part long, n_tokens int, record binary"
-    )
-    end_id = np.array([tokenizer(path).end], np.uint16).tobytes()
-    parts = max(1, min(buckets, -(-n // rows)))
+    spark = numbered.sparkSession
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), high - low))
+    cuts = numbered.mapInArrow(cut, "slot long, shard long, doc_id long, part long, n_tokens int, record binary")
+    # The slots are a permutation of 0 .. n-1, so the bounds of the ranges are known without a sample.
+    at = F.floor((F.col("shard") - low) * parts / max(1, high - low)).cast("int")
+    return cuts.repartitionById(parts, at).sortWithinPartitions("slot")
 
-    def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                full = [r + end_id * (length - len(r) // 2) for r in part.column(5).to_pylist()]
-                at = pa.array([s % rows * 2 * length for s in part.column(0).to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), at, part.column(2), part.column(3), part.column(4), pa.array(full, pa.binary())], ["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "record"])
 
-    return sequences.repartitionByRange(parts, "shard").sortWithinPartitions("slot").mapInArrow(padded, OUTPUT)
+def padded(batches: Iterator[pa.RecordBatch], length: int, rows: int, end_id: bytes) -> Iterator[pa.RecordBatch]:
+    """The rows of ``records_of`` as those of ``OUTPUT``."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2048):
+            part = batch.slice(i, 2048)
+            full = [r + end_id * (length - len(r) // 2) for r in part.column(5).to_pylist()]
+            at = pa.array([s % rows * 2 * length for s in part.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), at, part.column(2), part.column(3), part.column(4), pa.array(full, pa.binary())], ["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "record"])
 
 
-def write_shards(records: DataFrame, folder: str) -> DataFrame:
-    """Write each shard as one file of ``folder``; returns (shard, n_records, sha256) of the files. Runs when it is read."""
+def token_records(docs: DataFrame, length: int = LENGTH, rows: int = ROWS, key: int = KEY, path: str | None = None) -> DataFrame:
+    """(slot, shard, byte_offset, doc_id, part, n_tokens, record): all records in slot order within range partitions of whole shards."""
+    path = path or vocabulary()
+    numbered, n, _ = numbered_documents(docs, length, path)
+    end_id = np.array([tokenizer(path).end], np.uint16).tobytes()
+    return records_of(numbered, n, 0, -(-n // rows), length, rows, key).mapInArrow(lambda batches: padded(batches, length, rows, end_id), OUTPUT)
+
+
+def token_shards(docs: DataFrame, folder: str, length: int = LENGTH, rows: int = ROWS, key: int = KEY, path: str | None = None, passes: int = PASSES) -> DataFrame:
+    """Write every shard to ``folder``; returns (slot, shard, byte_offset, doc_id, part, n_tokens, record_sha256), the records as the files hold them.
+
+    The shards are written in ``passes`` ranges, so that beside the ids and the
+    files only one range's exchange stands on disk.
+    """
+    spark, path = docs.sparkSession, path or vocabulary()
+    numbered, n, name = numbered_documents(docs, length, path)
+    end_id = np.array([tokenizer(path).end], np.uint16).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Shards(folder)
+        for batch in padded(batches, length, rows, end_id):
+            out.put(batch.column(1).to_numpy(), batch.column(6).to_pylist())
+            yield pa.RecordBatch.from_arrays(batch.columns[:6], batch.schema.names[:6])
+        out.close()
+
+    count, index = -(-n // rows), None
+    bounds = sorted({count * k // passes for k in range(passes + 1)}) if count else []
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        done = stored(records_of(numbered, n, low, high, length, rows, key).mapInArrow(write, INDEX), "index")
+        index = done if index is None else index.union(done)
+        release(spark)
+    spark.sql(f"DROP TABLE {name}")
+    if index is None:
+        return spark.createDataFrame([], f"{INDEX}, record_sha256 string")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = filesystem(folder)
-        store.create_dir(root, recursive=True)
-        now, out, name, told, digest = None, None, "", [], None
+        now, f = None, None
+        for batch in batches:
+            prints = []
+            for shard, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if shard != now:
+                    if f is not None:
+                        f.close()
+                    now, f = shard, store.open_input_file(f"{root}/shard-{shard:08d}.bin")
+                if f.tell() != at:
+                    f.seek(at)
+                raw = f.read(2 * length)
+                if len(raw) < 2 * length:
+                    raise ValueError(f"shard {shard} ends before byte {at + 2 * length}")
+                prints.append(hashlib.sha256(raw).hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], [*batch.schema.names, "record_sha256"])
+        if f is not None:
+            f.close()
+
+    return index.mapInArrow(read, f"{INDEX}, record_sha256 string")
+
+
+class Shards:
+    """Writes records in order of their slots, each shard as one file of ``folder``."""
+
+    def __init__(self, folder: str):
+        self.store, self.root = filesystem(folder)
+        self.store.create_dir(self.root, recursive=True)
+        self.now, self.out, self.name, self.told = None, None, "", []
+
+    def put(self, shards: np.ndarray, records: list[bytes]) -> None:
+        first = np.flatnonzero(np.diff(shards, prepend=-1)).tolist()
+        for a, b in zip(first, [*first[1:], len(shards)]):
+            if shards[a] != self.now:
+                self.close()
+                self.now, self.count, self.digest = int(shards[a]), 0, hashlib.sha256()
+                self.name = f"{self.root}/.shard-{self.now:08d}-{os.urandom(6).hex()}"
+                self.out = self.store.open_output_stream(self.name)
+            raw = b"".join(records[a:b])
+            self.out.write(raw)
+            self.digest.update(raw)
+            self.count += b - a
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.store.move(self.name, f"{self.root}/shard-{self.now:08d}.bin")
+            self.told.append((self.now, self.count, self.digest.hexdigest()))
+            self.out = None
 
-        def close() -> None:
-            if out is not None:
-                out.close()
-                store.move(name, f"{root}/shard-{now:08d}.bin")
-                told.append((now, count, digest.hexdigest()))
 
-        count = 0
+def write_shards(records: DataFrame, folder: str) -> DataFrame:
+    """Write each shard as one file of ``folder``; returns (shard, n_records, sha256) of the files. Runs when it is read."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Shards(folder)
         for batch in batches:
-            for shard, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if shard != now:
-                    close()
-                    now, name, count, digest = shard, f"{root}/.shard-{shard:08d}-{os.urandom(6).hex()}", 0, hashlib.sha256()
-                    out = store.open_output_stream(name)
-                out.write(record)
-                digest.update(record)
-                count += 1
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], ["shard", "n_records", "sha256"])
+            out.put(batch.column(0).to_numpy(), batch.column(1).to_pylist())
+        out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in out.told], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], ["shard", "n_records", "sha256"])
 
     return records.select("shard", "record").mapInArrow(write, "shard long, n_records long, sha256 string")
 
@@ -225,5 +305,5 @@ def read_slots(folder: str, start: int, count: int, length: int = LENGTH, rows:
 
 
 def op1_token_shards(spark, sf_dir: str) -> DataFrame:
-    """Every record of every shard, in slot order within range partitions."""
-    return token_records(documents(spark, sf_dir))
+    """The index of every record, once the shards are written, as read back from them."""
+    return token_shards(documents(spark, sf_dir), shared_path(spark, "shards"))

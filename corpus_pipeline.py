@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm.common import stored
+from colloquy.llm.common import shared_path, stored
 from colloquy.llm.decontaminate import clean_of
 from colloquy.llm.jaccard_join import one_of_each
 from colloquy.llm.mixing import curriculum
 from colloquy.llm.quality import keep_good
-from colloquy.llm.token_shards import token_records
+from colloquy.llm.token_shards import token_shards
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids as records of fixed stride in training order."""
-    return token_records(docs)
+    """Token ids as records of fixed stride in training order, written as shards; returns the index read back from them."""
+    return token_shards(docs, shared_path(spark, "shards"))
 
 
 STAGES = [

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import random
 import re
 
@@ -330,6 +331,25 @@ def test_token_shards_round_trip(spark, docs, rows, empty, odd, tmp_path):
     assert sorted(r.slot for r in out) == list(range(len(out)))
 
 
+def test_token_shards_are_written(spark, docs, empty, odd, tmp_path, monkeypatch):
+    folders = [str(tmp_path / x) for x in ("rows", "empty", "odd")]
+    index = token_shards.token_shards(docs, folders[0], length=16, rows=32).orderBy("slot").collect()
+    want = token_shards.token_records(docs, length=16, rows=32).orderBy("slot").collect()
+    assert [tuple(r)[:6] for r in index] == [tuple(r)[:6] for r in want]
+    assert [r.record_sha256 for r in index] == [hashlib.sha256(r.record).hexdigest() for r in want]
+    assert [x.tobytes() for x in token_shards.read_slots(folders[0], 0, len(want), 16, 32)] == [bytes(r.record) for r in want]
+    assert token_shards.token_shards(empty, folders[1]).count() == 0
+    assert [r.slot for r in token_shards.token_shards(odd, folders[2], length=16, rows=2).orderBy("slot").collect()] == list(range(token_shards.token_records(odd, length=16).count()))
+    # The query and the last stage of the pipeline leave the files.
+    import corpus_pipeline
+
+    monkeypatch.setattr(token_shards, "shared_path", lambda spark, name: str(tmp_path / "op1"))
+    monkeypatch.setattr(corpus_pipeline, "shared_path", lambda spark, name: str(tmp_path / "last"))
+    monkeypatch.setattr(token_shards, "documents", lambda spark, sf_dir: docs)
+    for folder, made in (("op1", token_shards.op1_token_shards(spark, SF)), ("last", corpus_pipeline.training_order(spark, docs, SF))):
+        assert sum(1 for _ in token_shards.read_slots(str(tmp_path / folder), 0, 10**6)) == made.count() > 0
+
+
 def test_permutation_and_pieces():
     for n in (1, 2, 3, 5, 17, 1000, 4097):
         assert sorted(token_shards.permuted(np.arange(n), n)) == list(range(n))
