@@ -2,11 +2,12 @@
 
 Test items are cut into passages of at most ``PASSAGE`` words. Every run of
 ``SEED`` words of a passage is a seed. A first pass counts, over all documents,
-in how many each seed stands. Seeds that are common beside the other seeds of
-their item are set aside (so an item that stands in very many documents keeps
-its seeds). A second pass looks for the rare seeds; each meets its item on a
-diagonal (place in the document less place in the passage), and every diagonal
-band with a seed is aligned: match 2, mismatch -1, gap -1, on the words around.
+in how many each seed stands. A second pass looks for the seeds; each meets its
+item on a diagonal (place in the document less place in the passage), and every
+diagonal band with a rare seed is aligned: match 2, mismatch -1, gap -1, on the
+words around. A band whose seeds are all common beside the other seeds of their
+item is aligned too, unless so few words of the passage stand in its window that
+no alignment could reach the threshold: so common seeds cost little and lose nothing.
 The score is the alignment's share of a full copy's; at ``threshold`` or more the
 document holds the item, copied, edited or paraphrased.
 
@@ -84,7 +85,7 @@ class Items:
         return at[good], k[good]
 
     def keep_rare(self, documents_with: np.ndarray) -> None:
-        """Set aside seeds far more common than a quarter of the seeds of their item."""
+        """Tell seeds far more common than a quarter of the seeds of their item from the rest."""
         item = np.array(self.item)[self.passage] if len(self.passage) else np.zeros(0)
         df = np.repeat(documents_with, self.times)
         for i in np.unique(item):
@@ -181,13 +182,12 @@ def scan(spark, rows: DataFrame, items: Items, threshold: float) -> DataFrame:
                 reps = own.times[k]
                 at = np.repeat(at, reps)
                 seed = np.repeat(own.first[k], reps) + np.arange(len(at)) - np.repeat(np.cumsum(reps) - reps, reps)
-                keep = own.rare[seed]
-                at, seed = at[keep], seed[keep]
                 text = np.searchsorted(first, at, "right") - 1
                 band = (at - own.offset[seed]) // BAND
-                cells = np.unique(np.stack([text, own.passage[seed], band]), axis=1)
+                cells, cell = np.unique(np.stack([text, own.passage[seed], band]), axis=1, return_inverse=True)
+                sure = np.bincount(cell.reshape(-1), own.rare[seed], cells.shape[1]) > 0
                 for s in range(0, cells.shape[1], 1024):
-                    part = judged(own, cells[:, s : s + 1024], words, first, threshold)
+                    part = judged(own, cells[:, s : s + 1024], sure[s : s + 1024], words, first, threshold)
                     if part is not None:
                         t, item, score, a, b = part
                         yield pa.RecordBatch.from_arrays(
@@ -198,7 +198,17 @@ def scan(spark, rows: DataFrame, items: Items, threshold: float) -> DataFrame:
     return rows.mapInArrow(search, "doc_id long, item_id long, score double, start_word long, end_word long")
 
 
-def judged(own: Items, cells: np.ndarray, words: np.ndarray, first: np.ndarray, threshold: float):
+def able(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether enough words of each row of ``a`` stand in its row of ``b`` for a score of ``threshold``: each match gives 2, nothing else gives more than 0."""
+    row = np.arange(len(a), dtype=np.int64)[:, None] << 40
+    there = np.unique((b & ((1 << 40) - 1)) | row)
+    wanted = (a & ((1 << 40) - 1)) | row
+    at = np.minimum(np.searchsorted(there, wanted), len(there) - 1)
+    inside = (there[at] == wanted) & (np.arange(a.shape[1])[None, :] < sizes[:, None])
+    return 2 * inside.sum(axis=1) / (2.0 * sizes) >= threshold
+
+
+def judged(own: Items, cells: np.ndarray, sure: np.ndarray, words: np.ndarray, first: np.ndarray, threshold: float):
     text, passage, band = cells
     sizes = np.array([len(own.words[p]) for p in passage])
     m = int(sizes.max())
@@ -211,6 +221,13 @@ def judged(own: Items, cells: np.ndarray, words: np.ndarray, first: np.ndarray,
     inside = (at >= lo) & (at < hi)
     b = np.where(inside, words.view(np.int64)[np.clip(at, 0, max(0, len(words) - 1))], 1)
     a[~real] = 0  # neither padding equals the other; a true hash equal to 0 or 1 is not to be expected
+    left = sure.copy()
+    if not sure.all():
+        rest = np.flatnonzero(~sure)
+        left[rest] = able(a[rest], b[rest], sizes[rest], threshold)
+    if not left.any():
+        return None
+    text, passage, band, sizes, a, b = (x[left] for x in (text, passage, band, sizes, a, b))
     best, end = align(a, b)
     score = best / (2.0 * sizes)
     good = np.flatnonzero(score >= threshold)

@@ -277,6 +277,18 @@ def test_decontaminate(spark, empty):
     assert decontaminate.contaminated(docs, tests.filter("false")).count() == 0 and decontaminate.contaminated(empty, tests).count() == 0
 
 
+def test_decontaminate_copies_of_edited_passages(spark):
+    rng = random.Random(11)
+    items = [words(n, rng).split(" ") for n in (45, 60, 64)]
+    edited = [w if k % 8 else "changed" for k, w in enumerate(items[0], 1)]
+    around = [words(20, rng).split(" ") for _ in range(4)]
+    texts = [around[0] + edited + around[1], around[2] + items[1][:40], items[2][:30] + ["gone"] * 3 + items[2][34:] + around[3], items[2][:20] + around[0], edited[:12] + around[2]]
+    rows = [(50 * k + i, " ".join(t)) for k, t in enumerate(texts) for i in range(50)] + [(1000, " ".join(items[0])), (1001, " ".join(items[1][10:]))]
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()}
+    score = {(t, i): smith_waterman(item, t.split(" ")) / (2 * len(item)) for t in {t for _, t in rows} for i, item in enumerate(items)}
+    assert got == {(d, i): score[t, i] for d, t in rows for i in range(3) if score[t, i] >= 0.5} and len(got) == 152
+
+
 def brute_private(t):
     luhn = private.luhn
     out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
