@@ -356,8 +356,10 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0")
+def calls(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Orders as calls: all, or those that the SQL of PANEL takes."""
+    o = table(spark, sf_dir, "orders")
+    o = o if every else o.filter("o_orderkey % 50 = 0")
     return o.select(F.col("o_orderkey").alias("call_id"), (F.col("o_custkey") % suppliers(spark, sf_dir)).alias("ticker_norm"), F.to_date("o_orderdate").alias("call_date"))
 
 
@@ -366,9 +368,11 @@ def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy((F.col("o_custkey") % suppliers(spark, sf_dir)).alias("ticker_norm"), F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("marketCap"))
 
 
-def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def earnings(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Earnings of all tickers, or of those that the SQL of EARN takes."""
     w = Window.partitionBy("ticker_norm").orderBy("date")
-    c = caps(spark, sf_dir).filter("ticker_norm % 2 = 0")
+    c = caps(spark, sf_dir)
+    c = c if every else c.filter("ticker_norm % 2 = 0")
     return c.select("ticker_norm", "date", (F.lag("marketCap").over(w) / 1000).alias("epsEstimated"), (F.col("marketCap") / 1000).alias("epsActual"),
                     (F.lag("marketCap").over(w) * 10).alias("revenueEstimated"), (F.col("marketCap") * 10).alias("revenueActual"))
 
@@ -432,9 +436,9 @@ q AS (SELECT {", ".join(f"quantile_cont({c}, 0.01) AS {c}_a, quantile_cont({c},
 """
 
 
-def joined_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = events.with_market(calls(spark, sf_dir), panel(spark, sf_dir))
-    return events.with_earnings(events.with_marketcap(out, caps(spark, sf_dir)), earnings(spark, sf_dir))
+def joined_calls(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    out = events.with_market(calls(spark, sf_dir, every), panel(spark, sf_dir))
+    return events.with_earnings(events.with_marketcap(out, caps(spark, sf_dir)), earnings(spark, sf_dir, every))
 
 
 @query(f"""WITH {PREP} SELECT call_id, year(call_date) || 'Q' || quarter(call_date) AS year_quarter, {", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, {c}_a), {c}_b) END, 6) AS {c}" for c in events.WINSORIZED)},
@@ -447,10 +451,10 @@ def regression_prep(spark, sf_dir):
 
 
 def regression_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls with market outcomes and the tone features of the transcript that stands for each call."""
+    """All calls with market outcomes and the tone features of the transcript that stands for each call."""
     n = table(spark, sf_dir, "conversations").agg(F.count_distinct("conv_id")).first()[0]
     tone_ = tone.transcript_features(tone.segment_scores(scored(spark, sf_dir)))
-    out = joined_calls(spark, sf_dir).withColumn("transcript_id", (F.col("call_id") / 50).cast("long") % n)
+    out = joined_calls(spark, sf_dir, every=True).withColumn("transcript_id", (F.col("call_id") / 50).cast("long") % n)
     return events.prepared(out.join(tone_, "transcript_id", "left"))
 
 

@@ -169,3 +169,13 @@ def test_pipelines_end_to_end(spark, tmp_path):
     got = FeaturesPipeline(spark, str(tmp_path / "scored"), *[str(tmp_path / k) for k in ("market", "caps", "earn")], str(tmp_path / "features")).run()
     assert got["text_rows"] == 2 and got["regression_rows"] == 0  # too few trading days for an expected return
     assert math.isfinite(spark.read.parquet(got["text_path"]).first()["NegPrepared"])
+
+
+def test_regression_data_has_every_call(spark):
+    from colloquy.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    got = [r.call_id for r in catalogue.regression_data(spark, sf).select("call_id").collect()]
+    assert sorted(got) == sorted(r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect())
+    tickers = catalogue.earnings(spark, sf, every=True).filter("ticker_norm % 2 = 1")
+    assert tickers.count() > 0
