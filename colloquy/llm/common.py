@@ -145,7 +145,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: each hangs the neighbours of a
     node on the smallest one known. Every step is a grouped minimum (partial
     sums before the shuffle) and a join, and is written to the shared folder,
-    so nothing is gathered on the driver. It ends when a round changes nothing.
+    so nothing is gathered on the driver. It ends when a round changes nothing;
+    if ``most_rounds`` don't get there, it raises.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -172,6 +173,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         was, seen = seen, print_of(now)
         if was == seen:
             break
+    else:
+        raise RuntimeError(f"components have not converged after {most_rounds} rounds")
     members = now.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return members.union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 

@@ -103,6 +103,11 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
 
 
+def test_components_do_not_end_early(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"), most_rounds=1)
+
+
 def brute_substrings(rows, length):
     seen, out = set(), {}
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
