@@ -100,6 +100,9 @@ def nearest(
     base = vectors.select(
         F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"), is_query.alias("q")
     ).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    if base.groupBy("id").count().filter("count > 1").limit(1).count():
+        # A tile's list has k places: a repeated row takes one.
+        base = base.groupBy("id", "v").agg(F.max("q").alias("q"))
     sizes = base.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if("q").alias("m"))
     # Blocks per dimension; the table has a row per dimension.
     plan = sizes.select("dim", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil(F.col("m") / queries).cast("int").alias("mb"))

@@ -227,6 +227,13 @@ def test_nearest(spark):
     assert ann.nearest(df.filter("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark):
+    m = [[1.0, x / 10] for x in range(8)]
+    rows = [(i, v) for i, v in enumerate(m) for _ in range(6 if i == 1 else 1)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
+
+
 def test_quality_on_held_out_rows(spark):
     sf = SF.replace("sf0.001", "sf0.01")  # the smallest tables have too few labels to learn from
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
