@@ -17,9 +17,11 @@ BLOCKS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset and all tasks run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors can reach")
         where = "file://" + tempfile.mkdtemp(prefix="colloquy-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -39,7 +41,31 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no result still to be read refers to."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, whatever its case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def bits_for(df: DataFrame, least: int, most: int) -> int:
+    """Bits of a cell number, by the size that Spark estimates for ``df``: about a cell for each 256 bytes."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(most, max(least, (size // 256).bit_length()))
 
 
 def release(spark: SparkSession) -> None:
@@ -51,18 +77,18 @@ def release(spark: SparkSession) -> None:
 
 
 def cell_blocks(cells: np.ndarray) -> list[pa.Array]:
-    """The columns (block, cells) of the uint32 sketch of one task."""
+    """The columns (block, cells) of the sketch of one task."""
     return [pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in cells.reshape(BLOCKS, -1)], pa.binary())]
 
 
-def summed(sketches: DataFrame, cells: int) -> np.ndarray:
+def summed(sketches: DataFrame, cells: int, kind: type = np.uint32) -> np.ndarray:
     """The sketch of ``cells`` cells of all rows (block, cells): blocks are added up in ``BLOCKS`` tasks, one row of fixed size each reaches the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                one = np.frombuffer(v.as_buffer(), np.uint32).astype(np.float64)
+                one = np.frombuffer(v.as_buffer(), kind).astype(np.float64)
                 total[k] = total[k] + one if k in total else one
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], ["block", "cells"]
@@ -75,6 +101,48 @@ def summed(sketches: DataFrame, cells: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def members_of(rows: DataFrame, column: str, wanted: DataFrame, bits: int) -> DataFrame:
+    """The rows whose long ``column`` may be in the same column of ``wanted``, by a bitmap of 2**(bits + 2) bits; a join has to follow.
+
+    It spares the join the exchange of most rows. The bitmap has that size whatever the input.
+    """
+    spark, size = rows.sparkSession, 1 << (bits + 2)
+
+    def place(ids: pa.Array) -> np.ndarray:
+        h = ids.fill_null(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - bits - 2)).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(size, bool)
+        for batch in batches:
+            cells[place(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays(cell_blocks(np.packbits(cells)), ["block", "cells"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                one = np.frombuffer(v.as_buffer(), np.uint8)
+                total[k] = total[k] | one if k in total else one
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "cells"])
+
+    schema = "block int, cells binary"
+    marked = wanted.select(column).mapInArrow(mark, schema).repartition(BLOCKS, "block").mapInArrow(either, schema).collect()
+    cells = np.zeros((BLOCKS, size // 8 // BLOCKS), np.uint8)
+    for r in marked:
+        cells[r["block"]] |= np.frombuffer(r["cells"], np.uint8)
+    sent = spark.sparkContext.broadcast(cells.reshape(-1))
+    at = rows.columns.index(column)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
+        for batch in batches:
+            p = place(batch.column(at))
+            yield batch.filter(pa.array((bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -169,7 +237,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        now = stored(star(star(now, True), False), "edges")
+        old, now = now, stored(star(star(now, True), False), "edges")
+        discard(old)
         was, seen = seen, print_of(now)
         if was == seen:
             break

@@ -97,6 +97,90 @@ def test_jaccard_join(docs, rows, empty, odd):
     assert len(out) == 6 and {r.component_id for r in out if r.doc_id is None} == {None} and {r.component_id for r in out if r.doc_id == 2} == {1}
 
 
+def copies_and_passages(rng):
+    """Groups of near copies at many distances around the threshold, and passages that unlike documents share."""
+    out, shared = [], words(60, rng)
+    for g in range(3):
+        base = words(rng.choice([40, 120, 1500]), rng).split(" ")
+        for k in range(14):
+            w = list(base)
+            for _ in range(rng.randrange(1 + len(w) // 25)):
+                w[rng.randrange(len(w))] = words(1, rng)
+            out.append(" ".join(w))
+    for _ in range(25):
+        out.append(words(rng.randint(5, 40), rng) + " " + shared + " " + words(rng.randint(0, 12), rng))
+    return [(i * 3 % 71, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("tile", [4096, 8])
+def test_jaccard_join_at_every_distance(spark, monkeypatch, tile):
+    rows = copies_and_passages(random.Random(tile))
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    if tile == 8:  # every list is salted and every bitmap is folded
+        monkeypatch.setattr(jaccard_join, "SPREAD", 0)
+        monkeypatch.setattr(jaccard_join, "LEAST_CELL", 2)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_jaccard(rows)
+
+
+def test_tile_pairs_against_brute_force():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base[:m], int(m * rng.uniform(0.75, 1)), replace=False), rng.integers(0, 1 << 63, m // 20).astype(np.uint64)]))
+            for m in (30, 600, 9000) for _ in range(12)]
+    n = np.array([len(s) for s in sets])
+    group, component = np.repeat([3, 5], 18), rng.integers(0, 4, 36)
+    folds = [jaccard_join.parity_bitmap(s) for s in sets]
+    every = np.ones(36, bool)
+    a, b = jaccard_join.tile_pairs(group, np.arange(36), n, component, folds, every, every, 80, False)
+    found, linked = set(zip(a.tolist(), b.tolist())), set()
+    for x in range(36):
+        for y in range(x + 1, 36):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            if group[x] == group[y] and component[x] != component[y] and 100 * both >= 80 * (n[x] + n[y] - both):
+                linked.add((x, y))
+    assert linked and linked <= found and len(found) < 3 * len(linked)
+    a, b = jaccard_join.tile_pairs(group, np.arange(36), n, component, folds, every, every, 80, True)
+    assert set(zip(a.tolist(), b.tolist())) <= found and len(a) <= 36
+
+
+def test_near_copies_make_few_candidates(spark, monkeypatch):
+    """A group of n near copies costs some comparisons a copy and not n squared."""
+    rng, made = random.Random(8), []
+    base = words(100, rng).split(" ")
+    rows = []
+    for i in range(400):
+        w = list(base)
+        w[rng.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    kept = jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name, *a: (made.append(kept(df, name, *a)) or made[-1]) if name == "tried" else kept(df, name, *a))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(t.count() for t in made) <= 8 * len(rows)
+
+
+def test_one_of_each_judges_rows(spark):
+    """Null, repeated and clashing ids: each row goes or stays by its own text."""
+    rng = random.Random(6)
+    t, u, v = (words(40, rng) for _ in range(3))
+    rows = [(None, t, 1), (None, u, 2), (None, "", 3), (None, None, 4), (1, t, 5), (1, v, 6), (2, t, 7), (2, t, 7), (3, v + " tail", 8), (4, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int").withColumn("_row", F.lit(1)).withColumn("node", F.lit(1))
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r._gone for r in kept.collect()) == [2, 3, 4, 5, 6, 9]
+
+
+def test_jaccard_join_of_long_texts(spark):
+    """Texts above one chunk are handled alone, and whole."""
+    rng = random.Random(7)
+    long = " ".join(words(50, rng) for _ in range(8000))
+    assert len(long) > 1 << 20
+    rows = [(3, long), (2, long + " tail"), (1, long[: len(long) // 2]), (0, "short text")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_jaccard(rows) and got[3][1] == 2
+
+
 def test_components_of_chains(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, 101)]
     got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
