@@ -31,7 +31,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again.
 
     The copy survives the loss of any executor, unlike a local checkpoint.
@@ -40,6 +40,8 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    if compression:
+        writer = writer.option("compression", compression)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
@@ -177,17 +179,17 @@ def slices(total: int, rows_each: int) -> int:
 
 
 def running_total(
-    df: DataFrame, group: list[str], order: list[str], value: str, out: str, rows: int, rows_each: int = 50_000
+    df: DataFrame, group: list[str], order: list[str], value: str, out: str, rows: int, rows_each: int = 2_000
 ) -> DataFrame:
     """Exclusive running sum of ``value`` within ``group`` in order of ``order``.
 
     ``order[0]`` must hold evenly spread hex strings (a hash). Groups are cut by
     a prefix of that hash, so a group that holds a third of all rows is spread
     over many tasks: sums per slice are pre-aggregated, their running totals
-    make a table of ``rows / rows_each`` rows, and each slice then adds its own
-    running sum. Groups are compared null-safely.
+    make a table of ``rows / rows_each`` rows (about 16 million at most), and each
+    slice then adds its own running sum. Groups are compared null-safely.
     """
-    digits = slices(rows, rows_each)
+    digits = slices(rows, max(rows_each, rows >> 20))
     cut = df.withColumn("_slice", F.substring(order[0], 1, digits) if digits else F.lit(""))
     keys = [F.coalesce(F.col(g).cast("string"), F.lit("\0null")).alias(f"_g{i}") for i, g in enumerate(group)]
     names = [f"_g{i}" for i in range(len(group))]
@@ -207,15 +209,45 @@ def running_total(
     )
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, least id reachable) over the edges of one task: labels sink along edges and jump along labels until none changes."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[x], label[y])
+        was = label.copy()
+        # The labels of both ends sink, so that whole trees are hung on each other.
+        for end in (x, y):
+            np.minimum.at(label, was[end], least)
+            np.minimum.at(label, end, least)
+        while True:
+            jumped = label[label]
+            if np.array_equal(jumped, label):
+                break
+            label = jumped
+        if np.array_equal(was, label):
+            return ids, ids[label]
+
+
+def components(edges: DataFrame, most_rounds: int = 60, each: int = 500_000) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b), for every id in them.
 
-    Alternating large-star and small-star steps: each hangs the neighbours of a
-    node on the smallest one known. Every step is a grouped minimum (partial
-    sums before the shuffle) and a join, and is written to the shared folder,
-    so nothing is gathered on the driver. It ends when a round changes nothing;
-    if ``most_rounds`` don't get there, it raises.
+    A round replaces the edges of each task (about ``each`` of them, dealt out by the hash of
+    the edge, so a hot node is spread) by those from every node to the least one reachable there. Where
+    one task holds all, that is the result; else alternating large-star and small-star steps
+    hang the neighbours of a node on the smallest one known, by grouped minima (partial sums
+    before the shuffle) and joins. Every round is written to the shared folder; nothing is gathered on the driver. It ends
+    when a round changes nothing; if ``most_rounds`` don't get there, it raises.
     """
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            ids, least = least_reachable(table["a"].to_numpy(), table["b"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(ids)], ["a", "b"])
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             e = e.union(e.select("b", "a")).toDF("u", "v")
@@ -232,16 +264,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def print_of(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    now = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    seen = print_of(now)
+    now, made = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b"), None
+    seen = None
     for _ in range(most_rounds):
-        if not seen[0]:
-            break
-        old, now = now, stored(star(star(now, True), False), "edges")
-        discard(old)
-        was, seen = seen, print_of(now)
-        if was == seen:
+        size, edge_print = print_of(now)
+        if seen == (size, edge_print):
             break
+        seen = (size, edge_print)
+        parts = max(1, -(-size // each))
+        if parts == 1:
+            out = stored(now.coalesce(1).mapInArrow(local, "a long, b long"), "members")
+            if made is not None:
+                discard(made)
+            return out.select(F.col("b").alias("id"), F.col("a").alias("component"))
+        shorter = now.repartition(parts, "a", "b").mapInArrow(local, "a long, b long").filter("a <> b")
+        old, made = made, stored(star(star(shorter, True), False), "edges")
+        if old is not None:
+            discard(old)
+        now = made
     else:
         raise RuntimeError(f"components have not converged after {most_rounds} rounds")
     members = now.select(F.col("b").alias("id"), F.col("a").alias("component"))

@@ -53,7 +53,7 @@ ORDERS = 3
 #: Least bits of a parity bitmap.
 FOLD = 512
 #: Nodes of a list compared with each other in one task; a longer list is cut into tiles.
-TILE = 4096
+TILE = 2048
 #: Pairs of a tile looked at together.
 PAIRS = 1_000_000
 #: A list's shingle is salted where its cell holds ``SPREAD`` times the average of the cells and of ``LEAST_CELL`` prefixes or more.
@@ -350,21 +350,20 @@ def classes(rows: DataFrame, percent: int = 80, width: int = 5, orders: int = OR
     def tiles(found: DataFrame, nearest: bool) -> DataFrame:
         """Candidates (a, b) of the lists whose nodes lie in several components, by bitmap."""
         placed = lists.join(found.hint("merge"), "node", "left").select("list", "node", F.coalesce("component", "node").alias("c"))
-        main = heads.join(found.select(F.col("node").alias("lead"), "component").hint("merge"), "lead", "left")
-        main = stored(main.select("list", F.coalesce("component", "lead").alias("main")), "main")
-        placed = stored(placed, "placed")
-        marked = stored(placed.join(main.hint("merge"), "list").select("list", "node", "c", (F.col("c") != F.col("main")).alias("out")), "marked")
-        open_ = marked.groupBy("list").agg(F.count("*").alias("m"), F.count_if("out").alias("o")).filter("o > 0")
-        open_ = stored(open_.select("list", F.ceil(F.col("m") / TILE).cast("int").alias("across"), F.ceil(F.col("o") / (TILE // 4)).cast("int").alias("down")), "open")
-        # One tile holds a whole list; else the nodes outside the main component are cut into ``down`` parts and all nodes into ``across``.
-        single = "across = 1 AND down = 1"
-        dealt = stored(marked.join(open_.hint("merge"), "list"), "dealt")
-        at_across, at_down = F.pmod(F.xxhash64("node", F.lit(1)), F.col("across")), F.pmod(F.xxhash64("node", F.lit(2)), F.col("down"))
-        whole_ = dealt.filter(single).select("list", F.lit(0).alias("x"), F.lit(0).alias("y"), "node", "c", F.col("out").alias("l"), F.lit(True).alias("r"))
-        cut = dealt.filter(f"NOT ({single})")
-        right = cut.select("list", at_across.cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"), "node", "c", F.lit(False).alias("l"), F.lit(True).alias("r"))
-        left = cut.filter("out").select("list", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), at_down.cast("int").alias("y"), "node", "c", F.lit(True).alias("l"), F.lit(False).alias("r"))
-        sent_rows = whole_.unionByName(right).unionByName(left).join(near.select("node", "n", "fold").hint("merge"), "node")
+        told = placed.groupBy("list").agg(F.min(F.struct("node", "c")).alias("lead"), F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        open_ = stored(told.filter("lo < hi").select("list", F.col("lead.c").alias("main"), "m"), "open")
+        marked = placed.join(open_.hint("merge"), "list").withColumn("out", F.col("c") != F.col("main"))
+        sent_rows = marked.filter(f"m <= {TILE}").select("list", F.lit(0).alias("x"), F.lit(0).alias("y"), "node", "c", F.col("out").alias("l"), F.lit(True).alias("r"))
+        if open_.filter(f"m > {TILE}").limit(1).count():
+            # The nodes outside the main component are cut into ``down`` parts and all nodes into ``across``.
+            long = stored(marked.filter(f"m > {TILE}"), "long")
+            outside = stored(long.groupBy("list").agg(F.ceil(F.count_if("out") / TILE).cast("int").alias("down")), "outside")
+            cut = long.join(outside.hint("merge"), "list").withColumn("across", F.ceil(F.col("m") / TILE).cast("int"))
+            at_across, at_down = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(c)).cast("int") for k, c in ((1, "across"), (2, "down")))
+            right = cut.select("list", at_across.alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"), "node", "c", F.lit(False).alias("l"), F.lit(True).alias("r"))
+            left = cut.filter("out").select("list", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), at_down.alias("y"), "node", "c", F.lit(True).alias("l"), F.lit(False).alias("r"))
+            sent_rows = sent_rows.unionByName(right).unionByName(left)
+        sent_rows = sent_rows.join(near.select("node", "n", "fold").hint("merge"), "node")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
@@ -404,7 +403,7 @@ def classes(rows: DataFrame, percent: int = 80, width: int = 5, orders: int = OR
     none = edges.limit(0)
     more = linked(tried)
     edges = edges.unionByName(more if more is not None else none)
-    found = stored(components(edges).withColumnRenamed("id", "node"), "components")
+    found = components(edges).withColumnRenamed("id", "node")
     for nearest in (True, False):
         pairs = stored(tiles(found, nearest).join(tried.hint("merge"), ["a", "b"], "left_anti"), "tried")
         release(spark)
@@ -412,7 +411,7 @@ def classes(rows: DataFrame, percent: int = 80, width: int = 5, orders: int = OR
         tried = tried.unionByName(pairs)
         if more is not None:
             edges = edges.unionByName(more)
-            found = stored(components(edges).withColumnRenamed("id", "node"), "components")
+            found = components(edges).withColumnRenamed("id", "node")
     release(spark)
     return sets.select("id", "n", "node"), found.select("node", F.col("component").alias("class"))
 
