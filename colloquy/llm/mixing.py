@@ -65,13 +65,14 @@ def targets(sizes: DataFrame, total: float = 1.5, most: int = 2) -> DataFrame:
     budget = F.sum("source_size").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * total
     filled = (budget - F.coalesce(F.sum("_cap").over(before), F.lit(0))) / F.sum("weight").over(after)
     # The common level is that of the first source (by room per weight) that it doesn't fill.
-    ranked = ranked.withColumn("_level", filled).withColumn("_open", F.col("_level") * F.col("weight") <= F.col("_cap"))
+    ranked = ranked.withColumn("_turn", F.row_number().over(level)).withColumn("_level", filled)
+    ranked = ranked.withColumn("_open", F.col("_level") * F.col("weight") <= F.col("_cap"))
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.min(F.when(F.col("_open"), F.struct((F.col("_cap") / F.col("weight")).alias("room"), F.col("_level").alias("level")))).over(whole)
+    first = F.min(F.when(F.col("_open"), F.struct(F.col("_turn").alias("turn"), F.col("_level").alias("level")))).over(whole)
     target = F.when(first.isNull(), F.col("_cap").cast("double")).otherwise(
         F.least(F.col("_cap").cast("double"), first["level"] * F.col("weight"))
     )
-    return ranked.withColumn("target", target).drop("_cap", "_level", "_open")
+    return ranked.withColumn("target", target).drop("_cap", "_turn", "_level", "_open")
 
 
 def mixture(docs: DataFrame, total: float = 1.5, most: int = 2) -> DataFrame:
@@ -100,31 +101,39 @@ def mixture_of(rows: DataFrame, total: float = 1.5, most: int = 2) -> DataFrame:
     return run.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def curriculum(docs: DataFrame, total: float = 1.5, most: int = 2, schedules: dict | None = None) -> DataFrame:
-    """The columns of ``docs`` and ``position``: one row per copy, range-sorted by position in [0, 1]."""
-    mixed = mixture(docs, total, most)
+def ordered_copies(mixed: DataFrame, schedules: dict | None = None) -> DataFrame:
+    """The rows of a mixture, one for each copy that is taken, with ``due`` in [0, 1], range-sorted by it."""
     # Copy number c of a document lies c rounds of its source further on.
     rounds = F.greatest(F.lit(1e-9), F.col("target") / F.col("source_size"))
     copies = mixed.filter("copies > 0").select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
     )
     middle = (F.col("before") + F.col("size") / 2) / F.col("source_size")
-    share = F.least(F.lit(1.0), (F.col("copy") + middle) / F.greatest(rounds, F.lit(1e-9)))
-    position = F.lit(None).cast("double")
+    share = F.least(F.lit(1.0), (F.col("copy") + middle) / rounds)
+    due = F.lit(None).cast("double")
     for weight, knots in (schedules or SCHEDULES).items():
-        position = F.when(F.col("weight") == weight, invert_demand(share, knots)).otherwise(position)
-    placed = copies.select("_d", F.coalesce(position, share).alias("position"), "hash", "copy")
-    return placed.orderBy("position", "hash", "copy").select("_d.*", "position")
+        due = F.when(F.col("weight") == weight, invert_demand(share, knots)).otherwise(due)
+    return copies.withColumn("due", F.coalesce(due, share)).orderBy("due", "hash", "copy")
+
+
+def curriculum(docs: DataFrame, total: float = 1.5, most: int = 2, schedules: dict | None = None, position: str | None = "position") -> DataFrame:
+    """The columns of ``docs`` and one of the name ``position`` (if any): one row per copy, range-sorted by position in [0, 1]."""
+    ordered = ordered_copies(mixture(docs, total, most), schedules)
+    return ordered.select("_d.*", *([F.col("due").alias(position)] if position else []))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """The words that the training order takes of each document, counted in that order once it is written."""
     docs = documents(spark, sf_dir)
     slim = docs.select(
         "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("hash"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("hash"), F.monotonically_increasing_id().alias("row"),
     )
-    mixed = mixture_of(stored(slim, "sizes"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = stored(mixture_of(stored(slim, "sizes")), "mixed")
+    order = stored(ordered_copies(mixed).select("row", "size", "due"), "order")
+    words = order.groupBy("row").agg(F.sum("size").alias("taken"))
+    out = mixed.drop("taken").join(words.hint("merge"), "row", "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 OP5_SQL = r"""
@@ -136,16 +145,17 @@ WITH d AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
   FROM d GROUP BY source
-), l AS (
-  SELECT *, source_size * 2 AS cap,
-    (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size * 2) OVER (ORDER BY source_size * 2 / weight::DOUBLE, source NULLS LAST
-       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
-    / (sum(weight) OVER (ORDER BY source_size * 2 / weight::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lvl
-  FROM s
+), caps AS (
+  SELECT *, source_size * 2 AS cap, source_size * 2 / weight::DOUBLE AS room, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s
+), spent AS (  -- what all sources take when the common level per weight stands at one source's room
+  SELECT a.source, a.room, a.budget, sum(least(b.cap::DOUBLE, a.room * b.weight)) AS used FROM caps a, caps b GROUP BY a.source, a.room, a.budget
+), shut AS (  -- the sources with no more room than that are full
+  SELECT coalesce(max(room) FILTER (WHERE used <= budget), -1) AS room FROM spent
+), lvl AS (
+  SELECT (max(c.budget) - coalesce(sum(c.cap) FILTER (WHERE c.room <= shut.room), 0)::DOUBLE) / (sum(c.weight) FILTER (WHERE c.room > shut.room))::DOUBLE AS level
+  FROM caps c, shut
 ), t AS (
-  SELECT source, source_size, weight,
-    least(cap::DOUBLE, weight * (SELECT lvl FROM l WHERE lvl * weight <= cap ORDER BY cap / weight::DOUBLE, lvl LIMIT 1)) AS target
-  FROM l
+  SELECT source, source_size, weight, CASE WHEN lvl.level IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, lvl.level * weight) END AS target FROM caps, lvl
 ), r AS (
   SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY hash, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d
 ), m AS (

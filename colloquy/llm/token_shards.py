@@ -2,43 +2,49 @@
 
 Each document is tokenised and cut into sequences of ``length`` ids; the end of
 text follows its last id and fills its last sequence. Sequences are numbered
-0 .. n-1 in order of a hash of their document. A Feistel network over the next
-power of four, with a key, walks its cycle until the number lies below n again,
-so it is a permutation of 0 .. n-1 that needs no table: slot = permuted number.
-Slots are range-partitioned by shard and sorted; ``token_records`` gives the
-records in that order, and ``token_shards`` writes each shard as one file of
-``rows`` records of ``2 * length`` bytes (little-endian uint16), so slot s stands
+0 .. n-1 in the order in which the documents stand in their files (by path and row).
+A Feistel network over the next power of four, with a key, walks its cycle until
+the number lies below n again, so it is a permutation of 0 .. n-1 that needs no
+table: slot = permuted number. With ``window``, each run of that many sequences is
+permuted in itself, so that an order given by the input (a curriculum) holds from
+window to window. Slots are range-partitioned by shard and sorted; ``token_records``
+gives the records in that order, and ``token_shards`` writes each shard as one file
+of ``rows`` records of ``2 * length`` bytes (little-endian uint16), so slot s stands
 at byte ``(s mod rows) * 2 * length`` of shard ``s div rows``. A reader can start at
 any slot. A file appears under its name only when it is complete, so a
-repeated task leaves the same file.
+repeated task leaves the same file; ``shards.json`` tells how many slots there are.
 
 Defined cases: a null or empty text is one sequence of end signs; a null doc_id
-is kept as null; rows that share an id are tokenised each; an empty table gives
-no record; extra columns are ignored.
+is kept as null; rows that share an id, and equal rows, are tokenised each; an empty
+table gives no record; extra columns are ignored; a table that isn't read from
+Parquet files is first written to the shared folder.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, release, running_total, shared_path, stored
+from .common import discard, documents, release, shared_path, stored
 
 LENGTH, ROWS, KEY, ROUNDS = 512, 4096, 0x5DEECE66D, 6
 #: Cached word pieces in a worker.
 PIECES = 300_000
 #: Ranges of shards that ``token_shards`` writes one after the other.
 PASSES = 3
+#: Stretches of input whose totals may be broadcast, at most; beyond, they are joined by an exchange.
+RUNS = 100_000
 INDEX = "slot long, shard long, byte_offset long, doc_id long, part long, n_tokens int"
 OUTPUT = f"{INDEX}, record binary"
 
@@ -86,8 +92,15 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def permuted(number: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
-    """The slot of each number in 0 .. n-1: a keyed Feistel network with cycle-walking."""
+def permuted(number: np.ndarray, n: int, key: int = KEY, window: int | None = None) -> np.ndarray:
+    """The slot of each number in 0 .. n-1: a keyed Feistel network with cycle-walking, over each window if one is given."""
+    if window is not None:
+        out = np.empty(len(number), np.int64)
+        turn = number // window
+        for w in np.unique(turn).tolist():
+            at = turn == w
+            out[at] = w * window + permuted(number[at] - w * window, min(window, n - w * window), key + w)
+        return out
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     keys = [np.uint64(int.from_bytes(hashlib.blake2b(f"{key}:{r}".encode(), digest_size=8).digest(), "little")) for r in range(ROUNDS)]
@@ -112,56 +125,73 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def numbered_documents(docs: DataFrame, length: int, path: str) -> tuple[DataFrame, int, str]:
-    """((doc_id, ids, n, times, before) of each document, the number of all sequences, the table the ids are kept in).
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, file, row): every row with its place in the Parquet files it is read from."""
 
-    The ids are written once, bucketed by the hash of their document, so numbering
-    them moves only the hashes.
+    def with_place(d: DataFrame) -> DataFrame:
+        place = d.metadataColumn("_metadata")
+        return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), place["file_path"].alias("file"), place["row_index"].alias("row"))
+
+    try:
+        return with_place(docs)
+    except AnalysisException:
+        return with_place(stored(docs.select("doc_id", "text"), "texts"))
+
+
+def numbered_documents(docs: DataFrame, length: int, path: str) -> tuple[DataFrame, int, DataFrame]:
+    """((doc_id, ids, n, before) of each document, the number of all sequences, the table the ids are kept in).
+
+    The ids are written once, where their texts were read, with the running number inside
+    the stretch of the file that the task read; the totals of the stretches give the rest.
+    So numbering moves one row for each stretch and no ids.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
         end = np.array([encode.end], np.uint16).tobytes()
+        file, first, last, total = None, 0, -1, 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 ids = [encode(t or "") + end for t in part.column(1).to_pylist()]
                 size = [-(-len(x) // (2 * length)) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(size, pa.int64())], ["doc_id", "ids", "n"])
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = slim.mapInArrow(tokenise, "doc_id long, ids binary, n long")
-    name = f"tokens_{uuid.uuid4().hex[:12]}"
-    hashed = made.withColumn("hash", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.col("ids"))))
-    hashed.repartition(buckets, "hash").write.format("parquet").option("compression", "zstd").bucketBy(buckets, "hash").sortBy("hash").saveAsTable(name)
-    release(spark)
-    made = spark.table(name)
-    counts = made.groupBy("hash").agg(F.max("n").alias("each"), F.count("*").alias("times"))
-    counts = stored(counts.withColumn("all", F.col("each") * F.col("times")), "counts")
-    total = counts.agg(F.count("*"), F.sum("all"), F.max("times")).first()
-    numbered = running_total(counts.select("hash", "all", "times"), [], ["hash"], "all", "before", int(total[0])).select("hash", "times", "before")
-    # Equal documents of equal id have one hash; one of them stands for all.
-    once = made.dropDuplicates(["hash"]) if (total[2] or 0) > 1 else made
-    return once.join(numbered.hint("merge"), "hash").select("doc_id", "ids", "n", "times", "before"), int(total[1] or 0), name
-
-
-def records_of(numbered: DataFrame, n: int, low: int, high: int, length: int, rows: int, key: int) -> DataFrame:
+                inside, firsts = [], []
+                for f, r, k in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), size):
+                    if f != file or r <= last:
+                        file, first, total = f, r, 0
+                    inside.append(total)
+                    firsts.append(first)
+                    last, total = r, total + k
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(ids, pa.binary()), pa.array(size, pa.int64()), pa.array(inside, pa.int64()), part.column(2), pa.array(firsts, pa.int64())],
+                    ["doc_id", "ids", "n", "inside", "file", "first"],
+                )
+
+    made = placed(docs).mapInArrow(tokenise, "doc_id long, ids binary, n long, inside long, file string, first long")
+    made = stored(made, "tokens", compression="zstd")
+    # One row for each stretch that a task read.
+    runs = stored(made.groupBy("file", "first").agg(F.sum("n").alias("all")), "runs")
+    count, total = runs.agg(F.count("*"), F.sum("all")).first()
+    before = F.coalesce(F.sum("all").over(Window.orderBy("file", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("file", "first", before.alias("run"))
+    runs = F.broadcast(runs) if count <= RUNS else runs.hint("merge")
+    numbered = made.join(runs, ["file", "first"]).select("doc_id", "ids", "n", (F.col("run") + F.col("inside")).alias("before"))
+    return numbered, int(total or 0), made
+
+
+def records_of(numbered: DataFrame, n: int, low: int, high: int, length: int, rows: int, key: int, window: int | None) -> DataFrame:
     """(slot, shard, doc_id, part, n_tokens, record) of shards low .. high-1 without their padding, in slot order within partitions of whole shards."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                docs, ids, size, times, before = (c.to_pylist() for c in batch.slice(i, 256).columns)
+                docs, ids, size, before = (c.to_pylist() for c in batch.slice(i, 256).columns)
                 each = np.array(size, np.int64)
-                all_ = each * np.array(times, np.int64)
-                who = np.repeat(np.arange(len(docs)), all_)
-                within = np.arange(len(who)) - np.repeat(np.cumsum(all_) - all_, all_)
-                slot = permuted(np.array(before, np.int64)[who] + within, n, key)
+                who = np.repeat(np.arange(len(docs)), each)
+                within = np.arange(len(who)) - np.repeat(np.cumsum(each) - each, each)
+                slot = permuted(np.array(before, np.int64)[who] + within, n, key, window)
                 good = np.flatnonzero((slot >= low * rows) & (slot < high * rows))
-                slot, who = slot[good], who[good]
-                part = within[good] % each[who]
+                slot, who, part = slot[good], who[good], within[good]
                 record = [ids[d][p * 2 * length : (p + 1) * 2 * length] for d, p in zip(who.tolist(), part.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(slot), pa.array(slot // rows), pa.array([docs[d] for d in who.tolist()], pa.int64()), pa.array(part), pa.array([len(r) // 2 for r in record], pa.int32()), pa.array(record, pa.binary())],
@@ -186,22 +216,25 @@ def padded(batches: Iterator[pa.RecordBatch], length: int, rows: int, end_id: by
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), at, part.column(2), part.column(3), part.column(4), pa.array(full, pa.binary())], ["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "record"])
 
 
-def token_records(docs: DataFrame, length: int = LENGTH, rows: int = ROWS, key: int = KEY, path: str | None = None) -> DataFrame:
+def token_records(docs: DataFrame, length: int = LENGTH, rows: int = ROWS, key: int = KEY, path: str | None = None, window: int | None = None) -> DataFrame:
     """(slot, shard, byte_offset, doc_id, part, n_tokens, record): all records in slot order within range partitions of whole shards."""
     path = path or vocabulary()
     numbered, n, _ = numbered_documents(docs, length, path)
     end_id = np.array([tokenizer(path).end], np.uint16).tobytes()
-    return records_of(numbered, n, 0, -(-n // rows), length, rows, key).mapInArrow(lambda batches: padded(batches, length, rows, end_id), OUTPUT)
+    return records_of(numbered, n, 0, -(-n // rows), length, rows, key, window).mapInArrow(lambda batches: padded(batches, length, rows, end_id), OUTPUT)
 
 
-def token_shards(docs: DataFrame, folder: str, length: int = LENGTH, rows: int = ROWS, key: int = KEY, path: str | None = None, passes: int = PASSES) -> DataFrame:
+def token_shards(
+    docs: DataFrame, folder: str, length: int = LENGTH, rows: int = ROWS, key: int = KEY, path: str | None = None, passes: int = PASSES,
+    window: int | None = None,
+) -> DataFrame:
     """Write every shard to ``folder``; returns (slot, shard, byte_offset, doc_id, part, n_tokens, record_sha256), the records as the files hold them.
 
     The shards are written in ``passes`` ranges, so that beside the ids and the
     files only one range's exchange stands on disk.
     """
     spark, path = docs.sparkSession, path or vocabulary()
-    numbered, n, name = numbered_documents(docs, length, path)
+    numbered, n, ids = numbered_documents(docs, length, path)
     end_id = np.array([tokenizer(path).end], np.uint16).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,10 +247,14 @@ def token_shards(docs: DataFrame, folder: str, length: int = LENGTH, rows: int =
     count, index = -(-n // rows), None
     bounds = sorted({count * k // passes for k in range(passes + 1)}) if count else []
     for low, high in zip(bounds[:-1], bounds[1:]):
-        done = stored(records_of(numbered, n, low, high, length, rows, key).mapInArrow(write, INDEX), "index")
+        done = stored(records_of(numbered, n, low, high, length, rows, key, window).mapInArrow(write, INDEX), "index")
         index = done if index is None else index.union(done)
         release(spark)
-    spark.sql(f"DROP TABLE {name}")
+    discard(ids)
+    store, root = filesystem(folder)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/shards.json") as f:
+        f.write(json.dumps({"slots": n, "rows": rows, "length": length}).encode())
     if index is None:
         return spark.createDataFrame([], f"{INDEX}, record_sha256 string")
 
@@ -250,56 +287,43 @@ class Shards:
     def __init__(self, folder: str):
         self.store, self.root = filesystem(folder)
         self.store.create_dir(self.root, recursive=True)
-        self.now, self.out, self.name, self.told = None, None, "", []
+        self.now, self.out, self.name = None, None, ""
 
     def put(self, shards: np.ndarray, records: list[bytes]) -> None:
         first = np.flatnonzero(np.diff(shards, prepend=-1)).tolist()
         for a, b in zip(first, [*first[1:], len(shards)]):
             if shards[a] != self.now:
                 self.close()
-                self.now, self.count, self.digest = int(shards[a]), 0, hashlib.sha256()
+                self.now = int(shards[a])
                 self.name = f"{self.root}/.shard-{self.now:08d}-{os.urandom(6).hex()}"
                 self.out = self.store.open_output_stream(self.name)
-            raw = b"".join(records[a:b])
-            self.out.write(raw)
-            self.digest.update(raw)
-            self.count += b - a
+            self.out.write(b"".join(records[a:b]))
 
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
             self.store.move(self.name, f"{self.root}/shard-{self.now:08d}.bin")
-            self.told.append((self.now, self.count, self.digest.hexdigest()))
             self.out = None
 
 
-def write_shards(records: DataFrame, folder: str) -> DataFrame:
-    """Write each shard as one file of ``folder``; returns (shard, n_records, sha256) of the files. Runs when it is read."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Shards(folder)
-        for batch in batches:
-            out.put(batch.column(0).to_numpy(), batch.column(1).to_pylist())
-        out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in out.told], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], ["shard", "n_records", "sha256"])
+def read_slots(folder: str, start: int, count: int) -> Iterator[np.ndarray]:
+    """The records of slots start .. start+count-1 (as far as there are any) in order, each shard read in sequence from where it is entered.
 
-    return records.select("shard", "record").mapInArrow(write, "shard long, n_records long, sha256 string")
-
-
-def read_slots(folder: str, start: int, count: int, length: int = LENGTH, rows: int = ROWS) -> Iterator[np.ndarray]:
-    """The records of slots start .. start+count-1 in order, each shard read in sequence from where it is entered."""
+    A shard that is missing or ends early raises.
+    """
     store, root = filesystem(folder)
-    slot, end = start, start + count
+    with store.open_input_stream(f"{root}/shards.json") as f:
+        told = json.loads(f.read())
+    rows, length = told["rows"], told["length"]
+    slot, end = start, min(start + count, told["slots"])
     while slot < end:
         shard = slot // rows
-        if store.get_file_info(f"{root}/shard-{shard:08d}.bin").type == fs.FileType.NotFound:
-            return
         with store.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
             f.seek(slot % rows * 2 * length)
             while slot < min(end, (shard + 1) * rows):
                 raw = f.read(2 * length)
                 if len(raw) < 2 * length:
-                    return
+                    raise ValueError(f"shard {shard} ends before slot {slot}")
                 yield np.frombuffer(raw, np.uint16)
                 slot += 1
 

@@ -9,7 +9,10 @@ from colloquy.llm.decontaminate import clean_of
 from colloquy.llm.jaccard_join import one_of_each
 from colloquy.llm.mixing import curriculum
 from colloquy.llm.quality import keep_good
-from colloquy.llm.token_shards import token_shards
+from colloquy.llm.token_shards import ROWS, token_shards
+
+#: Sequences that are permuted among themselves: the curriculum's order holds from one such window to the next.
+WINDOW = 4 * ROWS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +31,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights, in curriculum order; a document that is taken twice is there twice."""
-    return curriculum(docs).drop("position")
+    """Sources at their target weights, range-sorted in curriculum order; a document that is taken twice is there twice."""
+    return curriculum(docs, position=None)
 
 
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids as records of fixed stride in training order, written as shards; returns the index read back from them."""
-    return token_shards(docs, shared_path(spark, "shards"))
+    """Token ids as records of fixed stride, written as shards; returns the index read back from them.
+
+    Sequences are numbered as their documents stand in the files of the mix, in curriculum order, and permuted inside windows.
+    """
+    return token_shards(docs, shared_path(spark, "shards"), window=WINDOW)
 
 
 STAGES = [
