@@ -5,20 +5,23 @@ Test items are cut into passages of at most ``PASSAGE`` words. Every run of
 in how many each seed stands. A second pass looks for the seeds; each meets its
 item on a diagonal (place in the document less place in the passage), and every
 diagonal band with a rare seed is aligned: match 2, mismatch -1, gap -1, on the
-words around. A band whose seeds are all common beside the other seeds of their
+words around, as far as an alignment of ``threshold`` through the seed can stray. A band whose seeds are all common beside the other seeds of their
 item is aligned too, unless so few words of the passage stand in its window that
 no alignment could reach the threshold: so common seeds cost little and lose nothing.
 The score is the alignment's share of a full copy's; at ``threshold`` or more the
 document holds the item, copied, edited or paraphrased.
 
-Items are taken in blocks of ``ITEMS`` seeds, each a pass over the documents, so
-what is sent to the tasks has a fixed bound however large the test set is.
+Passages are taken in blocks of ``ITEMS`` words, each a pass over the documents, so
+what is sent to the tasks has a fixed bound however large the test set is. A seed's
+occurrences decide nothing but the cheaper way to the same result.
 
 Defined cases: words are runs of letters and digits, with A-Z lower-cased; an
-item of fewer words than a seed can't be found; null texts and items are empty;
+item of fewer words than a seed can't be found, nor can an alignment in which no run
+of ``SEED`` words is copied; null texts and items are empty;
 items that share an id are all its texts; rows with a null item_id are ignored;
 rows that share a doc_id are told together with their best score, and so are
-those whose id is null; extra columns are ignored.
+those whose id is null (``clean_of`` judges every row by its own text instead);
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .words import SIGNS, U, mix, text_chunks, word_hashes
 
-SEED, PASSAGE, BAND, SLACK = 3, 64, 32, 24
+SEED, PASSAGE, BAND = 3, 64, 32
 ITEMS = 200_000
 THRESHOLD = 0.5
 
@@ -49,20 +52,23 @@ def grams(words: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def passages_of(text: str) -> Iterator[np.ndarray]:
+    """The words of a test item in passages of at most PASSAGE words; the last one reaches back to have as many."""
+    for _, _, data, off in text_chunks(pa.array([text], pa.string())):
+        words, _ = word_hashes(data, off, SIGNS)
+        n = len(words)
+        starts = list(range(0, max(1, n - PASSAGE + 1), PASSAGE))
+        if n > PASSAGE and n % PASSAGE:
+            starts.append(n - PASSAGE)
+        for s in starts if n else []:
+            yield words[s : min(n, s + PASSAGE)]
+
+
 class Items:
     """The passages of a block of test items and their seeds in order of their hash."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.item, self.words = [], []
-        for _, _, data, off in text_chunks(pa.array(texts, pa.string()), 1 << 62):
-            words, first = word_hashes(data, off, SIGNS)
-            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                starts = list(range(a, max(a + 1, b - PASSAGE + 1), PASSAGE))
-                if b - a > PASSAGE and (b - a) % PASSAGE:
-                    starts.append(b - PASSAGE)
-                for s in starts if b > a else []:
-                    self.item.append(ids[i])
-                    self.words.append(words[s : min(b, s + PASSAGE)])
+    def __init__(self, ids: list[int], passages: list[np.ndarray]):
+        self.item, self.words = np.array(ids, np.int64), passages
         seeds = [grams(w) for w in self.words]
         n = [len(s) for s in seeds]
         hashes = np.concatenate(seeds) if seeds else np.zeros(0, U)
@@ -85,12 +91,16 @@ class Items:
         return at[good], k[good]
 
     def keep_rare(self, documents_with: np.ndarray) -> None:
-        """Tell seeds far more common than a quarter of the seeds of their item from the rest."""
-        item = np.array(self.item)[self.passage] if len(self.passage) else np.zeros(0)
+        """Tell seeds far more common than a quarter of the seeds of their passage from the rest."""
+        if not len(self.hash):
+            return
         df = np.repeat(documents_with, self.times)
-        for i in np.unique(item):
-            own = item == i
-            self.rare[own] = df[own] <= 16 + 8 * np.quantile(df[own], 0.25)
+        order = np.lexsort((df, self.passage))
+        first = np.flatnonzero(np.r_[True, np.diff(self.passage[order]) > 0])
+        size = np.diff(np.append(first, len(order)))
+        quarter = np.zeros(len(self.words))
+        quarter[self.passage[order[first]]] = df[order[first + (size - 1) // 4]]
+        self.rare = df <= 16 + 8 * quarter[self.passage]
 
 
 def text_grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,9 +131,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """(doc_id, item_id, score, start_word, end_word): the best alignment of each document with each item it holds."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tests = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("i"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     out = None
-    for items in blocks_of(tests):
+    for items in blocks_of(tests_of(benchmark)):
         found = scan(spark, rows, items, threshold)
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -135,20 +144,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def blocks_of(tests: DataFrame) -> Iterator[Items]:
-    """The test items in blocks of about ITEMS seeds, read one row after the other."""
-    ids, texts, size = [], [], 0
+    """The passages of the test items in blocks of at most ITEMS words (and one passage), read one row after the other."""
+    ids, passages, size = [], [], 0
     for r in tests.orderBy("i", "t").toLocalIterator():
-        ids.append(r["i"])
-        texts.append(r["t"])
-        size += r["t"].count(" ") + 1
-        if size >= ITEMS:
-            yield Items(ids, texts)
-            ids, texts, size = [], [], 0
+        for words in passages_of(r["t"]):
+            ids.append(r["i"])
+            passages.append(words)
+            size += len(words)
+            if size >= ITEMS:
+                yield Items(ids, passages)
+                ids, passages, size = [], [], 0
     if ids:
-        yield Items(ids, texts)
+        yield Items(ids, passages)
 
 
-def scan(spark, rows: DataFrame, items: Items, threshold: float) -> DataFrame:
+def counted(rows: DataFrame, items: Items) -> Items:
+    """The items with their common seeds told from the rare ones, by one pass over ``rows``."""
+    spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,37 +175,46 @@ def scan(spark, rows: DataFrame, items: Items, threshold: float) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
 
-    counted = rows.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+    found = rows.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(items.value), np.int64)
-    for r in counted:  # at most one row per seed of the block
+    for r in found:  # at most one row per seed of the block
         df[r["seed"]] = r["n"]
+    sent.destroy()
     items.keep_rare(df)
-    chosen = spark.sparkContext.broadcast(items)
+    return items
+
+
+def found_in(own: Items, texts: pa.Array, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, item, score, start, end) of the alignments in a batch of texts."""
+    for i, n, data, off in text_chunks(texts):
+        words, first, found = text_grams(data, off)
+        at, k = own.hits(found)
+        if not len(at):
+            continue
+        # Each seed in each of its passages.
+        reps = own.times[k]
+        at = np.repeat(at, reps)
+        seed = np.repeat(own.first[k], reps) + np.arange(len(at)) - np.repeat(np.cumsum(reps) - reps, reps)
+        text = np.searchsorted(first, at, "right") - 1
+        band = (at - own.offset[seed]) // BAND
+        cells, cell = np.unique(np.stack([text, own.passage[seed], band]), axis=1, return_inverse=True)
+        sure = np.bincount(cell.reshape(-1), own.rare[seed], cells.shape[1]) > 0
+        for s in range(0, cells.shape[1], 1024):
+            part = judged(own, cells[:, s : s + 1024], sure[s : s + 1024], words, first, threshold)
+            if part is not None:
+                yield i + part[0], *part[1:]
+
+
+def scan(spark, rows: DataFrame, items: Items, threshold: float) -> DataFrame:
+    chosen = spark.sparkContext.broadcast(counted(rows, items))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = chosen.value
         for batch in batches:
-            for i, n, data, off in text_chunks(batch.column(1)):
-                words, first, found = text_grams(data, off)
-                at, k = own.hits(found)
-                if not len(at):
-                    continue
-                # Each seed in each of its passages.
-                reps = own.times[k]
-                at = np.repeat(at, reps)
-                seed = np.repeat(own.first[k], reps) + np.arange(len(at)) - np.repeat(np.cumsum(reps) - reps, reps)
-                text = np.searchsorted(first, at, "right") - 1
-                band = (at - own.offset[seed]) // BAND
-                cells, cell = np.unique(np.stack([text, own.passage[seed], band]), axis=1, return_inverse=True)
-                sure = np.bincount(cell.reshape(-1), own.rare[seed], cells.shape[1]) > 0
-                for s in range(0, cells.shape[1], 1024):
-                    part = judged(own, cells[:, s : s + 1024], sure[s : s + 1024], words, first, threshold)
-                    if part is not None:
-                        t, item, score, a, b = part
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array(i + t)), pa.array(item, pa.int64()), pa.array(score), pa.array(a), pa.array(b)],
-                            ["doc_id", "item_id", "score", "start_word", "end_word"],
-                        )
+            for row, item, score, a, b in found_in(chosen.value, batch.column(1), threshold):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), pa.array(item, pa.int64()), pa.array(score), pa.array(a), pa.array(b)],
+                    ["doc_id", "item_id", "score", "start_word", "end_word"],
+                )
 
     return rows.mapInArrow(search, "doc_id long, item_id long, score double, start_word long, end_word long")
 
@@ -212,11 +233,13 @@ def judged(own: Items, cells: np.ndarray, sure: np.ndarray, words: np.ndarray, f
     text, passage, band = cells
     sizes = np.array([len(own.words[p]) for p in passage])
     m = int(sizes.max())
-    width = m + BAND + 2 * SLACK
+    # At most 2 m (1 - threshold) gaps fit into a score of the threshold.
+    slack = int(np.ceil(2 * m * (1 - threshold)))
+    width = m + BAND + 2 * slack
     a = np.zeros((len(text), m), np.int64)
     real = np.arange(m)[None, :] < sizes[:, None]
     a[real] = np.concatenate([own.words[p] for p in passage]).view(np.int64)
-    at = (band * BAND - SLACK)[:, None] + np.arange(width)[None, :]
+    at = (band * BAND - slack)[:, None] + np.arange(width)[None, :]
     lo, hi = first[text][:, None], first[text + 1][:, None]
     inside = (at >= lo) & (at < hi)
     b = np.where(inside, words.view(np.int64)[np.clip(at, 0, max(0, len(words) - 1))], 1)
@@ -241,14 +264,32 @@ def judged(own: Items, cells: np.ndarray, sure: np.ndarray, words: np.ndarray, f
     back[np.arange(width)[None, :] > end[good][:, None]] = 1
     _, start = align(flip, back[:, ::-1].copy())
     start = width - 1 - start
-    origin = (band[good] * BAND - SLACK) - first[text[good]]
-    return text[good], np.array(own.item)[passage[good]], score[good], origin + start, origin + end[good] + 1
+    origin = (band[good] * BAND - slack) - first[text[good]]
+    return text[good], own.item[passage[good]], score[good], origin + start, origin + end[good] + 1
+
+
+def tests_of(benchmark: DataFrame) -> DataFrame:
+    return benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("i"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
 
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that hold no test item."""
-    bad = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` that hold no test item. Each row is judged where it stands, by its own text: no key, no exchange."""
+    spark, at, out = docs.sparkSession, docs.columns.index("text"), docs
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    for items in blocks_of(tests_of(benchmark)):
+        out = out.mapInArrow(without(spark.sparkContext.broadcast(counted(rows, items)), at, threshold), docs.schema)
+    return out
+
+
+def without(chosen, at: int, threshold: float):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.ones(batch.num_rows, bool)
+            for row, *_ in found_in(chosen.value, batch.column(at), threshold):
+                good[row] = False
+            yield batch.filter(pa.array(good))
+
+    return keep
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
