@@ -1,6 +1,7 @@
 """Line dedup over levelled sorted runs of line hashes. DataFrame and SQL functions only.
 
-Documents arrive in batches of ascending id. The state is a set of runs: tables
+Documents arrive in batches of ascending id, of about ``BATCH`` documents each
+however many there are. The state is a set of runs: tables
 bucketed by the line hash and sorted by it inside each bucket, so a batch
 merge-joins them without a new exchange or sort of the state. A batch's new
 keys (those in no run) become a run of level 0; ``fanout`` runs of one level
@@ -8,7 +9,8 @@ are merged into one of the next. Runs never share a key.
 
 Defined cases: a null or empty text is one empty line; a null id counts as the
 largest id; rows that share an id are parts of one document, each with its own
-result row; extra columns are ignored. Keys are compared by two independent
+result row, and stand in one batch; an empty table gives no row; extra columns are
+ignored. The runs and all other tables of the work are dropped at its end. Keys are compared by two independent
 64-bit hashes.
 """
 
@@ -19,8 +21,10 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_key, stored, with_part
+from .common import discard, documents, stored, with_part
 
+#: Documents of a batch.
+BATCH = 100_000
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,10 +59,9 @@ class SortedRuns:
         )
         return name
 
-    def add(self, keys: DataFrame, level: int = 0) -> DataFrame:
-        """Add a run of keys that are in no other run; returns it. Merges full levels."""
+    def add(self, keys: DataFrame, level: int = 0) -> None:
+        """Add a run of keys that are in no other run. Merges full levels."""
         name = self._write(keys)
-        run = self.spark.table(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -69,7 +72,13 @@ class SortedRuns:
                 merged = merged.unionByName(self.spark.table(t))
             self.levels[level] = []
             self.add(merged, level + 1)
-        return run
+            for t in old:
+                self.spark.sql(f"DROP TABLE {t}")
+
+    def drop(self) -> None:
+        for t in [t for level in self.levels for t in level]:
+            self.spark.sql(f"DROP TABLE {t}")
+        self.levels = []
 
     def without(self, keys: DataFrame) -> DataFrame:
         """The keys that no run holds: a merge anti join with each run."""
@@ -78,20 +87,20 @@ class SortedRuns:
         return keys
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 10, batch: int = BATCH, fanout: int = 2) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): each document with its repeated lines dropped.
 
     A line whose key has ``min_chars`` code points or more and is found in two
-    documents or more stays only in the smallest id that holds it. ``batches``
+    documents or more stays only in the smallest id that holds it. ``batch``
     only sets how much is handled at once; the result doesn't depend on it.
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = with_part(docs)
-    span = rows.agg(F.min("key"), F.max(F.when(F.col("key") < (1 << 63) - 1, F.col("key")))).first()
-    low, high = (span[0] or 0), (span[1] if span[1] is not None else (span[0] or 0))
-    width = max(1, (high - low) // batches + 1)
-    number = F.least(F.floor((F.col("key") - F.lit(low)) / F.lit(width)), F.lit(batches - 1)).cast("int")
+    batches = max(1, -(-rows.count() // batch))
+    cuts = sorted(set(rows.select(F.percentile_approx("key", [k / batches for k in range(1, batches)], 100 * batches)).first()[0] or [])) if batches > 1 else []
+    batches = len(cuts) + 1
+    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("key"))) if cuts else F.lit(0)
     key = line_key(F.col("line"))
     hashed = (
         rows.select("key", "part", number.alias("batch"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
@@ -100,19 +109,20 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout: i
         .select("batch", "key", "part", "at", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"))
     )
     hashed = stored(hashed, "lines", "batch")
-    runs, drops = SortedRuns(spark, buckets, fanout), None
+    runs, drops, made = SortedRuns(spark, buckets, fanout), None, [hashed]
     for b in range(batches):
         batch = hashed.filter(F.col("batch") == b).select("key", "part", "at", "h1", "h2")
         firsts = batch.groupBy("h1", "h2").agg(F.min("key").alias("holder"), F.max("key").alias("last"))
         if runs.tables():
             firsts = stored(firsts, "firsts")
-            fresh = runs.without(firsts)
-            fresh = stored(fresh, "fresh")
+            fresh = stored(runs.without(firsts), "fresh")
+            made += [firsts, fresh]
             old = firsts.join(fresh.select("h1", "h2"), ["h1", "h2"], "left_anti").select(
                 "h1", "h2", F.lit(None).cast("long").alias("holder")
             )
         else:
             fresh, old = stored(firsts, "fresh"), None
+            made.append(fresh)
         if b < batches - 1:
             runs.add(fresh)
         losing = fresh.filter("last > holder").select("h1", "h2", "holder")
@@ -125,6 +135,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout: i
         )
         drops = lost if drops is None else drops.unionByName(lost)
     drops = stored(drops, "drops")
+    runs.drop()
+    discard(*made)
     lines = lines_of(F.col("text"))
     return (
         rows.join(drops.hint("merge"), ["key", "part"], "left")
