@@ -1,19 +1,20 @@
 """Quality classifier: random-indexing word vectors and a two-layer network.
 
-Word vectors: a word is its first letters, its case and its length; the signs
-at its end are a word of their own. Both are hashed to ``BUCKETS`` rows. Every
-row has a sparse random index vector (``NONZERO`` entries of +-1 out of
-``WIDTH``). A row's context vector is the sum of the index vectors found beside
-it, over all documents, in integers, so it doesn't depend on how the tables are
-cut. A document pools the mean and the spread of its words' context vectors.
+Word vectors: a word is all its bytes up to the signs at its end, with A-Z
+lower-cased; its shape (those signs, its capitals, its length) is a word of its own.
+Both are hashed to ``BUCKETS`` rows. Every row has a sparse random index vector
+(``NONZERO`` entries of +-1 out of ``WIDTH``). A row's context vector is the sum of
+the index vectors found beside it, over all documents, in integers, so it doesn't
+depend on how the tables are cut. A document pools the mean and the spread of its
+words' context vectors, and of its shapes'.
 
 Network: tanh layer and logistic output in numpy, trained on a bounded sample of
 labelled rows (``sample``, those with the least hash of their id), then a
 temperature fitted on a part of it that was held back from training.
 
 Defined cases: null or empty texts are scored like any other (a zero vector);
-rows that share an id are scored each by its own text; labels that are null or
-whose doc_id is null aren't used; without labels of both kinds every score is
+rows that share an id are scored each by its own text, and the least text of an id
+is the one that is learned from; labels that are null or whose doc_id is null aren't used; without labels of both kinds every score is
 the share of label 1 (0.5 without any); extra columns are ignored.
 """
 
@@ -27,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import add_blocks, as_blocks, documents
-from .words import LOWER, SIGNS, U, mix, text_chunks, word_bounds
+from .words import SIGNS, U, mix, prefix_sums, range_hash, text_chunks, word_bounds
 
-BUCKETS, WIDTH, NONZERO, BLOCKS = 1 << 14, 32, 4, 16
+BUCKETS, WIDTH, NONZERO, BLOCKS = 1 << 15, 32, 4, 16
 HIDDEN = 32
 #: Labelled rows that the network is trained on, at most.
 SAMPLE = 20_000
@@ -43,28 +44,26 @@ def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each word, row of the signs at its end, first word of each text)."""
+    """(row of each word, row of its shape, first word of each text)."""
     start, end, first = word_bounds(data, offsets)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), first
-    padded = np.concatenate([data, np.zeros(4, np.uint8)])
     size = end - start
-    letters = np.zeros(len(start), U)
-    capitals = np.zeros(len(start), np.int64)
-    for k in range(4):
-        b = np.where(size > k, padded[start + k], 0)
-        capitals += (b >= 65) & (b <= 90)
-        letters = (letters << U(8)) | LOWER[b].astype(U)
-    shape = np.minimum(size, 12).astype(U) | (np.minimum(capitals, 2).astype(U) << U(4))
-    word = mix((letters << U(8)) | shape)
-    tail = np.zeros(len(start), U)
+    tail, stem = np.zeros(len(start), U), end.copy()
     open_ = np.ones(len(start), bool)
     for k in range(1, 4):
         b = np.where(size >= k, data[np.maximum(end - k, 0)], 0)
         open_ &= SIGNS[b] & (size >= k)
         tail = (tail << U(8)) | np.where(open_, b, 0).astype(U)
+        stem -= open_
+    sums, down = prefix_sums(data)
+    word = range_hash(sums, down, start, stem)
+    upper = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data >= 65) & (data <= 90), out=upper[1:])
+    capitals = np.minimum(upper[end] - upper[start], 3).astype(U)
+    shape = mix((tail << U(16)) | (capitals << U(8)) | np.minimum(size, 15).astype(U))
     mask = U(BUCKETS - 1)
-    return (word & mask).astype(np.int64), (mix(tail + U(0xABCDEF)) & mask).astype(np.int64), first
+    return (word & mask).astype(np.int64), (shape & mask).astype(np.int64), first
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
@@ -192,6 +191,8 @@ def quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
         seen.groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+    # One row for each label, however often its id is there.
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
