@@ -162,10 +162,11 @@ def with_probe(rows: DataFrame) -> DataFrame:
 
 
 def digest(out: DataFrame) -> DataFrame:
-    """What can be read back from the formatted text and its mask."""
+    """What can be read back from the formatted text and its mask: the turns by the parser, the loss by the spans."""
     turns = parse(F.col("formatted"))
     told = F.array_join(F.transform(turns, lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s.loss), lambda s: unescape(s.text)), "")
+    under = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s.start + 1).cast("int"), (s.end - s.start).cast("int"))))
+    loss = F.array_join(under, "")
     return out.select(
         "conv_id",
         F.size(turns).cast("long").alias("n_turns"),
