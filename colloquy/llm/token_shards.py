@@ -39,10 +39,8 @@ from pyspark.sql import functions as F
 from .common import discard, documents, release, shared_path, stored
 
 LENGTH, ROWS, KEY, ROUNDS = 512, 4096, 0x5DEECE66D, 6
-#: Cached word pieces in a worker.
-PIECES = 300_000
 #: Ranges of shards that ``token_shards`` writes one after the other.
-PASSES = 3
+PASSES = 4
 #: Stretches of input whose totals may be broadcast, at most; beyond, they are joined by an exchange.
 RUNS = 100_000
 INDEX = "slot long, shard long, byte_offset long, doc_id long, part long, n_tokens int"
@@ -56,7 +54,7 @@ def vocabulary() -> str:
 
 
 class Tokenizer:
-    """Byte-level BPE ids as uint16 bytes. Texts are cut at single spaces, where its pattern always cuts, and pieces are cached."""
+    """Byte-level BPE ids as uint16 bytes."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -66,25 +64,9 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.end = len(ranks)
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if "  " in text or not text:
-            return self.whole(text)
-        known = self.known
-        first, *rest = text.split(" ")
-        try:
-            return (self.whole(first) if first else b"") + b"".join([known[p] for p in rest])
-        except KeyError:
-            if len(known) > PIECES:
-                known.clear()
-            for p in rest:
-                if p not in known:
-                    known[p] = self.whole(" " + p)
-            return (self.whole(first) if first else b"") + b"".join([known[p] for p in rest])
+        return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
 
 
 @lru_cache(maxsize=2)
