@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def number(c: Column) -> Column:
     """As a double; what can't be read, NaN included, is null."""
-    d = c.try_cast("double")
-    return F.when(~F.isnan(d), d)
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
 
 def clip(c: Column, low=None, high=None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -17,7 +19,7 @@ LEGAL_SUFFIXES = (
 #: Texts of a page that is still loading.
 PLACEHOLDERS = ("your document is on its way...", "your document is on its way")
 WEEKDAYS = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
-#: A speaker line: the operator, or a letter, up to 100 more signs and the role.
+#: Fixed value: a speaker line, that is the operator, or a letter, up to 100 more signs and the role.
 SPEAKER_LINE = r"(?md)^(OperatorOperator|[\p{L}\p{Nl}\p{No}][^\n]{1,100}?(?:Executive|Analyst))$"
 
 
@@ -38,7 +40,7 @@ def clean_text(c: Column) -> Column:
 
 
 def is_placeholder(c: Column) -> Column:
-    low = F.lower(F.coalesce(c, F.lit("")))
+    low = F.lower(clean_text(c))
     out = F.lit(False)
     for p in PLACEHOLDERS:
         out = out | low.contains(p)
@@ -69,9 +71,13 @@ def _decomposed(names: pd.Series) -> pd.Series:
     return names.map(fold)
 
 
-def company_key(c: Column, ascii_only: bool = False) -> Column:
-    """Name key: lower case, decomposed, letters and digits, without legal suffixes at its end."""
-    return _tidy(F.lower(c) if ascii_only else _decomposed(c))
+def company_key(c: Column) -> Column:
+    """Name key: lower case, decomposed, letters and digits, without legal suffixes at its end.
+
+    Only names with other than ASCII characters are handed to Python.
+    """
+    plain = F.octet_length(c) == F.length(c)
+    return _tidy(F.when(plain, F.lower(c)).otherwise(_decomposed(F.when(~plain, c))))
 
 
 def long_date(c: Column) -> Column:
@@ -91,6 +97,11 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"\S+"))
 
 
+def first_tokens(c: Column, n: int) -> Column:
+    """The text up to the end of its n-th token of the default counter."""
+    return F.when(token_count(c) <= n, c).otherwise(F.regexp_extract(c, rf"^\s*(?:\S+\s+){{{n - 1}}}\S+", 0))
+
+
 def speaker_headers(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(SPEAKER_LINE), F.lit(1))
 
@@ -116,6 +127,20 @@ def json_label(c: Column) -> Column:
     return F.from_json(json_part(c), "struct<label:string, reason:string>")
 
 
+def label_in(answer: str | None) -> str | None:
+    """What ``label`` of ``json_label`` gives for one answer, outside Spark: for a service that must be asked again."""
+    said = (answer or "").strip()
+    inner = re.search(r"\{.*\}", said, re.S)
+    for part in (said, inner[0] if inner else ""):
+        try:
+            found = json.loads(part)
+        except ValueError:
+            continue
+        low = str(found.get("label", "")).strip().lower() if isinstance(found, dict) else ""
+        return next((full for full in ("negative", "neutral", "positive") if low in (full, full[:3])), None)
+    return None
+
+
 def message_content(response: Column) -> Column:
     return F.get_json_object(response, "$.choices[0].message.content")
 

@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
+#: The control variables.
 CONTROLS = ("eps_surprise", "revenue_surprise", "log_marketCap", "log_AvgVolume_m20_m1", "log_n_tokens_qa")
 
 
@@ -47,22 +50,51 @@ class Fit:
 
 
 def levels(df: DataFrame, column: str) -> list:
-    """The sorted levels of a fixed effect (a bounded set: quarters, or firms of a sample)."""
+    """The sorted levels of a fixed effect that becomes columns (a bounded set: quarters)."""
     return sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
 
 
-def ols(df: DataFrame, y: str, x: list[str], effects: tuple[str, ...] = (), cov: str = "classical", cluster: str | None = None) -> Fit:
-    """cov: classical, hc1 or cluster. Rows with a missing value go first, and groups are taken from those that stay."""
-    needed = [y, *x, *effects, *([cluster] if cluster else [])]
+def ols(
+    df: DataFrame, y: str, x: list[str], effects: tuple[str, ...] = (), cov: str = "classical", cluster: str | None = None, absorb: str | None = None,
+) -> Fit:
+    """cov: classical, hc1 or cluster. Rows with a missing value go first, and groups are taken from those that stay.
+
+    ``effects`` become columns of the design (few levels: quarters). ``absorb`` is a fixed effect of any
+    number of levels (firms): all columns are taken as differences from their means by level, which gives the same
+    coefficients, errors and fit as a column for each level, but no intercept.
+    """
+    needed = [y, *x, *effects, *([cluster] if cluster else []), *([absorb] if absorb else [])]
     rows = df.dropna("any", subset=needed).select(*dict.fromkeys(needed))
     kinds = {e: levels(rows, e)[1:] for e in effects}
-    names = ["Intercept", *[f"{e}[{v}]" for e in effects for v in kinds[e]], *x]
+    names = [*([] if absorb else ["Intercept"]), *[f"{e}[{v}]" for e in effects for v in kinds[e]], *x]
     k = len(names)
 
-    def design(p: pd.DataFrame) -> np.ndarray:
-        parts = [np.ones(len(p))] + [(p[e] == v).to_numpy(float) for e in effects for v in kinds[e]] + [p[c].to_numpy(float) for c in x]
+    def plain(p: pd.DataFrame) -> np.ndarray:
+        parts = ([] if absorb else [np.ones(len(p))]) + [(p[e] == v).to_numpy(float) for e in effects for v in kinds[e]] + [p[c].to_numpy(float) for c in x]
         return np.column_stack(parts) if len(p) else np.zeros((0, k))
 
+    absorbed, totals = 0, rows.agg(F.sum(F.col(y) * F.col(y)), F.sum(y)).first()
+    if absorb:
+        def by_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                own = pd.DataFrame(np.column_stack([np.ones(len(p)), p[y].to_numpy(float), plain(p)]))
+                g = own.groupby(p[absorb].astype(str).to_numpy()).sum()
+                yield pd.DataFrame({"_level": g.index, "s": list(g.to_numpy())})
+
+        sums_ = rows.mapInPandas(by_level, "_level string, s array<double>").groupBy("_level").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(k + 2)])
+        means = sums_.select("_level", F.array(*[F.col(f"s{i}") / F.col("s0") for i in range(1, k + 2)]).alias("_means"))
+        absorbed = means.count()
+        rows = rows.withColumn("_level", F.col(absorb).cast("string")).join(means, "_level").drop("_level")
+
+    def middle(p: pd.DataFrame) -> np.ndarray:
+        return np.stack(p["_means"].to_numpy()) if absorb and len(p) else np.zeros((len(p), k + 1))
+
+    def design(p: pd.DataFrame) -> np.ndarray:
+        return plain(p) - middle(p)[:, 1:]
+
+    def outcome(p: pd.DataFrame) -> np.ndarray:
+        return p[y].to_numpy(float) - middle(p)[:, 0]
+
     def sums(width: int, one) -> np.ndarray:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(width)
@@ -73,22 +105,22 @@ def ols(df: DataFrame, y: str, x: list[str], effects: tuple[str, ...] = (), cov:
         return sum((np.array(r["v"]) for r in rows.mapInPandas(run, "v array<double>").collect()), np.zeros(width))
 
     def gram(p: pd.DataFrame) -> np.ndarray:
-        d, t = design(p), p[y].to_numpy(float)
-        return np.concatenate([(d.T @ d).ravel(), d.T @ t, [t @ t, t.sum(), len(t)]])
+        d, t = design(p), outcome(p)
+        return np.concatenate([(d.T @ d).ravel(), d.T @ t, [t @ t, len(t)]])
 
-    s = sums(k * k + k + 3, gram)
-    xtx, xty, (yy, ysum, n) = s[: k * k].reshape(k, k), s[k * k : -3], s[-3:]
+    s = sums(k * k + k + 2, gram)
+    xtx, xty, (yy, n) = s[: k * k].reshape(k, k), s[k * k : -2], s[-2:]
     inv = np.linalg.pinv(xtx)
     b = inv @ xty
-    rank = int(np.linalg.matrix_rank(xtx)) if n else 0
-    rss, tss = float(yy - b @ xty), float(yy - ysum * ysum / n) if n else math.nan
+    rank = int(np.linalg.matrix_rank(xtx)) + absorbed if n else 0
+    rss, tss = float(yy - b @ xty), float(totals[0] - totals[1] ** 2 / n) if n else math.nan
     clusters = None
     if cov == "classical":
         v = inv * rss / max(1, n - rank)
     elif cov == "hc1":
         def meat(p: pd.DataFrame) -> np.ndarray:
             d = design(p)
-            e = p[y].to_numpy(float) - d @ b
+            e = outcome(p) - d @ b
             return ((d * (e * e)[:, None]).T @ d).ravel()
 
         v = inv @ sums(k * k, meat).reshape(k, k) @ inv * n / max(1, n - rank)
@@ -97,7 +129,7 @@ def ols(df: DataFrame, y: str, x: list[str], effects: tuple[str, ...] = (), cov:
         def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in batches:
                 d = design(p)
-                u = pd.DataFrame(d * (p[y].to_numpy(float) - d @ b)[:, None])
+                u = pd.DataFrame(d * (outcome(p) - d @ b)[:, None])
                 g = u.groupby(p[cluster].astype(str).to_numpy()).sum()
                 yield pd.DataFrame({"g": g.index, "s": list(g.to_numpy())})
 
@@ -120,7 +152,7 @@ def ols(df: DataFrame, y: str, x: list[str], effects: tuple[str, ...] = (), cov:
     return Fit(names, b, v, int(n), 1 - rss / tss if tss else math.nan, clusters)
 
 
-#: Name, regressors beside the controls, firm effects, covariance, sample.
+#: Name, regressors beside the controls, firm effects, covariance, sample.
 SPECS = (
     ("main", ("NegPrepared", "NegGap"), False, "cluster", "all"),
     ("prepared_and_qa", ("NegPrepared", "NegQA"), False, "cluster", "all"),
@@ -133,13 +165,14 @@ SPECS = (
     ("joint_seglenw", ("NegPrepared_seglenw", "NegQA_seglenw"), False, "cluster", "all"),
     ("joint_segmax", ("NegPrepared_segmax", "NegQA_segmax"), False, "cluster", "all"),
 )
-#: Regressors, with controls, with quarter effects.
+#: Regressors, with controls, with quarter effects.
 PROGRESSIVE = ((("NegPrepared",), False, False), (("NegGap",), False, False), (("NegPrepared", "NegGap"), False, False), (("NegPrepared", "NegGap"), True, False), (("NegPrepared", "NegGap"), True, True))
 
 
 def long_calls(df: DataFrame, column: str = "log_n_tokens_qa") -> DataFrame:
     """Rows at or above the median."""
-    return df.crossJoin(F.broadcast(df.agg(F.percentile(column, F.lit(0.5)).alias("_m")))).filter(F.col(column) >= F.col("_m")).drop("_m")
+    (middle,) = exact_quantiles(df, [column], [0.5])
+    return df.filter(F.col(column) >= middle[0]) if middle else df.limit(0)
 
 
 def rows_of(name: str, fit: Fit) -> list[tuple]:
@@ -154,7 +187,7 @@ def all_specs(df: DataFrame, y: str = "CAR_m1_p1", firm: str = "ticker_norm", qu
     samples = {"all": df, "trimmed": winsorized(df, [y, "NegPrepared", "NegGap", *CONTROLS]), "long": long_calls(df)}
     out = []
     for name, x, firms, cov, sample in SPECS:
-        fit = ols(samples[sample], y, [*x, *CONTROLS], (quarter, firm) if firms else (quarter,), cov, firm if cov == "cluster" else None)
+        fit = ols(samples[sample], y, [*x, *CONTROLS], (quarter,), cov, firm if cov == "cluster" else None, firm if firms else None)
         out += rows_of(name, fit)
         if name == "prepared_and_qa":
             w = fit.wald("NegQA", "NegPrepared")

@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .quantiles import exact_quantiles
 from .relate import asof
 
+#: Least estimates for a surprise, days to earnings, rows for an expected return.
 MIN_EPS, MIN_REVENUE, MAX_GAP, MIN_DAYS = 0.01, 1e6, 30, 60
 
 
+def numbers(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns that are there as doubles; texts that are no number, and NaN, become missing."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: N.number(F.col(c)) for c in columns if kinds.get(c) not in (None, "bigint", "int") and not kinds[c].startswith("decimal")})
+
+
 def market_panel(panel: DataFrame) -> DataFrame:
-    """panel (ticker_norm, date, close, volume) -> log returns and all frames around each row."""
-    panel = panel.dropna("any", subset=["date", "close"])
+    """panel (ticker_norm, date, close, volume) -> log returns and all frames around each row. What is no number counts as missing."""
+    panel = numbers(panel, "close", "volume").dropna("any", subset=["date", "close"])
     w = Window.partitionBy("ticker_norm").orderBy("date")
     ret = panel.withColumn("ret", N.safe_log(N.ratio(F.col("close"), F.lag("close").over(w))))
     base = w.rowsBetween(-250, -50)
@@ -40,12 +48,13 @@ def with_market(calls: DataFrame, panel: DataFrame) -> DataFrame:
 
 
 def with_marketcap(calls: DataFrame, caps: DataFrame) -> DataFrame:
-    out = asof(calls, caps.dropna("any", subset=["date", "marketCap"]), "ticker_norm", "call_date", "date")
+    out = asof(calls, numbers(caps, "marketCap").dropna("any", subset=["date", "marketCap"]), "ticker_norm", "call_date", "date")
     cap = F.col("match.marketCap")
     return out.select(*calls.columns, cap.alias("marketCap"), N.safe_log(cap).alias("log_marketCap"))
 
 
 def with_earnings(calls: DataFrame, earnings: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
+    earnings = numbers(earnings, "epsEstimated", "epsActual", "revenueEstimated", "revenueActual")
     out = asof(calls, earnings.dropna("any", subset=["date"]), "ticker_norm", "call_date", "date", tolerance=max_gap)
     m = {c: F.col(f"match.{c}") for c in ("date", "epsEstimated", "epsActual", "revenueEstimated", "revenueActual")}
     return out.select(
@@ -55,16 +64,15 @@ def with_earnings(calls: DataFrame, earnings: DataFrame, max_gap: int = MAX_GAP)
     )
 
 
+#: Columns that a regression needs, and those that are cut.
 REQUIRED = ("NegGap", "CAR_m1_p1", "eps_surprise", "revenue_surprise", "log_marketCap", "AvgVolume_m20_m1")
 WINSORIZED = ("CAR_m1_p1", "eps_surprise", "revenue_surprise", "AbVol_0_p1")
 
 
 def winsorized(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Columns cut at exact quantiles of all rows, from one aggregate of one row (safe to send everywhere)."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(q))
-    out = out.withColumns({c: N.clip(F.col(c), F.col(f"_{c}")[0], F.col(f"_{c}")[1]) for c in columns})
-    return out.drop(*[f"_{c}" for c in columns])
+    """Columns cut at exact quantiles of all rows."""
+    cuts = dict(zip(columns, exact_quantiles(df, columns, [low, high])))
+    return df.withColumns({c: N.clip(F.col(c), *q) for c, q in cuts.items() if q is not None})
 
 
 def prepared(df: DataFrame, cut: tuple = WINSORIZED) -> DataFrame:

@@ -24,8 +24,28 @@ def distinct_rows(*tables: DataFrame) -> DataFrame:
 
 def enrich(left: DataFrame, metadata: DataFrame, left_key: str, right_key: str, order: list) -> DataFrame:
     """Left join on the company key; the first metadata row per key; an empty key matches nothing. The join is left to Spark's size check."""
-    right = first_of(metadata.withColumn("_key", X.company_key(F.col(right_key), True)).filter("_key <> ''"), ["_key"], order)
-    return left.withColumn("_key", X.company_key(F.col(left_key), True)).join(right, "_key", "left").drop("_key")
+    right = first_of(metadata.withColumn("_key", X.company_key(F.col(right_key))).filter("_key <> ''"), ["_key"], order)
+    return left.withColumn("_key", X.company_key(F.col(left_key))).join(right, "_key", "left").drop("_key")
+
+
+#: Columns of a metadata table that are kept, by the names they get.
+METADATA = {
+    "ticker": "ticker", "name": "metadata_name", "country": "country", "industry": "industry", "sector": "sector", "size class": "size_class",
+    "exchange": "exchange", "trading region": "trading_region", "last price": "last_price",
+}
+
+
+def metadata_columns(metadata: DataFrame) -> DataFrame:
+    """The known columns that a metadata table has, renamed; it must have a name."""
+    if "name" not in metadata.columns:
+        raise ValueError("the metadata table has no column 'name'")
+    return metadata.select(*[F.col(f"`{k}`").alias(v) for k, v in METADATA.items() if k in metadata.columns])
+
+
+def enrich_companies(segments: DataFrame, metadata: DataFrame, order: list | None = None) -> DataFrame:
+    """Segments with the metadata of their company as it comes from its source. Of several rows of a name the first in ``order`` counts."""
+    right = metadata_columns(metadata)
+    return enrich(segments, right, "company_name", "metadata_name", order or [F.col(c) for c in right.columns])
 
 
 def in_universe(df: DataFrame, symbols: DataFrame, column: str = "ticker", symbol: str = "Symbol") -> DataFrame:
@@ -34,6 +54,13 @@ def in_universe(df: DataFrame, symbols: DataFrame, column: str = "ticker", symbo
     return df.join(keep, X.ticker(F.col(column)) == F.col("_t"), "left_semi")
 
 
+def universe_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: rows before and after, their share in percent, tickers and transcripts that are left."""
+    n = before.agg(F.count("*").alias("n_rows"))
+    kept = after.agg(F.count("*").alias("n_kept"), F.count_distinct("ticker").alias("n_companies"), F.count_distinct("transcript_id").alias("n_transcripts"))
+    return n.crossJoin(F.broadcast(kept)).withColumn("share", F.coalesce(F.try_divide(F.lit(100) * F.col("n_kept"), F.col("n_rows")), F.lit(0.0)))  # one row each
+
+
 def not_in(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(key).distinct(), key, "left_anti")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 import pandas as pd
@@ -33,32 +35,60 @@ def extremes(df: DataFrame, n: int, score: str, key: str) -> DataFrame:
 
 
 def stratified(df: DataFrame, n: int, key: str, section: str = "section", score: str | None = None, weights: dict | None = None, seed: int = 42) -> DataFrame:
-    """floor(n * weight) rows per section, 30 % of them extremes where scores are given, then topped up to n from the rest."""
-    parts = None
-    for name, weight in (weights or WEIGHTS).items():
-        of, size = df.filter(F.col(section) == name), int(n * weight)
-        if score:
-            edge = extremes(of, round(size * 0.3), score, key)
-            part = edge.unionByName(uniform(not_in(of, edge, key), size - round(size * 0.3), key, seed))
-        else:
-            part = uniform(of, size, key, seed)
-        parts = part if parts is None else parts.unionByName(part)
-    parts = parts.dropDuplicates([key])
-    rest = not_in(df, parts, key)
-    ranked = rest.withColumn("_r", hashed(key, seed)).orderBy("_r", key).limit(n).withColumn("_n", F.row_number().over(Window.orderBy("_r", key)))
-    have = parts.agg(F.count("*").alias("_have"))
-    extra = ranked.crossJoin(F.broadcast(have)).filter(f"_n <= {n} - _have").select(*df.columns)
-    return parts.unionByName(extra)
+    """floor(n * weight) rows per section, 30 % of them extremes where scores are given, then topped up to n from the rest.
+
+    One pass over ``df``: every row stands in line by score from both ends and by hash within
+    its section, and by hash over all; the lines are cut at 2 n rows by partial sorts before
+    the exchange. What is left (some n rows a line, one per key) decides the sample.
+    """
+    weights = weights or WEIGHTS
+    none = F.lit(None).cast("double")
+    value = F.col(score).cast("double") if score else none
+    lines = [F.struct(F.lit(t).alias("line"), g.alias("group"), v.alias("v"), h.alias("h")) for t, g, v, h in (
+        ("low", F.col(section), value, F.lit("")), ("high", F.col(section), -value, F.lit("")),
+        ("hash", F.col(section), F.lit(0.0), hashed(key, seed)), ("all", F.lit(""), F.lit(0.0), hashed(key, seed)))]
+    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("key"), F.col(section).alias("section"), F.explode(F.array(*lines)).alias("l"))
+    named = named.filter(F.col("l.v").isNotNull() & ((F.col("l.line") == "all") | F.col("section").isin(*weights)))
+    order = Window.partitionBy("l.line", "l.group").orderBy("l.v", "l.h", "key")
+    ranked = named.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * n)
+    places = [F.min(F.when(F.col("l.line") == t, F.col("r"))).alias(t) for t in ("low", "high", "hash", "all")]
+    few = ranked.groupBy("key").agg(F.first("row").alias("row"), F.first("section").alias("section"), *places)
+    # From here on, at most 2 n rows for each line of each section, and of all.
+    size = F.lit(0)
+    for name, weight in weights.items():
+        size = F.when(F.col("section") == name, int(n * weight)).otherwise(size)
+    edge = F.when(F.max("low").over(Window.partitionBy("section")).isNotNull(), F.bround(size * 0.3, 0).cast("int")).otherwise(0)
+    few = few.withColumn("size", size).withColumn("edge", edge)
+    low = F.floor(F.col("edge") / 2)
+    few = few.withColumn("extreme", F.coalesce(F.col("low") <= low, F.lit(False)) | F.coalesce(F.col("high") <= F.col("edge") - low, F.lit(False)))
+    turn = F.row_number().over(Window.partitionBy("section", "extreme").orderBy(F.col("hash").asc_nulls_last()))
+    few = few.withColumn("base", F.col("extreme") | (F.col("hash").isNotNull() & (turn <= F.col("size") - F.col("edge"))))
+    turn = F.row_number().over(Window.partitionBy("base").orderBy(F.col("all").asc_nulls_last()))
+    have = F.count_if("base").over(Window.partitionBy())
+    return few.withColumn("extra", F.col("all").isNotNull() & (turn <= n - have)).filter("base OR extra").select("row.*")
+
+
+def global_ranks(df: DataFrame, first: str, then: str, out: str) -> DataFrame:
+    """``df`` with its place (from 1) in order of ``first`` (a date, missing values last) and ``then``.
+
+    No task sees all rows: rows are counted by value of ``first``, the running totals of these
+    counts (a row for each date) give the place of each value's first row, and rows are numbered inside their value.
+    """
+    by_value = Window.orderBy(F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(F.col(first).alias("_v")).agg(F.count("*").alias("_c"))
+    before = counts.select("_v", F.coalesce(F.sum("_c").over(by_value), F.lit(0)).alias("_before"))
+    inside = df.withColumn("_in", F.row_number().over(Window.partitionBy(first).orderBy(then)))
+    placed = inside.join(before, F.col(first).eqNullSafe(F.col("_v")))
+    return placed.withColumn(out, F.col("_before") + F.col("_in")).drop("_v", "_before", "_in")
 
 
 def group_split(df: DataFrame, group: str, date: str, train: float = 0.7, valid: float = 0.15) -> DataFrame:
     """(group, split): groups in order of date and id, cut at shares rounded half to even."""
     groups = df.groupBy(group).agg(F.min(date).alias("_d"))
-    order = Window.orderBy(F.col("_d").asc_nulls_last(), group)
-    n = F.count("*").over(Window.partitionBy())
-    at = groups.withColumn("_r", F.row_number().over(order)).withColumn("_n", n)
-    a = F.bround(F.col("_n") * train, 0).cast("int")
-    b = a + F.bround(F.col("_n") * valid, 0).cast("int")
+    n = groups.count()
+    a = round(n * train)
+    b = a + round(n * valid)
+    at = global_ranks(groups, "_d", group, "_r")
     return at.select(group, F.when(F.col("_r") <= a, "train").when(F.col("_r") <= b, "valid").otherwise("test").alias("split"))
 
 
@@ -76,12 +106,17 @@ def annotation_frame(df: DataFrame, order: list[str]) -> DataFrame:
     return out.select(*first, *[c for c in out.columns if c not in first])
 
 
-def labelled_by(df: DataFrame, ask: Callable[[str], str], prompt_column: str, key: str, attempts: int = 3, concurrency: int = 8) -> DataFrame:
+def labelled_by(
+    df: DataFrame, ask: Callable[[str], str], prompt_column: str, key: str, attempts: int = 3, concurrency: int = 8, wait: float = 0.0,
+    timeout: float | None = None,
+) -> DataFrame:
     """Labels from a callable of the caller that answers a prompt; a row that fails stays as a failed row.
 
-    ``concurrency`` partitions ask side by side. Parsing is done by expressions.
+    ``concurrency`` partitions ask side by side. An answer that holds no label is asked for again, ``wait`` seconds
+    times the number of the attempt later; an answer that takes more than ``timeout`` seconds counts as failed.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool = ThreadPoolExecutor(1) if timeout else None
         for batch in batches:
             rows = []
             for k, p in zip(batch[key], batch[prompt_column]):
@@ -89,9 +124,18 @@ def labelled_by(df: DataFrame, ask: Callable[[str], str], prompt_column: str, ke
                 while answer is None and n < attempts:
                     n += 1
                     try:
-                        answer = ask(p)
+                        said = pool.submit(ask, p).result(timeout) if pool else ask(p)
+                        found = X.label_in(said)
+                        if found is None:
+                            raise ValueError(f"no label in the answer: {str(said)[:200]}")
+                        answer = said
                     except Exception as e:  # noqa: BLE001  the failure is the row's result
-                        error = str(e)[:500]
+                        error = (str(e) or type(e).__name__)[:500]
+                        if pool and isinstance(e, TimeoutError):
+                            pool.shutdown(wait=False, cancel_futures=True)
+                            pool = ThreadPoolExecutor(1)
+                        if n < attempts:
+                            time.sleep(wait * n)
                 rows.append((k, answer, None if answer is not None else error, n))
             yield pd.DataFrame(rows, columns=[key, "raw_response", "error", "attempts"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,43 +16,64 @@ LABELS = ("neutral", "positive", "negative")
 SECTIONS = {"Prepared": ("Prepared",), "Q": ("Q",), "A": ("A",), "QA": ("Q", "A")}
 
 
-def packed(c: Column, most: int, count: Callable[[Column], Column] = X.token_count) -> Column:
-    """array<string>: sentences packed greedily up to ``most`` tokens.
+#: Sentences folded together: a fold appends to its result, which is kept short by starting a new one.
+FOLD = 256
 
-    A text that fits is returned as it is; a sentence that doesn't fit alone is
-    split into runs of ``most`` words. The fold works on counts and bounds, not on
-    growing strings: it yields (from, to) of sentences or of words of one sentence.
-    """
-    texts = X.sentences(c)
+
+def pack_bounds(counts: Column, most: int) -> Column:
+    """array<struct<a,b,hard>>: runs of sentences (from 1) of at most ``most`` tokens, or one sentence of more."""
     bound = "array<struct<a:int,b:int,hard:boolean>>"
-    start = F.struct(F.array().cast(bound).alias("out"), F.lit(1).alias("a"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+    none = F.array().cast(bound)
+
+    def run(a: Column, b: Column, hard: bool) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), F.lit(hard).alias("hard"))
+
+    def flushed(acc: Column) -> Column:
+        return F.when(acc["n"] > 0, F.concat(acc["out"], F.array(run(acc["a"], acc["i"], False)))).otherwise(acc["out"])
 
     def step(acc: Column, n: Column) -> Column:
         i = acc["i"] + 1
-        flushed = F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), acc["i"].alias("b"), F.lit(False).alias("hard"))))).otherwise(acc["out"])
-        alone = F.struct(F.concat(flushed, F.array(F.struct(i.alias("a"), i.alias("b"), F.lit(True).alias("hard")))).alias("out"), (i + 1).alias("a"), i.alias("i"), F.lit(0).alias("n"))
-        new = F.struct(flushed.alias("out"), i.alias("a"), i.alias("i"), n.alias("n"))
+        alone = F.struct(F.concat(flushed(acc), F.array(run(i, i, True))).alias("out"), (i + 1).alias("a"), i.alias("i"), F.lit(0).alias("n"))
+        new = F.struct(flushed(acc).alias("out"), i.alias("a"), i.alias("i"), n.alias("n"))
         more = F.struct(acc["out"].alias("out"), acc["a"].alias("a"), i.alias("i"), (acc["n"] + n).alias("n"))
         return F.when(n > most, alone).when((acc["n"] > 0) & (acc["n"] + n > most), new).otherwise(more)
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), acc["i"].alias("b"), F.lit(False).alias("hard"))))).otherwise(acc["out"])
+    def block(acc: Column, part: Column) -> Column:
+        now = acc["now"]
+        begin = F.struct(none.alias("out"), now["a"].alias("a"), now["i"].alias("i"), now["n"].alias("n"))
+        return F.struct(F.concat(acc["done"], F.array(now["out"])).alias("done"), F.aggregate(part, begin, step).alias("now"))
 
-    bounds = F.aggregate(F.transform(texts, count), start, step, finish)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(counts) - 1, F.lit(0)), F.lit(FOLD)), lambda k: F.slice(counts, k + 1, FOLD))
+    start = F.struct(
+        F.array().cast(f"array<{bound}>").alias("done"),
+        F.struct(none.alias("out"), F.lit(1).alias("a"), F.lit(0).alias("i"), F.lit(0).alias("n")).alias("now"),
+    )
+    return F.aggregate(parts, start, block, lambda acc: F.flatten(F.concat(acc["done"], F.array(flushed(acc["now"])))))
 
+
+def pack_texts(whole: Column, texts: Column, bounds: Column, most: int, count: Callable[[Column], Column]) -> Column:
+    """array<string>: the sentences of each bound; a text that fits is left as it is, a sentence that doesn't is split into runs of ``most`` words."""
     def text_of(b: Column) -> Column:
         words = F.regexp_extract_all(F.get(texts, b["a"] - 1), F.lit(r"\S+"), F.lit(0))
         hard = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(most)), lambda k: F.array_join(F.slice(words, k + 1, most), " "))
         return F.when(b["hard"], hard).otherwise(F.array(F.array_join(F.slice(texts, b["a"], b["b"] - b["a"] + 1), " ")))
 
-    whole = X.as_text(c)
     return F.when(whole == "", F.array().cast("array<string>")).when(count(whole) <= most, F.array(whole)).otherwise(F.flatten(F.transform(bounds, text_of)))
 
 
+def packed(c: Column, most: int, count: Callable[[Column], Column] = X.token_count) -> Column:
+    """array<string>: sentences packed greedily up to ``most`` tokens, as one expression for short texts; ``chunks`` takes any."""
+    texts = X.sentences(c)
+    return pack_texts(X.as_text(c), texts, pack_bounds(F.transform(texts, count), most), most, count)
+
+
 def chunks(segs: DataFrame, most: int = 510, count: Callable[[Column], Column] = X.token_count) -> DataFrame:
     """One row per chunk: chunk_id, chunk_order (from 1, counted before empty chunks go), chunk_text, chunk_token_count."""
     keep = [c for c in segs.columns if c != "content"]
-    out = segs.select(*keep, F.posexplode(packed(F.col("content"), most, count)).alias("_at", "chunk_text"))
+    # Sentences and bounds are columns of their own: inside the expression of the texts they would be made again for every chunk.
+    out = segs.select(*keep, X.as_text(F.col("content")).alias("_whole"), X.sentences(F.col("content")).alias("_texts"))
+    out = out.withColumn("_bounds", pack_bounds(F.transform("_texts", count), most))
+    out = out.select(*keep, F.posexplode(pack_texts(F.col("_whole"), F.col("_texts"), F.col("_bounds"), most, count)).alias("_at", "chunk_text"))
     out = out.withColumn("chunk_order", (F.col("_at") + 1).cast("long")).withColumn("chunk_token_count", count(F.col("chunk_text")).cast("long")).drop("_at")
     return out.withColumn("chunk_id", F.concat_ws("_", "transcript_id", "segment_id", "chunk_order")).filter("chunk_token_count > 0")
 
@@ -60,24 +82,44 @@ def without_operator(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("section").eqNullSafe("O"))
 
 
-def scored_by(df: DataFrame, score: Callable[[pd.Series], pd.DataFrame], column: str = "chunk_text") -> DataFrame:
+_loaded: dict[str, Callable] = {}
+
+
+def load_once(load: Callable[[], Callable], name: str) -> Callable:
+    """What ``load`` gives, made once in each Python worker."""
+    if name not in _loaded:
+        _loaded[name] = load()
+    return _loaded[name]
+
+
+def scored_by(
+    df: DataFrame, score: Callable[[pd.Series], pd.DataFrame] | None = None, column: str = "chunk_text", load: Callable[[], Callable] | None = None,
+    most_tokens: int | None = None,
+) -> DataFrame:
     """Scores from a callable of the caller, Arrow batch by batch, shortest texts first within a partition.
 
-    ``score`` takes a series of texts and gives one column of probabilities per label.
+    ``score`` takes a series of texts (cut to their first ``most_tokens`` tokens, if given)
+    and gives one column of probabilities per label. Instead of it, ``load`` may make it: a
+    model and its tokenizer are then loaded once in each Python worker and not sent there.
     """
+    if (score is None) == (load is None):
+        raise ValueError("either score or load is needed")
     schema = df.schema
     for name in LABELS:
         schema = schema.add(f"p_{name}", "double")
     schema = schema.add("pred_label", "string")
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = score or load_once(load, key)
         for batch in batches:
-            p = score(batch[column]).set_axis([f"p_{n}" for n in LABELS], axis=1).set_axis(batch.index)
-            out = pd.concat([batch, p.astype("float64")], axis=1)
+            p = model(batch["_scored"]).set_axis([f"p_{n}" for n in LABELS], axis=1).set_axis(batch.index)
+            out = pd.concat([batch.drop(columns="_scored"), p.astype("float64")], axis=1)
             yield out.assign(pred_label=[LABELS[k] for k in p.to_numpy().argmax(axis=1)] if len(p) else [])
 
     order = "chunk_token_count" if "chunk_token_count" in df.columns else column
-    return df.sortWithinPartitions(order).mapInPandas(run, schema)
+    text = X.first_tokens(F.col(column), most_tokens) if most_tokens else F.col(column)
+    return df.withColumn("_scored", text).sortWithinPartitions(order).mapInPandas(run, schema)
 
 
 def scored_by_logits(df: DataFrame, logits: Column) -> DataFrame:

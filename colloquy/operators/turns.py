@@ -25,18 +25,24 @@ def speaker_turns(body: Column) -> Column:
 
 
 def merged_turns(turns: Column) -> Column:
-    """Consecutive turns of one speaker become one; their texts are joined by a line end."""
-    def step(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (last["name"] == t["name"]) & (last["role"] == t["role"])
-        joined = F.struct(t["header"].alias("header"), t["name"].alias("name"), t["role"].alias("role"), F.concat_ws("\n", last["content"], t["content"]).alias("content"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(t)))
+    """Consecutive turns of one speaker become one; their texts are joined by a line end.
+
+    The places where a run begins are found first, so every text is copied once.
+    """
+    def begins(i: Column) -> Column:
+        now, last = F.get(turns, i), F.get(turns, i - 1)
+        return (i == 0) | (now["name"] != last["name"]) | (now["role"] != last["role"])
+
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(turns) - 1, F.lit(0))), begins)
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(turns)))
+    runs = F.arrays_zip(starts.alias("a"), ends.alias("b"))
+
+    def run(r: Column) -> Column:
+        first, rows = F.get(turns, r["a"]), F.slice(turns, r["a"] + 1, r["b"] - r["a"])
+        return F.struct(first["header"].alias("header"), first["name"].alias("name"), first["role"].alias("role"), F.array_join(F.transform(rows, lambda t: t["content"]), "\n").alias("content"))
 
     kind = "array<struct<header:string,name:string,role:string,content:string>>"
-    # element_at(-1) of an empty array is an error under ANSI, so the fold starts from the first turn.
-    return F.when(F.size(turns) == 0, F.array().cast(kind)).otherwise(
-        F.aggregate(F.slice(turns, 2, F.greatest(F.size(turns) - 1, F.lit(0))), F.slice(turns, 1, 1), step)
-    )
+    return F.when(F.size(turns) == 0, F.array().cast(kind)).otherwise(F.transform(runs, run))
 
 
 def split_transcripts(raw: DataFrame) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
-from ..operators import describe, econ, events, relate, sampling, tone, turns
+from ..operators import annotation, describe, econ, events, relate, sampling, tone, turns
 from ..sources import readers
-from .pipelines import merge_raw
+from .pipelines import merge_raw, merge_report
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -179,22 +179,42 @@ def speaker_split(spark, sf_dir):
     return turns.segments(turns.split_transcripts(raw)).select("transcript_id", "segment_id", "speaker_name", "speaker_role", "content")
 
 
-@query(f"""WITH {TURNS}, raw AS (SELECT transcript_id, 5 + sum(1 + CASE speaker_role WHEN 'Operator' THEN 16 ELSE length(speaker_name) + length(speaker_role) END + 1 + length(content)) AS raw_length FROM t GROUP BY ALL),
+VALIDATION = f"""{TURNS}, raw AS (SELECT transcript_id, 5 + sum(1 + CASE speaker_role WHEN 'Operator' THEN 16 ELSE length(speaker_name) + length(speaker_role) END + 1 + length(content)) AS raw_length FROM t GROUP BY ALL),
  one AS (SELECT transcript_id, sum(head + length(content)) + 2 * count(*) - 1 AS segmented_length, count(*) AS n_raw_segments, max(run) AS n_merged_segments FROM runs GROUP BY ALL),
- counts AS (WITH {SPOKEN} SELECT transcript_id, count(*) FILTER (WHERE section = 'Prepared') AS n_prepared, count(*) FILTER (WHERE section = 'Q') AS n_q, count(*) FILTER (WHERE section = 'A') AS n_a, count(*) FILTER (WHERE section = 'O') AS n_o FROM spoken GROUP BY ALL)
-SELECT transcript_id, raw_length::BIGINT AS raw_length, segmented_length::BIGINT AS segmented_length, n_raw_segments, n_merged_segments::BIGINT AS n_merged_segments, n_prepared, n_q, n_a, n_o,
+ counts AS (WITH {SPOKEN} SELECT transcript_id, count(*) FILTER (WHERE section = 'Prepared') AS n_prepared, count(*) FILTER (WHERE section = 'Q') AS n_q, count(*) FILTER (WHERE section = 'A') AS n_a, count(*) FILTER (WHERE section = 'O') AS n_o FROM spoken GROUP BY ALL),
+checked AS (SELECT transcript_id, raw_length::BIGINT AS raw_length, segmented_length::BIGINT AS segmented_length, n_raw_segments, n_merged_segments::BIGINT AS n_merged_segments, n_prepared, n_q, n_a, n_o,
   round(greatest(0.0, 1 - segmented_length / raw_length::DOUBLE), 6) AS drop_rate, greatest(0.0, 1 - segmented_length / raw_length::DOUBLE) < 0.05 AS drop_rate_ok,
   abs(n_q - n_a) AS qa_balance_gap, round(CASE WHEN greatest(n_q, n_a) > 0 THEN least(n_q, n_a) / greatest(n_q, n_a)::DOUBLE END, 6) AS qa_balance_ratio
-FROM raw JOIN one USING (transcript_id) JOIN counts USING (transcript_id)""")
+FROM raw JOIN one USING (transcript_id) JOIN counts USING (transcript_id))"""
+
+
+@query(f"WITH {VALIDATION} SELECT * FROM checked")
 def validation(spark, sf_dir):
     split = turns.split_transcripts(bodies(spark, sf_dir))
     out = turns.validation(turns.trace(split), turns.section_counts(spoken(spark, sf_dir)))
     return rounded(out, "drop_rate", "qa_balance_ratio")
 
 
-@query(f"WITH {SPOKEN} SELECT 'executive_is_prepared_and_a' AS \"check\", count(*) FILTER (WHERE speaker_role = 'Executive') - count(*) FILTER (WHERE section IN ('Prepared', 'A')) AS value, count(*) FILTER (WHERE speaker_role = 'Executive') = count(*) FILTER (WHERE section IN ('Prepared', 'A')) AS passed FROM spoken UNION ALL SELECT 'analyst_is_q', count(*) FILTER (WHERE speaker_role = 'Analyst') - count(*) FILTER (WHERE section = 'Q'), count(*) FILTER (WHERE speaker_role = 'Analyst') = count(*) FILTER (WHERE section = 'Q') FROM spoken UNION ALL SELECT 'rows_add_up', 0, true")
+@query(f"""WITH {VALIDATION} SELECT count(*) AS n_transcripts, round(avg(drop_rate), 6) AS mean_drop_rate, round(max(drop_rate), 6) AS max_drop_rate, count(*) FILTER (WHERE NOT drop_rate_ok) AS n_drop_alerts,
+ count(*) FILTER (WHERE n_q > 0 OR n_a > 0) AS n_with_qa, count(*) FILTER (WHERE qa_balance_ratio < 0.5) AS n_ratio_below_half, count(*) FILTER (WHERE qa_balance_ratio < 0.25) AS n_ratio_below_quarter,
+ count(*) FILTER (WHERE (n_q > 0 OR n_a > 0) AND (n_q = 0 OR n_a = 0)) AS n_one_sided, round(avg(qa_balance_gap) FILTER (WHERE n_q > 0 OR n_a > 0), 6) AS mean_gap FROM checked""")
+def validation_summary(spark, sf_dir):
+    return rounded(describe.validation_summary(validation(spark, sf_dir)), "mean_drop_rate", "max_drop_rate", "mean_gap")
+
+
+@query(f"""WITH {SPOKEN}, final AS (SELECT DISTINCT transcript_id, year(DATE '2024-01-01' + (transcript_id % 300)::INT) || 'Q' || quarter(DATE '2024-01-01' + (transcript_id % 300)::INT) AS q FROM spoken),
+ sec AS (SELECT section, count(*) AS n FROM spoken GROUP BY 1), spk AS (SELECT speaker_role, count(*) AS n FROM spoken GROUP BY 1),
+ v AS (SELECT 'observations' AS "check", (SELECT count(*) FROM final)::DOUBLE AS value, 'positive' AS want
+  UNION ALL SELECT 'one_row_per_call', (SELECT count(*) - count(DISTINCT transcript_id) FROM final), 'zero' UNION ALL SELECT 'quarters', (SELECT count(DISTINCT q) FROM final), 'positive'
+  UNION ALL SELECT 'section_shares', (SELECT sum(n) FROM sec) / (SELECT count(*) FROM spoken), 'one' UNION ALL SELECT 'speaker_shares', (SELECT sum(n) FROM spk) / (SELECT count(*) FROM spoken), 'one'
+  UNION ALL SELECT 'executive_is_prepared_and_a', (SELECT n FROM spk WHERE speaker_role = 'Executive') - (SELECT sum(n) FROM sec WHERE section IN ('Prepared', 'A')), 'zero'
+  UNION ALL SELECT 'analyst_is_q', (SELECT n FROM spk WHERE speaker_role = 'Analyst') - (SELECT n FROM sec WHERE section = 'Q'), 'zero')
+SELECT "check", round(value, 6) AS value, CASE want WHEN 'zero' THEN value = 0 WHEN 'one' THEN abs(value - 1) < 1e-8 ELSE value > 0 END AS passed FROM v""")
 def consistency_checks(spark, sf_dir):
-    return describe.consistency(spoken(spark, sf_dir))
+    s = spoken(spark, sf_dir)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("transcript_id") % 300).cast("int"))
+    final = s.select("transcript_id").distinct().withColumn("year_quarter", N.quarter_label(day))
+    return rounded(describe.basic_checks(final, s), "value")
 
 
 @query("""WITH e AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -211,13 +231,14 @@ def prompt_text(spark, sf_dir):
 
 
 def stand_in_answer(prompt: str) -> str:
-    """Deterministic stand-in for a labelling service, with an answer that can't be used now and then."""
+    """Deterministic stand-in for a labelling service, with an answer that can't be used (and is asked for again) now and then."""
     kind = ("pos", "NEUTRAL", "neg", "maybe")[len(prompt) % 4]
     return f'Sure: {{"label": "{kind}", "reason": "length {len(prompt)}"}} ok'
 
 
 @query(f"""WITH {SPOKEN}, p AS (SELECT transcript_id || '_' || segment_id AS chunk_id, length(content) AS n FROM spoken)
-SELECT chunk_id, [ 'positive', 'neutral', 'negative', NULL ][n % 4 + 1] AS label, 'length ' || n AS label_reason, CASE WHEN n % 4 = 3 THEN 'failed' ELSE 'ok' END AS label_status, 1 AS attempts FROM p""")
+SELECT chunk_id, [ 'positive', 'neutral', 'negative', NULL ][n % 4 + 1] AS label, CASE WHEN n % 4 < 3 THEN 'length ' || n END AS label_reason, CASE WHEN n % 4 = 3 THEN 'failed' ELSE 'ok' END AS label_status,
+ CASE WHEN n % 4 = 3 THEN 3 ELSE 1 END AS attempts FROM p""")
 def label_udf(spark, sf_dir):
     df = spoken(spark, sf_dir).select(F.concat_ws("_", "transcript_id", "segment_id").alias("chunk_id"), F.col("content").alias("prompt"))
     return sampling.labelled_by(df, stand_in_answer, "prompt", "chunk_id").select("chunk_id", "label", "label_reason", "label_status", "attempts")
@@ -236,6 +257,29 @@ def page_title(spark, sf_dir):
     return readers.page_fields(table(spark, sf_dir, "pages")).select("page_id", "title")
 
 
+CLEANED = r"""trim(regexp_replace(regexp_replace(replace(replace(coalesce({c}, ''), chr(160), ' '), chr(13), ''), '[ \t]*\n[ \t\n]*', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12))"""
+
+
+@query(f"SELECT conv_id, turn, 'Call ' || conv_id AS title, '' AS subheader, role AS transcript_subheader, role || chr(10) || 'Guest' AS speakers, {CLEANED.format(c='text')} AS body, turn::VARCHAR AS list_item FROM conversations")
+def article_fields(spark, sf_dir):
+    """Pages built around the turns, with what the reader must find, leave out and put together."""
+    c = table(spark, sf_dir, "conversations")
+    safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def div(mark: str, inner: Column) -> Column:
+        return F.concat(F.lit(f'<div class="x {mark}_1ab">'), inner, F.lit("</div>"))
+
+    marks = {k: m for k, (m, _) in readers.ARTICLE.items()}
+    body = div(marks["body"], F.concat(F.lit("<style>p{}</style><div><p><b>"), safe, F.lit("</b></p></div><br>")))
+    html = F.concat(
+        F.lit("<html><body>menu<article>"), div(marks["title"], F.concat(F.lit("Call "), F.col("conv_id").cast("string"))), div(marks["title"], F.lit("again")),
+        div(marks["transcript_subheader"], F.col("role")), div(marks["speakers"], F.col("role")), div(marks["speakers"], F.lit("Guest")), div(marks["speakers"], F.col("role")),
+        body, body, F.lit("</article><div>end</div></body></html>"),
+    )
+    out = readers.article_fields(c.select("conv_id", "turn", html.alias("html")), key="turn")
+    return out.drop("html")
+
+
 @query()
 def page_text(spark, sf_dir):
     return readers.page_fields(table(spark, sf_dir, "pages")).select("page_id", "title", "body")
@@ -263,13 +307,33 @@ def universe_semi(spark, sf_dir):
     return relate.in_universe(c, nation.filter("n_regionkey IN (0, 2)").select(F.lower("n_name").alias("Symbol")))
 
 
-@query("SELECT c_custkey, n_nationkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3")
+@query("SELECT c_custkey, CASE WHEN n_regionkey < 3 THEN n_nationkey END AS n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def enrich_left(spark, sf_dir):
+    """Names with accents on one side, repeated and other names on the other."""
+    nation = table(spark, sf_dir, "nation")
+    accents = F.translate("n_name", "AEIOU", "ÀÉÎÕÜ")
+    c = table(spark, sf_dir, "customer").join(nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat(accents, F.lit(", Inc.")).alias("company"))
+    named = nation.select("n_nationkey", F.when(F.col("n_regionkey") < 3, F.col("n_name")).otherwise(F.concat("n_name", F.lit(" Land"))).alias("n_name"))
+    twice = named.unionByName(named.withColumn("n_nationkey", F.col("n_nationkey") + 100))
+    return relate.enrich(c, twice, "company", "n_name", ["n_nationkey"]).select("c_custkey", "n_nationkey")
+
+
+@query("SELECT c_custkey, n_name AS metadata_name, n_nationkey AS ticker, n_regionkey AS size_class FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def metadata_enrich(spark, sf_dir):
+    """Metadata under the names of its source, with columns that are not kept and without some that are."""
+    nation = table(spark, sf_dir, "nation")
+    metadata = nation.select(F.col("n_nationkey").alias("ticker"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("size class"), F.lit(1).alias("other"))
+    c = table(spark, sf_dir, "customer").join(nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat("n_name", F.lit(" Group")).alias("company_name"))
+    return relate.enrich_companies(c, metadata).drop("company_name")
+
+
+@query("""WITH k AS (SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey IN (0, 2))
+SELECT (SELECT count(*) FROM customer) AS n_rows, count(*) AS n_kept, count(DISTINCT n_name) AS n_companies, count(DISTINCT c_custkey % 50) AS n_transcripts, round(100.0 * count(*) / (SELECT count(*) FROM customer), 6) AS share FROM k""")
+def universe_report(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
-    c = table(spark, sf_dir, "customer").join(nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat("n_name", F.lit(", Inc.")).alias("company"))
-    twice = nation.filter("n_regionkey < 3")
-    twice = twice.unionByName(twice.withColumn("n_nationkey", F.col("n_nationkey") + 100))
-    return relate.enrich(c, twice.select("n_nationkey", "n_name"), "company", "n_name", ["n_nationkey"]).select("c_custkey", "n_nationkey")
+    c = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select((F.col("c_custkey") % 50).alias("transcript_id"), F.col("n_name").alias("ticker"))
+    kept = relate.in_universe(c, nation.filter("n_regionkey IN (0, 2)").select(F.lower("n_name").alias("Symbol")))
+    return rounded(relate.universe_report(c, kept), "share")
 
 
 @query("SELECT o_orderkey, o_orderdate + INTERVAL (o_orderkey % 1440) MINUTE AS parsed FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 7 = 0")
@@ -287,7 +351,31 @@ def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.get(s, 0).alias("first_sentence"), F.get(s, F.size(s) - 1).alias("last_sentence"))
 
 
-@query()
+BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+CHUNKS = rf"""
+RECURSIVE d AS (SELECT doc_id, trim(coalesce(text, ''), {BLANKS}) AS whole FROM documents),
+s AS (SELECT doc_id, whole, len(regexp_extract_all(whole, '\S+')) AS total, list_filter(list_transform(string_split(regexp_replace(whole, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {BLANKS})), lambda x: x <> '') AS s FROM d),
+n AS (SELECT doc_id, i, len(regexp_extract_all(t, '\S+')) AS n FROM (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) AS i FROM s WHERE total > 64)),
+c AS (SELECT doc_id, list(n ORDER BY i) AS n, list(upto ORDER BY i) AS upto FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS upto FROM n) GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, 0::BIGINT AS a, 0::BIGINT AS b FROM c
+  UNION ALL
+  SELECT r.doc_id, r.b + 1, CASE WHEN c.n[r.b + 1] > 64 THEN r.b + 1 ELSE r.b + len(list_filter(c.upto[r.b + 1:], lambda x: x - coalesce(c.upto[r.b], 0) <= 64)) END
+  FROM runs r JOIN c USING (doc_id) WHERE r.b < len(c.n)
+),
+pieces AS (
+  SELECT r.doc_id, r.a, 0 AS k, array_to_string(s.s[r.a:r.b], ' ') AS t FROM runs r JOIN s USING (doc_id) JOIN c USING (doc_id) WHERE r.a > 0 AND c.n[r.a] <= 64
+  UNION ALL
+  SELECT doc_id, a, k, array_to_string(w[k * 64 + 1:(k + 1) * 64], ' ') FROM (SELECT r.doc_id, r.a, regexp_extract_all(s.s[r.a], '\S+') AS w, unnest(range(0, (c.n[r.a] + 63) // 64)) AS k
+    FROM runs r JOIN s USING (doc_id) JOIN c USING (doc_id) WHERE r.a > 0 AND c.n[r.a] > 64)
+  UNION ALL
+  SELECT doc_id, 0, 0, whole FROM s WHERE total <= 64 AND whole <> ''
+)
+"""
+
+
+@query(rf"""WITH {CHUNKS} SELECT doc_id AS transcript_id, 0 AS segment_id, t AS chunk_text, row_number() OVER w AS chunk_order, len(regexp_extract_all(t, '\S+'))::BIGINT AS chunk_token_count,
+ doc_id || '_0_' || row_number() OVER w AS chunk_id FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY a, k)""")
 def chunk_pack(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("transcript_id"), F.lit(0).alias("segment_id"), F.col("text").alias("content"))
     return tone.chunks(d, 64)
@@ -305,15 +393,29 @@ def merge_dedup(spark, sf_dir):
     return relate.distinct_rows(d, d)
 
 
+def dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    day = F.element_at(F.array(*[F.lit(d) for d in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")]), F.weekday("o_orderdate") + 1)
+    return o.select("o_orderkey", F.concat(day, F.date_format("o_orderdate", "', 'MMMM dd, yyyy' 10:30 AM'")).alias("subheader"))
+
+
 @query("""WITH r AS (SELECT o_orderkey, strftime(o_orderdate, '%A, %B %d, %Y 10:30 AM') AS subheader FROM orders UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%A, %B %d, %Y 10:30 AM') FROM orders WHERE o_orderkey % 10 = 0)
 SELECT DISTINCT o_orderkey, subheader FROM r""")
 def merge_sorted(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    day = F.element_at(F.array(*[F.lit(d) for d in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")]), F.weekday("o_orderdate") + 1)
-    raw = o.select("o_orderkey", F.concat(day, F.date_format("o_orderdate", "', 'MMMM dd, yyyy' 10:30 AM'")).alias("subheader"))
+    raw = dated_orders(spark, sf_dir)
     return merge_raw(raw.unionByName(raw.filter("o_orderkey % 10 = 0")).unionByName(raw.limit(1).withColumn("subheader", F.lit("no date"))))
 
 
+@query("""SELECT count(*) + 2 * count(*) FILTER (WHERE o_orderkey % 10 = 0) AS n_source, count(*) + count(*) FILTER (WHERE o_orderkey % 10 = 0) AS n_clean, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS n_unparsed,
+ count(*) FILTER (WHERE o_orderkey % 10 = 0) AS n_duplicates, count(*) AS n_merged, min(o_orderdate::DATE) + INTERVAL '630 minutes' AS first_date, max(o_orderdate::DATE) + INTERVAL '630 minutes' AS last_date FROM orders""")
+def merge_accounting(spark, sf_dir):
+    """All orders as dated rows, a tenth of them twice and a tenth once more without a date."""
+    raw = dated_orders(spark, sf_dir)
+    some = raw.filter("o_orderkey % 10 = 0")
+    out = merge_report(raw.unionByName(some).unionByName(some.withColumn("subheader", F.lit("no date"))))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_date", "last_date")})
+
+
 @query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
 def dedup_first(spark, sf_dir):
     return relate.first_of(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], ["doc_id"])
@@ -331,9 +433,9 @@ def label_normalize(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.label(said).alias("label"))
 
 
-@query("SELECT vec_id, list_position(l, list_max(l)) - 1 AS argmax, round(exp(l[1] - list_max(l)) / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))), 6) AS p0 FROM (SELECT vec_id, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS l FROM embeddings)")
+@query("SELECT vec_id, list_position(l, list_max(l)) - 1 AS argmax, round(exp(l[1] - list_max(l)) / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))), 6) AS p0 FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS l FROM embeddings)")
 def softmax_argmax(spark, sf_dir):
-    v = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     out = table(spark, sf_dir, "embeddings").withColumn("l", v)
     return out.select("vec_id", N.argmax(F.col("l")).cast("long").alias("argmax"), F.round(N.softmax(F.col("l"))[0], 6).alias("p0"))
 
@@ -356,10 +458,9 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
 
 
-def calls(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """Orders as calls: all, or those that the SQL of PANEL takes."""
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as calls."""
     o = table(spark, sf_dir, "orders")
-    o = o if every else o.filter("o_orderkey % 50 = 0")
     return o.select(F.col("o_orderkey").alias("call_id"), (F.col("o_custkey") % suppliers(spark, sf_dir)).alias("ticker_norm"), F.to_date("o_orderdate").alias("call_date"))
 
 
@@ -368,18 +469,16 @@ def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy((F.col("o_custkey") % suppliers(spark, sf_dir)).alias("ticker_norm"), F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("marketCap"))
 
 
-def earnings(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """Earnings of all tickers, or of those that the SQL of EARN takes."""
+def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("ticker_norm").orderBy("date")
     c = caps(spark, sf_dir)
-    c = c if every else c.filter("ticker_norm % 2 = 0")
     return c.select("ticker_norm", "date", (F.lag("marketCap").over(w) / 1000).alias("epsEstimated"), (F.col("marketCap") / 1000).alias("epsActual"),
                     (F.lag("marketCap").over(w) * 10).alias("revenueEstimated"), (F.col("marketCap") * 10).alias("revenueActual"))
 
 
 PANEL = """
 panel AS (SELECT l_suppkey AS ticker_norm, l_shipdate::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY ALL),
-calls AS (SELECT o_orderkey AS call_id, o_custkey % (SELECT count(*) FROM supplier) AS ticker_norm, o_orderdate::DATE AS call_date FROM orders WHERE o_orderkey % 50 = 0),
+calls AS (SELECT o_orderkey AS call_id, o_custkey % (SELECT count(*) FROM supplier) AS ticker_norm, o_orderdate::DATE AS call_date FROM orders),
 caps AS (SELECT o_custkey % (SELECT count(*) FROM supplier) AS ticker_norm, o_orderdate::DATE AS date, max(o_totalprice) AS marketCap FROM orders GROUP BY ALL),
 ret AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY ticker_norm ORDER BY date)) AS ret FROM panel),
 frames AS (SELECT *, CASE WHEN count(ret) OVER b >= 60 THEN avg(ret) OVER b END AS m, lag(ret) OVER w AS r0, lead(ret) OVER w AS r2,
@@ -410,7 +509,7 @@ def marketcap_asof(spark, sf_dir):
 
 EARN = """
 earn AS (SELECT ticker_norm, date, lag(marketCap) OVER w / 1000 AS epsEstimated, marketCap / 1000 AS epsActual, lag(marketCap) OVER w * 10 AS revenueEstimated, marketCap * 10 AS revenueActual
-   FROM caps WHERE ticker_norm % 2 = 0 WINDOW w AS (PARTITION BY ticker_norm ORDER BY date)),
+   FROM caps WINDOW w AS (PARTITION BY ticker_norm ORDER BY date)),
 earned AS (SELECT c.call_id, CASE WHEN ok THEN date END AS earnings_date, CASE WHEN ok AND abs(epsEstimated) >= 0.01 THEN (epsActual - epsEstimated) / abs(epsEstimated) END AS eps_surprise,
    CASE WHEN ok AND abs(revenueEstimated) >= 1e6 THEN (revenueActual - revenueEstimated) / abs(revenueEstimated) END AS revenue_surprise
    FROM (SELECT c.*, e.* EXCLUDE (ticker_norm), date_diff('day', e.date, c.call_date) <= 30 AS ok FROM calls c ASOF LEFT JOIN earn e ON c.ticker_norm = e.ticker_norm AND c.call_date >= e.date) c)
@@ -436,9 +535,9 @@ q AS (SELECT {", ".join(f"quantile_cont({c}, 0.01) AS {c}_a, quantile_cont({c},
 """
 
 
-def joined_calls(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    out = events.with_market(calls(spark, sf_dir, every), panel(spark, sf_dir))
-    return events.with_earnings(events.with_marketcap(out, caps(spark, sf_dir)), earnings(spark, sf_dir, every))
+def joined_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = events.with_market(calls(spark, sf_dir), panel(spark, sf_dir))
+    return events.with_earnings(events.with_marketcap(out, caps(spark, sf_dir)), earnings(spark, sf_dir))
 
 
 @query(f"""WITH {PREP} SELECT call_id, year(call_date) || 'Q' || quarter(call_date) AS year_quarter, {", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, {c}_a), {c}_b) END, 6) AS {c}" for c in events.WINSORIZED)},
@@ -454,7 +553,7 @@ def regression_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All calls with market outcomes and the tone features of the transcript that stands for each call."""
     n = table(spark, sf_dir, "conversations").agg(F.count_distinct("conv_id")).first()[0]
     tone_ = tone.transcript_features(tone.segment_scores(scored(spark, sf_dir)))
-    out = joined_calls(spark, sf_dir, every=True).withColumn("transcript_id", (F.col("call_id") / 50).cast("long") % n)
+    out = joined_calls(spark, sf_dir).withColumn("transcript_id", (F.col("call_id") / 50).cast("long") % n)
     return events.prepared(out.join(tone_, "transcript_id", "left"))
 
 
@@ -558,6 +657,25 @@ def sample_overview(spark, sf_dir):
     return rounded(describe.sample_overview(o, "o_custkey", "q"), "mean_quarters")
 
 
+FIRMS = "f AS (SELECT o_custkey, count(DISTINCT year(o_orderdate) || 'Q' || quarter(o_orderdate)) AS q FROM orders GROUP BY 1)"
+
+
+@query(f"""WITH {FIRMS} SELECT 'Observations' AS statistic, count(*)::VARCHAR AS value FROM orders UNION ALL SELECT 'Unique firms', count(DISTINCT o_custkey)::VARCHAR FROM orders
+UNION ALL SELECT 'Unique earnings calls', count(DISTINCT o_orderkey)::VARCHAR FROM orders UNION ALL SELECT 'Unique year-quarter', count(DISTINCT year(o_orderdate) || 'Q' || quarter(o_orderdate))::VARCHAR FROM orders
+UNION ALL SELECT 'Start date', min(o_orderdate)::DATE::VARCHAR FROM orders UNION ALL SELECT 'End date', max(o_orderdate)::DATE::VARCHAR FROM orders
+UNION ALL SELECT 'Mean quarters per firm', printf('%.2f', avg(q)) FROM f UNION ALL SELECT 'Median quarters per firm', printf('%.2f', quantile_cont(q, 0.5)) FROM f""")
+def overview_table(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("q", N.quarter_label(F.col("o_orderdate")))
+    return describe.overview(o, "o_custkey", "o_orderkey", "q", "o_orderdate")
+
+
+@query(f"""WITH {FIRMS} SELECT count(*) AS n_firms, round(avg(q), 6) AS mean_quarters, round(stddev_samp(q), 6) AS std_quarters, min(q) AS min_quarters, quantile_cont(q, 0.25) AS p25_quarters, quantile_cont(q, 0.5) AS median_quarters,
+ quantile_cont(q, 0.75) AS p75_quarters, max(q) AS max_quarters FROM f""")
+def firm_quarters(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("q", N.quarter_label(F.col("o_orderdate")))
+    return rounded(describe.firm_quarters(o, "o_custkey", "q"), "mean_quarters", "std_quarters")
+
+
 @query("SELECT count(*) AS n_firms, count(*) FILTER (WHERE has) AS n_with_ticker FROM (SELECT o_custkey, max(o_orderstatus = 'F') AS has FROM orders GROUP BY 1)")
 def firm_coverage(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("t", F.when(F.col("o_orderstatus") == "F", "F"))
@@ -616,24 +734,102 @@ def sample_extremes(spark, sf_dir):
     return sampling.extremes(pool(spark, sf_dir), 40, "teacher", "chunk_id")
 
 
-def _stratified_sql() -> str:
-    parts, sizes = [], {"Prepared": 34, "Q": 33, "A": 33}
-    for s, n in sizes.items():
-        e = round(n * 0.3)
+def _stratified_parts(n: int, rows: str, score: str) -> str:
+    """base: what the sections give; rest: all others in their order."""
+    parts, sizes = [], {k: int(n * w) for k, w in sampling.WEIGHTS.items()}
+    for s, size in sizes.items():
+        e = round(size * 0.3)
         lo, hi = e // 2, e - e // 2
-        parts.append(f"""{s}_l AS (SELECT chunk_id FROM pool WHERE section = '{s}' ORDER BY teacher, chunk_id LIMIT {lo}), {s}_h AS (SELECT chunk_id FROM pool WHERE section = '{s}' ORDER BY teacher DESC, chunk_id LIMIT {hi}),
- {s}_e AS (SELECT chunk_id FROM {s}_l UNION SELECT chunk_id FROM {s}_h), {s}_u AS (SELECT chunk_id FROM pool WHERE section = '{s}' AND chunk_id NOT IN (SELECT chunk_id FROM {s}_e) ORDER BY {HASH_SQL}, chunk_id LIMIT {n - e})""")
+        of = f"FROM {rows} WHERE section = '{s}'"
+        parts.append(f"""{s}_l AS (SELECT chunk_id {of} AND {score} IS NOT NULL ORDER BY {score}, chunk_id LIMIT {lo}), {s}_h AS (SELECT chunk_id {of} AND {score} IS NOT NULL ORDER BY {score} DESC, chunk_id LIMIT {hi}),
+ {s}_e AS (SELECT chunk_id FROM {s}_l UNION SELECT chunk_id FROM {s}_h), {s}_u AS (SELECT chunk_id {of} AND chunk_id NOT IN (SELECT chunk_id FROM {s}_e) ORDER BY {HASH_SQL}, chunk_id LIMIT {size - e})""")
     union = " UNION ".join(f"SELECT chunk_id FROM {s}_{k}" for s in sizes for k in "eu")
-    return f"""WITH {POOL}, {", ".join(parts)}, base AS ({union}),
- rest AS (SELECT chunk_id, row_number() OVER (ORDER BY {HASH_SQL}, chunk_id) AS r FROM pool WHERE chunk_id NOT IN (SELECT chunk_id FROM base))
-SELECT p.* FROM pool p WHERE chunk_id IN (SELECT chunk_id FROM base) OR chunk_id IN (SELECT chunk_id FROM rest WHERE r <= 100 - (SELECT count(*) FROM base))"""
+    return f"""{", ".join(parts)}, base AS ({union}),
+ rest AS (SELECT chunk_id, row_number() OVER (ORDER BY {HASH_SQL}, chunk_id) AS r FROM {rows} WHERE chunk_id NOT IN (SELECT chunk_id FROM base))"""
+
 
+_STRATIFIED_KEEP = "WHERE chunk_id IN (SELECT chunk_id FROM base) OR chunk_id IN (SELECT chunk_id FROM rest WHERE r <= {n} - (SELECT count(*) FROM base))"
 
-@query(_stratified_sql())
+
+@query(f"WITH {POOL}, {_stratified_parts(100, 'pool', 'teacher')} SELECT * FROM pool {_STRATIFIED_KEEP.format(n=100)}")
 def stratified_sample(spark, sf_dir):
     return sampling.stratified(pool(spark, sf_dir), 100, "chunk_id", score="teacher")
 
 
+def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as chunks, with a date and the columns of a chunk table."""
+    s = spoken(spark, sf_dir)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("transcript_id") % 30).cast("int"))
+    return s.select(
+        F.concat_ws("_", "transcript_id", "segment_id").alias("chunk_id"), "transcript_id", "segment_id", F.lit(1).alias("chunk_order"), day.cast("string").alias("date"),
+        "speaker_role", "section", F.concat(F.lit(" "), F.col("content")).alias("chunk_text"), X.token_count(F.col("content")).alias("chunk_token_count"), F.lit(0).alias("unknown"),
+    )
+
+
+PREPARED = SCORED + r"""
+, prepared AS (SELECT transcript_id || '_' || segment_id AS chunk_id, transcript_id, segment_id, 1 AS chunk_order, (DATE '2024-01-01' + (transcript_id % 30)::INT)::TIMESTAMP AS date, speaker_role, section,
+   trim(content, ' ' || chr(9) || chr(10) || chr(13)) AS chunk_text, len(regexp_extract_all(content, '\S+'))::INT AS chunk_token_count FROM spoken
+   WHERE section <> 'O' AND len(regexp_extract_all(content, '\S+')) BETWEEN 15 AND 256),
+taught AS (SELECT p.*, round(p_negative, 6) AS p_negative, round(p_positive, 6) AS p_positive, pred_label, round(p_negative, 6) - round(p_positive, 6) AS teacher_neg_score
+   FROM prepared p LEFT JOIN (SELECT * FROM scored WHERE pred_label <> 'neutral') s ON p.chunk_id = s.transcript_id || '_' || s.segment_id)
+"""
+
+
+def teacher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A teacher's scores, without neg_score and without the chunks it finds neutral."""
+    s = rounded(scored(spark, sf_dir), "p_negative", "p_positive").filter("pred_label <> 'neutral'")
+    return s.select(F.concat_ws("_", "transcript_id", "segment_id").alias("chunk_id"), "p_negative", "p_positive", "pred_label", F.lit(1).alias("other"))
+
+
+@query(f"WITH {PREPARED} SELECT chunk_id, transcript_id, segment_id, chunk_order, date, speaker_role, section, chunk_text, chunk_token_count FROM prepared ORDER BY date, transcript_id, segment_id, chunk_order")
+def annotation_prepare(spark, sf_dir):
+    out = annotation.sorted_chunks(annotation.prepared(chunk_rows(spark, sf_dir)))
+    return out.withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+@query(f"WITH {PREPARED} SELECT chunk_id, p_negative, p_positive, pred_label, round(teacher_neg_score, 6) AS teacher_neg_score FROM taught")
+def teacher_scores(spark, sf_dir):
+    out = annotation.with_teacher(annotation.prepared(chunk_rows(spark, sf_dir)), teacher(spark, sf_dir))
+    return rounded(out.select("chunk_id", "p_negative", "p_positive", "pred_label", "teacher_neg_score"), "teacher_neg_score")
+
+
+@query(f"WITH {PREPARED}, {_stratified_parts(60, 'taught', 'teacher_neg_score')} SELECT chunk_id, section, round(teacher_neg_score, 6) AS teacher_neg_score, NULL AS label, 'pending' AS label_status FROM taught {_STRATIFIED_KEEP.format(n=60)}")
+def annotation_sample(spark, sf_dir):
+    out = annotation.annotation_sample(chunk_rows(spark, sf_dir), teacher(spark, sf_dir), 60)
+    return rounded(out.select("chunk_id", "section", "teacher_neg_score", "label", "label_status"), "teacher_neg_score")
+
+
+LABELLED = PREPARED + """
+, asked AS (SELECT *, length('Classify the following earnings-call chunk.' || chr(10) || chr(10) || 'Company: ' || chr(10) || 'Ticker: ' || chr(10) || 'Date: 2024-01-01 00:00:00' || chr(10) || 'Section: ' || section || chr(10)
+   || 'Speaker: ' || chr(10) || 'Speaker role: ' || speaker_role || chr(10) || chr(10) || 'Chunk:' || chr(10) || chunk_text || chr(10) || chr(10)
+   || 'Return valid JSON only with this exact schema: {"label":"negative|neutral|positive","reason":"short explanation"}') AS n FROM (SELECT * FROM prepared ORDER BY date, transcript_id, segment_id, chunk_order LIMIT 200)),
+labelled AS (SELECT chunk_id, transcript_id, date, chunk_text, ['positive', 'neutral', 'negative', NULL][n % 4 + 1] AS label, CASE WHEN n % 4 < 3 THEN 'length ' || n END AS label_reason,
+   CASE WHEN n % 4 = 3 THEN 'failed' ELSE 'ok' END AS label_status, CASE WHEN n % 4 = 3 THEN 3 ELSE 1 END AS attempts FROM asked)
+"""
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 prepared chunks in reading order, labelled and joined back."""
+    return annotation.labelled(annotation.prepared(chunk_rows(spark, sf_dir)), stand_in_answer, "stand-in", max_rows=200)
+
+
+@query(f"WITH {LABELLED} SELECT chunk_id, transcript_id, label, label_reason, 'llm' AS label_source, 'stand-in' AS llm_model, label_status, attempts, label IS NULL AS has_error FROM labelled")
+def label_dataset(spark, sf_dir):
+    return labelled(spark, sf_dir).select("chunk_id", "transcript_id", "label", "label_reason", "label_source", "llm_model", "label_status", "attempts", F.col("error").isNotNull().alias("has_error"))
+
+
+@query(f"WITH {LABELLED} SELECT count(*) AS n_rows, count(*) FILTER (WHERE label_status = 'ok') AS n_ok, count(*) FILTER (WHERE label_status = 'failed') AS n_failed, 0 AS n_pending FROM labelled")
+def label_status_counts(spark, sf_dir):
+    return annotation.status_counts(labelled(spark, sf_dir))
+
+
+@query(f"""WITH {LABELLED}, usable AS (SELECT * FROM labelled WHERE label IS NOT NULL), g AS (SELECT transcript_id, row_number() OVER (ORDER BY date, transcript_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT transcript_id, date FROM usable)),
+ c AS (SELECT *, round_even(n * 0.7::DOUBLE, 0) AS a, round_even(n * 0.7::DOUBLE, 0) + round_even(n * 0.15::DOUBLE, 0) AS b FROM g)
+SELECT chunk_id, transcript_id, label, CASE label WHEN 'neutral' THEN 0 WHEN 'positive' THEN 1 ELSE 2 END AS labels, CASE WHEN r <= a THEN 'train' WHEN r <= b THEN 'valid' ELSE 'test' END AS split FROM usable JOIN c USING (transcript_id)""")
+def train_ready(spark, sf_dir):
+    return annotation.train_ready(labelled(spark, sf_dir)).select("chunk_id", "transcript_id", "label", "labels", "split")
+
+
 @query("""WITH p AS (SELECT quality AS t, toxic AS g FROM labels), c AS (SELECT DISTINCT t AS c FROM p UNION SELECT DISTINCT g FROM p),
  k AS (SELECT c, (SELECT count(*) FROM p WHERE t = c AND g = c) AS hit, (SELECT count(*) FROM p WHERE t = c) AS i, (SELECT count(*) FROM p WHERE g = c) AS s FROM c)
 SELECT round(sum(hit) / sum(i)::DOUBLE, 6) AS accuracy, round(avg(coalesce(hit / nullif(s, 0)::DOUBLE, 0)), 6) AS macro_precision, round(avg(coalesce(hit / nullif(i, 0)::DOUBLE, 0)), 6) AS macro_recall,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import events, relate, tone, turns
+from ..operators import annotation, events, relate, sampling, tone, turns
 from ..sources import readers, writers
 
 
@@ -18,14 +18,77 @@ def merge_raw(raw: DataFrame, date: str = "subheader") -> DataFrame:
     return dated.distinct().orderBy("_d", *[c for c in raw.columns]).drop("_d")
 
 
+def merge_report(raw: DataFrame, date: str = "subheader") -> DataFrame:
+    """One row: rows that come in, with and without a readable date, repeats among the former, rows that stay, first and last date."""
+    read = raw.withColumn("_d", X.long_date(F.col(date)))
+    once = read.groupBy(*raw.columns, "_d").agg(F.count("*").alias("_n"))
+    good = F.col("_d").isNotNull()
+    rows = F.sum(F.when(good, F.col("_n")).otherwise(0))
+    return once.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_source"), F.coalesce(rows, F.lit(0)).alias("n_clean"), F.coalesce(F.sum(F.when(~good, F.col("_n"))), F.lit(0)).alias("n_unparsed"),
+        F.coalesce(rows - F.count_if(good), F.lit(0)).alias("n_duplicates"), F.count_if(good).alias("n_merged"), F.min("_d").alias("first_date"), F.max("_d").alias("last_date"),
+    )
+
+
+def merge_raw_files(spark: SparkSession, path: str, out: str, pattern: str = "*.parquet", date: str = "subheader") -> dict:
+    """Raw files merged into one table; files that are empty, unreadable or without the date column are left out and named. Raises where none is left."""
+    good, skipped = [], []
+    for name in readers.files_under(spark, path, pattern):
+        try:
+            one = spark.read.parquet(name)
+            reason = f"no column {date}" if date not in one.columns else "" if one.limit(1).count() else "empty"
+        except Exception as e:  # noqa: BLE001  the error is the report
+            reason = str(e).splitlines()[0][:500]
+        (skipped if reason else good).append((name, reason))
+    if not good:
+        raise ValueError(f"no file of {path} can be merged: {skipped}")
+    raw = spark.read.option("mergeSchema", "true").parquet(*[name for name, _ in good])
+    writers.write_parquet(merge_raw(raw, date), out)
+    return {"files": len(good), "skipped": skipped, **merge_report(raw, date).first().asDict(), "output_path": out}
+
+
+def process_file(spark: SparkSession, path: str, out: str, symbols: DataFrame) -> dict:
+    """A table cut down to a universe of tickers, written, with what is left of it."""
+    df = spark.read.parquet(path)
+    writers.write_parquet(relate.in_universe(df, symbols), out)
+    return relate.universe_report(df, spark.read.parquet(out)).first().asDict()
+
+
+def build_annotation_sample(spark: SparkSession, chunks: str, scored: str | None, out: str, size: int = 2500) -> str:
+    """Chunks (and a teacher's scores, where the table is there) to an annotation sample."""
+    teacher = readers.optional(spark, scored, ["chunk_id"]) if scored else None
+    writers.write_parquet(annotation.annotation_sample(spark.read.parquet(chunks), teacher, size), out)
+    return out
+
+
+def label_dataset(spark: SparkSession, sample: str, out: str, ask: Callable[[str], str], model: str, max_rows: int | None = None, **how) -> dict:
+    """An annotation sample with the labels of a service, in reading order; how many rows are ok and failed."""
+    writers.write_parquet(annotation.sorted_chunks(annotation.labelled(spark.read.parquet(sample), ask, model, max_rows, **how)), out)
+    return {**annotation.status_counts(spark.read.parquet(out)).first().asDict(), "output_path": out}
+
+
+def train_model(spark: SparkSession, labelled: str, out: str, train: Callable[[DataFrame, DataFrame], Callable]) -> dict:
+    """The train-ready dataset is written; ``train`` gets its train and valid parts and gives a callable from texts to label ids; its measures on the test part come back."""
+    writers.write_parquet(annotation.train_ready(spark.read.parquet(labelled)), out)
+    ready = spark.read.parquet(out)
+    guess = train(*[ready.filter(F.col("split") == s) for s in ("train", "valid")])
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(guess=list(guess(batch["chunk_text"])))
+
+    judged = ready.filter("split = 'test'").select("chunk_text", "labels").mapInPandas(run, "chunk_text string, labels int, guess int")
+    return {**sampling.classification_measures(judged, "labels", "guess").first().asDict(), "train_ready_path": out}
+
+
 def numbered(raw: DataFrame) -> DataFrame:
-    """transcript_id from 0 in order of date, title and body; the order is total, so a rerun gives the same ids.
+    """transcript_id from 0 in order of date and a hash of the row; the order is total, so a rerun gives the same ids.
 
-    The window sees hashes and dates only, one narrow row per transcript.
+    Dates and hashes are ranked, one narrow row per transcript.
     """
     keyed = raw.withColumn("date", X.long_date(X.trimmed(F.col("subheader")))).withColumn("_h", F.sha2(F.concat_ws("\0", *raw.columns), 256))
-    ids = keyed.select("date", "_h").distinct().withColumn("transcript_id", F.row_number().over(Window.orderBy(F.col("date").asc_nulls_last(), "_h")).cast("long") - 1)
-    return keyed.join(ids.select("_h", "transcript_id"), "_h").drop("_h")
+    ids = sampling.global_ranks(keyed.select("date", "_h").distinct(), "date", "_h", "_n")
+    return keyed.join(ids.select("_h", (F.col("_n") - 1).cast("long").alias("transcript_id")), "_h").drop("_h")
 
 
 class PreprocessingPipeline:
@@ -39,7 +102,10 @@ class PreprocessingPipeline:
         split = turns.split_transcripts(numbered(raw))
         segs = turns.label_sections(turns.segments(split))
         if self.metadata:
-            segs = relate.enrich(segs, self.spark.read.parquet(self.metadata), "company_name", "metadata_name", ["ticker"])
+            metadata = self.spark.read.parquet(self.metadata)
+            if "name" in metadata.columns:
+                metadata = relate.metadata_columns(metadata)
+            segs = relate.enrich(segs, metadata, "company_name", "metadata_name", ["ticker"])
         paths = {k: f"{self.out}/{k}" for k in ("segments", "chunks", "validation", "bad_files")}
         writers.write_parquet(segs, paths["segments"])
         segs = self.spark.read.parquet(paths["segments"])
