@@ -14,11 +14,11 @@ Construction. The passages of a block are the documents of a collection. They
 are read column by column from their ends: round j inserts the suffix of j
 symbols of every passage at once. Where it goes follows from the BWT so far (the
 LF mapping), and the common prefix with its neighbours from the common prefixes
-so far. BWT, common prefixes and suffix names are columns in external files,
-read and written in sequence once a round. At the end, runs of suffixes that
-share ``length`` bytes are the classes of equal windows; all but the first place
-of a class are repeats. A symbol is ``SYMBOL`` bytes, and a passage enters once
-for each phase, which makes the rounds fewer.
+so far. BWT, common prefixes and suffix names are columns in external files of the
+shared folder, read and written in sequence once a round, and deleted at the end. At
+the end, runs of suffixes that share ``length`` bytes are the classes of equal
+windows; all but the first place of a class are repeats. A symbol is up to ``SYMBOL``
+bytes, and a passage enters once for each phase, which makes the rounds fewer.
 
 Skew. Anchors are counted in a sketch first. The passages of an anchor whose cell
 holds far more than the average are salted by place: copies are told apart inside
@@ -38,8 +38,7 @@ between blocks and byte by byte inside them.
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,17 +46,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_ID, cell_blocks, documents, release, stored, summed, with_part
+from .common import MAX_ID, cell_blocks, discard, documents, drop_folder, filesystem, release, shared_path, stored, summed, with_part
 from .words import U, mix, prefix_sums, range_hash, text_chunks
 
 GRAM = 20
-SYMBOL = 4
-HOT = 2_000
+#: Low bits of an anchor's hash that give way to its place: a text has fewer than 2**31 bytes.
+PLACE_BITS = 31
+SYMBOL = 10
+HOT = 8_000
 #: Cells of the sketch that counts anchors. A cell is spread where it holds more than
 #: ``SPREAD`` times the average of the cells and of ``LEAST_CELL`` passages.
 CELL_BITS, SPREAD, LEAST_CELL = 18, 4, 500
 #: Passages in a block.
-BLOCK = 2_000
+BLOCK = 8_000
 #: Bits of a place that hold the byte offset; the part is above.
 AT_BITS = 40
 
@@ -70,8 +71,8 @@ def passages(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2
     at = np.arange(n - GRAM + 1)
     gram = range_hash(sums, down, at, at + GRAM)
-    # The place in the low bits makes the leftmost of equal hashes the least one.
-    bits = U(max(1, int(n).bit_length()))
+    # The place in the low bits makes the leftmost of equal hashes the least one. The cut is the same everywhere, so equal windows agree.
+    bits = U(PLACE_BITS)
     least = ((gram >> bits) << bits) | at.astype(U)
     span, done = least, 1
     while done < w:
@@ -103,26 +104,28 @@ def passages(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
 
 
 class Columns:
-    """The external files of a collection, two of each column: a round reads one in sequence and writes the other.
+    """The external files of a collection: a round reads its columns in sequence from one file and writes the next one."""
 
-    The files have their full size from the start, so a round only overwrites them.
-    """
-
-    def __init__(self, folder: str, room: int, **kinds):
-        self.size, self.turn = 0, 0
-        self.files = {
-            name: [np.memmap(os.path.join(folder, f"{name}{k}"), kind, "w+", shape=(max(1, room),)) for k in (0, 1)]
-            for name, kind in kinds.items()
-        }
+    def __init__(self, folder: str, **kinds):
+        self.store, self.root = filesystem(f"{folder}/{uuid.uuid4().hex}")
+        self.store.create_dir(self.root, recursive=True)
+        self.kinds, self.turn, self.size = kinds, 0, 0
 
-    def now(self, name: str) -> np.ndarray:
-        return self.files[name][self.turn][: self.size]
+    def read(self) -> list[np.ndarray]:
+        with self.store.open_input_stream(f"{self.root}/{self.turn}") as f:
+            return [np.frombuffer(f.read(self.size * np.dtype(kind).itemsize), kind) for kind in self.kinds.values()]
 
-    def next(self, name: str, size: int) -> np.ndarray:
-        return self.files[name][1 - self.turn][:size]
+    def write(self, *columns: np.ndarray) -> None:
+        with self.store.open_output_stream(f"{self.root}/{self.turn + 1}") as f:
+            for kind, values in zip(self.kinds.values(), columns):
+                if len(values):
+                    f.write(memoryview(np.ascontiguousarray(values, kind)).cast("B"))
+        if self.turn:
+            self.store.delete_file(f"{self.root}/{self.turn}")
+        self.turn, self.size = self.turn + 1, len(columns[0])
 
-    def swap(self, size: int) -> None:
-        self.size, self.turn = size, 1 - self.turn
+    def drop(self) -> None:
+        self.store.delete_dir(self.root)
 
 
 def range_minimum(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -140,24 +143,44 @@ def range_minimum(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndar
     return out
 
 
-def collection_order(strings: list[bytes], length: int, symbol: int = SYMBOL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def symbol_for(length: int) -> int:
+    """The longest symbol, up to SYMBOL bytes, that divides ``length``."""
+    return next(k for k in range(min(SYMBOL, length), 0, -1) if length % k == 0)
+
+
+def symbol_codes(data: np.ndarray, symbol: int) -> np.ndarray:
+    """A number from 1 for the ``symbol`` bytes from each place on, in their order."""
+    code, done = data.astype(np.uint64), 1
+    while done < symbol:  # numbers of ``done`` bytes, put together to numbers of up to twice as many
+        step = min(done, symbol - done)
+        if done + step > 4:
+            code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
+            both = (code[: len(code) - step] << U(32)) | code[step:]
+        else:
+            both = (code[: len(code) - step] << U(8 * step)) | (code[step:] & U((1 << 8 * step) - 1))
+        code, done = both, done + step
+    return np.unique(code, return_inverse=True)[1].astype(np.uint32) + np.uint32(1)
+
+
+def stable_order(codes: np.ndarray) -> np.ndarray:
+    """The stable order of 32-bit codes by two counting passes over 16 bits."""
+    order = np.argsort((codes & np.uint32(0xFFFF)).astype(np.uint16), kind="stable")
+    high = (codes >> np.uint32(16)).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
+def collection_order(strings: list[bytes], length: int, folder: str, symbol: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start, common) of all suffixes of ``length`` bytes or more, in sorted order.
 
     ``common`` tells whether a suffix shares its first ``length`` bytes with the
-    one before it. ``length`` must be a multiple of ``symbol`` bytes (1, 2 or 4);
-    a collection of more than 65,535 different symbols is read by single bytes.
+    one before it. ``length`` must be a multiple of ``symbol`` bytes. The columns
+    are kept in files of ``folder``.
     """
+    symbol = symbol or symbol_for(length)
     deep = length // symbol
     sizes = np.array([len(s) for s in strings], np.int64)
     heads = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b"".join(strings) + bytes(symbol), np.uint8).astype(np.uint32)
-    units = np.zeros(len(data) - symbol + 1, np.uint32)
-    for k in range(symbol):
-        units = (units << np.uint32(8)) | data[k : len(data) - symbol + 1 + k]
-    known, code = np.unique(units, return_inverse=True)
-    if len(known) > 65535:
-        return collection_order(strings, length, 1)
-    code = (code + 1).astype(np.uint16)  # in order of the symbols; 0 is the end of a string
+    code = symbol_codes(np.frombuffer(b"".join(strings) + bytes(symbol), np.uint8), symbol)  # in order of the symbols; 0 is the end of a string
     # Members: a string in each phase; suffixes of it start at phase + symbol * k.
     owner = np.repeat(np.arange(len(strings)), symbol)
     phase = np.tile(np.arange(symbol), len(strings))
@@ -168,50 +191,48 @@ def collection_order(strings: list[bytes], length: int, symbol: int = SYMBOL) ->
     def before(member: np.ndarray, used: int) -> np.ndarray:
         """The symbol in front of the suffix of ``used`` symbols; 0 at the start of the string."""
         at = columns[member] - used - 1
-        return np.where(at >= 0, code[np.minimum(base[member] + symbol * np.maximum(at, 0), len(code) - 1)], 0).astype(np.uint16)
-
-    with tempfile.TemporaryDirectory() as folder:
-        files = Columns(folder, m + int(columns.sum()), bwt=np.uint16, lcp=np.uint8, member=np.int32, used=np.uint8)
-        for name, values in (("bwt", before(np.arange(m), 0)), ("lcp", 0), ("member", np.arange(m)), ("used", 0)):
-            files.next(name, m)[:] = values
-        files.swap(m)
-        for r in range(rounds):
-            bwt, lcp, member, used = (files.now(name) for name in ("bwt", "lcp", "member", "used"))
-            order = np.argsort(bwt, kind="stable")
-            order = order[np.searchsorted(bwt[order], 1) :]  # LF: the k-th of these goes to place m + k
-            fresh = np.flatnonzero(used[order] == r)
-            # Common prefixes of the new suffixes with the one before, and of those after them.
-            touch = np.zeros(len(order) + 1, bool)
-            touch[fresh] = True
-            touch[fresh + 1] = True
-            touched = np.flatnonzero(touch[1:-1]) + 1
-            left, right = order[touched - 1], order[touched]
-            same = np.flatnonzero(bwt[left] == bwt[right])
-            grown = np.zeros(len(touched), np.uint8)
-            grown[same] = np.minimum(range_minimum(lcp, left[same] + 1, right[same] + 1), deep - 1) + 1
-            who = member[order[fresh]]
-            old = np.ones(len(order), bool)
-            old[fresh] = False
-            size = m + len(order)
-            for name, values in (("bwt", before(who, r + 1)), ("lcp", 0), ("member", who), ("used", r + 1)):
-                was, out = files.now(name), files.next(name, size)
-                out[:m] = was[:m]
-                tail = out[m:]
-                tail[old] = was[m:]
-                tail[fresh] = values
-            files.next("lcp", size)[m + touched] = grown
-            files.swap(size)
-        lcp, member, used = (np.array(files.now(name)) for name in ("lcp", "member", "used"))
-        files.files.clear()
+        return np.where(at >= 0, code[np.minimum(base[member] + symbol * np.maximum(at, 0), len(code) - 1)], 0).astype(np.uint32)
+
+    files = Columns(folder, bwt=np.uint32, lcp=np.uint8, member=np.int32, used=np.uint8)
+    files.write(before(np.arange(m), 0), np.zeros(m), np.arange(m), np.zeros(m))
+    for r in range(rounds):
+        bwt, lcp, member, used = files.read()
+        order = stable_order(bwt)
+        order = order[int(np.count_nonzero(bwt == 0)) :]  # LF: the k-th of these goes to place m + k
+        fresh = np.flatnonzero(used[order] == r)
+        # Common prefixes of the new suffixes with the one before, and of those after them.
+        touch = np.zeros(len(order) + 1, bool)
+        touch[fresh] = True
+        touch[fresh + 1] = True
+        touched = np.flatnonzero(touch[1:-1]) + 1
+        left, right = order[touched - 1], order[touched]
+        same = np.flatnonzero(bwt[left] == bwt[right])
+        grown = np.zeros(len(touched), np.uint8)
+        grown[same] = np.minimum(range_minimum(lcp, left[same] + 1, right[same] + 1), deep - 1) + 1
+        who = member[order[fresh]]
+        old = np.ones(len(order), bool)
+        old[fresh] = False
+        grown_to = []
+        for was, values in ((bwt, before(who, r + 1)), (lcp, 0), (member, who), (used, r + 1)):
+            out = np.empty(m + len(order), was.dtype)
+            out[:m] = was[:m]
+            tail = out[m:]
+            tail[old] = was[m:]
+            tail[fresh] = values
+            grown_to.append(out)
+        grown_to[1][m + touched] = grown
+        files.write(*grown_to)
+    _, lcp, member, used = files.read()
+    files.drop()
     # A suffix of fewer symbols can't share ``deep`` of them, so leaving it out parts no class.
     far = used >= deep
     start = phase[member] + symbol * (columns[member] - used)
     return owner[member[far]], start[far], lcp[far] >= deep
 
 
-def judge_block(docs: np.ndarray, places: np.ndarray, strings: list[bytes], hot: np.ndarray, length: int) -> tuple[list, list]:
+def judge_block(docs: np.ndarray, places: np.ndarray, strings: list[bytes], hot: np.ndarray, length: int, folder: str) -> tuple[list, list]:
     """(doc, from, to) ranges of window starts that repeat an earlier place, and (hash, hash, doc, place) of hot classes."""
-    which, start, common = collection_order(strings, length)
+    which, start, common = collection_order(strings, length, folder)
     if not len(which):
         return [], []
     heads = np.flatnonzero(~common)
@@ -321,6 +342,7 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
     )
     salt = F.when(F.col("bodies") > HOT, F.pmod("body", F.ceil(F.col("bodies") / HOT).cast("long"))).otherwise(0)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = shared_path(spark, "bwt")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -328,7 +350,7 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
 
         def judged() -> pa.RecordBatch:
             held.sort(key=lambda x: (x[0], x[1]))
-            lost, told = judge_block(np.array([x[0] for x in held]), np.array([x[1] for x in held]), [x[2] for x in held], np.array([x[3] for x in held]), length)
+            lost, told = judge_block(np.array([x[0] for x in held]), np.array([x[1] for x in held]), [x[2] for x in held], np.array([x[3] for x in held]), length, folder)
             rows_ = [(k, a, b, None, None) for k, a, b in lost] + [(k, p, p + 1, h, g) for h, g, k, p in told]
             cols = list(zip(*rows_)) if rows_ else [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["key", "a", "b", "h", "g"])
@@ -349,6 +371,7 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
         .mapInArrow(build, "key long, a long, b long, h long, g long")
     )
     judged = stored(judged, "ranges")
+    drop_folder(spark, folder)
     release(spark)
     told = judged.filter("h IS NOT NULL")
     best = told.groupBy("h", "g").agg(F.min(F.struct("key", "a")).alias("best"))
@@ -358,9 +381,13 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
         .unionByName(copies.select("key", F.col("place").alias("a"), (F.col("place") + F.col("n")).alias("b")))
     )
     low = (1 << AT_BITS) - 1
-    return ranges.groupBy("key", F.shiftright("a", AT_BITS).alias("part")).agg(
+    # The ranges of one row; a row has no more of them than windows.
+    spans = ranges.groupBy("key", F.shiftright("a", AT_BITS).alias("part")).agg(
         F.collect_list(F.struct(F.col("a").bitwiseAND(low).alias("a"), F.col("b").bitwiseAND(low).alias("b"))).alias("spans")
     )
+    spans = stored(spans, "spans")
+    discard(again, left, bodies, judged)
+    return spans
 
 
 def substring_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -369,8 +396,8 @@ def substring_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     A byte goes if a string of ``length`` bytes that covers it also starts
     earlier: in a smaller id, or in the same document further up.
     """
-    if length % SYMBOL or length <= GRAM:
-        raise ValueError(f"length must be a multiple of {SYMBOL} above {GRAM}")
+    if length <= GRAM:
+        raise ValueError(f"length must be above {GRAM}")
     rows = with_part(docs)
     spans = repeated_ranges(rows, length)
 
