@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +49,20 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None, compressio
     return out
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that no result still to be read refers to."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(t.sparkSession, t.stored_path)
+
+
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the path in it, for tasks that write files of their own."""
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -276,7 +285,9 @@ def components(edges: DataFrame, most_rounds: int = 60, each: int = 500_000) ->
             out = stored(now.coalesce(1).mapInArrow(local, "a long, b long"), "members")
             if made is not None:
                 discard(made)
-            return out.select(F.col("b").alias("id"), F.col("a").alias("component"))
+            members = out.select(F.col("b").alias("id"), F.col("a").alias("component"))
+            members.stored_path = out.stored_path
+            return members
         shorter = now.repartition(parts, "a", "b").mapInArrow(local, "a long, b long").filter("a <> b")
         old, made = made, stored(star(star(shorter, True), False), "edges")
         if old is not None:
@@ -285,7 +296,9 @@ def components(edges: DataFrame, most_rounds: int = 60, each: int = 500_000) ->
     else:
         raise RuntimeError(f"components have not converged after {most_rounds} rounds")
     members = now.select(F.col("b").alias("id"), F.col("a").alias("component"))
-    return members.union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+    members = members.union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+    members.stored_path = now.stored_path
+    return members
 
 
 def add_blocks(rows: DataFrame, blocks: int) -> np.ndarray:

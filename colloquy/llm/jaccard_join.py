@@ -205,12 +205,17 @@ def shares(x: np.ndarray, y: np.ndarray) -> bool:
 
 def classes(rows: DataFrame, percent: int = 80, width: int = 5, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
     """((id, n, node) of every row, (node, class) of the nodes linked with others) of rows (id, text); an id is no null."""
-    spark = rows.sparkSession
+    spark, made = rows.sparkSession, []
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        made.append(stored(df, name))
+        return made[-1]
+
     bits, seed = bits_for(rows, *CELL_BITS), 0
     while True:
-        first = stored(set_sizes(rows, width, bits, seed), "sets")
+        first = save(set_sizes(rows, width, bits, seed), "sets")
         sets = first.filter("block IS NULL")
-        nodes = stored(
+        nodes = save(
             sets.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("other"),
                                      F.max("n").alias("most"), F.max("fold").alias("fold")), "nodes"
         )
@@ -252,11 +257,11 @@ def classes(rows: DataFrame, percent: int = 80, width: int = 5, orders: int = OR
         .withColumn("list", F.when(F.col("salt") > 0, F.col("h")).otherwise(F.bit_xor(F.xxhash64("node")).over(whole)))
         .select("list", "node").distinct()
     )
-    lists = stored(lists, "lists")
+    lists = save(lists, "lists")
     release(spark)
     heads = lists.groupBy("list").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
-    heads = stored(heads.select("list", "lead"), "heads")
-    near = stored(nodes.join(lists.select("node").distinct().hint("merge"), "node", "left_semi"), "near")
+    heads = save(heads.select("list", "lead"), "heads")
+    near = save(nodes.join(lists.select("node").distinct().hint("merge"), "node", "left_semi"), "near")
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,6 +321,11 @@ def classes(rows: DataFrame, percent: int = 80, width: int = 5, orders: int = OR
 
     further = [f"p{o}" for o in range(1, orders)]
 
+    def known(edges: DataFrame) -> DataFrame:
+        out = components(edges)
+        made.append(out)
+        return out.withColumnRenamed("id", "node")
+
     def screened(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that sizes and bitmaps leave."""
         one = near.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fold").alias("fa"))
@@ -328,22 +338,22 @@ def classes(rows: DataFrame, percent: int = 80, width: int = 5, orders: int = OR
         if not pairs.limit(1).count():
             return None
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        need = stored(need.join(near.select("node", "id").hint("merge"), "node").select("node", "id"), "need")
+        need = save(need.join(near.select("node", "id").hint("merge"), "node").select("node", "id"), "need")
         some = members_of(rows, "id", need, bits)
         texts = some.join(need.hint("merge"), "id").select("id", "node", "text")
-        texts = stored(texts.mapInArrow(with_prefixes, ", ".join(["node long, text string", *(f"{p} binary" for p in further)])), "texts")
+        texts = save(texts.mapInArrow(with_prefixes, ", ".join(["node long, text string", *(f"{p} binary" for p in further)])), "texts")
         release(spark)
         if orders > 1:
             one = texts.select(F.col("node").alias("a"), *(F.col(p).alias(f"{p}_a") for p in further))
             two = texts.select(F.col("node").alias("b"), *(F.col(p).alias(f"{p}_b") for p in further))
             both = pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a")
             both = both.select("a", "b", *(f"{p}_a" for p in further), *(f"{p}_b" for p in further))
-            pairs = stored(both.mapInArrow(pass_orders, "a long, b long"), "candidates")
+            pairs = save(both.mapInArrow(pass_orders, "a long, b long"), "candidates")
         with_texts = (
             pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
             .join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
         )
-        out = stored(with_texts.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "links")
+        out = save(with_texts.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "links")
         release(spark)
         return out if out.limit(1).count() else None
 
@@ -351,13 +361,13 @@ def classes(rows: DataFrame, percent: int = 80, width: int = 5, orders: int = OR
         """Candidates (a, b) of the lists whose nodes lie in several components, by bitmap."""
         placed = lists.join(found.hint("merge"), "node", "left").select("list", "node", F.coalesce("component", "node").alias("c"))
         told = placed.groupBy("list").agg(F.min(F.struct("node", "c")).alias("lead"), F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        open_ = stored(told.filter("lo < hi").select("list", F.col("lead.c").alias("main"), "m"), "open")
+        open_ = save(told.filter("lo < hi").select("list", F.col("lead.c").alias("main"), "m"), "open")
         marked = placed.join(open_.hint("merge"), "list").withColumn("out", F.col("c") != F.col("main"))
         sent_rows = marked.filter(f"m <= {TILE}").select("list", F.lit(0).alias("x"), F.lit(0).alias("y"), "node", "c", F.col("out").alias("l"), F.lit(True).alias("r"))
         if open_.filter(f"m > {TILE}").limit(1).count():
             # The nodes outside the main component are cut into ``down`` parts and all nodes into ``across``.
-            long = stored(marked.filter(f"m > {TILE}"), "long")
-            outside = stored(long.groupBy("list").agg(F.ceil(F.count_if("out") / TILE).cast("int").alias("down")), "outside")
+            long = save(marked.filter(f"m > {TILE}"), "long")
+            outside = save(long.groupBy("list").agg(F.ceil(F.count_if("out") / TILE).cast("int").alias("down")), "outside")
             cut = long.join(outside.hint("merge"), "list").withColumn("across", F.ceil(F.col("m") / TILE).cast("int"))
             at_across, at_down = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(c)).cast("int") for k, c in ((1, "across"), (2, "down")))
             right = cut.select("list", at_across.alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"), "node", "c", F.lit(False).alias("l"), F.lit(True).alias("r"))
@@ -396,24 +406,26 @@ def classes(rows: DataFrame, percent: int = 80, width: int = 5, orders: int = OR
         return grouped.mapInArrow(compare, "a long, b long").distinct()
 
     by_lead = lists.join(heads.hint("merge"), "list").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    tried = stored(screened(by_lead), "tried")
+    tried = save(screened(by_lead), "tried")
     # Rows of one id with different sets are one node of the graph.
     same_id = sets.groupBy("id").agg(F.count("*").alias("rows"), F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("id", "a")
-    edges = stored(sets.join(same_id.hint("merge"), "id").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "links")
+    edges = save(sets.join(same_id.hint("merge"), "id").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "links")
     none = edges.limit(0)
     more = linked(tried)
     edges = edges.unionByName(more if more is not None else none)
-    found = components(edges).withColumnRenamed("id", "node")
+    found = known(edges)
     for nearest in (True, False):
-        pairs = stored(tiles(found, nearest).join(tried.hint("merge"), ["a", "b"], "left_anti"), "tried")
+        pairs = save(tiles(found, nearest).join(tried.hint("merge"), ["a", "b"], "left_anti"), "tried")
         release(spark)
         more = linked(pairs)
         tried = tried.unionByName(pairs)
         if more is not None:
             edges = edges.unionByName(more)
-            found = components(edges).withColumnRenamed("id", "node")
+            found = known(edges)
+    linked_ = stored(found.select("node", F.col("component").alias("class")), "classes")
+    discard(*[t for t in made if t is not first])
     release(spark)
-    return sets.select("id", "n", "node"), found.select("node", F.col("component").alias("class"))
+    return sets.select("id", "n", "node"), linked_
 
 
 def least_of(ranked: DataFrame, linked: DataFrame) -> DataFrame:
@@ -422,7 +434,9 @@ def least_of(ranked: DataFrame, linked: DataFrame) -> DataFrame:
     by_node = stored(by_node.join(linked.hint("merge"), "node", "left"), "best")
     by_class = by_node.filter("class IS NOT NULL").groupBy("class").agg(F.min("own").alias("best"))
     several = by_node.filter("times > 1 OR class IS NOT NULL").join(by_class.hint("merge"), "class", "left")
-    return stored(several.select("node", F.coalesce("best", "own").alias("best")), "several")
+    several = stored(several.select("node", F.coalesce("best", "own").alias("best")), "several")
+    discard(by_node, linked)
+    return several
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, orders: int = ORDERS) -> DataFrame:

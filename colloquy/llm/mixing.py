@@ -28,7 +28,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, running_total, stored
+from .common import discard, documents, running_total, stored
 
 WEIGHTS = (5, 2, 1)
 #: Per weight, (time, relative weight) knots from time 0 to 1.
@@ -129,7 +129,9 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
         "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("hash"), F.monotonically_increasing_id().alias("row"),
     )
-    mixed = stored(mixture_of(stored(slim, "sizes")), "mixed")
+    sizes = stored(slim, "sizes")
+    mixed = stored(mixture_of(sizes), "mixed")
+    discard(sizes)
     order = stored(ordered_copies(mixed).select("row", "size", "due"), "order")
     words = order.groupBy("row").agg(F.sum("size").alias("taken"))
     out = mixed.drop("taken").join(words.hint("merge"), "row", "left")

@@ -31,12 +31,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, documents, release, shared_path, stored
+from .common import discard, documents, filesystem, release, shared_path, stored
 
 LENGTH, ROWS, KEY, ROUNDS = 512, 4096, 0x5DEECE66D, 6
 #: Ranges of shards that ``token_shards`` writes one after the other.
@@ -103,10 +102,6 @@ def permuted(number: np.ndarray, n: int, key: int = KEY, window: int | None = No
     return out.astype(np.int64)
 
 
-def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
-
-
 def placed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, file, row): every row with its place in the Parquet files it is read from."""
 

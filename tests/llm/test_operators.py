@@ -243,16 +243,40 @@ def test_substring_dedup_odd_tables(empty, odd):
     assert len(out) == 6 and sorted(r.n_removed == r.n_bytes for r in out if r.n_bytes > 100 and r.n_spans <= 1) .count(True) >= 3
 
 
-@pytest.mark.parametrize("symbol", [1, 2, 4])
-def test_collection_order(symbol):
+@pytest.mark.parametrize("symbol", [1, 2, 3, 4, 5, 6, 10])
+def test_collection_order(symbol, tmp_path):
     rng = random.Random(symbol)
     for _ in range(40):
-        length = rng.choice([4, 8, 12])
+        length = rng.choice([1, 2, 3]) * symbol
         strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 25))) for _ in range(rng.randint(1, 12))]
-        who, start, common = suffix_dedup.collection_order(strings, length, symbol)
+        who, start, common = suffix_dedup.collection_order(strings, length, f"file://{tmp_path}/bwt", symbol)
         want = sorted(s[k : k + length] for s in strings for k in range(len(s) - length + 1))
         assert [strings[a][b : b + length] for a, b in zip(who, start)] == want
         assert [bool(c) for c in common] == [k > 0 and want[k] == want[k - 1] for k in range(len(want))]
+    assert not list((tmp_path / "bwt").iterdir())
+
+
+def test_symbol_codes_and_their_order():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    data[1000:2000] = rng.integers(0, 2, 1000)
+    for symbol in range(1, 13):
+        grams = [bytes(data[k : k + symbol]) for k in range(len(data) - symbol + 1)]
+        rank = {g: k for k, g in enumerate(sorted(set(grams)), 1)}
+        assert suffix_dedup.symbol_codes(data, symbol).tolist() == [rank[g] for g in grams]
+    codes = rng.integers(0, 1 << 20, 5000).astype(np.uint32)
+    assert suffix_dedup.stable_order(codes).tolist() == np.argsort(codes, kind="stable").tolist()
+    assert [suffix_dedup.symbol_for(n) for n in (100, 28, 97, 50)] == [10, 7, 1, 10]
+
+
+def test_substring_dedup_of_long_texts(spark):
+    rng = random.Random(9)
+    shared = words(60, rng)
+    long = " ".join(words(50, rng) for _ in range(7000)) + " " + shared
+    assert len(long) > 1 << 20
+    rows = [(2, shared + " end"), (3, long), (1, "start " + shared), (4, long[1000:5000] + words(30, rng))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_substrings(rows, 100)
 
 
 def test_chat_format(spark):
@@ -694,3 +718,56 @@ def test_pipeline(spark, tmp_path):
     assert all(c == i for i, (_, c) in groups.items())
     index = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in index.select("doc_id").distinct().collect()} == kept[3]
+
+
+def test_pipeline_stages_with_odd_tables(spark, empty, monkeypatch, tmp_path):
+    """Null, repeated and clashing ids, empty texts, extra columns with names of the stages' own: nothing crashes, nothing clean is lost."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    t, u, v = (words(40, rng) for _ in range(3))
+    rows = [(None, t, None, 1), (None, u, "a", 2), (1, t, "a", 3), (1, v, "b", 4), (1, v, "b", 4), (2, None, "b", 5), (3, "", None, 6), (4, words(500, rng), "a", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mark int")
+    docs = docs.withColumns({c: F.lit(1) for c in ("_row", "_gone", "_bad", "_d", "size", "due", "hash", "copy", "node", "id", "key", "file", "row", "position")})
+    # The stages read the labels and the benchmark from files; the ids of the documents here have no labels of use.
+    labels, benchmark = (str(tmp_path / f"{x}.parquet") for x in ("labels", "benchmark"))
+    spark.createDataFrame([(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(labels)
+    spark.createDataFrame([(1, u), (None, t), (2, None), (3, "a b")], "item_id long, text string").write.parquet(benchmark)
+    want = {"quality": [1, 2, 3, 4, 4, 5, 6, 7], "near_duplicates": [2, 3, 4, 5, 6, 7], "decontamination": [1, 3, 4, 4, 5, 6, 7]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name in want:
+            assert out.columns == docs.columns and sorted(r.mark for r in out.collect()) == want[name], name
+        elif name == "source_mix":
+            assert out.columns == docs.columns and {r.mark for r in out.collect()} <= {1, 2, 3, 4, 7}
+        else:
+            records = out.collect()
+            assert sorted(r.slot for r in records) == list(range(len(records))) and sum(r.part == 0 for r in records) == len(rows)
+        none = stage(spark, empty, str(tmp_path))
+        assert none.count() == 0
+
+
+def test_pipeline_keeps_the_curriculum(spark, tmp_path):
+    """The first part of the slots holds more of the sources that come early than the last part."""
+    import corpus_pipeline
+
+    monkey = corpus_pipeline.WINDOW
+    corpus_pipeline.WINDOW = 64
+    try:
+        rows = [(i, f"s{i % 3} " + " ".join(["w"] * 30), f"s{i % 3}") for i in range(1500)]
+        spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+        corpus_pipeline.source_mix(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).write.parquet(str(tmp_path / "mix"))
+        index = corpus_pipeline.training_order(spark, spark.read.parquet(str(tmp_path / "mix")), str(tmp_path)).collect()
+    finally:
+        corpus_pipeline.WINDOW = monkey
+    n = len(index)
+    early, late = (collections.Counter(r.doc_id % 3 for r in index if a * n <= r.slot < b * n) for a, b in ((0, 0.1), (0.9, 1)))
+    assert early[0] > 2 * late[0] and late[2] > 2 * early[2]  # source 0 falls off, source 2 rises
+
+
+def test_nothing_is_left_but_what_a_result_reads(spark, docs, monkeypatch, tmp_path):
+    from colloquy.llm import common
+
+    for name, run, most in (("join", jaccard_join.jaccard_components, 2), ("lines", line_dedup.line_dedup, 1), ("bytes", suffix_dedup.substring_dedup, 1)):
+        monkeypatch.setattr(common, "shared_folder", lambda spark, name=name: f"file://{tmp_path}/{name}")
+        assert run(docs).count() == 40 and len(list((tmp_path / name).iterdir())) <= most, name
