@@ -53,7 +53,7 @@ GRAM = 20
 #: Low bits of an anchor's hash that give way to its place: a text has fewer than 2**31 bytes.
 PLACE_BITS = 31
 SYMBOL = 10
-HOT = 8_000
+HOT = 2_000
 #: Cells of the sketch that counts anchors. A cell is spread where it holds more than
 #: ``SPREAD`` times the average of the cells and of ``LEAST_CELL`` passages.
 CELL_BITS, SPREAD, LEAST_CELL = 18, 4, 500
