@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,12 @@ class Fit:
     n: int
     r2: float
     clusters: int | None = None
-    dropped: list[str] = field(default_factory=list)
+    rank: int = 0
+    kind: str = "classical"
+
+    @property
+    def adjusted_r2(self) -> float:
+        return 1 - (1 - self.r2) * (self.n - 1) / (self.n - self.rank) if self.n > self.rank else math.nan
 
     @property
     def errors(self) -> np.ndarray:
@@ -61,7 +66,8 @@ def ols(
 
     ``effects`` become columns of the design (few levels: quarters). ``absorb`` is a fixed effect of any
     number of levels (firms): all columns are taken as differences from their means by level, which gives the same
-    coefficients, errors and fit as a column for each level, but no intercept.
+    coefficients, errors and fit as a column for each level. The intercept is that of the least level; it is
+    told unless its error would need a further pass (hc1, or clusters that are not the levels).
     """
     needed = [y, *x, *effects, *([cluster] if cluster else []), *([absorb] if absorb else [])]
     rows = df.dropna("any", subset=needed).select(*dict.fromkeys(needed))
@@ -149,7 +155,15 @@ def ols(
         clusters = int(s[-1])
         small = clusters / max(1, clusters - 1) * (n - 1) / max(1, n - rank)
         v = inv @ s[:-1].reshape(k, k) @ inv * small
-    return Fit(names, b, v, int(n), 1 - rss / tss if tss else math.nan, clusters)
+    if absorb and n and (cov == "classical" or cluster == absorb):
+        least = means.filter(F.col("_level") == str(rows.agg(F.min(absorb)).first()[0])).first()["_means"]
+        size = rows.filter(F.col(absorb).cast("string") == str(rows.agg(F.min(absorb)).first()[0])).count()
+        at = np.array(least[1:])
+        # Within a level the errors add up to 0, so a sum over clusters that are levels sees only the coefficients' part.
+        own = float(at @ v @ at) + (rss / max(1, n - rank) / size if cov == "classical" else 0.0)
+        v = np.block([[np.array([[own]]), -(at @ v)[None, :]], [-(v @ at)[:, None], v]])
+        names, b = ["Intercept", *names], np.concatenate([[least[0] - at @ b], b])
+    return Fit(names, b, v, int(n), 1 - rss / tss if tss else math.nan, clusters, rank, cov)
 
 
 #: Name, regressors beside the controls, firm effects, covariance, sample.
@@ -175,41 +189,28 @@ def long_calls(df: DataFrame, column: str = "log_n_tokens_qa") -> DataFrame:
     return df.filter(F.col(column) >= middle[0]) if middle else df.limit(0)
 
 
+def fits(df: DataFrame, y: str = "CAR_m1_p1", firm: str = "ticker_norm", quarter: str = "year_quarter"):
+    """(name, regressors, fit) of the table of specifications and of the progressive ones."""
+    from .events import winsorized
+
+    samples = {"all": df, "trimmed": winsorized(df, [y, "NegPrepared", "NegGap", *CONTROLS]), "long": long_calls(df)}
+    for name, x, firms, cov, sample in SPECS:
+        yield name, list(x), ols(samples[sample], y, [*x, *CONTROLS], (quarter,), cov, firm if cov == "cluster" else None, firm if firms else None)
+    for i, (x, controls, quarters) in enumerate(PROGRESSIVE, 1):
+        yield f"progressive_{i}", list(x), ols(df, y, [*x, *(CONTROLS if controls else ())], (quarter,) if quarters else (), "cluster", firm)
+
+
 def rows_of(name: str, fit: Fit) -> list[tuple]:
     p = fit.p_values()
     return [(name, n, float(b), float(e), float(q), fit.n, float(fit.r2)) for n, b, e, q in zip(fit.names, fit.params, fit.errors, p) if "[" not in n]
 
 
 def all_specs(df: DataFrame, y: str = "CAR_m1_p1", firm: str = "ticker_norm", quarter: str = "year_quarter") -> list[tuple]:
-    """(spec, variable, coef, se, p, n, r2) of the table of specifications, the progressive ones and the Wald test."""
-    from .events import winsorized
-
-    samples = {"all": df, "trimmed": winsorized(df, [y, "NegPrepared", "NegGap", *CONTROLS]), "long": long_calls(df)}
+    """(spec, variable, coef, se, p, n, r2) of all fits and the Wald test."""
     out = []
-    for name, x, firms, cov, sample in SPECS:
-        fit = ols(samples[sample], y, [*x, *CONTROLS], (quarter,), cov, firm if cov == "cluster" else None, firm if firms else None)
+    for name, _, fit in fits(df, y, firm, quarter):
         out += rows_of(name, fit)
         if name == "prepared_and_qa":
             w = fit.wald("NegQA", "NegPrepared")
             out.append(("wald_qa_prepared", "NegQA - NegPrepared", float(w["diff"]), float(w["se"]), float(w["p"]), fit.n, float(fit.r2)))
-    for i, (x, controls, quarters) in enumerate(PROGRESSIVE, 1):
-        out += rows_of(f"progressive_{i}", ols(df, y, [*x, *(CONTROLS if controls else ())], (quarter,) if quarters else (), "cluster", firm))
     return out
-
-
-def stars(p: float) -> str:
-    return "***" if p < 0.01 else "**" if p < 0.05 else "*" if p < 0.1 else ""
-
-
-def latex(s: str) -> str:
-    return "".join({"&": r"\&", "%": r"\%", "_": r"\_", "#": r"\#", "$": r"\$"}.get(c, c) for c in s)
-
-
-def latex_table(rows: list[tuple], caption: str) -> str:
-    """A LaTeX table of (spec, variable, coef, se, p, n, r2) rows."""
-    body = [rf"{latex(v)} & {b:.4f}{stars(p)} & ({se:.4f}) \\" for _, v, b, se, p, _, _ in rows]
-    return "\n".join([r"\begin{table}", rf"\caption{{{latex(caption)}}}", r"\begin{tabular}{lcc}", *body, r"\end{tabular}", r"\end{table}"])
-
-
-def text_report(rows: list[tuple]) -> str:
-    return "\n".join(f"{s:<20}{v:<26}{b:>12.4f}{stars(p):<3} ({se:.4f})  n={n}  R2={r2:.3f}" for s, v, b, se, p, n, r2 in rows)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import annotation, events, relate, sampling, tone, turns
+from ..operators import annotation, econ, events, relate, reports, sampling, tone, turns
 from ..sources import readers, writers
 
 
@@ -147,3 +147,24 @@ class FeaturesPipeline:
         writers.write_parquet(events.regression_sample(ready), f"{self.out}/regression")
         count = lambda name: self.spark.read.parquet(f"{self.out}/{name}").count()
         return {"text_rows": count("text"), "regression_rows": count("regression"), "text_path": f"{self.out}/text", "regression_path": f"{self.out}/regression"}
+
+
+def regression_reports(spark: SparkSession, data: str, out: str) -> list[str]:
+    """All specifications over a regression dataset as text and LaTeX files; their paths."""
+    paths, progressive = [], []
+
+    def write(name: str, text: str) -> None:
+        paths.append(f"{out}/{name}")
+        writers.write_text(spark, text + "\n", paths[-1])
+
+    for name, regressors, fit in econ.fits(spark.read.parquet(data)):
+        if name.startswith("progressive"):
+            progressive.append((f"({len(progressive) + 1})", fit))
+            continue
+        title = name.replace("_", " ").capitalize()
+        write(f"{name}.txt", reports.result_text(title, fit, regressors))
+        write(f"{name}.tex", reports.result_latex(title, fit, regressors))
+        if name == "prepared_and_qa":
+            write("wald.tex", reports.wald_latex("NegQA - NegPrepared = 0", fit.wald("NegQA", "NegPrepared")))
+    write("progressive.tex", reports.progressive_latex(progressive))
+    return paths

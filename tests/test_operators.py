@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import numeric as N
 from colloquy.functions import text as X
-from colloquy.operators import annotation, describe, econ, events, relate, sampling, tone, turns
+from colloquy.operators import annotation, describe, econ, events, relate, reports, sampling, tone, turns
 from colloquy.sources import readers, writers
 from colloquy.streaming import ingest
 from tests.conftest import same
@@ -120,7 +120,7 @@ def test_ols_against_numpy(spark):
     s = np.stack([(d[g == k] * (y - d @ beta)[g == k, None]).sum(axis=0) for k in np.unique(g)])
     inv, n_g = np.linalg.inv(d.T @ d), len(np.unique(g))
     assert np.allclose(fit.cov, inv @ (s.T @ s) @ inv * n_g / (n_g - 1) * 199 / 195)
-    assert 0 <= fit.wald("a", "b")["p"] < 0.01 and "tabular" in econ.latex_table(econ.rows_of("m", fit), "t")
+    assert 0 <= fit.wald("a", "b")["p"] < 0.01 and fit.adjusted_r2 < fit.r2
 
 
 @pytest.mark.parametrize("cov", ["classical", "hc1", "cluster"])
@@ -132,9 +132,10 @@ def test_absorbed_effects_against_columns(spark, cov):
     df = spark.createDataFrame([(float(a), float(b), int(k), f"q{i % 4}", float(v)) for i, ((a, b), k, v) in enumerate(zip(x, g, y))], "a double, b double, g int, q string, y double").repartition(3)
     cluster = "g" if cov == "cluster" else None
     dense, fast = econ.ols(df, "y", ["a", "b"], ("q", "g"), cov, cluster), econ.ols(df, "y", ["a", "b"], ("q",), cov, cluster, "g")
+    assert ("Intercept" in fast.names) == (cov != "hc1")
     at = [dense.names.index(n) for n in fast.names]
     assert np.allclose(fast.params, dense.params[at]) and np.allclose(fast.errors, dense.errors[at]) and (fast.n, fast.clusters) == (dense.n, dense.clusters)
-    assert fast.r2 == pytest.approx(dense.r2) and "Intercept" not in fast.names
+    assert fast.r2 == pytest.approx(dense.r2) and fast.adjusted_r2 == pytest.approx(dense.adjusted_r2) and np.allclose(fast.cov, dense.cov[np.ix_(at, at)])
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -419,3 +420,36 @@ def test_exact_quantiles(spark, monkeypatch, accuracy):
         for name, x in (("a", a), ("b", b), ("d", a[::3])):
             assert np.allclose(got[name], np.quantile(x, probs), rtol=0, atol=1e-12), (n, name)
         assert got["c"] is None
+
+
+def test_reports(spark, tmp_path):
+    assert [reports.p_value(p) for p in (0.0005, 0.0123, None, math.nan)] == ["<0.001", "0.012", "", ""] and reports.p_value(0.0001, True) == "$<0.001$"
+    assert [reports.with_stars(1.0, p) for p in (0.001, 0.03, 0.07, 0.2)] == ["1.0000***", "1.0000**", "1.0000*", "1.0000"] and reports.with_stars(math.nan, 0.1) == ""
+    assert reports.latex("a_b & 5% #1") == r"a\_b \& 5\% \#1" and reports.table_label("Main: firm effects") == "tab:main_firm_effects" and reports.shown("NegGap_seglenw") == "Negative Gap"
+    assert reports.stats_line({"n": 1200, "mean": 0.5, "std": None, "min": 0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "max": 1}, True).startswith("count=1,200 | mean=50.00% | std=nan% | min=0.00%")
+    from colloquy.plans import pipelines
+
+    rng = np.random.default_rng(5)
+    names = ["CAR_m1_p1", *econ.CONTROLS, *[f"Neg{s}{t}" for s in ("Prepared", "QA", "Gap") for t in ("", "_seglenw", "_segmax")]]
+    rows = [(f"t{i % 9}", f"2024Q{i % 3 + 1}", *map(float, rng.normal(size=len(names)))) for i in range(200)]
+    spark.createDataFrame(rows, ["ticker_norm", "year_quarter", *names]).write.parquet(str(tmp_path / "data"))
+    paths = pipelines.regression_reports(spark, str(tmp_path / "data"), str(tmp_path / "out"))
+    assert len(paths) == 2 * len(econ.SPECS) + 2 and "Constant" in (tmp_path / "out" / "firm_effects.txt").read_text()
+    tex = (tmp_path / "out" / "progressive.tex").read_text()
+    assert tex.count("p-value") == len(reports.PROGRESSIVE_ORDER) and tex.count(r"\hline") == 4 and "Observations & 200" in tex
+
+
+def test_log(tmp_path, capsys):
+    import logging
+
+    from colloquy import log
+
+    out = log.configure(str(tmp_path / "x" / "run.log"), "colloquy-test", only_important=True, max_bytes=400, backups=2)
+    for k in range(20):
+        out.info("detail %s", k)
+    out.info("batch_flush rows=3")
+    out.error("failed")
+    assert len(out.handlers) == 2 and sorted(f.name for f in (tmp_path / "x").iterdir()) == ["run.log", "run.log.1", "run.log.2"]
+    said = capsys.readouterr().err
+    assert "batch_flush" in said and "failed" in said and "detail" not in said
+    assert log.configure(str(tmp_path / "y.log"), "colloquy-test").handlers != [] and logging.getLogger("colloquy-test").level == logging.INFO
