@@ -82,14 +82,14 @@ def survivors(qid: np.ndarray, q: tuple, vid: np.ndarray, v: tuple, keep: int) -
         near = product(q8[a:b], v8) * qs[a:b, None] * vs[None, :]
         slack = qe[a:b, None] + (1 + qe[a:b, None]) * ve[None, :]
         near[qid[a:b, None] == vid[None, :]] = -np.inf
-        low = near - slack
+        low, high = near - slack, near + slack
         k = min(keep, len(vid))
         floor = np.partition(low, len(vid) - k, axis=1)[:, len(vid) - k]
-        rows, cols = np.nonzero((near + slack >= floor[:, None]) & np.isfinite(near))
+        rows, cols = np.nonzero((high >= floor[:, None]) & np.isfinite(near))
         cut = np.searchsorted(rows, np.arange(b - a + 1))
         for i in range(b - a):
             at = slice(cut[i], cut[i + 1])
-            yield qid[a + i], vid[cols[at]], low[i, cols[at]], (near + slack)[i, cols[at]]
+            yield qid[a + i], vid[cols[at]], low[i, cols[at]], high[i, cols[at]]
 
 
 def matrix(column: pa.Array, rows: int) -> np.ndarray:
@@ -164,7 +164,9 @@ def nearest(
             **{name: np.concatenate([o[c] for o in out] or [np.zeros(0)]).astype(kind) for c, name, kind in ((1, "vec_id", np.int64), (2, "low", float), (3, "high", float))},
         })
 
-    tiles = candidates.unionByName(asked).groupBy("dim", "vb", "qb").applyInArrow(tile, TILE)
+    # Few bytes mean much work here, so the tiles aren't put together by their size.
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = candidates.unionByName(asked).repartition(partitions, "dim", "vb", "qb").groupBy("dim", "vb", "qb").applyInArrow(tile, TILE)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The pairs whose upper bound reaches the k-th largest lower bound of their query; rows come by query, largest lower bound first."""
