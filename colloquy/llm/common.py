@@ -167,16 +167,16 @@ def with_part(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """(key, part, text): one row per row of ``docs`` under a key that is unique.
 
     ``key`` is the id with null as the largest value. Rows that share an id are
-    parts 0, 1, ... of it in order of their text (null first). The tables this
-    runs over have unique ids, so the window is planned only when a pass over
-    the id column alone finds a repeated one.
+    parts 0, 1, ... of it in order of a hash of their text, numbered over many tasks
+    where an id (or null) has many rows. The tables this runs over have unique ids, so the
+    numbering is planned only when a pass over the id column alone finds a repeated one.
     """
-    base = docs.select(id_key(id_column).alias("key"), F.col(text_column).alias("text"))
+    base = docs.select(id_key(id_column).alias("key"), F.col(text_column).cast("string").alias("text"))
     repeated = base.groupBy("key").count().filter("count > 1").limit(1).count() > 0
     if not repeated:
         return base.select("key", F.lit(0).cast("long").alias("part"), "text")
-    order = Window.partitionBy("key").orderBy(F.col("text").asc_nulls_first())
-    return base.select("key", (F.row_number().over(order) - 1).cast("long").alias("part"), "text")
+    hashed = base.select("key", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"), F.lit(1).alias("one"))
+    return running_total(hashed, ["key"], ["hash", "text"], "one", "part", base.count()).select("key", "part", "text")
 
 
 def slices(total: int, rows_each: int) -> int:
@@ -212,7 +212,7 @@ def running_total(
     inside = Window.partitionBy(*names, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         cut.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(sums, [*names, "_slice"])
+        .join(sums.hint("merge"), [*names, "_slice"])  # both sides are dealt by the slice already
         .withColumn(out, (F.col("_before") + F.col("_in")).cast("long"))
         .drop(*names, "_slice", "_before", "_in")
     )

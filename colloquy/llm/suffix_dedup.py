@@ -30,7 +30,7 @@ the window joins the blocks. Nothing is capped or left out.
 
 Defined cases: null text is empty; a text of fewer than ``length`` bytes loses
 nothing but can't repeat either; a null id counts as the largest; rows that share
-an id are one document read in order of their text, and no string crosses rows;
+an id are one document read in order of a hash of their text, and no string crosses rows;
 extra columns are ignored. Passages and windows are compared by 128-bit hashes
 between blocks and byte by byte inside them.
 """
