@@ -20,7 +20,10 @@ def numbers(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def market_panel(panel: DataFrame) -> DataFrame:
-    """panel (ticker_norm, date, close, volume) -> log returns and all frames around each row. What is no number counts as missing."""
+    """panel (ticker_norm, date, close, volume) -> log returns and all frames around each row. What is no number counts as missing.
+
+    A ticker has one row for each trading day, so the windows by ticker hold some thousand rows each, however many tickers there are.
+    """
     panel = numbers(panel, "close", "volume").dropna("any", subset=["date", "close"])
     w = Window.partitionBy("ticker_norm").orderBy("date")
     ret = panel.withColumn("ret", N.safe_log(N.ratio(F.col("close"), F.lag("close").over(w))))

@@ -280,7 +280,9 @@ def article_fields(spark, sf_dir):
     return out.drop("html")
 
 
-@query()
+@query(rf"""WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t,
+ regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', chr(10), 'g') AS b FROM pages)
+SELECT page_id, {CLEANED.format(c='t')} AS title, {CLEANED.format(c='b')} AS body FROM p""")
 def page_text(spark, sf_dir):
     return readers.page_fields(table(spark, sf_dir, "pages")).select("page_id", "title", "body")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import annotation, econ, events, relate, reports, sampling, tone, turns
+from ..operators import annotation, describe, econ, events, relate, reports, sampling, tone, turns
 from ..sources import readers, writers
 
 
@@ -113,6 +113,11 @@ class PreprocessingPipeline:
         writers.write_csv(turns.validation(turns.trace(split), turns.section_counts(segs)), paths["validation"])
         writers.write_csv(bad, paths["bad_files"])
         count = lambda name: self.spark.read.parquet(paths[name]).count()
+        tokens = describe.summary(readers.columns_or_empty(self.spark, paths["chunks"], "chunk_token_count long"), ["chunk_token_count"]).first()
+        flags = describe.validation_summary(self.spark.read.csv(paths["validation"], header=True, inferSchema=True)).first()
+        report = [f"Chunk token summary | {reports.stats_line(tokens.asDict())}", *[f"{k:20}| {v}" for k, v in flags.asDict().items()]]
+        paths["report"] = f"{self.out}/report.txt"
+        writers.write_text(self.spark, "\n".join(report) + "\n", paths["report"])
         return {"raw_count": raw.count(), "segments_rows": count("segments"), "chunks_rows": count("chunks"), "bad_files": bad.count(), **{f"{k}_path": v for k, v in paths.items()}}
 
 

@@ -110,6 +110,13 @@ def optional(spark: SparkSession, path: str, needed: Iterable[str]) -> DataFrame
     return df if set(needed) <= set(df.columns) else None
 
 
+def columns_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """These columns of a table (only they are read), or an empty table of ``schema`` where it is missing, can't be read or lacks one."""
+    empty = spark.createDataFrame([], schema)
+    found = optional(spark, path, empty.columns)
+    return empty if found is None else found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema])
+
+
 def date_windows(spark: SparkSession, start: str, end: str, days: int) -> DataFrame:
     """(start, end): consecutive inclusive windows, the last one cut at the end."""
     first, last = F.to_date(F.lit(start)), F.to_date(F.lit(end))

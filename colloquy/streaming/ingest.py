@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+import time
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,3 +34,29 @@ def to_shards(stream: DataFrame, path: str, checkpoint: str, rows: int = 30_000)
         stream.writeStream.foreachBatch(lambda df, _: write_shards(df, path, rows)).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+def rows_of(query: StreamingQuery) -> int:
+    """Rows that a query has read so far."""
+    return sum(p["numInputRows"] for p in query.recentProgress)
+
+
+def until_idle(start: Callable[[], StreamingQuery], idle: int = 3, wait: float = 1.0, most: int | None = None) -> int:
+    """Starts a query that reads what is there, again and again, until ``idle`` runs in a row bring nothing (or ``most`` runs are done); all rows read.
+
+    A run that fails counts as one that brings nothing; its rows are read by the next one, from the checkpoint.
+    """
+    total, empty, runs = 0, 0, 0
+    while empty < idle and (most is None or runs < most):
+        runs += 1
+        try:
+            query = start()
+            query.awaitTermination()
+            got = rows_of(query)
+        except StreamingQueryException as e:
+            logging.getLogger(__name__).error("run %s failed: %s", runs, str(e).splitlines()[0])
+            got = 0
+        total, empty = total + got, 0 if got else empty + 1
+        if empty < idle and wait:
+            time.sleep(wait)
+    return total

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 FAST = ["section_label", "transcript_features", "section_pivot", "speaker_split", "validation", "run_merge", "company_norm", "long_date_parse",
         "sentence_split", "event_features", "marketcap_asof", "earnings_asof_tol", "qcut5", "qcut10", "histogram50", "boxplot_stats", "group_split",
         "stratified_sample", "chunk_pack", "consistency_checks", "enrich_left", "metadata_enrich", "universe_report", "annotation_prepare", "teacher_scores",
-        "annotation_sample", "label_dataset", "label_status_counts", "train_ready", "merge_accounting", "article_fields", "validation_summary", "overview_table", "firm_quarters", "regression_prep", "clf_metrics", "ols_covariances", "label_udf", "score_udf"]
+        "annotation_sample", "label_dataset", "label_status_counts", "train_ready", "merge_accounting", "article_fields", "page_text", "validation_summary", "overview_table", "firm_quarters", "regression_prep", "clf_metrics", "ols_covariances", "label_udf", "score_udf"]
 
 
 def one(spark, column):
@@ -176,6 +176,8 @@ def test_pipelines_end_to_end(spark, tmp_path):
     spark.createDataFrame([("ACM", "Thursday, February 19, 2026 4:30 PM")], "ticker string, metadata_name string").write.parquet(str(tmp_path / "meta"))
     out = PreprocessingPipeline(spark, str(tmp_path / "raw"), str(tmp_path / "meta"), str(tmp_path / "out")).run()
     assert (out["raw_count"], out["segments_rows"], out["chunks_rows"]) == (2, 8, 8)
+    report = open(out["report_path"]).read()
+    assert report.startswith("Chunk token summary | count=8 |") and "n_transcripts" in report
     assert ScoringPipeline(spark, out["chunks_path"], str(tmp_path / "scored"), stand_in_scores).run()["scored_rows"] == 6
     for kind, cols in (("market", "close double, volume double"), ("caps", "marketCap double"), ("earn", "epsEstimated double, epsActual double, revenueEstimated double, revenueActual double")):
         n = len(cols.split(","))
@@ -453,3 +455,35 @@ def test_log(tmp_path, capsys):
     said = capsys.readouterr().err
     assert "batch_flush" in said and "failed" in said and "detail" not in said
     assert log.configure(str(tmp_path / "y.log"), "colloquy-test").handlers != [] and logging.getLogger("colloquy-test").level == logging.INFO
+
+
+def test_inputs_that_may_be_missing(spark, tmp_path):
+    spark.range(5).selectExpr("id AS chunk_token_count", "id AS other").write.parquet(str(tmp_path / "a.parquet"))
+    (tmp_path / "b.parquet").write_text("no")
+    got = readers.columns_or_empty(spark, str(tmp_path / "a.parquet"), "chunk_token_count int")
+    assert got.dtypes == [("chunk_token_count", "int")] and got.count() == 5
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert "other" not in scan.split("ReadSchema")[1]
+    for path, schema in (("b.parquet", "x int"), ("c.parquet", "x int"), ("a.parquet", "x int")):
+        assert readers.columns_or_empty(spark, str(tmp_path / path), schema).count() == 0
+    rows, bad = readers.read_glob(spark, str(tmp_path), keep=lambda n: n.startswith("a") and not n.endswith("_old.parquet"))
+    assert rows.count() == 5 and bad.count() == 0
+    (tmp_path / "u.csv").write_text("Symbol,Name\n brk.b ,x\nBRK-B,y\n,z\nAA,w\n")
+    assert sorted(r.Symbol for r in readers.read_universe(spark, str(tmp_path / "u.csv")).collect()) == ["AA", "BRK-B"]
+    assert one(spark, X.message_content(F.lit('{"choices": [{"message": {"content": "hi"}}]}'))) == "hi" and one(spark, X.message_content(F.lit("{}"))) is None
+
+
+def test_stream_until_idle(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "k string, v int")
+    rows.write.parquet(str(tmp_path / "in"))
+    starts = []
+
+    def start():
+        starts.append(1)
+        if len(starts) == 2:  # more comes in while it runs
+            rows.union(rows).write.mode("append").parquet(str(tmp_path / "in"))
+        return ingest.to_shards(ingest.landed(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), str(tmp_path / "cp"))
+
+    assert ingest.until_idle(start, idle=2, wait=0) == 3 and len(starts) == 4
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert ingest.until_idle(start, idle=5, wait=0, most=2) == 0 and len(starts) == 6
