@@ -103,7 +103,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, batch: int = BATCH, fanout:
     number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("key"))) if cuts else F.lit(0)
     key = line_key(F.col("line"))
     hashed = (
-        rows.select("key", "part", number.alias("batch"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+        rows.select("key", "part", number.alias("batch"), F.posexplode_outer(lines_of(F.col("text"))).alias("at", "line"))  # never empty; outer, so that Catalyst adds no filter that splits twice
         .select("batch", "key", "part", "at", key.alias("k"))
         .filter(F.length("k") >= min_chars)
         .select("batch", "key", "part", "at", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"))
