@@ -93,8 +93,8 @@ def sentences(c: Column) -> Column:
 
 
 def token_count(c: Column) -> Column:
-    """Tokens of the default counter: runs without white space."""
-    return F.regexp_count(c, F.lit(r"\S+"))
+    """Tokens of the default counter: runs without white space. They are replaced by one sign each and these are counted, so no token becomes a string of its own."""
+    return F.length(F.translate(F.regexp_replace(c, r"\s*\S+\s*", "x"), " \t\n\x0b\f\r", ""))
 
 
 def first_tokens(c: Column, n: int) -> Column:

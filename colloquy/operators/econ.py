@@ -79,7 +79,7 @@ def ols(
         parts = ([] if absorb else [np.ones(len(p))]) + [(p[e] == v).to_numpy(float) for e in effects for v in kinds[e]] + [p[c].to_numpy(float) for c in x]
         return np.column_stack(parts) if len(p) else np.zeros((0, k))
 
-    absorbed, totals = 0, rows.agg(F.sum(F.col(y) * F.col(y)), F.sum(y)).first()
+    absorbed = 0
     if absorb:
         def by_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in batches:
@@ -111,15 +111,15 @@ def ols(
         return sum((np.array(r["v"]) for r in rows.mapInPandas(run, "v array<double>").collect()), np.zeros(width))
 
     def gram(p: pd.DataFrame) -> np.ndarray:
-        d, t = design(p), outcome(p)
-        return np.concatenate([(d.T @ d).ravel(), d.T @ t, [t @ t, len(t)]])
+        d, t, raw = design(p), outcome(p), p[y].to_numpy(float)
+        return np.concatenate([(d.T @ d).ravel(), d.T @ t, [t @ t, raw @ raw, raw.sum(), len(t)]])
 
-    s = sums(k * k + k + 2, gram)
-    xtx, xty, (yy, n) = s[: k * k].reshape(k, k), s[k * k : -2], s[-2:]
+    s = sums(k * k + k + 4, gram)
+    xtx, xty, (yy, squares, total, n) = s[: k * k].reshape(k, k), s[k * k : -4], s[-4:]
     inv = np.linalg.pinv(xtx)
     b = inv @ xty
     rank = int(np.linalg.matrix_rank(xtx)) + absorbed if n else 0
-    rss, tss = float(yy - b @ xty), float(totals[0] - totals[1] ** 2 / n) if n else math.nan
+    rss, tss = float(yy - b @ xty), float(squares - total**2 / n) if n else math.nan
     clusters = None
     if cov == "classical":
         v = inv * rss / max(1, n - rank)
@@ -156,8 +156,8 @@ def ols(
         small = clusters / max(1, clusters - 1) * (n - 1) / max(1, n - rank)
         v = inv @ s[:-1].reshape(k, k) @ inv * small
     if absorb and n and (cov == "classical" or cluster == absorb):
-        least = means.filter(F.col("_level") == str(rows.agg(F.min(absorb)).first()[0])).first()["_means"]
-        size = rows.filter(F.col(absorb).cast("string") == str(rows.agg(F.min(absorb)).first()[0])).count()
+        first = rows.groupBy(absorb).agg(F.count("*").alias("n"), F.first("_means").alias("m")).orderBy(absorb).first()
+        least, size = first["m"], first["n"]
         at = np.array(least[1:])
         # Within a level the errors add up to 0, so a sum over clusters that are levels sees only the coefficients' part.
         own = float(at @ v @ at) + (rss / max(1, n - rank) / size if cov == "classical" else 0.0)

@@ -72,10 +72,12 @@ def chunks(segs: DataFrame, most: int = 510, count: Callable[[Column], Column] =
     keep = [c for c in segs.columns if c != "content"]
     # Sentences and bounds are columns of their own: inside the expression of the texts they would be made again for every chunk.
     out = segs.select(*keep, X.as_text(F.col("content")).alias("_whole"), X.sentences(F.col("content")).alias("_texts"))
-    out = out.withColumn("_bounds", pack_bounds(F.transform("_texts", count), most))
-    out = out.select(*keep, F.posexplode(pack_texts(F.col("_whole"), F.col("_texts"), F.col("_bounds"), most, count)).alias("_at", "chunk_text"))
-    out = out.withColumn("chunk_order", (F.col("_at") + 1).cast("long")).withColumn("chunk_token_count", count(F.col("chunk_text")).cast("long")).drop("_at")
-    return out.withColumn("chunk_id", F.concat_ws("_", "transcript_id", "segment_id", "chunk_order")).filter("chunk_token_count > 0")
+    out = out.withColumn("_counts", F.transform("_texts", count)).withColumn("_bounds", pack_bounds(F.col("_counts"), most))
+    # The outer form keeps Catalyst from filtering on the size of the array, which would pack every text once more.
+    out = out.select(*keep, F.posexplode_outer(pack_texts(F.col("_whole"), F.col("_texts"), F.col("_bounds"), most, count)).alias("_at", "chunk_text")).filter("chunk_text IS NOT NULL")
+    some = F.col("chunk_text").rlike(r"\S") if count is X.token_count else count(F.col("chunk_text")) > 0
+    out = out.filter(some).withColumn("chunk_order", (F.col("_at") + 1).cast("long")).withColumn("chunk_token_count", count(F.col("chunk_text")).cast("long")).drop("_at")
+    return out.withColumn("chunk_id", F.concat_ws("_", "transcript_id", "segment_id", "chunk_order"))
 
 
 def without_operator(df: DataFrame) -> DataFrame:

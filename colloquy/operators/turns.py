@@ -53,10 +53,11 @@ def split_transcripts(raw: DataFrame) -> DataFrame:
 
 def segments(split: DataFrame) -> DataFrame:
     """One row per merged turn; segment_id from 0."""
+    # The outer form keeps Catalyst from filtering on the size of the array, which would parse every body once more.
     return split.select(
         "transcript_id", X.company_name(F.col("subheader"), F.col("title")).alias("company_name"), "date", X.as_text(F.col("title")).alias("title"),
-        F.posexplode("merged").alias("segment_id", "t"),
-    ).select(
+        F.posexplode_outer("merged").alias("segment_id", "t"),
+    ).filter("t IS NOT NULL").select(
         "transcript_id", F.col("segment_id").cast("long").alias("segment_id"), "company_name", "date", "title",
         F.col("t.name").alias("speaker_name"), F.col("t.role").alias("speaker_role"), F.col("t.content").alias("content"),
     )
