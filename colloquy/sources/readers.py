@@ -8,7 +8,8 @@ from concurrent.futures import ThreadPoolExecutor
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,7 +106,7 @@ def optional(spark: SparkSession, path: str, needed: Iterable[str]) -> DataFrame
     """The table, or None where it is missing, can't be read or lacks a column."""
     try:
         df = spark.read.parquet(path)
-    except AnalysisException:
+    except (PySparkException, Py4JJavaError):  # missing, or with a footer that is none
         return None
     return df if set(needed) <= set(df.columns) else None
 
