@@ -238,19 +238,21 @@ def token_shards(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = filesystem(folder)
         now, f = None, None
+        stride = 2 * length
         for batch in batches:
-            prints = []
-            for shard, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if shard != now:
+            shards, at, prints = batch.column(1).to_numpy(), batch.column(2).to_numpy(), []
+            # Records that follow each other in a file are read at once.
+            first = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (at[1:] != at[:-1] + stride)]) if len(shards) else []
+            for i, j in zip(first, [*first[1:], len(shards)]):
+                if shards[i] != now:
                     if f is not None:
                         f.close()
-                    now, f = shard, store.open_input_file(f"{root}/shard-{shard:08d}.bin")
-                if f.tell() != at:
-                    f.seek(at)
-                raw = f.read(2 * length)
-                if len(raw) < 2 * length:
-                    raise ValueError(f"shard {shard} ends before byte {at + 2 * length}")
-                prints.append(hashlib.sha256(raw).hexdigest())
+                    now, f = shards[i], store.open_input_file(f"{root}/shard-{shards[i]:08d}.bin")
+                f.seek(int(at[i]))
+                raw = memoryview(f.read(int(j - i) * stride))
+                if len(raw) < (j - i) * stride:
+                    raise ValueError(f"shard {now} ends before byte {at[j - 1] + stride}")
+                prints += [hashlib.sha256(raw[k * stride : (k + 1) * stride]).hexdigest() for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], [*batch.schema.names, "record_sha256"])
         if f is not None:
             f.close()
