@@ -10,6 +10,7 @@ from colloquy.functions import text as X
 from colloquy.operators import annotation, describe, econ, events, relate, reports, sampling, tone, turns
 from colloquy.sources import readers, writers
 from colloquy.streaming import ingest
+from colloquy.streaming.shards import RollingShards
 from tests.conftest import same
 
 SF = "/root/testdata/sf0.001"
@@ -162,7 +163,7 @@ def test_stream_to_shards(spark, tmp_path):
     spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 01:00:00")], "k string, t string").withColumn("t", F.to_timestamp("t")).write.parquet(str(tmp_path / "in"))
     stream = ingest.landed(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
     ingest.to_shards(ingest.without_repeats(stream, ["k"], "t"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert RollingShards(spark, str(tmp_path / "out")).read().count() == 2
 
 
 def test_pipelines_end_to_end(spark, tmp_path):
@@ -485,5 +486,5 @@ def test_stream_until_idle(spark, tmp_path):
         return ingest.to_shards(ingest.landed(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), str(tmp_path / "cp"))
 
     assert ingest.until_idle(start, idle=2, wait=0) == 3 and len(starts) == 4
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert RollingShards(spark, str(tmp_path / "out")).read().count() == 3
     assert ingest.until_idle(start, idle=5, wait=0, most=2) == 0 and len(starts) == 6
