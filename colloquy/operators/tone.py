@@ -51,31 +51,44 @@ def pack_bounds(counts: Column, most: int) -> Column:
     return F.aggregate(parts, start, block, lambda acc: F.flatten(F.concat(acc["done"], F.array(flushed(acc["now"])))))
 
 
-def pack_texts(whole: Column, texts: Column, bounds: Column, most: int, count: Callable[[Column], Column]) -> Column:
-    """array<string>: the sentences of each bound; a text that fits is left as it is, a sentence that doesn't is split into runs of ``most`` words."""
+def pack_texts(whole: Column, texts: Column, bounds: Column, most: int, total: Column, windows: Column | None = None) -> Column:
+    """array<string>: the sentences of each bound; a text whose ``total`` fits is left as it is, a sentence that doesn't is split into its ``windows``, or runs of ``most`` words."""
     def text_of(b: Column) -> Column:
-        words = F.regexp_extract_all(F.get(texts, b["a"] - 1), F.lit(r"\S+"), F.lit(0))
-        hard = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(most)), lambda k: F.array_join(F.slice(words, k + 1, most), " "))
+        if windows is None:
+            words = F.regexp_extract_all(F.get(texts, b["a"] - 1), F.lit(r"\S+"), F.lit(0))
+            hard = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(most)), lambda k: F.array_join(F.slice(words, k + 1, most), " "))
+        else:
+            hard = F.get(windows, b["a"] - 1)
         return F.when(b["hard"], hard).otherwise(F.array(F.array_join(F.slice(texts, b["a"], b["b"] - b["a"] + 1), " ")))
 
-    return F.when(whole == "", F.array().cast("array<string>")).when(count(whole) <= most, F.array(whole)).otherwise(F.flatten(F.transform(bounds, text_of)))
+    return F.when(whole == "", F.array().cast("array<string>")).when(total <= most, F.array(whole)).otherwise(F.flatten(F.transform(bounds, text_of)))
 
 
 def packed(c: Column, most: int, count: Callable[[Column], Column] = X.token_count) -> Column:
     """array<string>: sentences packed greedily up to ``most`` tokens, as one expression for short texts; ``chunks`` takes any."""
     texts = X.sentences(c)
-    return pack_texts(X.as_text(c), texts, pack_bounds(F.transform(texts, count), most), most, count)
+    return pack_texts(X.as_text(c), texts, pack_bounds(F.transform(texts, count), most), most, count(X.as_text(c)))
 
 
 def chunks(segs: DataFrame, most: int = 510, count: Callable[[Column], Column] = X.token_count) -> DataFrame:
-    """One row per chunk: chunk_id, chunk_order (from 1, counted before empty chunks go), chunk_text, chunk_token_count."""
+    """One row per chunk: chunk_id, chunk_order (from 1, counted before empty chunks go), chunk_text, chunk_token_count.
+
+    ``count`` is a function of columns, or a counter with ``each`` and ``windows`` (``functions.wordpiece``) whose work on all sentences is done by batches.
+    """
     keep = [c for c in segs.columns if c != "content"]
     # Sentences and bounds are columns of their own: inside the expression of the texts they would be made again for every chunk.
     out = segs.select(*keep, X.as_text(F.col("content")).alias("_whole"), X.sentences(F.col("content")).alias("_texts"))
-    out = out.withColumn("_counts", F.transform("_texts", count)).withColumn("_bounds", pack_bounds(F.col("_counts"), most))
+    batched = hasattr(count, "each")
+    out = out.withColumn("_counts", count.each(F.col("_texts")) if batched else F.transform("_texts", count)).withColumn("_bounds", pack_bounds(F.col("_counts"), most))
+    if batched:
+        out = out.withColumn("_windows", count.windows(F.col("_texts"), most))
+        total, cut = F.aggregate("_counts", F.lit(0), lambda a, b: a + b), F.col("_windows")
+    else:
+        total, cut = count(F.col("_whole")), None
     # The outer form keeps Catalyst from filtering on the size of the array, which would pack every text once more.
-    out = out.select(*keep, F.posexplode_outer(pack_texts(F.col("_whole"), F.col("_texts"), F.col("_bounds"), most, count)).alias("_at", "chunk_text")).filter("chunk_text IS NOT NULL")
-    some = F.col("chunk_text").rlike(r"\S") if count is X.token_count else count(F.col("chunk_text")) > 0
+    texts = pack_texts(F.col("_whole"), F.col("_texts"), F.col("_bounds"), most, total, cut)
+    out = out.select(*keep, F.posexplode_outer(texts).alias("_at", "chunk_text")).filter("chunk_text IS NOT NULL")
+    some = F.col("chunk_text").rlike(r"\S") if batched or count is X.token_count else count(F.col("chunk_text")) > 0
     out = out.filter(some).withColumn("chunk_order", (F.col("_at") + 1).cast("long")).withColumn("chunk_token_count", count(F.col("chunk_text")).cast("long")).drop("_at")
     return out.withColumn("chunk_id", F.concat_ws("_", "transcript_id", "segment_id", "chunk_order"))
 
