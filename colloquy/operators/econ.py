@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import work_folder
 from .quantiles import exact_quantiles
 
 #: The control variables.
@@ -166,6 +167,221 @@ def ols(
     return Fit(names, b, v, int(n), 1 - rss / tss if tss else math.nan, clusters, rank, cov)
 
 
+@dataclass(frozen=True)
+class Model:
+    """What to fit. ``columns`` names a column that stands for a variable in this model, ``keep`` a boolean column of the rows that belong to it."""
+
+    name: str
+    y: str
+    x: tuple[str, ...]
+    effects: tuple[str, ...] = ()
+    cov: str = "classical"
+    cluster: str | None = None
+    absorb: str | None = None
+    keep: str | None = None
+    columns: tuple[tuple[str, str], ...] = ()
+
+    def column(self, variable: str) -> str:
+        return dict(self.columns).get(variable, variable)
+
+    @property
+    def sample(self) -> tuple:
+        """What a row must have: models of one sample share their sums."""
+        groups = {*self.effects, *([self.cluster] if self.cluster else []), *([self.absorb] if self.absorb else [])}
+        return tuple(sorted(map(self.column, (self.y, *self.x)))), tuple(sorted(groups)), self.keep
+
+
+ROW = "kind string, key string, v array<double>"
+
+
+def fit_all(df: DataFrame, models: list[Model]) -> list[Fit]:
+    """All models from two passes over ``df`` (and one over the effects' columns for their levels).
+
+    The first pass adds up, per sample, one Gram matrix over a constant, all levels and all variables, and per absorbed level the sums of its rows.
+    Coefficients come from sub-matrices; an absorbed effect takes away what lies between its levels. The second pass adds up the scores of all
+    models by cluster at once. Sums are added by exchange, so the driver gets rows of matrices alone, whatever the number of tasks,
+    rows and clusters. Rows that lack a value a model needs are left out of that model.
+    """
+    bad = [m.name for m in models if m.absorb and not (m.cov == "classical" or m.cov == "cluster" and m.cluster == m.absorb)]
+    if bad:
+        raise ValueError(f"{bad}: with an absorbed effect, errors are classical or clustered by it (see ols)")
+    spark = df.sparkSession
+    variables = list(dict.fromkeys(m.column(v) for m in models for v in (m.y, *m.x)))
+    effects = list(dict.fromkeys(e for m in models for e in m.effects))
+    groups = list(dict.fromkeys(g for m in models for g in (*m.effects, m.cluster, m.absorb) if g))
+    keeps = list(dict.fromkeys(m.keep for m in models if m.keep))
+    rows = df.select(*[F.col(v).cast("double").alias(v) for v in variables], *[F.col(g).cast("string").alias(g) for g in groups if g not in variables], *keeps)
+    levels_of = {e: levels(rows, e) for e in effects}
+    names = ["Intercept", *[f"{e}[{v}]" for e in effects for v in levels_of[e]], *variables]
+    place, width = {n: i for i, n in enumerate(names)}, len(names)
+    samples = list(dict.fromkeys(m.sample for m in models))
+    absorbed = list(dict.fromkeys((samples.index(m.sample), m.absorb) for m in models if m.absorb))
+
+    def matrix_of(p: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(one row per row over all columns, mask of each sample); what is missing is 0 where no sample that needs it has the row."""
+        values = p[variables].to_numpy(float) if variables else np.zeros((len(p), 0))
+        there = {v: ~np.isnan(values[:, i]) for i, v in enumerate(variables)} | {g: p[g].notna().to_numpy() for g in groups}
+        dummies = [(p[e] == v).to_numpy(float) for e in effects for v in levels_of[e]]
+        whole = np.column_stack([np.ones(len(p)), *dummies, np.nan_to_num(values)])
+        masks = []
+        for needed, by, keep in samples:
+            mask = np.ones(len(p), bool)
+            for c in (*needed, *by):
+                mask &= there[c]
+            masks.append(mask & p[keep].fillna(False).to_numpy(bool) if keep else mask)
+        return whole, masks
+
+    def by_key(kind: str, keys: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+        codes, found = pd.factorize(keys)
+        total = np.zeros((len(found), width))
+        np.add.at(total[:, : m.shape[1]], codes, m)
+        return pd.DataFrame({"kind": kind, "key": found, "v": list(total)})
+
+    def matrix_rows(kind: str, m: np.ndarray) -> pd.DataFrame:
+        wide = np.zeros((len(m), width))
+        wide[:, : m.shape[1]] = m
+        return pd.DataFrame({"kind": kind, "key": [str(i) for i in range(len(m))], "v": list(wide)})
+
+    def added(parts: DataFrame) -> DataFrame:
+        sums = parts.groupBy("kind", "key").agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(width)])
+        return sums.select("kind", "key", F.array(*[f"s{i}" for i in range(width)]).alias("v"))
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams = [np.zeros((width, width)) for _ in samples]
+        for p in batches:
+            if len(p):
+                whole, masks = matrix_of(p)
+                for g, mask in zip(grams, masks):
+                    g += whole[mask].T @ whole[mask]
+                for s, column in absorbed:
+                    yield by_key(f"level {s} {column}", p[column].to_numpy()[masks[s]], whole[masks[s]])
+        for s, g in enumerate(grams):
+            yield matrix_rows(f"gram {s}", g)
+
+    path = work_folder(spark, "sums")
+    added(rows.mapInPandas(first, ROW)).write.parquet(path)
+    sums = spark.read.schema(ROW).parquet(path)
+
+    def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums over levels of the products of their sums, by their rows; a further row has the number of levels."""
+        total: dict[str, np.ndarray] = {}
+        for p in batches:
+            for kind, part in p.groupby("kind"):
+                v = np.stack(part["v"].to_numpy())
+                m = np.vstack([v.T @ (v / v[:, :1]), np.eye(1, width) * len(v)])
+                total[kind] = total.get(kind, 0) + m
+        for kind, m in total.items():
+            yield matrix_rows(kind, m)
+
+    def gathered(parts: DataFrame) -> dict[str, np.ndarray]:
+        out: dict[str, dict[int, np.ndarray]] = {}
+        for r in parts.collect():  # rows of matrices
+            out.setdefault(r["kind"], {})[int(r["key"])] = np.array(r["v"])
+        return {kind: np.stack([m[i] for i in sorted(m)]) for kind, m in out.items()}
+
+    grams = gathered(sums.filter(F.col("kind").startswith("gram")))
+    middle = gathered(added(sums.filter(F.col("kind").startswith("level")).mapInPandas(between, ROW))) if absorbed else {}
+    lowest = {}
+    if absorbed:
+        low = sums.filter(F.col("kind").startswith("level")).groupBy("kind").agg(F.min(F.struct("key", "v")).alias("r"))
+        lowest = {r["kind"]: np.array(r["r"]["v"]) for r in low.collect()}
+
+    solved = []
+    for m in models:
+        s = samples.index(m.sample)
+        gram = grams.get(f"gram {s}", np.zeros((width, width)))
+        n, yi = gram[0, 0], place[m.column(m.y)]
+        dummies = []
+        for e in m.effects:
+            seen = [place[f"{e}[{v}]"] for v in levels_of[e] if gram[place[f"{e}[{v}]"], place[f"{e}[{v}]"]] > 0]
+            dummies += seen[1:]
+        cols = [*([] if m.absorb else [0]), *dummies, *[place[m.column(v)] for v in m.x]]
+        shown = [*([] if m.absorb else ["Intercept"]), *[names[i] for i in dummies], *m.x]
+        within, count = gram, 0
+        if m.absorb and n:
+            among = middle[f"level {s} {m.absorb}"]
+            within, count = gram - among[:width], int(round(among[width, 0]))
+        xtx, xty, yy = within[np.ix_(cols, cols)], within[cols, yi], within[yi, yi]
+        inv = np.linalg.pinv(xtx)
+        b = inv @ xty
+        rank = int(np.linalg.matrix_rank(xtx)) + count if n else 0
+        rss, tss = float(yy - b @ xty), float(gram[yi, yi] - gram[0, yi] ** 2 / n) if n else math.nan
+        solved.append((s, cols, yi, shown, inv, b, rank, rss, tss, int(n)))
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        meat: dict[int, np.ndarray] = {}
+        for p in batches:
+            if len(p):
+                whole, masks = matrix_of(p)
+                for j, m in enumerate(models):
+                    s, cols, yi, _, _, b, *_ = solved[j]
+                    if m.cov == "classical" or not masks[s].any():
+                        continue
+                    d = whole[np.ix_(masks[s], cols)]
+                    e = whole[masks[s], yi] - d @ b
+                    if m.cov == "hc1":
+                        meat[j] = meat.get(j, 0) + (d * (e * e)[:, None]).T @ d
+                    else:
+                        yield by_key(f"score {j}", p[m.cluster].to_numpy()[masks[s]], d * e[:, None])
+        for j, total in meat.items():
+            yield matrix_rows(f"meat {j}", total)
+
+    def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for p in batches:
+            done = p[p["kind"].str.startswith("meat")]
+            if len(done):
+                yield done[["kind", "key", "v"]]
+            for kind, part in p[p["kind"].str.startswith("score")].groupby("kind"):
+                s, cols, yi, _, _, b, *_ = solved[int(kind.split()[1])]
+                u = np.stack(part["v"].to_numpy())[:, : len(cols)]
+                has = part["level"].notna().to_numpy()
+                if has.any():  # an absorbed effect: what its level's mean takes from the scores
+                    lv = np.stack(part["level"][has].to_numpy())
+                    mean = lv / lv[:, :1]
+                    u[has] -= lv[:, cols] * (mean[:, yi] - mean[:, cols] @ b)[:, None]
+                m = np.zeros((width + 1, width))
+                m[: len(cols), : len(cols)] = u.T @ u
+                m[width, 0] = len(u)
+                total[kind] = total.get(kind, 0) + m
+        for kind, m in total.items():
+            yield matrix_rows(kind, m)
+
+    middles = {}
+    if any(m.cov != "classical" for m in models):
+        scores = added(rows.mapInPandas(second, ROW))
+        like = [(f"score {j}", f"level {solved[j][0]} {m.absorb}") for j, m in enumerate(models) if m.absorb and m.cov == "cluster"]
+        if like:
+            pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("kind"), F.lit(b).alias("of")) for a, b in like]))
+            lv = sums.select(F.col("kind").alias("have"), "key", F.col("v").alias("level"), pairs.alias("p")).filter("have = p.of").select("p.kind", "key", "level")
+            scores = scores.join(lv, ["kind", "key"], "left")
+        else:
+            scores = scores.withColumn("level", F.lit(None).cast("array<double>"))
+        middles = gathered(added(scores.mapInPandas(outer, ROW)))
+
+    out = []
+    for j, m in enumerate(models):
+        s, cols, _, shown, inv, b, rank, rss, tss, n = solved[j]
+        k, clusters = len(cols), None
+        if m.cov == "classical":
+            v = inv * rss / max(1, n - rank)
+        elif m.cov == "hc1":
+            meat = middles.get(f"meat {j}", np.zeros((k, width)))
+            v = inv @ meat[:k, :k] @ inv * n / max(1, n - rank)
+        else:
+            meat = middles.get(f"score {j}", np.zeros((width + 1, width)))
+            clusters = int(round(meat[width, 0]))
+            v = inv @ meat[:k, :k] @ inv * (clusters / max(1, clusters - 1) * (n - 1) / max(1, n - rank))
+        if m.absorb and n:
+            low = lowest[f"level {s} {m.absorb}"]
+            at = low[cols] / low[0]
+            own = float(at @ v @ at) + (rss / max(1, n - rank) / low[0] if m.cov == "classical" else 0.0)
+            v = np.block([[np.array([[own]]), -(at @ v)[None, :]], [-(v @ at)[:, None], v]])
+            shown, b = ["Intercept", *shown], np.concatenate([[low[solved[j][2]] / low[0] - at @ b], b])
+        out.append(Fit(shown, b, v, n, 1 - rss / tss if tss else math.nan, clusters, rank, m.cov))
+    return out
+
+
 #: Name, regressors beside the controls, firm effects, covariance, sample.
 SPECS = (
     ("main", ("NegPrepared", "NegGap"), False, "cluster", "all"),
@@ -183,21 +399,39 @@ SPECS = (
 PROGRESSIVE = ((("NegPrepared",), False, False), (("NegGap",), False, False), (("NegPrepared", "NegGap"), False, False), (("NegPrepared", "NegGap"), True, False), (("NegPrepared", "NegGap"), True, True))
 
 
-def long_calls(df: DataFrame, column: str = "log_n_tokens_qa") -> DataFrame:
-    """Rows at or above the median."""
-    (middle,) = exact_quantiles(df, [column], [0.5])
-    return df.filter(F.col(column) >= middle[0]) if middle else df.limit(0)
+def models(y: str = "CAR_m1_p1", firm: str = "ticker_norm", quarter: str = "year_quarter") -> list[Model]:
+    """The table of specifications and the progressive ones. Trimmed columns are named ``<column>_cut``, long calls are marked by ``is_long``."""
+    out = []
+    for name, x, firms, cov, sample in SPECS:
+        x = (*x, *CONTROLS)
+        cut = tuple((c, f"{c}_cut") for c in (y, *x)) if sample == "trimmed" else ()
+        out.append(Model(name, y, x, (quarter,), cov, firm if cov == "cluster" else None, firm if firms else None, "is_long" if sample == "long" else None, cut))
+    for i, (x, controls, quarters) in enumerate(PROGRESSIVE, 1):
+        out.append(Model(f"progressive_{i}", y, (*x, *(CONTROLS if controls else ())), (quarter,) if quarters else (), "cluster", firm))
+    return out
 
 
 def fits(df: DataFrame, y: str = "CAR_m1_p1", firm: str = "ticker_norm", quarter: str = "year_quarter"):
-    """(name, regressors, fit) of the table of specifications and of the progressive ones."""
-    from .events import winsorized
+    """(name, regressors, fit) of the table of specifications and of the progressive ones.
 
-    samples = {"all": df, "trimmed": winsorized(df, [y, "NegPrepared", "NegGap", *CONTROLS]), "long": long_calls(df)}
-    for name, x, firms, cov, sample in SPECS:
-        yield name, list(x), ols(samples[sample], y, [*x, *CONTROLS], (quarter,), cov, firm if cov == "cluster" else None, firm if firms else None)
-    for i, (x, controls, quarters) in enumerate(PROGRESSIVE, 1):
-        yield f"progressive_{i}", list(x), ols(df, y, [*x, *(CONTROLS if controls else ())], (quarter,) if quarters else (), "cluster", firm)
+    The columns that they need are written once to the shared folder; then come two passes for the cuts and the median, one for the quarters
+    and two for all fits.
+    """
+    from ..functions import numeric as N
+
+    needed = dict.fromkeys([y, *CONTROLS, *(v for _, x, *_ in SPECS for v in x)])
+    path = work_folder(df.sparkSession, "regression")
+    df.select(*[F.col(c).cast("double").alias(c) for c in needed], firm, quarter).write.parquet(path)
+    data = df.sparkSession.read.parquet(path)
+    trimmed = [y, "NegPrepared", "NegGap", *CONTROLS]
+    cuts = dict(zip(trimmed, exact_quantiles(data, trimmed, [0.01, 0.5, 0.99])))
+    data = data.withColumns({f"{c}_cut": N.clip(F.col(c), q[0], q[2]) if q else F.col(c) for c, q in cuts.items()})
+    middle = cuts["log_n_tokens_qa"]
+    data = data.withColumn("is_long", F.coalesce(F.col("log_n_tokens_qa") >= middle[1], F.lit(False)) if middle else F.lit(False))
+    all_ = models(y, firm, quarter)
+    regressors = [x for _, x, *_ in SPECS] + [x for x, *_ in PROGRESSIVE]
+    for m, x, fit in zip(all_, regressors, fit_all(data, all_)):
+        yield m.name, list(x), fit
 
 
 def rows_of(name: str, fit: Fit) -> list[tuple]:

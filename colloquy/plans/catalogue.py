@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as X
 from ..operators import annotation, describe, econ, events, relate, sampling, tone, turns
+from ..session import work_folder
 from ..sources import readers
 from .pipelines import merge_raw, merge_report
 
@@ -556,7 +557,9 @@ def regression_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "conversations").agg(F.count_distinct("conv_id")).first()[0]
     tone_ = tone.transcript_features(tone.segment_scores(scored(spark, sf_dir)))
     out = joined_calls(spark, sf_dir).withColumn("transcript_id", (F.col("call_id") / 50).cast("long") % n)
-    return events.prepared(out.join(tone_, "transcript_id", "left"))
+    path = work_folder(spark, "calls")
+    out.join(tone_, "transcript_id", "left").write.parquet(path)  # the cuts of ``prepared`` read it again
+    return events.prepared(spark.read.parquet(path))
 
 
 @query()
@@ -564,9 +567,7 @@ def regression_specs(spark, sf_dir):
     """All specifications, the progressive ones and the Wald test."""
     from ..functions.numeric import stars
 
-    data = regression_data(spark, sf_dir).persist()  # some fifty passes over one row per call
-    rows = econ.all_specs(data)
-    data.unpersist()
+    rows = econ.all_specs(regression_data(spark, sf_dir))
     out = spark.createDataFrame(rows, "spec string, variable string, coef double, se double, p double, n long, r2 double")
     return out.withColumn("stars", stars(F.col("p")))
 
@@ -583,10 +584,9 @@ UNION ALL SELECT 'hc1', round(b.b, 4), round(r2, 6), round(sqrt((SELECT sum(d *
 UNION ALL SELECT 'cluster', round(b.b, 4), round(r2, 6), round(sqrt((SELECT sum(s * s) * count(*) / (count(*) - 1) FROM (SELECT sum(d * e) AS s FROM e GROUP BY g)) * (n - 1) / (n - 2)) / sxx, 4) FROM b""")
 def ols_covariances(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
-    rows = []
-    for kind in ("classical", "hc1", "cluster"):
-        fit = econ.ols(df, "y", ["x"], (), kind, "g" if kind == "cluster" else None)
-        rows.append((kind, float(fit.params[1]), float(fit.r2), float(fit.errors[1])))
+    kinds = ("classical", "hc1", "cluster")
+    fits = econ.fit_all(df, [econ.Model(kind, "y", ("x",), (), kind, "g" if kind == "cluster" else None) for kind in kinds])
+    rows = [(kind, float(fit.params[1]), float(fit.r2), float(fit.errors[1])) for kind, fit in zip(kinds, fits)]
     out = spark.createDataFrame(rows, "kind string, slope double, r2 double, se double")
     return out.select("kind", F.round("slope", 4).alias("slope"), F.round("r2", 6).alias("r2"), F.round("se", 4).alias("se"))
 
