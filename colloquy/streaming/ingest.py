@@ -58,18 +58,18 @@ class RowsRead(StreamingQueryListener):
         return self.rows[run]
 
 
-def until_idle(start: Callable[[], StreamingQuery], idle: int = 3, wait: float = 1.0, most: int | None = None) -> int:
+def until_idle(start: Callable[[], StreamingQuery], idle: int = 3, wait: float = 1.0, most: int | None = None, spark: SparkSession | None = None) -> int:
     """Starts a query that reads what is there, again and again, until ``idle`` runs in a row bring nothing (or ``most`` runs are done); all rows read.
 
     A run that fails counts as one that brings nothing; its rows are read by the next one, from the checkpoint.
     """
-    total, empty, runs, read = 0, 0, 0, None
+    total, empty, runs, read = 0, 0, 0, RowsRead()
+    # Listeners hear the queries of their own session; within a batch another one is active.
+    streams = (spark or SparkSession.builder.getOrCreate()).streams
+    streams.addListener(read)
     while empty < idle and (most is None or runs < most):
         runs += 1
         try:
-            if read is None:
-                spark, read = SparkSession.active(), RowsRead()
-                spark.streams.addListener(read)
             query = start()
             query.awaitTermination()
             got = read.of(query)
@@ -79,6 +79,5 @@ def until_idle(start: Callable[[], StreamingQuery], idle: int = 3, wait: float =
         total, empty = total + got, 0 if got else empty + 1
         if empty < idle and wait:
             time.sleep(wait)
-    if read is not None:
-        spark.streams.removeListener(read)
+    streams.removeListener(read)
     return total

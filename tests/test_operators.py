@@ -485,6 +485,6 @@ def test_stream_until_idle(spark, tmp_path):
             rows.union(rows).write.mode("append").parquet(str(tmp_path / "in"))
         return ingest.to_shards(ingest.landed(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), str(tmp_path / "cp"))
 
-    assert ingest.until_idle(start, idle=2, wait=0) == 3 and len(starts) == 4
+    assert ingest.until_idle(start, idle=2, wait=0, spark=spark) == 3 and len(starts) == 4
     assert RollingShards(spark, str(tmp_path / "out")).read().count() == 3
-    assert ingest.until_idle(start, idle=5, wait=0, most=2) == 0 and len(starts) == 6
+    assert ingest.until_idle(start, idle=5, wait=0, most=2, spark=spark) == 0 and len(starts) == 6
