@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .frames import ROWS, with_halo
 from .quantiles import exact_quantiles
 from .relate import asof
 
@@ -19,13 +20,15 @@ def numbers(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: N.number(F.col(c)) for c in columns if kinds.get(c) not in (None, "bigint", "int") and not kinds[c].startswith("decimal")})
 
 
-def market_panel(panel: DataFrame) -> DataFrame:
+def market_panel(panel: DataFrame, rows: int = ROWS) -> DataFrame:
     """panel (ticker_norm, date, close, volume) -> log returns and all frames around each row. What is no number counts as missing.
 
-    A ticker has one row for each trading day, so the windows by ticker hold some thousand rows each, however many tickers there are.
+    Frames are computed in buckets of ``rows`` rows of a ticker, so one with half of all rows is many tasks.
     """
     panel = numbers(panel, "close", "volume").dropna("any", subset=["date", "close"])
-    w = Window.partitionBy("ticker_norm").orderBy("date")
+    # A return looks one row back, the longest frame of returns 250.
+    panel = with_halo(panel, "ticker_norm", "date", 251, 5, rows)
+    w = Window.partitionBy("ticker_norm", "_bucket").orderBy("date")
     ret = panel.withColumn("ret", N.safe_log(N.ratio(F.col("close"), F.lag("close").over(w))))
     base = w.rowsBetween(-250, -50)
     out = ret.withColumns({
@@ -34,11 +37,12 @@ def market_panel(panel: DataFrame) -> DataFrame:
         "Volatility_0_p5": F.stddev_pop("ret").over(w.rowsBetween(0, 5)),
         "AvgVolume_m20_m1": F.avg("volume").over(w.rowsBetween(-20, -1)), "AvgVolume_0_p1": F.avg("volume").over(w.rowsBetween(0, 1)),
     })
+    out = out.filter("_own")
     parts = [F.col(c) - F.col("_mean") for c in ("_before", "ret", "_after")]
     some = F.coalesce(*parts).isNotNull()
     car = F.when(some, sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)))
     volume = F.when(F.col("AvgVolume_m20_m1") != 0, N.ratio(F.col("AvgVolume_0_p1"), F.col("AvgVolume_m20_m1")))
-    return out.withColumn("CAR_m1_p1", car).withColumn("AbVol_0_p1", volume).drop("_mean", "_before", "_after")
+    return out.withColumn("CAR_m1_p1", car).withColumn("AbVol_0_p1", volume).drop("_mean", "_before", "_after", "_bucket", "_own")
 
 
 MARKET = ("CAR_m1_p1", "Volatility_0_p5", "AvgVolume_m20_m1", "AvgVolume_0_p1", "AbVol_0_p1")
