@@ -9,9 +9,18 @@ from ..functions import text as X
 
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One row per key: the first in ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One row per key: the first in ``order`` (ascending, nulls first), of several such the least by all columns in order, as far as these can be compared.
+
+    Each task sends one row of a key at most, so a key that a third of all rows have is no task of its own.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.select(*[F.col(f"`{k}`") for k in keys]).distinct()
+    kinds = {f.name: f.dataType for f in df.schema}
+    tie = [F.col(f"`{c}`") for c in rest if not str(kinds[c]).startswith(("MapType", "VariantType"))]
+    rank = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)], *[t.alias(f"t{i}") for i, t in enumerate(tie)])
+    best = df.groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), rank).alias("_r"))
+    return best.select(*[F.col(f"_k{keys.index(c)}").alias(c) if c in keys else F.col(f"_r.`{c}`").alias(c) for c in df.columns])
 
 
 def distinct_rows(*tables: DataFrame) -> DataFrame:
@@ -74,7 +83,8 @@ def asof(
     Both sides are cut by key and by spans of ``bucket_days``; a small table of the
     last (first) right row of each span carries over to the spans after (before) it.
     So one key with a third of the rows is spread over its spans, and each span is
-    sorted once. Right dates must be unique per key. ``tolerance`` is in days.
+    sorted once. Right rows of one key and date stand
+    in order of all their columns, so the last (first) of them counts. ``tolerance`` is in days.
     """
     def span(c: str) -> Column:
         return F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / bucket_days).alias("_b")
@@ -84,7 +94,7 @@ def asof(
     l = left.select(F.col(by).alias("_k"), span(left_on), F.col(left_on).alias("_t"), F.struct(*left.columns).alias("_l"))  # noqa: E741
     pick = F.min_by if forward else F.max_by
     marks = r.select("_k", "_b", "_t", "_m").unionByName(l.select("_k", "_b").distinct(), allowMissingColumns=True)
-    marks = marks.groupBy("_k", "_b").agg(pick("_m", "_t").alias("_edge"))
+    marks = marks.groupBy("_k", "_b").agg(pick("_m", F.when(F.col("_t").isNotNull(), F.struct("_t", "_m"))).alias("_edge"))
     steps = Window.partitionBy("_k").orderBy("_b")
     carry = (
         F.first("_edge", True).over(steps.rowsBetween(1, Window.unboundedFollowing)) if forward
@@ -92,7 +102,7 @@ def asof(
     )
     carried = marks.select("_k", "_b", carry.alias("_far"))
     both = l.withColumn("_side", F.lit(0 if forward else 1)).unionByName(r.withColumn("_side", F.lit(1 if forward else 0)), allowMissingColumns=True)
-    w = Window.partitionBy("_k", "_b").orderBy("_t", "_side")
+    w = Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_m")
     near = (
         F.first("_m", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward
         else F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -68,18 +68,28 @@ def stratified(df: DataFrame, n: int, key: str, section: str = "section", score:
     return few.withColumn("extra", F.col("all").isNotNull() & (turn <= n - have)).filter("base OR extra").select("row.*")
 
 
-def global_ranks(df: DataFrame, first: str, then: str, out: str) -> DataFrame:
-    """``df`` with its place (from 1) in order of ``first`` (a date, missing values last) and ``then``.
+#: Signs, or the span of numbers, by which ``global_ranks`` cuts the rows of one date.
+SLICE, SPAN = 2, 100_000
 
-    No task sees all rows: rows are counted by value of ``first``, the running totals of these
-    counts (a row for each date) give the place of each value's first row, and rows are numbered inside their value.
+
+def global_ranks(df: DataFrame, first: str, then: str, out: str, weight: str | None = None) -> DataFrame:
+    """``df`` with its place (from 1) in order of ``first`` (a date, missing values last) and ``then``; with ``weight``, the sum of it up to and with the row.
+
+    No task sees all rows: they are counted by value of ``first`` and a slice of ``then`` that fits its rows (so a value, or a missing one, that
+    all share is spread), running totals of these counts give the place of each slice's first row, and rows are numbered inside their slice.
     """
-    by_value = Window.orderBy(F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(F.col(first).alias("_v")).agg(F.count("*").alias("_c"))
-    before = counts.select("_v", F.coalesce(F.sum("_c").over(by_value), F.lit(0)).alias("_before"))
-    inside = df.withColumn("_in", F.row_number().over(Window.partitionBy(first).orderBy(then)))
-    placed = inside.join(before, F.col(first).eqNullSafe(F.col("_v")))
-    return placed.withColumn(out, F.col("_before") + F.col("_in")).drop("_v", "_before", "_in")
+    slice_ = F.substring(F.col(then).cast("string"), 1, SLICE) if dict(df.dtypes)[then] == "string" else F.floor(F.col(then) / SPAN) if dict(df.dtypes)[then] in ("int", "bigint") else F.lit(0)
+    sliced, one = df.withColumn("_s", slice_), F.col(weight) if weight else F.lit(1)
+    counts = sliced.groupBy(F.col(first).alias("_v"), F.col("_s").alias("_vs")).agg(F.sum(one).alias("_c"))
+    per_value = counts.groupBy("_v").agg(F.sum("_c").alias("_all"))
+    by_value = Window.orderBy(F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)  # a row for each date
+    values = per_value.select(F.col("_v").alias("_w"), F.coalesce(F.sum("_all").over(by_value), F.lit(0)).alias("_value"))
+    by_slice = Window.partitionBy("_v").orderBy("_vs").rowsBetween(Window.unboundedPreceding, -1)
+    slices = counts.withColumn("_slice", F.coalesce(F.sum("_c").over(by_slice), F.lit(0)))
+    before = slices.join(values, F.col("_v").eqNullSafe(F.col("_w"))).select("_v", "_vs", (F.col("_value") + F.col("_slice")).alias("_before"))
+    inside = sliced.withColumn("_in", F.sum(one).over(Window.partitionBy(first, "_s").orderBy(then).rowsBetween(Window.unboundedPreceding, 0)))
+    placed = inside.join(before, F.col(first).eqNullSafe(F.col("_v")) & F.col("_s").eqNullSafe(F.col("_vs")))
+    return placed.withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).drop("_v", "_vs", "_before", "_in", "_s")
 
 
 def group_split(df: DataFrame, group: str, date: str, train: float = 0.7, valid: float = 0.15) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import annotation, describe, econ, events, relate, reports, sampling, tone, turns
 from ..sources import readers, writers
+from ..sources.probe import probe
 
 
 def merge_raw(raw: DataFrame, date: str = "subheader") -> DataFrame:
@@ -32,17 +33,12 @@ def merge_report(raw: DataFrame, date: str = "subheader") -> DataFrame:
 
 def merge_raw_files(spark: SparkSession, path: str, out: str, pattern: str = "*.parquet", date: str = "subheader") -> dict:
     """Raw files merged into one table; files that are empty, unreadable or without the date column are left out and named. Raises where none is left."""
-    good, skipped = [], []
-    for name in readers.files_under(spark, path, pattern):
-        try:
-            one = spark.read.parquet(name)
-            reason = f"no column {date}" if date not in one.columns else "" if one.limit(1).count() else "empty"
-        except Exception as e:  # noqa: BLE001  the error is the report
-            reason = str(e).splitlines()[0][:500]
-        (skipped if reason else good).append((name, reason))
+    report = readers.reported(probe(spark, path, pattern, needs=date))
+    skipped = [(r["file_path"], r["error"]) for r in report.filter("error IS NOT NULL").orderBy("file_path").collect()]
+    good = readers.readable(report)
     if not good:
         raise ValueError(f"no file of {path} can be merged: {skipped}")
-    raw = spark.read.option("mergeSchema", "true").parquet(*[name for name, _ in good])
+    raw = spark.read.option("mergeSchema", "true").parquet(*good)
     writers.write_parquet(merge_raw(raw, date), out)
     return {"files": len(good), "skipped": skipped, **merge_report(raw, date).first().asDict(), "output_path": out}
 
@@ -82,13 +78,17 @@ def train_model(spark: SparkSession, labelled: str, out: str, train: Callable[[D
 
 
 def numbered(raw: DataFrame) -> DataFrame:
-    """transcript_id from 0 in order of date and a hash of the row; the order is total, so a rerun gives the same ids.
+    """transcript_id from 0 in order of date and a hash of the row; every row has one of its own, equal rows too. A rerun gives equal rows the same ids.
 
-    Dates and hashes are ranked, one narrow row per transcript.
+    Dates and hashes are ranked with the number of rows that share them, one narrow row for each different transcript.
     """
-    keyed = raw.withColumn("date", X.long_date(X.trimmed(F.col("subheader")))).withColumn("_h", F.sha2(F.concat_ws("\0", *raw.columns), 256))
-    ids = sampling.global_ranks(keyed.select("date", "_h").distinct(), "date", "_h", "_n")
-    return keyed.join(ids.select("_h", (F.col("_n") - 1).cast("long").alias("transcript_id")), "_h").drop("_h")
+    marked = F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns]), {"ignoreNullFields": "false"})
+    keyed = raw.withColumn("date", X.long_date(X.trimmed(F.col("subheader")))).withColumn("_h", F.sha2(marked, 256))
+    groups = keyed.groupBy("date", "_h").agg(F.count("*").alias("_c"))
+    ranked = sampling.global_ranks(groups, "date", "_h", "_n", "_c").select("_h", F.col("_n").alias("_to"), F.col("_c").alias("_rows"))
+    # Rows of one hash are equal, so any numbering of them is the same result; few transcripts are repeated.
+    copy = F.row_number().over(Window.partitionBy("_h").orderBy("_h"))
+    return keyed.join(ranked, "_h").withColumn("transcript_id", (F.col("_to") - F.col("_rows") + copy - 1).cast("long")).drop("_h", "_to", "_rows")
 
 
 class PreprocessingPipeline:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..session import work_folder
+from .probe import probe
 
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "subheader", "transcript_subheader", "speakers", "body", "list_item")])
 BAD = "file_path string, error string"
@@ -28,29 +30,33 @@ def files_under(spark: SparkSession, path: str, pattern: str = "*.parquet") -> l
     return sorted(s.getPath().toString() for s in found or [])
 
 
-def read_glob(spark: SparkSession, path: str, pattern: str = "*.parquet", schema: T.StructType | None = None, keep=lambda name: True) -> tuple[DataFrame, DataFrame]:
-    """(rows of all readable files by name, report of the others). Error if none match or none can be read.
+def read_glob(
+    spark: SparkSession, path: str, pattern: str = "*.parquet", schema: T.StructType | None = None, keep=None, pages: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows of all readable files, report of the others). Error if none match or none can be read.
 
-    Files are probed by their footers only; the rows are one scan of all good files.
+    Tasks try footers and, unless ``pages`` is false, all pages of the files (see ``probe``); the rows are one scan of the good ones.
     """
-    names = [f for f in files_under(spark, path, pattern) if keep(f.rsplit("/", 1)[-1])]
-    if not names:
+    report = reported(probe(spark, path, pattern, pages, keep))
+    if report.limit(1).count() == 0:
         raise FileNotFoundError(f"no file matches {pattern} in {path}")
-
-    def probe(name: str) -> str | None:
-        try:
-            spark.read.parquet(name)
-        except Exception as e:  # noqa: BLE001  the error is the report
-            return str(e).splitlines()[0][:500]
-        return None
-
-    with ThreadPoolExecutor(16) as pool:
-        errors = list(pool.map(probe, names))
-    good = [n for n, e in zip(names, errors) if e is None]
+    good = readable(report)
     if not good:
         raise OSError(f"no file in {path} can be read")
     reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")
-    return reader.parquet(*good), spark.createDataFrame([(n, e) for n, e in zip(names, errors) if e is not None], BAD)
+    return reader.parquet(*good), report.filter("error IS NOT NULL").select("file_path", "error")
+
+
+def reported(report: DataFrame) -> DataFrame:
+    """The report written down, so that files are tried once."""
+    spark, where = report.sparkSession, work_folder(report.sparkSession, "files")
+    report.write.parquet(where)
+    return spark.read.schema(report.schema).parquet(where)
+
+
+def readable(report: DataFrame) -> list[str]:
+    """Names of the files without an error, sorted: what a scan is told, one name for each file."""
+    return sorted(unquote(r["file_path"]) for r in report.filter("error IS NULL").select("file_path").collect())
 
 
 def read_universe(spark: SparkSession, path: str, column: str = "Symbol") -> DataFrame:
@@ -59,12 +65,12 @@ def read_universe(spark: SparkSession, path: str, column: str = "Symbol") -> Dat
 
 def file_key(name: Column) -> Column:
     """The normalised stem of a file name."""
-    return X.ticker(F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.(parquet|pq)$", ""))
+    return X.ticker(F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"(?i)\.(parquet|pq)$", ""))
 
 
 def key_of(name: str) -> str:
     """``file_key`` of one file name, outside Spark."""
-    return re.sub(r"\.(parquet|pq)$", "", name.rsplit("/", 1)[-1]).strip().upper().replace(".", "-")
+    return re.sub(r"(?i)\.(parquet|pq)$", "", name.rsplit("/", 1)[-1]).strip().upper().replace(".", "-")
 
 
 def files_below(spark: SparkSession, path: str) -> list[str]:
@@ -74,7 +80,7 @@ def files_below(spark: SparkSession, path: str) -> list[str]:
     found, out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True), []
     while found.hasNext():
         out.append(found.next().getPath().toString())
-    return sorted(f for f in out if f.endswith((".parquet", ".pq")))
+    return sorted(f for f in out if f.lower().endswith((".parquet", ".pq")))
 
 
 def read_panels(spark: SparkSession, path: str, keys: Iterable[str] | None = None) -> DataFrame:
@@ -94,7 +100,7 @@ def read_panels(spark: SparkSession, path: str, keys: Iterable[str] | None = Non
         rows = reader.parquet(*names)
     rows = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("ticker_norm", file_key(F.col("_file")))
     top = F.regexp_replace(F.regexp_replace("_file", r"/[^/]*$", ""), r"^file:/*", "/") == F.lit(path.removeprefix("file:").rstrip("/"))
-    rank = F.when(top & F.col("_file").endswith(".parquet"), 0).when(top & F.col("_file").endswith(".pq"), 1).otherwise(2)
+    rank = F.when(top & F.lower("_file").endswith(".parquet"), 0).when(top & F.lower("_file").endswith(".pq"), 1).otherwise(2)
     best = rows.groupBy("ticker_norm").agg(F.min(F.struct(rank.alias("r"), "_file")).alias("_b")).select("ticker_norm", F.col("_b._file").alias("_file"))
     out = rows.join(best, ["ticker_norm", "_file"], "left_semi").drop("_file")
     if "symbol" in out.columns:
