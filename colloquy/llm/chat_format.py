@@ -22,16 +22,16 @@ repeated rows are repeated turns; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTROL = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[ROLE:", "[/ROLE]")
 OPEN = {"user": "[INST] ", "assistant": "<s> ", "system": "<<SYS>> "}
 CLOSE = {"user": " [/INST]", "assistant": " </s>", "system": " <</SYS>>"}
+#: An escaped role name. Possessive, so that it is matched by loops: a name of any length takes no stack.
+NAME = r"[^\]\\]*+(?:\\.[^\]\\]*+)*+"
 #: One whole turn; contiguous (\G), lazy up to the first closing mark.
-TURN = (
-    r"(?s)\G(?:\[INST\] .*? \[/INST\]|<s> .*? </s>|<<SYS>> .*? <</SYS>>|\[ROLE:(?:[^\]\\]|\\.)*\] .*? \[/ROLE\])"
-)
+TURN = rf"(?s)\G(?:\[INST\] .*? \[/INST\]|<s> .*? </s>|<<SYS>> .*? <</SYS>>|\[ROLE:{NAME}\] .*? \[/ROLE\])"
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -66,7 +66,7 @@ def closing(role: Column) -> Column:
 def parse_turn(turn: Column) -> Column:
     """struct(role, text) of one rendered turn."""
     cases = [(mark, F.lit(role), F.lit(len(mark)), F.lit(len(CLOSE[role]))) for role, mark in OPEN.items()]
-    head = F.regexp_extract(turn, r"(?s)^\[ROLE:((?:[^\]\\]|\\.)*)\] ", 1)
+    head = F.regexp_extract(turn, rf"(?s)^\[ROLE:({NAME})\] ", 1)
     role, skip, tail = unescape(head), F.length(head) + 8, F.lit(8)
     for mark, name, first, last in cases:
         hit = turn.startswith(mark)
@@ -109,11 +109,12 @@ def chat_format(rows: DataFrame) -> DataFrame:
         .when(parse_is(render(1), source), render(1))
         .otherwise(render(2))
     )
-    turns = turns.withColumn("shown", shown)
     first, last = F.length(opening(F.col("role"))), F.length(closing(F.col("role")))
-    packed = F.struct(
-        F.col("turn").isNull().alias("none"), "turn", "role", "text", "shown", first.alias("first"), last.alias("last")
-    )
+    turns = turns.withColumn("shown", shown).withColumns({"first": first, "last": last})
+    # Places are running sums over the turns, which meet here as they do in their string.
+    before = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("at", F.coalesce(F.sum(F.length("shown").cast("long")).over(before), F.lit(0).cast("long")))
+    packed = F.struct(F.col("turn").isNull().alias("none"), "turn", "role", "text", "at", "shown", "first", "last")
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(packed)).alias("t"))
     pieces = F.flatten(
         F.transform(
@@ -131,16 +132,8 @@ def chat_format(rows: DataFrame) -> DataFrame:
     formatted = F.array_join(F.transform("t", lambda x: x.shown), "")
     out = grouped.select("conv_id", "t", pieces.alias("segments"), formatted.alias("formatted"))
     same = parse(F.col("formatted")) == F.transform("t", lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
-    start = F.aggregate(
-        "segments",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda a, s: F.struct(
-            (a["at"] + F.length(s.text)).alias("at"),
-            F.when(s.loss, F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(s.text)).alias("end")))))
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-    )["spans"]
+    said = F.filter("t", lambda x: x.role == "assistant")
+    spans = F.transform(said, lambda x: F.struct((x["at"] + x["first"]).alias("start"), (x["at"] + F.length(x.shown) - x["last"]).alias("end")))
     return out.select(
         "conv_id",
         F.size("t").cast("long").alias("n_turns"),
@@ -148,7 +141,7 @@ def chat_format(rows: DataFrame) -> DataFrame:
         .otherwise(F.raise_error(F.concat(F.lit("no round trip for conversation "), F.col("conv_id").cast("string"))))
         .alias("formatted"),
         "segments",
-        start.alias("loss_spans"),
+        spans.alias("loss_spans"),
     )
 
 
@@ -162,11 +155,18 @@ def with_probe(rows: DataFrame) -> DataFrame:
 
 
 def digest(out: DataFrame) -> DataFrame:
-    """What can be read back from the formatted text and its mask: the turns by the parser, the loss by the spans."""
+    """What can be read back from the output: the turns by the parser from the formatted text, the loss from the pieces under the mask.
+
+    The pieces must make up the formatted text and those under the mask have the lengths of the spans, else it raises. All of it is linear in the text.
+    """
     turns = parse(F.col("formatted"))
     told = F.array_join(F.transform(turns, lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    under = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s.start + 1).cast("int"), (s.end - s.start).cast("int"))))
-    loss = F.array_join(under, "")
+    masked = F.filter("segments", lambda s: s.loss)
+    fits = (F.array_join(F.transform("segments", lambda s: s.text), "") == F.col("formatted")) & (
+        F.transform(masked, lambda s: F.length(s.text).cast("long")) == F.transform("loss_spans", lambda s: s.end - s.start)
+    )
+    said = F.array_join(F.transform(masked, lambda s: unescape(s.text)), "")
+    loss = F.when(F.coalesce(fits, F.lit(False)), said).otherwise(F.raise_error(F.concat(F.lit("pieces and spans differ in conversation "), F.col("conv_id").cast("string"))))
     return out.select(
         "conv_id",
         F.size(turns).cast("long").alias("n_turns"),
