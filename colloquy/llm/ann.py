@@ -33,8 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Candidates and queries of a tile, at most, and candidates of one that is cut so that all tasks have work, at least.
 BLOCK = 8192
-QUERIES = 1024
+QUERIES = 8192
+LEAST = 1024
 #: Similarities of a tile held at once.
 CELLS = 2_000_000
 TILE = "query_id long, vec_id long, low double, high double"
@@ -74,8 +76,11 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def survivors(qid: np.ndarray, q: tuple, vid: np.ndarray, v: tuple, keep: int) -> Iterator[tuple]:
-    """(query_id, ids, lower bounds, upper bounds) of the pairs of a tile that can be among the ``keep`` best of their query."""
+    """(query_id, ids, lower bounds, upper bounds) of the pairs of a tile that can be among the ``keep`` best ids of their query."""
     (q8, qs, qe), (v8, vs, ve) = q, v
+    order = np.argsort(vid, kind="stable")
+    first = np.flatnonzero(np.diff(vid[order], prepend=vid[order[:1]] - 1))
+    repeated = len(first) < len(vid)
     step = max(1, CELLS // max(1, len(vid)))
     for a in range(0, len(qid), step):
         b = min(len(qid), a + step)
@@ -83,8 +88,10 @@ def survivors(qid: np.ndarray, q: tuple, vid: np.ndarray, v: tuple, keep: int) -
         slack = qe[a:b, None] + (1 + qe[a:b, None]) * ve[None, :]
         near[qid[a:b, None] == vid[None, :]] = -np.inf
         low, high = near - slack, near + slack
-        k = min(keep, len(vid))
-        floor = np.partition(low, len(vid) - k, axis=1)[:, len(vid) - k]
+        # An id with several vectors has one place in the list, that of its best.
+        each = np.maximum.reduceat(low[:, order], first, axis=1) if repeated else low
+        k = min(keep, len(first))
+        floor = np.partition(each, len(first) - k, axis=1)[:, len(first) - k]
         rows, cols = np.nonzero((high >= floor[:, None]) & np.isfinite(near))
         cut = np.searchsorted(rows, np.arange(b - a + 1))
         for i in range(b - a):
@@ -122,13 +129,17 @@ def nearest(
         F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"), is_query.alias("q")
     ).filter(F.col("id").isNotNull() & usable(F.col("v")))
     base = base.withColumn("q", F.coalesce("q", F.lit(False)))
-    # A tile's list has places for ids: one for each vector of an id.
+    # Rows of one id are rare, so that is seen first; equal ones count once.
     most = base.groupBy("id").count().agg(F.max("count")).first()[0] or 1
     if most > 1:
         base = base.groupBy("id", "v").agg(F.max("q").alias("q"))
     sizes = base.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if("q").alias("m"))
-    # Blocks per dimension; the table has a row per dimension.
-    plan = sizes.select("dim", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil(F.col("m") / queries).cast("int").alias("mb"))
+    # Blocks per dimension; the table has a row per dimension. A row is copied once for each block of the other side, so sides are as long as a tile
+    # allows; candidates are cut further where the tiles would be fewer than the tasks, down to LEAST.
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mb = F.ceil(F.col("m") / queries)
+    spread = F.least(F.ceil(F.col("n") / min(LEAST, block)), F.ceil(F.lit(2 * partitions) / F.greatest(mb, F.lit(1))))
+    plan = sizes.select("dim", F.greatest(F.ceil(F.col("n") / block), spread).cast("int").alias("nb"), mb.cast("int").alias("mb"))
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,22 +161,19 @@ def nearest(
     asked = rows.filter("q").select(
         "dim", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("vb"), own_query.alias("qb"), "id", "v8", "scale", "lost", F.lit(True).alias("q")
     )
-    keep = int(k * most)
-
     def tile(table: pa.Table) -> pa.Table:
         none = np.array(table["q"].combine_chunks().to_numpy(zero_copy_only=False), bool)
         ids, out = table["id"].to_numpy(), []
         if len(none) and not none.all() and none.any():
             v8 = np.frombuffer(b"".join(table["v8"].to_pylist()), np.int8).reshape(len(ids), -1)
             scale, lost = table["scale"].to_numpy(), table["lost"].to_numpy()
-            out = list(survivors(ids[none], (v8[none], scale[none], lost[none]), ids[~none], (v8[~none], scale[~none], lost[~none]), keep))
+            out = list(survivors(ids[none], (v8[none], scale[none], lost[none]), ids[~none], (v8[~none], scale[~none], lost[~none]), k))
         return pa.table({
             "query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64),
             **{name: np.concatenate([o[c] for o in out] or [np.zeros(0)]).astype(kind) for c, name, kind in ((1, "vec_id", np.int64), (2, "low", float), (3, "high", float))},
         })
 
     # Few bytes mean much work here, so the tiles aren't put together by their size.
-    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = candidates.unionByName(asked).repartition(partitions, "dim", "vb", "qb").groupBy("dim", "vb", "qb").applyInArrow(tile, TILE)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
