@@ -876,4 +876,4 @@ def glob_scan(spark, sf_dir):
     return rows.agg(F.count("*").alias("n_rows"))
 
 
-from . import ingest_queries, token_queries  # noqa: E402, F401  they register their queries here
+from . import ingest_queries, model_queries, token_queries  # noqa: E402, F401  they register their queries here

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.history import KeyHistory
 from ..session import settings, work_folder
 from ..sources import windows
 from ..streaming import readiness
@@ -74,3 +75,14 @@ def windowed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     if failed:
         raise OSError(failed[0][0])
     return read.select("window_start", "window_end", "page_id", "url", F.length("html").alias("n_chars"), "date")
+
+
+@query("""WITH b AS (SELECT doc_id, text, doc_id % 3 AS batch, row_number() OVER (PARTITION BY text ORDER BY doc_id % 3, doc_id) AS r FROM documents)
+SELECT doc_id, batch::INTEGER AS batch FROM b WHERE r = 1""")
+def history_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in three batches (by id); those whose text no earlier batch and no smaller id of their own batch had."""
+    kept, docs, out = KeyHistory(spark, work_folder(spark, "history"), ["text"]), table(spark, sf_dir, "documents").select("doc_id", "text"), None
+    for batch in range(3):
+        new = kept.take(docs.filter(F.col("doc_id") % 3 == batch), batch, ["doc_id"]).select("doc_id", F.lit(batch).alias("batch"))
+        out = new if out is None else out.unionByName(new)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import annotation, describe, econ, events, relate, reports, sampling, tone, turns
+from ..operators import annotation, describe, econ, events, relate, reports, sampling, tone, trainer, turns
 from ..sources import readers, writers
 from ..sources.probe import probe
 
@@ -63,8 +63,8 @@ def label_dataset(spark: SparkSession, sample: str, out: str, ask: Callable[[str
     return {**annotation.status_counts(spark.read.parquet(out)).first().asDict(), "output_path": out}
 
 
-def train_model(spark: SparkSession, labelled: str, out: str, train: Callable[[DataFrame, DataFrame], Callable]) -> dict:
-    """The train-ready dataset is written; ``train`` gets its train and valid parts and gives a callable from texts to label ids; its measures on the test part come back."""
+def train_model(spark: SparkSession, labelled: str, out: str, train: Callable[[DataFrame, DataFrame], Callable] = trainer.fit) -> dict:
+    """The train-ready dataset is written; ``train`` (softmax regression, where none is given) gets its train and valid parts and gives a callable from texts to label ids; its measures on the test part come back."""
     writers.write_parquet(annotation.train_ready(spark.read.parquet(labelled)), out)
     ready = spark.read.parquet(out)
     guess = train(*[ready.filter(F.col("split") == s) for s in ("train", "valid")])
