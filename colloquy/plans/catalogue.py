@@ -18,6 +18,7 @@ from ..functions import text as X
 from ..operators import annotation, describe, econ, events, relate, sampling, tone, turns
 from ..session import work_folder
 from ..sources import readers
+from ..sources.panel_store import PanelStore
 from .pipelines import merge_raw, merge_report
 
 QUERIES: dict = {}
@@ -519,6 +520,15 @@ def marketcap_asof(spark, sf_dir):
     return rounded(events.with_marketcap(calls(spark, sf_dir), caps(spark, sf_dir)).select("call_id", "marketCap", "log_marketCap"), "log_marketCap")
 
 
+@query(f"WITH {PANEL} SELECT call_id, p.date AS cap_date, marketCap FROM calls c ASOF LEFT JOIN caps p ON c.ticker_norm = p.ticker_norm AND c.call_date >= p.date")
+def panel_store_asof(spark, sf_dir):
+    """Market caps from a store of panels, bucketed by ticker and span; the store stays in the warehouse."""
+    asked = calls(spark, sf_dir)
+    last = asked.agg(F.max("call_date")).first()[0]
+    store = PanelStore.build(caps(spark, sf_dir), last)
+    return store.lookup(asked, "ticker_norm", "call_date").select("call_id", F.col("match._at").alias("cap_date"), F.col("match.marketCap").alias("marketCap"))
+
+
 EARN = """
 earn AS (SELECT ticker_norm, date, lag(marketCap) OVER w / 1000 AS epsEstimated, marketCap / 1000 AS epsActual, lag(marketCap) OVER w * 10 AS revenueEstimated, marketCap * 10 AS revenueActual
    FROM caps WINDOW w AS (PARTITION BY ticker_norm ORDER BY date)),
