@@ -1,7 +1,7 @@
 """Line dedup over levelled sorted runs of line hashes. DataFrame and SQL functions only.
 
-Documents arrive in batches of ascending id, of about ``BATCH`` documents each
-however many there are. The state is a set of runs: tables
+Documents arrive in batches of ascending id: two of about ``BATCH`` documents, then each as large as all before it, so
+that n documents are 2 + log2(n / BATCH) rounds, and the last is half of them. The state is a set of runs: tables
 bucketed by the line hash and sorted by it inside each bucket, so a batch
 merge-joins them without a new exchange or sort of the state. A batch's new
 keys (those in no run) become a run of level 0; ``fanout`` runs of one level
@@ -10,7 +10,7 @@ are merged into one of the next. Runs never share a key.
 Defined cases: a null or empty text is one empty line; a null id counts as the
 largest id; rows that share an id are parts of one document, each with its own
 result row, and stand in one batch; an empty table gives no row; extra columns are
-ignored. The runs and all other tables of the work are dropped at its end. Keys are compared by two independent
+ignored. What a batch leaves is its places to drop; its lines and keys are deleted once its run is there, the runs at the end. Keys are compared by two independent
 64-bit hashes.
 """
 
@@ -21,9 +21,9 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, stored, with_part
+from .common import discard, documents, drop_folder, shared_path, stored, with_part
 
-#: Documents of a batch.
+#: Documents of the first batch.
 BATCH = 100_000
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,6 +87,15 @@ class SortedRuns:
         return keys
 
 
+def batch_ends(rows: int, first: int) -> list[float]:
+    """The shares of all rows at which batches end, but for the last: two of ``first`` rows, then each as large as all before it."""
+    ends, end = [], first
+    while end < rows:
+        ends.append(end / rows)
+        end *= 2
+    return ends
+
+
 def line_dedup(docs: DataFrame, min_chars: int = 10, batch: int = BATCH, fanout: int = 2) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): each document with its repeated lines dropped.
 
@@ -97,9 +106,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, batch: int = BATCH, fanout:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = with_part(docs)
-    batches = max(1, -(-rows.count() // batch))
-    cuts = sorted(set(rows.select(F.percentile_approx("key", [k / batches for k in range(1, batches)], 100 * batches)).first()[0] or [])) if batches > 1 else []
-    batches = len(cuts) + 1
+    shares = batch_ends(rows.count(), batch)
+    accuracy = int(min(1_000_000, max(1_000, 100 / min(shares, default=1.0))))
+    cuts = sorted(set(rows.select(F.percentile_approx("key", shares, accuracy)).first()[0] or [])) if shares else []
     number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("key"))) if cuts else F.lit(0)
     key = line_key(F.col("line"))
     hashed = (
@@ -109,10 +118,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, batch: int = BATCH, fanout:
         .select("batch", "key", "part", "at", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"))
     )
     hashed = stored(hashed, "lines", "batch")
-    runs, drops, made = SortedRuns(spark, buckets, fanout), None, [hashed]
-    for b in range(batches):
-        batch = hashed.filter(F.col("batch") == b).select("key", "part", "at", "h1", "h2")
-        firsts = batch.groupBy("h1", "h2").agg(F.min("key").alias("holder"), F.max("key").alias("last"))
+    runs, dropped = SortedRuns(spark, buckets, fanout), shared_path(spark, "drops")
+    for b in range(len(cuts) + 1):
+        found = hashed.filter(F.col("batch") == b).select("key", "part", "at", "h1", "h2")
+        firsts = found.groupBy("h1", "h2").agg(F.min("key").alias("holder"), F.max("key").alias("last"))
+        made = []
         if runs.tables():
             firsts = stored(firsts, "firsts")
             fresh = stored(runs.without(firsts), "fresh")
@@ -123,20 +133,22 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, batch: int = BATCH, fanout:
         else:
             fresh, old = stored(firsts, "fresh"), None
             made.append(fresh)
-        if b < batches - 1:
+        if b < len(cuts):
             runs.add(fresh)
         losing = fresh.filter("last > holder").select("h1", "h2", "holder")
         losing = losing.unionByName(old) if old is not None else losing
         lost = (
-            batch.join(losing, ["h1", "h2"])
+            found.join(losing, ["h1", "h2"])
             .filter("holder IS NULL OR key > holder")
             .groupBy("key", "part")
             .agg(F.collect_list("at").alias("lost"))
         )
-        drops = lost if drops is None else drops.unionByName(lost)
-    drops = stored(drops, "drops")
+        lost.write.parquet(f"{dropped}/batch={b}")
+        discard(*made)
+        drop_folder(spark, f"{hashed.stored_path}/batch={b}")
+    drops = spark.read.schema(lost.schema).parquet(dropped)
     runs.drop()
-    discard(*made)
+    discard(hashed)
     lines = lines_of(F.col("text"))
     return (
         rows.join(drops.hint("merge"), ["key", "part"], "left")
