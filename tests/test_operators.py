@@ -442,22 +442,6 @@ def test_reports(spark, tmp_path):
     assert tex.count("p-value") == len(reports.PROGRESSIVE_ORDER) and tex.count(r"\hline") == 4 and "Observations & 200" in tex
 
 
-def test_log(tmp_path, capsys):
-    import logging
-
-    from colloquy import log
-
-    out = log.configure(str(tmp_path / "x" / "run.log"), "colloquy-test", only_important=True, max_bytes=400, backups=2)
-    for k in range(20):
-        out.info("detail %s", k)
-    out.info("batch_flush rows=3")
-    out.error("failed")
-    assert len(out.handlers) == 2 and sorted(f.name for f in (tmp_path / "x").iterdir()) == ["run.log", "run.log.1", "run.log.2"]
-    said = capsys.readouterr().err
-    assert "batch_flush" in said and "failed" in said and "detail" not in said
-    assert log.configure(str(tmp_path / "y.log"), "colloquy-test").handlers != [] and logging.getLogger("colloquy-test").level == logging.INFO
-
-
 def test_inputs_that_may_be_missing(spark, tmp_path):
     spark.range(5).selectExpr("id AS chunk_token_count", "id AS other").write.parquet(str(tmp_path / "a.parquet"))
     (tmp_path / "b.parquet").write_text("no")
