@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm.common import shared_path, stored
+from colloquy.llm.common import discard, shared_path, stored
 from colloquy.llm.decontaminate import clean_of
 from colloquy.llm.jaccard_join import one_of_each
 from colloquy.llm.mixing import curriculum
@@ -69,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:  # what a stage was given goes once its result is there; the last stage's input stays
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
