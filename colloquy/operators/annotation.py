@@ -90,6 +90,19 @@ def prompt(df: DataFrame) -> Column:
     )
 
 
+#: Fixed value: the least temperature that a service is asked for.
+LEAST_TEMPERATURE = 0.5
+
+
+def request_body(question: Column, model: str, system: str, temperature: float | Column = 0.0) -> Column:
+    """The JSON of a chat request: a system and a user message. A temperature below the least one, missing or no number is that one."""
+    asked = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
+    warm = F.greatest(F.lit(LEAST_TEMPERATURE), F.nanvl(asked.cast("double"), F.lit(LEAST_TEMPERATURE)))
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    messages = F.array(said("system", F.lit(system)), said("user", F.coalesce(question, F.lit(""))))
+    return F.to_json(F.struct(F.lit(model).alias("model"), messages.alias("messages"), warm.alias("temperature")))
+
+
 def labelled(sample: DataFrame, ask: Callable[[str], str], model: str, max_rows: int | None = None, **how) -> DataFrame:
     """The sample (its first ``max_rows`` in reading order, if given) with the labels of a service joined back by chunk_id.
 

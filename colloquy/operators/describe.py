@@ -167,3 +167,12 @@ def basic_checks(final: DataFrame, chunks: DataFrame, call: str = "transcript_id
     ]
     rows = F.array(*[F.struct(F.lit(c).alias("check"), F.coalesce(p, F.lit(False)).alias("passed"), v.cast("double").alias("value")) for c, p, v in checks])
     return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def has_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per column: values that are there (not missing, NaN counts as missing), whether there is any, whether all are. One pass."""
+    kinds = dict(df.dtypes)
+    there = {c: F.col(f"`{c}`").isNotNull() & (~F.isnan(f"`{c}`") if kinds[c] in ("double", "float") else F.lit(True)) for c in columns}
+    counts = df.agg(F.count("*").alias("_n"), *[F.count_if(v).alias(f"_{i}") for i, v in enumerate(there.values())])
+    rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"_{i}").alias("n_values"), (F.col(f"_{i}") > 0).alias("any_value"), (F.col(f"_{i}") == F.col("_n")).alias("all_values")) for i, c in enumerate(columns)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sampling, trainer
+from ..operators import describe, sampling, trainer
 from .catalogue import query, table
 
 
@@ -36,3 +36,11 @@ def model_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configurations of a grid in three rungs over a sample of the labelled documents (the feature: 2,000 at most)."""
     grid = sampling.grid(spark, lr=[0.01, 0.03, 0.1], batch=[8, 16], epochs=[2, 3], warmup=[0.0, 0.1], decay=[0.0, 0.01])
     return trainer.trials(grid, labelled_documents(spark, sf_dir), "text", "label", "part", "doc_id", 2, sample=2_000)
+
+
+GUARDED = ("sale_id", "client_id", "status", "total", "sold_at", "arrived_at", "priority")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS n_values, count({c}) > 0 AS any_value, count({c}) = count(*) AS all_values FROM sales" for c in GUARDED))
+def value_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe.has_values(table(spark, sf_dir, "sales"), list(GUARDED))

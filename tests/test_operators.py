@@ -472,3 +472,15 @@ def test_stream_until_idle(spark, tmp_path):
     assert ingest.until_idle(start, idle=2, wait=0, spark=spark) == 3 and len(starts) == 4
     assert RollingShards(spark, str(tmp_path / "out")).read().count() == 3
     assert ingest.until_idle(start, idle=5, wait=0, most=2, spark=spark) == 0 and len(starts) == 6
+
+
+def test_request_body_and_value_guards(spark):
+    import json
+
+    df = spark.createDataFrame([("a \"b\"", 0.1), (None, 0.9), ("c", math.nan), ("d", None)], "q string, t double")
+    got = [json.loads(r[0]) for r in df.select(annotation.request_body(F.col("q"), "m", "sys", F.col("t"))).collect()]
+    assert [g["temperature"] for g in got] == [0.5, 0.9, 0.5, 0.5] and [g["messages"][1]["content"] for g in got] == ['a "b"', "", "c", "d"]
+    assert got[0]["messages"][0] == {"role": "system", "content": "sys"} and json.loads(one(spark, annotation.request_body(F.lit("x"), "m", "s")))["temperature"] == 0.5
+    rows = {r["variable"]: tuple(r)[1:] for r in describe.has_values(df, ["q", "t"]).collect()}
+    assert rows == {"q": (3, True, False), "t": (2, True, False)}
+    assert {tuple(r)[1:] for r in describe.has_values(df.limit(0), ["q", "t"]).collect()} == {(0, False, True)}
