@@ -1,8 +1,8 @@
 """A sink of shards of a fixed number of rows that go on from one micro batch to the next, each row once.
 
 A shard that a batch leaves unfinished is taken up by the next one, so all shards but the last hold exactly ``rows`` rows. What a batch
-did is told by its manifest, a file that appears whole under its final name: the files it added, and the unfinished one
-that it replaced. A batch whose manifest is there has been written and isn't written again, whether its offsets were committed or not; one that broke off
+did is told by its manifest, a file that appears whole under its final name: the files it added, the unfinished one
+that it replaced, and where the next batch goes on (so that one looks at one manifest, however many there are). A batch whose manifest is there has been written and isn't written again, whether its offsets were committed or not; one that broke off
 before has left files that no manifest names, which are not read and are removed when it is run again. The columns of the
 first batch are kept; later batches are put in their order and types, missing ones null and further ones left out.
 
@@ -23,7 +23,7 @@ from ..sources.writers import write_text
 
 #: Rows of a shard.
 ROWS = 30_000
-MANIFEST = "batch long, added array<struct<shard: long, rows: long, path: string>>, replaced array<string>, open boolean"
+MANIFEST = "batch long, added array<struct<shard: long, rows: long, path: string>>, replaced array<string>, tail struct<shard: long, rows: long, path: string>, next long"
 
 
 class RollingShards:
@@ -59,18 +59,17 @@ class RollingShards:
         have = {c.lower() for c in df.columns}
         return df.select(*[(F.col(f"`{f.name}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
-    def _last(self) -> tuple[int, dict | None]:
-        """(number of the next shard, the unfinished one)."""
-        top = self.manifests().select("batch", F.explode("added").alias("a")).agg(F.max(F.struct("a.shard", "batch", "a.rows", "a.path")).alias("m")).first()["m"]
-        if top is None:
-            return 0, None
-        closed = self.manifests().filter((F.col("batch") >= top["batch"]) & ~F.col("open")).limit(1).count()
-        if top["rows"] >= self.rows or closed:
-            return top["shard"] + 1, None
-        return top["shard"], top.asDict()
-
-    def _commit(self, batch: int, added: list[dict], replaced: list[str], still_open: bool) -> None:
-        one = {"batch": batch, "added": added, "replaced": replaced, "open": still_open}
+    def _last(self, batch: int) -> tuple[int, dict | None]:
+        """(number of the next shard, the unfinished one), as the manifest before ``batch`` tells; only where batches were left out are all looked at."""
+        at = f"{self.path}/manifest/{batch - 1:020d}.json"
+        if self._exists(at):
+            told = json.loads(self._read(at))
+            return told["next"], told["tail"]
+        last = self.manifests().filter(F.col("batch") < batch).orderBy(F.desc("batch")).select("next", "tail").first()
+        return (0, None) if last is None else (last["next"], last["tail"].asDict() if last["tail"] else None)
+
+    def _commit(self, batch: int, added: list[dict], replaced: list[str], next_: int, tail: dict | None) -> None:
+        one = {"batch": batch, "added": added, "replaced": replaced, "tail": tail, "next": next_}
         write_text(self.spark, json.dumps(one), f"{self.path}/manifest/{batch:020d}.json")
 
     def write(self, df: DataFrame, batch: int) -> bool:
@@ -81,7 +80,7 @@ class RollingShards:
         for left in (data, staged):  # by a run that broke off
             fs, p = self._fs(left)
             fs.delete(p, True)
-        first, unfinished = self._last()
+        first, unfinished = self._last(batch)
         names = self._pinned(df).columns
         # Staged first: rows are numbered and read once more, and a source may give them in another order then.
         placed = self._pinned(df).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
@@ -103,7 +102,12 @@ class RollingShards:
         files = kept.groupBy("shard", F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows")).orderBy("shard").collect()  # a row per shard of the batch
         added = [{"shard": r["shard"], "rows": r["rows"], "path": r["path"]} for r in files]
         replaced = [unfinished["path"]] if unfinished and any(a["shard"] == first for a in added) else []
-        self._commit(batch, added, replaced, True)
+        if added:
+            top = added[-1]
+            tail = top if top["rows"] < self.rows else None
+            self._commit(batch, added, replaced, top["shard"] + (tail is None), tail)
+        else:
+            self._commit(batch, [], [], first, unfinished)
         fs, p = self._fs(staged)
         fs.delete(p, True)
         for path in replaced:
@@ -114,7 +118,8 @@ class RollingShards:
     def close(self, batch: int) -> None:
         """The unfinished shard is left as it is; the next batch begins another one."""
         if not self._exists(f"{self.path}/manifest/{batch:020d}.json"):
-            self._commit(batch, [], [], False)
+            next_, unfinished = self._last(batch)
+            self._commit(batch, [], [], next_ + (unfinished is not None), None)
 
     def shards(self) -> DataFrame:
         """(shard, rows, path) of what is there."""
