@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import numeric as N
 from .frames import ROWS, with_halo
 from .quantiles import exact_quantiles
-from .relate import asof
+from .relate import Lookup, asof_all
 
 #: Least estimates for a surprise, days to earnings, rows for an expected return.
 MIN_EPS, MIN_REVENUE, MAX_GAP, MIN_DAYS = 0.01, 1e6, 30, 60
@@ -20,6 +21,26 @@ def numbers(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: N.number(F.col(c)) for c in columns if kinds.get(c) not in (None, "bigint", "int") and not kinds[c].startswith("decimal")})
 
 
+def running(x: Column, w: WindowSpec) -> Column:
+    """(sum, n, infinite, nan) of the rows up to each one; sums are of finite values, so one that is not reaches no other frame."""
+    odd = F.isnan(x) | (F.abs(x) == float("inf"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    return F.struct(
+        F.coalesce(F.sum(F.when(~odd, x)).over(upto), F.lit(0.0)).alias("sum"), F.count(x).over(upto).alias("n"),
+        F.count_if(F.abs(x) == float("inf")).over(upto).alias("infinite"), F.count_if(F.isnan(x)).over(upto).alias("nan"),
+    )
+
+
+def mean_between(low: Column, high: Column, least: int) -> Column:
+    """The mean of the rows after ``low`` up to ``high``, both from ``running`` (null before the first row); null of fewer than ``least`` values.
+
+    A frame of 201 rows is so one difference; added up anew for each row it takes 201 steps. Returns are logarithms of positive ratios, so the only infinite one is positive.
+    """
+    part = {c: high[c] - F.coalesce(low[c], F.lit(0)) for c in ("sum", "n", "infinite", "nan")}
+    odd = F.when(part["nan"] > 0, F.lit(float("nan"))).when(part["infinite"] > 0, F.lit(float("inf")))
+    return F.when(part["n"] >= least, F.coalesce(odd, part["sum"] / part["n"]))
+
+
 def market_panel(panel: DataFrame, rows: int = ROWS) -> DataFrame:
     """panel (ticker_norm, date, close, volume) -> log returns and all frames around each row. What is no number counts as missing.
 
@@ -30,13 +51,12 @@ def market_panel(panel: DataFrame, rows: int = ROWS) -> DataFrame:
     panel = with_halo(panel, "ticker_norm", "date", 251, 5, rows)
     w = Window.partitionBy("ticker_norm", "_bucket").orderBy("date")
     ret = panel.withColumn("ret", N.safe_log(N.ratio(F.col("close"), F.lag("close").over(w))))
-    base = w.rowsBetween(-250, -50)
-    out = ret.withColumns({
-        "_mean": F.when(F.count("ret").over(base) >= MIN_DAYS, F.avg("ret").over(base)),
+    out = ret.withColumn("_upto", running(F.col("ret"), w)).withColumns({
+        "_mean": mean_between(F.lag("_upto", 251).over(w), F.lag("_upto", 50).over(w), MIN_DAYS),
         "_before": F.lag("ret").over(w), "_after": F.lead("ret").over(w),
         "Volatility_0_p5": F.stddev_pop("ret").over(w.rowsBetween(0, 5)),
         "AvgVolume_m20_m1": F.avg("volume").over(w.rowsBetween(-20, -1)), "AvgVolume_0_p1": F.avg("volume").over(w.rowsBetween(0, 1)),
-    })
+    }).drop("_upto")
     out = out.filter("_own")
     parts = [F.col(c) - F.col("_mean") for c in ("_before", "ret", "_after")]
     some = F.coalesce(*parts).isNotNull()
@@ -48,27 +68,54 @@ def market_panel(panel: DataFrame, rows: int = ROWS) -> DataFrame:
 MARKET = ("CAR_m1_p1", "Volatility_0_p5", "AvgVolume_m20_m1", "AvgVolume_0_p1", "AbVol_0_p1")
 
 
+def market_lookup(panel: DataFrame) -> Lookup:
+    return Lookup(market_panel(panel).select("ticker_norm", "date", *MARKET), "date", forward=True, name="_market")
+
+
+def cap_lookup(caps: DataFrame) -> Lookup:
+    return Lookup(numbers(caps, "marketCap").dropna("any", subset=["date", "marketCap"]), "date", name="_cap")
+
+
+def earnings_lookup(earnings: DataFrame, max_gap: int = MAX_GAP) -> Lookup:
+    earnings = numbers(earnings, "epsEstimated", "epsActual", "revenueEstimated", "revenueActual")
+    return Lookup(earnings.dropna("any", subset=["date"]), "date", tolerance=max_gap, name="_earned")
+
+
+def market_columns() -> list[Column]:
+    return [F.col("_market.date").alias("event_date"), *[F.col(f"_market.{c}").alias(c) for c in MARKET]]
+
+
+def cap_columns() -> list[Column]:
+    cap = F.col("_cap.marketCap")
+    return [cap.alias("marketCap"), N.safe_log(cap).alias("log_marketCap")]
+
+
+def earnings_columns() -> list[Column]:
+    m = {c: F.col(f"_earned.{c}") for c in ("date", "epsEstimated", "epsActual", "revenueEstimated", "revenueActual")}
+    return [
+        m["date"].alias("earnings_date"), *[m[c].alias(c) for c in list(m)[1:]],
+        N.surprise(m["epsActual"], m["epsEstimated"], MIN_EPS).alias("eps_surprise"),
+        N.surprise(m["revenueActual"], m["revenueEstimated"], MIN_REVENUE).alias("revenue_surprise"),
+    ]
+
+
 def with_market(calls: DataFrame, panel: DataFrame) -> DataFrame:
     """calls (ticker_norm, call_date, ...) -> with the features of the first trading row at or after the call."""
-    out = asof(calls, market_panel(panel).select("ticker_norm", "date", *MARKET), "ticker_norm", "call_date", "date", forward=True)
-    return out.select(*calls.columns, F.col("match.date").alias("event_date"), *[F.col(f"match.{c}").alias(c) for c in MARKET])
+    return asof_all(calls, "ticker_norm", "call_date", [market_lookup(panel)]).select(*calls.columns, *market_columns())
 
 
 def with_marketcap(calls: DataFrame, caps: DataFrame) -> DataFrame:
-    out = asof(calls, numbers(caps, "marketCap").dropna("any", subset=["date", "marketCap"]), "ticker_norm", "call_date", "date")
-    cap = F.col("match.marketCap")
-    return out.select(*calls.columns, cap.alias("marketCap"), N.safe_log(cap).alias("log_marketCap"))
+    return asof_all(calls, "ticker_norm", "call_date", [cap_lookup(caps)]).select(*calls.columns, *cap_columns())
 
 
 def with_earnings(calls: DataFrame, earnings: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
-    earnings = numbers(earnings, "epsEstimated", "epsActual", "revenueEstimated", "revenueActual")
-    out = asof(calls, earnings.dropna("any", subset=["date"]), "ticker_norm", "call_date", "date", tolerance=max_gap)
-    m = {c: F.col(f"match.{c}") for c in ("date", "epsEstimated", "epsActual", "revenueEstimated", "revenueActual")}
-    return out.select(
-        *calls.columns, m["date"].alias("earnings_date"), *[m[c].alias(c) for c in list(m)[1:]],
-        N.surprise(m["epsActual"], m["epsEstimated"], MIN_EPS).alias("eps_surprise"),
-        N.surprise(m["revenueActual"], m["revenueEstimated"], MIN_REVENUE).alias("revenue_surprise"),
-    )
+    return asof_all(calls, "ticker_norm", "call_date", [earnings_lookup(earnings, max_gap)]).select(*calls.columns, *earnings_columns())
+
+
+def with_outcomes(calls: DataFrame, panel: DataFrame, caps: DataFrame, earnings: DataFrame) -> DataFrame:
+    """calls -> with market, caps and earnings, looked up in one exchange: ``with_market``, ``with_marketcap`` and ``with_earnings`` by one pass over the calls."""
+    found = asof_all(calls, "ticker_norm", "call_date", [market_lookup(panel), cap_lookup(caps), earnings_lookup(earnings)])
+    return found.select(*calls.columns, *market_columns(), *cap_columns(), *earnings_columns())
 
 
 #: Columns that a regression needs, and those that are cut.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,43 +76,73 @@ def not_in(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(key).distinct(), key, "left_anti")
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """What ``asof_all`` looks up: the row of ``table`` at or before (``forward``: at or after) a date, ``tolerance`` in days, as the struct ``name``."""
+
+    table: DataFrame
+    on: str
+    forward: bool = False
+    tolerance: int | None = None
+    name: str = "match"
+
+
 def asof(
     left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, forward: bool = False,
     tolerance: int | None = None, bucket_days: int = 90, name: str = "match",
 ) -> DataFrame:
-    """``left`` with a struct of the right row at or before (forward: at or after) its date, null where there is none.
+    """``left`` with a struct of the right row at or before (forward: at or after) its date, null where there is none: ``asof_all`` of one table."""
+    return asof_all(left, by, left_on, [Lookup(right, right_on, forward, tolerance, name)], bucket_days)
+
+
+def asof_all(left: DataFrame, by: str, left_on: str, lookups: list[Lookup], bucket_days: int = 90) -> DataFrame:
+    """``left`` with a struct for each lookup, null where there is no row.
 
-    Both sides are cut by key and by spans of ``bucket_days``; a small table of the
+    All tables are cut by key and by spans of ``bucket_days`` and exchanged once; a small table of the
     last (first) right row of each span carries over to the spans after (before) it.
     So one key with a third of the rows is spread over its spans, and each span is
-    sorted once. Right rows of one key and date stand
-    in order of all their columns, so the last (first) of them counts. ``tolerance`` is in days.
+    sorted once in each direction that is asked for. Frames run from the start of a span to the row, so the work
+    is linear: a frame that ends with the span is added up anew for each row. Right rows of one key and date stand
+    in order of all their columns, so the last (first) of them counts.
     """
     def span(c: str) -> Column:
-        return F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / bucket_days).alias("_b")
-
-    payload = F.struct(F.col(right_on).alias("_at"), *[F.col(c) for c in right.columns if c != by])
-    r = right.filter(F.col(right_on).isNotNull()).select(F.col(by).alias("_k"), span(right_on), F.col(right_on).alias("_t"), payload.alias("_m"))
-    l = left.select(F.col(by).alias("_k"), span(left_on), F.col(left_on).alias("_t"), F.struct(*left.columns).alias("_l"))  # noqa: E741
-    pick = F.min_by if forward else F.max_by
-    marks = r.select("_k", "_b", "_t", "_m").unionByName(l.select("_k", "_b").distinct(), allowMissingColumns=True)
-    marks = marks.groupBy("_k", "_b").agg(pick("_m", F.when(F.col("_t").isNotNull(), F.struct("_t", "_m"))).alias("_edge"))
-    steps = Window.partitionBy("_k").orderBy("_b")
-    carry = (
-        F.first("_edge", True).over(steps.rowsBetween(1, Window.unboundedFollowing)) if forward
-        else F.last("_edge", True).over(steps.rowsBetween(Window.unboundedPreceding, -1))
-    )
-    carried = marks.select("_k", "_b", carry.alias("_far"))
-    both = l.withColumn("_side", F.lit(0 if forward else 1)).unionByName(r.withColumn("_side", F.lit(1 if forward else 0)), allowMissingColumns=True)
-    w = Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_m")
-    near = (
-        F.first("_m", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward
-        else F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    found = both.withColumn("_near", near).filter("_l IS NOT NULL").join(carried, ["_k", "_b"], "left")
-    match = F.coalesce("_near", "_far")
-    if tolerance is not None:
-        match = F.when(F.abs(F.datediff(F.col("_t"), match["_at"])) <= tolerance, match)
-    unmatched = left.filter(F.col(by).isNull() | F.col(left_on).isNull())
-    found = found.filter("_k IS NOT NULL AND _t IS NOT NULL").select("_l.*", match.alias(name))
-    return found.unionByName(unmatched, allowMissingColumns=True)
+        return F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / bucket_days)
+
+    every = range(len(lookups))
+    rights = []
+    for i, u in enumerate(lookups):
+        payload = F.struct(F.col(u.on).alias("_at"), *[F.col(c) for c in u.table.columns if c != by])
+        known = u.table.filter(F.col(u.on).isNotNull() & F.col(by).isNotNull())
+        rights.append(known.select(F.col(by).alias("_k"), span(u.on).alias("_b"), F.col(u.on).alias("_t"), payload.alias(f"_m{i}")).repartition("_k", "_b"))
+    asked = F.col(by).isNotNull() & F.col(left_on).isNotNull()
+    # Rows that can match nothing stay where they are dealt: their spans are numbers of tasks.
+    l = left.select(F.col(by).alias("_k"), F.when(asked, span(left_on)).otherwise(F.spark_partition_id()).alias("_b"), F.col(left_on).alias("_t"), F.struct(*left.columns).alias("_l"))  # noqa: E741
+    marks = left.filter(asked).select(F.col(by).alias("_k"), span(left_on).alias("_b")).distinct()
+    for i, (u, r) in enumerate(zip(lookups, rights)):
+        pick = F.min_by if u.forward else F.max_by
+        edges = r.groupBy("_k", "_b").agg(pick(f"_m{i}", F.struct("_t", f"_m{i}")).alias(f"_edge{i}"))
+        marks = marks.unionByName(edges, allowMissingColumns=True)
+    marks = marks.groupBy("_k", "_b").agg(*[F.first(f"_edge{i}", True).alias(f"_edge{i}") for i in every])
+
+    def latest(c: Column, forward: bool, keys: list[str], order: list[str], last: int) -> Column:
+        """The last value so far; forward: from the other end."""
+        w = Window.partitionBy(*keys).orderBy(*[F.desc(o) if forward else F.asc(o) for o in order])
+        return F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, last))
+
+    carried = marks.select("_k", "_b", *[latest(F.col(f"_edge{i}"), u.forward, ["_k"], ["_b"], -1).alias(f"_far{i}") for i, u in enumerate(lookups)])
+    both = l
+    for r in rights:
+        both = both.unionByName(r, allowMissingColumns=True)
+    # Rows of ``left`` come after right rows of their date, forward before them.
+    places = {False: ["_t", "_last", *[f"_m{i}" for i in every]], True: ["_t", "_first", *[f"_m{i}" for i in every]]}
+    both = both.withColumn("_last", F.col("_l").isNotNull()).withColumn("_first", F.col("_l").isNull())
+    near = both.select("_k", "_b", "_t", "_l", *[latest(F.col(f"_m{i}"), u.forward, ["_k", "_b"], places[u.forward], 0).alias(f"_near{i}") for i, u in enumerate(lookups)])
+    found = near.filter("_l IS NOT NULL").join(carried, ["_k", "_b"], "left")
+    out = []
+    for i, u in enumerate(lookups):
+        match = F.coalesce(f"_near{i}", f"_far{i}")
+        fits = F.col("_k").isNotNull() & F.col("_t").isNotNull()
+        if u.tolerance is not None:
+            fits = fits & (F.abs(F.datediff(F.col("_t"), match["_at"])) <= u.tolerance)
+        out.append(F.when(fits, match).alias(u.name))
+    return found.select("_l.*", *out)

@@ -558,15 +558,16 @@ q AS (SELECT {", ".join(f"quantile_cont({c}, 0.01) AS {c}_a, quantile_cont({c},
 
 
 def joined_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = events.with_market(calls(spark, sf_dir), panel(spark, sf_dir))
-    return events.with_earnings(events.with_marketcap(out, caps(spark, sf_dir)), earnings(spark, sf_dir))
+    return events.with_outcomes(calls(spark, sf_dir), panel(spark, sf_dir), caps(spark, sf_dir), earnings(spark, sf_dir))
 
 
 @query(f"""WITH {PREP} SELECT call_id, year(call_date) || 'Q' || quarter(call_date) AS year_quarter, {", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, {c}_a), {c}_b) END, 6) AS {c}" for c in events.WINSORIZED)},
  round(CASE WHEN AvgVolume_m20_m1 > 0 THEN ln(AvgVolume_m20_m1) END, 6) AS log_AvgVolume_m20_m1, round(log_marketCap, 6) AS log_marketCap
 FROM joined, q WHERE CAR_m1_p1 IS NOT NULL AND eps_surprise IS NOT NULL AND revenue_surprise IS NOT NULL AND log_marketCap IS NOT NULL AND AvgVolume_m20_m1 IS NOT NULL""")
 def regression_prep(spark, sf_dir):
-    out = events.regression_sample(events.prepared(joined_calls(spark, sf_dir)))
+    path = work_folder(spark, "calls")
+    joined_calls(spark, sf_dir).select("call_id", "call_date", *events.WINSORIZED, "AvgVolume_m20_m1", "log_marketCap").write.parquet(path)  # the cuts of ``prepared`` read it again
+    out = events.regression_sample(events.prepared(spark.read.parquet(path)))
     cols = [*events.WINSORIZED, "log_AvgVolume_m20_m1", "log_marketCap"]
     return rounded(out.select("call_id", "year_quarter", *cols), *cols)
 

@@ -147,7 +147,7 @@ class FeaturesPipeline:
         text = self.spark.read.parquet(f"{self.out}/text")
         calls = text.withColumn("ticker_norm", X.ticker(F.col("ticker"))).withColumn("call_date", F.to_date("date"))
         market, caps, earnings = (readers.read_panels(self.spark, p) for p in self.panels)
-        joined = events.with_earnings(events.with_marketcap(events.with_market(calls, market), caps), earnings)
+        joined = events.with_outcomes(calls, market, caps, earnings)
         ready = events.prepared(joined)
         writers.write_parquet(events.regression_sample(ready), f"{self.out}/regression")
         count = lambda name: self.spark.read.parquet(f"{self.out}/{name}").count()
