@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ BITS, BLOCKS = 16, 8
 #: Units of a gradient's sum.
 UNIT = float(1 << 32)
 WORD = r"[a-z0-9]+|[^a-z0-9\x00-\x20]"
+#: Words (of a row more, if it has more) that are looked at together: what a task holds beside its batch.
+TOGETHER = 200_000
 FEATURES = "label int, part string, words array<int>"
 
 
@@ -40,6 +43,18 @@ def flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), 1 / np.sqrt(np.maximum(1, sizes))
 
 
+def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of rows with ``most`` in all, or of one row."""
+    start, total, k = 0, 0, -1
+    for k, n in enumerate(sizes):
+        if k > start and total + n > most:
+            yield start, k - start
+            start, total = k, 0
+        total += n
+    if k >= start:
+        yield start, k + 1 - start
+
+
 def probabilities(w: np.ndarray, at: np.ndarray, row: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """w: (features + 1 for the bias) x classes."""
     z = np.stack([np.bincount(row, w[at, k], len(scale)) * scale for k in range(w.shape[1])], axis=1) + w[-1]
@@ -76,10 +91,11 @@ class Softmax:
         return [zlib.crc32(w.encode()) % (1 << self.bits) for w in re.findall(WORD, (text or "").lower())]
 
     def scores(self, texts) -> np.ndarray:
-        rows = [self.words_of(t) for t in texts]
-        if not rows:
-            return np.zeros((0, self.weights.shape[1]))
-        return probabilities(self.weights, *flat(pa.array(rows, pa.list_(pa.int32()))))
+        texts, parts = list(texts), [np.zeros((0, self.weights.shape[1]))]
+        for start, n in slices((len(t or "") for t in texts), TOGETHER):  # a word is a sign at least
+            rows = [self.words_of(t) for t in texts[start : start + n]]
+            parts.append(probabilities(self.weights, *flat(pa.array(rows, pa.list_(pa.int32())))))
+        return np.concatenate(parts)
 
     def __call__(self, texts) -> np.ndarray:
         return self.scores(texts).argmax(axis=1)
@@ -130,18 +146,18 @@ def fit(
 
         def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             now, g, confusion = sent.value, np.zeros((size, classes)), np.zeros((classes, classes), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                y, part = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist())
-                at, row, scale = flat(batch.column(2))
-                p = probabilities(now, at, row, scale)
-                np.add.at(confusion, (y[part == "valid"], p[part == "valid"].argmax(axis=1)), 1)
-                own = np.flatnonzero(part == "train")
-                new = np.full(len(y), -1)
-                new[own] = np.arange(len(own))
-                mine = new[row] >= 0
-                g += gradient(p[own], y[own], at[mine], new[row[mine]], scale[own], size)
+            for whole in batches:
+                for start, n in slices(pc.list_value_length(whole.column(2)).to_pylist(), TOGETHER):
+                    batch = whole.slice(start, n)
+                    y, part = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist())
+                    at, row, scale = flat(batch.column(2))
+                    p = probabilities(now, at, row, scale)
+                    np.add.at(confusion, (y[part == "valid"], p[part == "valid"].argmax(axis=1)), 1)
+                    own = np.flatnonzero(part == "train")
+                    new = np.full(len(y), -1)
+                    new[own] = np.arange(len(own))
+                    mine = new[row] >= 0
+                    g += gradient(p[own], y[own], at[mine], new[row[mine]], scale[own], size)
             cells = np.concatenate([np.rint(g * UNIT).astype(np.int64).ravel(), confusion.ravel()])
             parts = np.array_split(cells, BLOCKS)
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([c.tobytes() for c in parts], pa.binary())], ["block", "cells"])

@@ -121,3 +121,20 @@ def test_queries(spark):
     rows = QUERIES["trained_scores"](spark, sf).collect()
     assert len(rows) > 50 and np.mean([r["label"] == r["guess"] for r in rows]) > 0.85
     assert sum(r["rung"] == 1 for r in QUERIES["model_trials"](spark, sf).collect()) == 48
+
+
+def test_scores_hold_a_bounded_number_of_words():
+    """Long texts are scored some at a time, with the same scores."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    model = trainer.Softmax(rng.normal(size=((1 << 8) + 1, 2)), 8)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "d1", "."], 20_000)) for _ in range(60)] + [None, ""]
+    want = np.concatenate([model.scores([t]) for t in texts])
+    tracemalloc.start()
+    got = model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, want) and peak < 30e6
+    assert model.scores([]).shape == (0, 2)
+    assert list(trainer.slices([3, 9, 1, 1, 1], 3)) == [(0, 1), (1, 1), (2, 3)] and list(trainer.slices([], 3)) == []
