@@ -133,3 +133,23 @@ def test_vocabulary_of_a_file(spark, tmp_path):
 def test_sql(spark):
     tables = {t: f"{SF}/{t}.parquet" for t in ("documents", "benchmark")}
     assert same(spark, QUERIES["wordpiece_counts"](spark, SF), SQL["wordpiece_counts"], tables) == 200
+
+
+def test_plain_looks_at_a_sign_once(monkeypatch):
+    """As sign by sign, over all code points; accents are found without a call for each sign of a text."""
+    import unicodedata
+
+    from colloquy.functions import wordpiece as W
+
+    def slow(text):
+        text = W.CONTROL.sub("", text)
+        return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+
+    every = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    assert not [c for c in every if W.plain(c) != slow(c)]
+    assert not [k for k in range(0, len(every), 997) if W.plain("".join(every[k : k + 997])) != slow("".join(every[k : k + 997]))]
+    calls = []
+    real = unicodedata.category
+    monkeypatch.setattr(W.unicodedata, "category", lambda c: calls.append(c) or real(c))
+    W.plain("é à ü ñ " * 1_000)
+    assert len(calls) < 100
