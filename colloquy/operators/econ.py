@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import work_folder
+from ..session import released, work_folder
 from .quantiles import exact_quantiles
 
 #: The control variables.
@@ -254,7 +254,8 @@ def fit_all(df: DataFrame, models: list[Model]) -> list[Fit]:
                 for g, mask in zip(grams, masks):
                     g += whole[mask].T @ whole[mask]
                 for s, column in absorbed:
-                    yield by_key(f"level {s} {column}", p[column].to_numpy()[masks[s]], whole[masks[s]])
+                    if masks[s].any():  # of no rows, pandas makes no column of arrays
+                        yield by_key(f"level {s} {column}", p[column].to_numpy()[masks[s]], whole[masks[s]])
         for s, g in enumerate(grams):
             yield matrix_rows(f"gram {s}", g)
 
@@ -399,6 +400,11 @@ SPECS = (
 PROGRESSIVE = ((("NegPrepared",), False, False), (("NegGap",), False, False), (("NegPrepared", "NegGap"), False, False), (("NegPrepared", "NegGap"), True, False), (("NegPrepared", "NegGap"), True, True))
 
 
+def measures() -> list[str]:
+    """The tone measures of the specifications."""
+    return list(dict.fromkeys(v for _, x, *_ in SPECS for v in x))
+
+
 def models(y: str = "CAR_m1_p1", firm: str = "ticker_norm", quarter: str = "year_quarter") -> list[Model]:
     """The table of specifications and the progressive ones. Trimmed columns are named ``<column>_cut``, long calls are marked by ``is_long``."""
     out = []
@@ -414,14 +420,17 @@ def models(y: str = "CAR_m1_p1", firm: str = "ticker_norm", quarter: str = "year
 def fits(df: DataFrame, y: str = "CAR_m1_p1", firm: str = "ticker_norm", quarter: str = "year_quarter"):
     """(name, regressors, fit) of the table of specifications and of the progressive ones.
 
-    The columns that they need are written once to the shared folder; then come two passes for the cuts and the median, one for the quarters
+    The columns that they need are written once to the shared folder, in order of the firms: so a firm's rows stand in one file or two, and its
+    sums don't come from every task. A firm of many rows is cut by quarter and outcome. Then come two passes for the cuts and the median, one for the quarters
     and two for all fits.
     """
     from ..functions import numeric as N
 
-    needed = dict.fromkeys([y, *CONTROLS, *(v for _, x, *_ in SPECS for v in x)])
+    needed = dict.fromkeys([y, *CONTROLS, *measures()])
     path = work_folder(df.sparkSession, "regression")
-    df.select(*[F.col(c).cast("double").alias(c) for c in needed], firm, quarter).write.parquet(path)
+    chosen = df.select(*[F.col(c).cast("double").alias(c) for c in needed], firm, quarter)
+    chosen.repartitionByRange(firm, quarter, y).sortWithinPartitions(firm).write.parquet(path)
+    released(df.sparkSession)
     data = df.sparkSession.read.parquet(path)
     trimmed = [y, "NegPrepared", "NegGap", *CONTROLS]
     cuts = dict(zip(trimmed, exact_quantiles(data, trimmed, [0.01, 0.5, 0.99])))

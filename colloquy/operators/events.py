@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -68,21 +71,34 @@ def market_panel(panel: DataFrame, rows: int = ROWS) -> DataFrame:
 MARKET = ("CAR_m1_p1", "Volatility_0_p5", "AvgVolume_m20_m1", "AvgVolume_0_p1", "AbVol_0_p1")
 
 
-def market_lookup(panel: DataFrame) -> Lookup:
-    return Lookup(market_panel(panel).select("ticker_norm", "date", *MARKET), "date", forward=True, name="_market")
+def market_lookup(panel: DataFrame, columns: tuple = MARKET) -> Lookup:
+    """Rows without a ticker match nothing, so they go first; then the parts of the frames read one exchange of the panel."""
+    frames = market_panel(panel.filter(F.col("ticker_norm").isNotNull()))
+    return Lookup(frames.select("ticker_norm", "date", *[c for c in MARKET if c in columns]), "date", forward=True, name="_market")
 
 
 def cap_lookup(caps: DataFrame) -> Lookup:
     return Lookup(numbers(caps, "marketCap").dropna("any", subset=["date", "marketCap"]), "date", name="_cap")
 
 
-def earnings_lookup(earnings: DataFrame, max_gap: int = MAX_GAP) -> Lookup:
-    earnings = numbers(earnings, "epsEstimated", "epsActual", "revenueEstimated", "revenueActual")
-    return Lookup(earnings.dropna("any", subset=["date"]), "date", tolerance=max_gap, name="_earned")
+#: Columns of an earnings row, and what they give.
+ESTIMATES = ("epsEstimated", "epsActual", "revenueEstimated", "revenueActual")
+
+
+def surprises(c: dict[str, Column]) -> dict[str, Column]:
+    return {"eps_surprise": N.surprise(c["epsActual"], c["epsEstimated"], MIN_EPS), "revenue_surprise": N.surprise(c["revenueActual"], c["revenueEstimated"], MIN_REVENUE)}
+
+
+def earnings_lookup(earnings: DataFrame, max_gap: int = MAX_GAP, columns: tuple | None = None) -> Lookup:
+    earnings = numbers(earnings, *ESTIMATES).dropna("any", subset=["date"])
+    if columns is not None:
+        made = [x.alias(name) for name, x in surprises({c: F.col(c) for c in ESTIMATES}).items() if name in columns]
+        earnings = earnings.select("ticker_norm", "date", *[c for c in ESTIMATES if c in columns], *made)
+    return Lookup(earnings, "date", tolerance=max_gap, name="_earned")
 
 
-def market_columns() -> list[Column]:
-    return [F.col("_market.date").alias("event_date"), *[F.col(f"_market.{c}").alias(c) for c in MARKET]]
+def market_columns(columns: tuple = MARKET) -> list[Column]:
+    return [F.col("_market.date").alias("event_date"), *[F.col(f"_market.{c}").alias(c) for c in MARKET if c in columns]]
 
 
 def cap_columns() -> list[Column]:
@@ -90,13 +106,12 @@ def cap_columns() -> list[Column]:
     return [cap.alias("marketCap"), N.safe_log(cap).alias("log_marketCap")]
 
 
-def earnings_columns() -> list[Column]:
-    m = {c: F.col(f"_earned.{c}") for c in ("date", "epsEstimated", "epsActual", "revenueEstimated", "revenueActual")}
-    return [
-        m["date"].alias("earnings_date"), *[m[c].alias(c) for c in list(m)[1:]],
-        N.surprise(m["epsActual"], m["epsEstimated"], MIN_EPS).alias("eps_surprise"),
-        N.surprise(m["revenueActual"], m["revenueEstimated"], MIN_REVENUE).alias("revenue_surprise"),
-    ]
+def earnings_columns(columns: tuple | None = None) -> list[Column]:
+    date = F.col("_earned.date").alias("earnings_date")
+    if columns is not None:
+        return [date, *[F.col(f"_earned.{c}").alias(c) for c in (*ESTIMATES, "eps_surprise", "revenue_surprise") if c in columns]]
+    m = {c: F.col(f"_earned.{c}") for c in ESTIMATES}
+    return [date, *[x.alias(c) for c, x in m.items()], *[x.alias(c) for c, x in surprises(m).items()]]
 
 
 def with_market(calls: DataFrame, panel: DataFrame) -> DataFrame:
@@ -118,6 +133,23 @@ def with_outcomes(calls: DataFrame, panel: DataFrame, caps: DataFrame, earnings:
     return found.select(*calls.columns, *market_columns(), *cap_columns(), *earnings_columns())
 
 
+def chosen_outcomes(
+    calls: DataFrame, panel: DataFrame, caps: DataFrame, earnings: DataFrame, columns: tuple, keep: Callable[[DataFrame, str], DataFrame]
+) -> DataFrame:
+    """calls -> with those columns of ``with_outcomes`` that ``columns`` names, made in steps so that little is on disk at once.
+
+    ``keep`` stores a step's result under a name and gives it back: the frames, then the calls with their market rows. What the exchanges of a step
+    wrote can go before the next one. Columns that aren't wanted travel nowhere, so it is for tables with one row of a ticker and date: of several, all columns tell which counts.
+    """
+    market = market_lookup(panel, columns)
+    market = replace(market, table=keep(market.table, "frames"))
+    near = asof_all(calls, "ticker_norm", "call_date", [market]).select(*calls.columns, *market_columns(columns))
+    near = keep(near.select(*calls.columns, *[c for c in near.columns if c in columns and c not in calls.columns]), "market")
+    lookups = [cap_lookup(caps.select("ticker_norm", "date", "marketCap")), earnings_lookup(earnings, columns=columns)]
+    out = asof_all(near, "ticker_norm", "call_date", lookups).select(*near.columns, *cap_columns(), *earnings_columns(columns))
+    return out.select(*near.columns, *[c for c in out.columns if c in columns and c not in near.columns])
+
+
 #: Columns that a regression needs, and those that are cut.
 REQUIRED = ("NegGap", "CAR_m1_p1", "eps_surprise", "revenue_surprise", "log_marketCap", "AvgVolume_m20_m1")
 WINSORIZED = ("CAR_m1_p1", "eps_surprise", "revenue_surprise", "AbVol_0_p1")

@@ -30,10 +30,15 @@ def with_halo(df: DataFrame, by: str, date: str, before: int, after: int, rows:
 
     Windows by key and bucket that reach ``before`` rows back and ``after`` ahead see the same rows for own rows as windows by key do. A
     bucket has ``rows`` own rows, so a key that holds most of all rows is spread over many tasks, at a cost of (before + after) / rows more rows.
+    The rows of a key that fits into one bucket go there as they are; those of the others are counted and numbered first.
     """
     if rows < 1 or min(before, after) < 0:
         raise ValueError("a bucket has a row at least, and a halo isn't negative")
-    placed = numbered(df, by, date)
+    # Keys of more rows than a bucket, one at most for each ``rows`` rows of ``df``: 50,000 of 200 million.
+    large = F.broadcast(df.groupBy(F.col(by).alias("_large")).count().filter(F.col("count") > rows).select("_large"))
+    is_large = F.col(by).eqNullSafe(F.col("_large"))
+    small = df.join(large, is_large, "left_anti").withColumn("_bucket", F.lit(0).cast("long")).withColumn("_own", F.lit(True))
+    placed = numbered(df.join(large, is_large, "left_semi"), by, date)
     first, last = F.floor(F.greatest(F.lit(0), F.col("_n") - after) / rows), F.floor((F.col("_n") + before) / rows)
     spread = placed.withColumn("_bucket", F.explode(F.sequence(first, last)))
-    return spread.withColumn("_own", F.col("_bucket") == F.floor(F.col("_n") / rows)).drop("_n")
+    return small.unionByName(spread.withColumn("_own", F.col("_bucket") == F.floor(F.col("_n") / rows)).drop("_n"))

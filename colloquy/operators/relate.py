@@ -98,51 +98,58 @@ def asof(
 def asof_all(left: DataFrame, by: str, left_on: str, lookups: list[Lookup], bucket_days: int = 90) -> DataFrame:
     """``left`` with a struct for each lookup, null where there is no row.
 
-    All tables are cut by key and by spans of ``bucket_days`` and exchanged once; a small table of the
-    last (first) right row of each span carries over to the spans after (before) it.
+    The rows of all tables are cut by key and by spans of ``bucket_days`` and exchanged once, together; the last (first) right row of
+    each span, told from that same exchange, carries over to the spans after (before) it.
     So one key with a third of the rows is spread over its spans, and each span is
     sorted once in each direction that is asked for. Frames run from the start of a span to the row, so the work
     is linear: a frame that ends with the span is added up anew for each row. Right rows of one key and date stand
-    in order of all their columns, so the last (first) of them counts.
+    in order of all their columns, so the last (first) of them counts. What a row holds twice, as its key or date and as a column, travels once.
     """
     def span(c: str) -> Column:
-        return F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / bucket_days)
+        # Never null, so a join by spans infers no filter and its sides can read one exchange.
+        return F.coalesce(F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / bucket_days), F.lit(0))
 
     every = range(len(lookups))
     rights = []
     for i, u in enumerate(lookups):
-        payload = F.struct(F.col(u.on).alias("_at"), *[F.col(c) for c in u.table.columns if c != by])
+        payload = F.struct(F.col(u.on).alias("_at"), *[F.col(c) for c in u.table.columns if c not in (by, u.on)])
         known = u.table.filter(F.col(u.on).isNotNull() & F.col(by).isNotNull())
-        rights.append(known.select(F.col(by).alias("_k"), span(u.on).alias("_b"), F.col(u.on).alias("_t"), payload.alias(f"_m{i}")).repartition("_k", "_b"))
+        rights.append(known.select(F.col(by).alias("_k"), span(u.on).alias("_b"), F.col(u.on).alias("_t"), payload.alias(f"_m{i}")))
+    # Key and date of ``left`` are put back from the sides of the exchange, unless other types there have widened them.
+    kinds = [(dict(left.dtypes)[by], dict(left.dtypes)[left_on]), *[(dict(u.table.dtypes)[by], dict(u.table.dtypes)[u.on]) for u in lookups]]
+    back = {by: "_k", left_on: "_t"} if len(set(kinds)) == 1 else {}
+    own = [F.col(c) for c in left.columns if c not in back] or [F.lit(0).alias("_none")]
     asked = F.col(by).isNotNull() & F.col(left_on).isNotNull()
-    # Rows that can match nothing stay where they are dealt: their spans are numbers of tasks.
-    l = left.select(F.col(by).alias("_k"), F.when(asked, span(left_on)).otherwise(F.spark_partition_id()).alias("_b"), F.col(left_on).alias("_t"), F.struct(*left.columns).alias("_l"))  # noqa: E741
-    marks = left.filter(asked).select(F.col(by).alias("_k"), span(left_on).alias("_b")).distinct()
-    for i, (u, r) in enumerate(zip(lookups, rights)):
+    both = left.filter(asked).select(F.col(by).alias("_k"), span(left_on).alias("_b"), F.col(left_on).alias("_t"), F.struct(*own).alias("_l"))
+    for r in rights:
+        both = both.unionByName(r, allowMissingColumns=True)
+    both = both.repartition("_k", "_b")
+    edges = []
+    for i, u in enumerate(lookups):
         pick = F.min_by if u.forward else F.max_by
-        edges = r.groupBy("_k", "_b").agg(pick(f"_m{i}", F.struct("_t", f"_m{i}")).alias(f"_edge{i}"))
-        marks = marks.unionByName(edges, allowMissingColumns=True)
-    marks = marks.groupBy("_k", "_b").agg(*[F.first(f"_edge{i}", True).alias(f"_edge{i}") for i in every])
+        edges.append(pick(f"_m{i}", F.when(F.col(f"_m{i}").isNotNull(), F.struct("_t", f"_m{i}"))).alias(f"_edge{i}"))
+    # All columns are used, so this reads the exchange that the frames read.
+    marks = both.groupBy("_k", "_b").agg(F.count("_l").alias("_asks"), *edges)
 
     def latest(c: Column, forward: bool, keys: list[str], order: list[str], last: int) -> Column:
         """The last value so far; forward: from the other end."""
         w = Window.partitionBy(*keys).orderBy(*[F.desc(o) if forward else F.asc(o) for o in order])
         return F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, last))
 
-    carried = marks.select("_k", "_b", *[latest(F.col(f"_edge{i}"), u.forward, ["_k"], ["_b"], -1).alias(f"_far{i}") for i, u in enumerate(lookups)])
-    both = l
-    for r in rights:
-        both = both.unionByName(r, allowMissingColumns=True)
+    carried = marks.select("_k", "_b", "_asks", *[latest(F.col(f"_edge{i}"), u.forward, ["_k"], ["_b"], -1).alias(f"_far{i}") for i, u in enumerate(lookups)])
+    carried = carried.filter("_asks > 0").drop("_asks")
     # Rows of ``left`` come after right rows of their date, forward before them.
     places = {False: ["_t", "_last", *[f"_m{i}" for i in every]], True: ["_t", "_first", *[f"_m{i}" for i in every]]}
     both = both.withColumn("_last", F.col("_l").isNotNull()).withColumn("_first", F.col("_l").isNull())
     near = both.select("_k", "_b", "_t", "_l", *[latest(F.col(f"_m{i}"), u.forward, ["_k", "_b"], places[u.forward], 0).alias(f"_near{i}") for i, u in enumerate(lookups)])
     found = near.filter("_l IS NOT NULL").join(carried, ["_k", "_b"], "left")
-    out = []
+    out = [F.col(back[c]).alias(c) if c in back else F.col(f"_l.`{c}`").alias(c) for c in left.columns]
     for i, u in enumerate(lookups):
         match = F.coalesce(f"_near{i}", f"_far{i}")
-        fits = F.col("_k").isNotNull() & F.col("_t").isNotNull()
+        fits = match.isNotNull()
         if u.tolerance is not None:
             fits = fits & (F.abs(F.datediff(F.col("_t"), match["_at"])) <= u.tolerance)
-        out.append(F.when(fits, match).alias(u.name))
-    return found.select("_l.*", *out)
+        whole = F.struct(match["_at"].alias("_at"), *[match["_at" if c == u.on else c].alias(c) for c in u.table.columns if c != by])
+        out.append(F.when(fits, whole).alias(u.name))
+    # Rows that can match nothing stay where they are.
+    return found.select(*out).unionByName(left.filter(~asked), allowMissingColumns=True)

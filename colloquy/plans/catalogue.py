@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as X
 from ..operators import annotation, describe, econ, events, relate, sampling, tone, turns
-from ..session import work_folder
+from ..session import kept, work_folder
 from ..sources import readers
 from ..sources.panel_store import PanelStore
 from .pipelines import merge_raw, merge_report
@@ -572,14 +572,19 @@ def regression_prep(spark, sf_dir):
     return rounded(out.select("call_id", "year_quarter", *cols), *cols)
 
 
+#: Outcomes that a regression needs, and their cuts.
+OUTCOMES = ("CAR_m1_p1", "eps_surprise", "revenue_surprise", "AvgVolume_m20_m1", "log_marketCap")
+
+
 def regression_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All calls with market outcomes and the tone features of the transcript that stands for each call."""
+    """All calls with those market outcomes and tone features of the transcript that stands for each call which the specifications need."""
     n = table(spark, sf_dir, "conversations").agg(F.count_distinct("conv_id")).first()[0]
     tone_ = tone.transcript_features(tone.segment_scores(scored(spark, sf_dir)))
-    out = joined_calls(spark, sf_dir).withColumn("transcript_id", (F.col("call_id") / 50).cast("long") % n)
-    path = work_folder(spark, "calls")
-    out.join(tone_, "transcript_id", "left").write.parquet(path)  # the cuts of ``prepared`` read it again
-    return events.prepared(spark.read.parquet(path))
+    measures = [c for c in tone_.columns if c in econ.measures() or c == "n_tokens_qa"]
+    out = events.chosen_outcomes(calls(spark, sf_dir), panel(spark, sf_dir), caps(spark, sf_dir), earnings(spark, sf_dir), OUTCOMES, kept)
+    out = out.withColumn("transcript_id", (F.col("call_id") / 50).cast("long") % n)
+    out = out.join(tone_.select("transcript_id", *measures), "transcript_id", "left").drop("transcript_id")
+    return events.prepared(kept(out, "calls"))  # the cuts of ``prepared`` read it again
 
 
 @query()

@@ -1,11 +1,12 @@
 """Session with the settings that the operators rely on."""
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,6 +37,20 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so by itself only after a collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a work folder and read again, with the shuffle files of its plan let go."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    released(df.sparkSession)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """The session with these settings; a stream keeps those that hold when it starts."""

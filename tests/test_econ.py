@@ -97,6 +97,26 @@ def test_passes_over_the_data(spark, data, monkeypatch):
     assert reads.value == 3 * len(data)
 
 
+def test_rows_of_a_firm_stand_together(spark, data):
+    """So sums by firm come from one task or two; a firm with a third of the rows is cut."""
+    from pathlib import Path
+
+    home = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(home.glob("regression-*"))
+    list(econ.fits(spark.createDataFrame(data).repartition(8)))
+    (path,) = set(home.glob("regression-*")) - before
+    files = spark.read.parquet(str(path)).select("ticker_norm", F.input_file_name().alias("file")).distinct().groupBy("ticker_norm").count().collect()
+    assert sum(r["count"] > 1 for r in files) <= 4 and max(r["count"] for r in files) <= 4
+
+
+def test_a_batch_without_a_whole_row(spark, data):
+    bare = data.assign(CAR_m1_p1=np.nan)
+    df = spark.createDataFrame(data).coalesce(1).unionByName(spark.createDataFrame(bare).coalesce(1))
+    model = [econ.Model("m", "CAR_m1_p1", ("NegQA",), (), "cluster", "ticker_norm", "ticker_norm")]
+    (fit,), (want,) = econ.fit_all(df, model), econ.fit_all(spark.createDataFrame(data), model)
+    assert fit.n == want.n and np.allclose(fit.params, want.params) and np.allclose(fit.cov, want.cov)
+
+
 @pytest.mark.parametrize("cov", ["classical", "hc1", "cluster"])
 def test_one_model_like_ols(spark, data, cov):
     df = spark.createDataFrame(data)

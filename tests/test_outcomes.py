@@ -35,6 +35,28 @@ def test_calls_are_read_twice_for_all_lookups(spark):
     assert plan_of(joined_calls(spark, SF)).count("o_orderkey") < 20
 
 
+def test_steps_give_the_columns_of_one_pass(spark):
+    from colloquy.session import kept
+
+    asked = calls(spark, SF).unionByName(spark.createDataFrame([(-1, None, dt.date(1996, 1, 1)), (-2, 3, None)], "call_id long, ticker_norm long, call_date date"))
+    tables, columns = (panel(spark, SF), caps(spark, SF), earnings(spark, SF)), ("AvgVolume_m20_m1", "CAR_m1_p1", "log_marketCap", "eps_surprise", "epsActual")
+    got = events.chosen_outcomes(asked, *tables, columns, kept)
+    assert set(got.columns) == {"call_id", "ticker_norm", "call_date", *columns}
+    want = events.with_outcomes(asked, *tables).select(*got.columns)
+    assert {r["call_id"]: r for r in got.collect()} == {r["call_id"]: r for r in want.collect()}
+
+
+def test_tables_of_a_lookup_are_exchanged_once(spark):
+    """Before, right rows were exchanged for their spans and once more for the frames."""
+    left = spark.range(500).select(F.col("id").alias("call"), (F.col("id") % 7).alias("k"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 300).cast("int")).alias("d"))
+    right = left.select("k", F.col("d").alias("at"), F.col("call").alias("v"))
+    out = relate.asof(left, right, "k", "d", "at")
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    whole = [x for x in final.splitlines() if "Exchange hashpartitioning(_k" in x and "_b#" in x and "ReusedExchange" not in x]
+    assert len(whole) == 1 and final.count("ReusedExchange") >= 1
+
+
 def test_prep_like_sql(spark):
     names = ("lineitem", "orders", "supplier")
     assert same(spark, QUERIES["regression_prep"](spark, SF), SQL["regression_prep"], {t: f"{SF}/{t}.parquet" for t in names}) > 0
