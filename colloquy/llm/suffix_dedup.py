@@ -7,8 +7,10 @@ windows with one anchor, at most ``length - GRAM + 1`` of them) whose anchor
 occurs twice. Passages with the same bytes around the same anchor are gathered
 to one, with its first place; their other places hold only later copies. An
 anchor with one surrounding only has nothing further to compare: none of its
-windows can stand elsewhere. The distinct passages of all other anchors are put
-in order by the construction.
+windows can stand elsewhere. The distinct passages of all other anchors are cut to the windows
+that may stand in another one: windows at like distances from their anchor hold a core, and one that
+only a single passage has belongs to windows that repeat nowhere. Passages that are equal then are
+gathered again, and the rest is put in order by the construction.
 
 Construction. The passages of a block are the documents of a collection. They
 are read column by column from their ends: round j inserts the suffix of j
@@ -24,7 +26,7 @@ Skew. Anchors are counted in a sketch first. The passages of an anchor whose cel
 holds far more than the average are salted by place: copies are told apart inside
 each salt, then what stays (one place a salt and body) once more by body. All
 distinct passages of an anchor go to one block, unless it has more than
-``HOT`` of them: then it is salted over blocks, each block also tells the first
+``HOT`` of them: then its cores are counted by exchange and it is salted over blocks, each block also tells the first
 place of every class of such an anchor, and a grouped minimum over the hash of
 the window joins the blocks. Nothing is capped or left out.
 
@@ -43,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +55,18 @@ from .words import U, mix, prefix_sums, range_hash, text_chunks
 GRAM = 20
 #: Low bits of an anchor's hash that give way to its place: a text has fewer than 2**31 bytes.
 PLACE_BITS = 31
-SYMBOL = 10
+#: Bytes of a symbol; of one in a block, whose strings are cut to few windows each, so that twice as long a symbol halves the work of the rounds.
+SYMBOL, WIDE = 10, 25
 HOT = 2_000
 #: Cells of the sketch that counts anchors. A cell is spread where it holds more than
 #: ``SPREAD`` times the average of the cells and of ``LEAST_CELL`` passages.
 CELL_BITS, SPREAD, LEAST_CELL = 18, 4, 500
+#: Bytes that a scan handles at once: its columns of eight bytes for each stay in a core's cache.
+SCAN = 1 << 17
 #: Passages in a block.
 BLOCK = 8_000
+#: Bands of the windows of an anchor, by their distance from it.
+BANDS = 9
 #: Bits of a place that hold the byte offset; the part is above.
 AT_BITS = 40
 
@@ -143,9 +151,9 @@ def range_minimum(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndar
     return out
 
 
-def symbol_for(length: int) -> int:
-    """The longest symbol, up to SYMBOL bytes, that divides ``length``."""
-    return next(k for k in range(min(SYMBOL, length), 0, -1) if length % k == 0)
+def symbol_for(length: int, most: int = SYMBOL) -> int:
+    """The longest symbol, up to ``most`` bytes, that divides ``length``."""
+    return next(k for k in range(min(most, length), 0, -1) if length % k == 0)
 
 
 def symbol_codes(data: np.ndarray, symbol: int) -> np.ndarray:
@@ -181,9 +189,11 @@ def collection_order(strings: list[bytes], length: int, folder: str, symbol: int
     sizes = np.array([len(s) for s in strings], np.int64)
     heads = np.concatenate([[0], np.cumsum(sizes)])
     code = symbol_codes(np.frombuffer(b"".join(strings) + bytes(symbol), np.uint8), symbol)  # in order of the symbols; 0 is the end of a string
-    # Members: a string in each phase; suffixes of it start at phase + symbol * k.
+    # Members: a string in each phase that has a suffix of ``length``; suffixes of it start at phase + symbol * k.
     owner = np.repeat(np.arange(len(strings)), symbol)
     phase = np.tile(np.arange(symbol), len(strings))
+    told = sizes[owner] - phase >= length
+    owner, phase = owner[told], phase[told]
     columns = np.maximum(0, (sizes[owner] - phase) // symbol)
     base = heads[owner] + phase
     m, rounds = len(owner), int(columns.max(initial=0))
@@ -230,9 +240,97 @@ def collection_order(strings: list[bytes], length: int, folder: str, symbol: int
     return owner[member[far]], start[far], lcp[far] >= deep
 
 
+def cores(strings: list[bytes], anchors: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(string, band, core, from, to): the windows of each passage in bands, by their distance from the anchor, with a hash of the bytes that all windows of the band hold.
+
+    Equal windows have equal anchors at equal distances, so they are in one band and share its core. Windows whose core stands in one passage only repeat nowhere.
+    """
+    band = max(1, (length - GRAM + 1) // BANDS)
+    sizes = np.array([len(s) for s in strings], np.int64)
+    heads = np.concatenate([[0], np.cumsum(sizes)])
+    sums, down = prefix_sums(np.frombuffer(b"".join(strings), np.uint8), lower=False)
+    at = np.arange(max(0, heads[-1] - GRAM + 1))
+    owner = np.repeat(np.arange(len(strings)), sizes)[: len(at)]
+    # The anchor is the leftmost of equal grams in each of its windows, so nothing before it in the passage is equal.
+    found = np.flatnonzero((range_hash(sums, down, at, at + GRAM) == anchors[owner]) & (at + GRAM <= heads[owner + 1]))
+    found = found[np.r_[True, owner[found][1:] != owner[found][:-1]]] if len(found) else found
+    if len(found) != len(strings):
+        raise RuntimeError("a passage without its anchor")
+    where = found - heads[:-1]
+    low, high = where - (sizes - length), where  # distances of the last and the first window
+    first, n = low // band, high // band - low // band + 1
+    which = np.repeat(np.arange(len(strings)), n)
+    k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
+    start = found[which] - k * band
+    core = range_hash(sums, down, start, start + length - band + 1)
+    core = mix(core ^ mix(anchors[which] + k.astype(U)))
+    return which, k, core, where[which] - np.minimum((k + 1) * band - 1, high[which]), where[which] - np.maximum(k * band, low[which]) + 1
+
+
+def runs(which: np.ndarray, k: np.ndarray, lo: np.ndarray, hi: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, from, to): the bands that are kept, those next to each other as one."""
+    at = np.flatnonzero(keep)
+    which, k, lo, hi = which[at], k[at], lo[at], hi[at]
+    new = np.r_[True, (which[1:] != which[:-1]) | (k[1:] != k[:-1] + 1)] if len(at) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(at)].astype(np.int64) - 1 if len(at) else first
+    return which[first], lo[last], hi[first]  # larger distances start further left
+
+
+def pieces(strings: list[bytes], which: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> list[bytes]:
+    """The bytes of the windows from ``lo`` to ``hi`` of each string."""
+    return [strings[i][a : b + length - 1] for i, a, b in zip(which.tolist(), lo.tolist(), hi.tolist())]
+
+
+class Held:
+    """Passages of whole groups, in order of their places: (doc, place, bytes, anchor) of each."""
+
+    def __init__(self, docs: np.ndarray, places: np.ndarray, strings: list[bytes], anchors: np.ndarray, hot: np.ndarray):
+        self.docs, self.places, self.strings, self.anchors, self.hot = docs, places, strings, anchors, hot
+
+    def __len__(self) -> int:
+        return len(self.strings)
+
+    def take(self, at: np.ndarray, strings: list[bytes] | None = None, start: np.ndarray | int = 0) -> Held:
+        return Held(self.docs[at], self.places[at] + start, [self.strings[i] for i in at.tolist()] if strings is None else strings, self.anchors[at], self.hot[at])
+
+    def trimmed(self, length: int) -> Held:
+        """Without the windows that stand in one passage only."""
+        if not len(self):
+            return self
+        which, k, core, lo, hi = cores(self.strings, self.anchors, length)
+        _, back, times = np.unique(core, return_inverse=True, return_counts=True)
+        which, lo, hi = runs(which, k, lo, hi, times[back] > 1)
+        return self.take(which, pieces(self.strings, which, lo, hi, length), lo)
+
+    def gathered(self, length: int) -> tuple[list, Held]:
+        """(ranges of passages that are equal to an earlier one, those that stay)."""
+        seen, first, lost = set(), [], []
+        for i, x in enumerate(zip(self.anchors.tolist(), self.strings)):
+            if x in seen:
+                lost.append((int(self.docs[i]), int(self.places[i]), int(self.places[i]) + len(x[1]) - length + 1))
+            else:
+                seen.add(x)
+                first.append(i)
+        return lost, self.take(np.array(first, np.int64))
+
+    def contested(self, length: int) -> tuple[list, Held, Held]:
+        """(ranges that repeat an earlier place, what is left to be put in order, the same of hot anchors).
+
+        Of passages that are cut to what others have too, many are equal. What these held in common may leave the first of them alone with some
+        windows, so both is done twice. Hot anchors have been cut before, over all blocks.
+        """
+        lost, cool = [], self.take(np.flatnonzero(~self.hot))
+        for _ in range(2):
+            more, cool = cool.trimmed(length).gathered(length)
+            lost += more
+        more, hot = self.take(np.flatnonzero(self.hot)).gathered(length)
+        return lost + more, cool, hot
+
+
 def judge_block(docs: np.ndarray, places: np.ndarray, strings: list[bytes], hot: np.ndarray, length: int, folder: str) -> tuple[list, list]:
     """(doc, from, to) ranges of window starts that repeat an earlier place, and (hash, hash, doc, place) of hot classes."""
-    which, start, common = collection_order(strings, length, folder)
+    which, start, common = collection_order(strings, length, folder, symbol_for(length, WIDE))
     if not len(which):
         return [], []
     heads = np.flatnonzero(~common)
@@ -258,6 +356,41 @@ def judge_block(docs: np.ndarray, places: np.ndarray, strings: list[bytes], hot:
     return lost, told
 
 
+def hot_pieces(hot: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(hot anchors' passages without the windows that stand in one of them only, the stored table that they rest on).
+
+    The passages of such an anchor go to several blocks, and a block tells the first place of each class. So windows that nothing repeats are cut off
+    before: the cores of all bands are counted by exchange.
+    """
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strings = batch.column(3).to_pylist()
+            if strings:
+                which, k, core, _, _ = cores(strings, batch.column(0).to_numpy().view(U), length)
+                columns = [batch.column(c).take(pa.array(which)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(k.astype(np.int32)), pa.array(core.astype(np.int64))], ["anchor", "key", "place", "k", "core"])
+
+    bands = hot.select("anchor", "key", "place", "bytes").mapInArrow(band, "anchor long, key long, place long, k int, core long")
+    # Stored, so that both sides of the join are plain exchanges and a frequent core can be split.
+    shared = stored(bands.groupBy("anchor", "core").count().filter("count > 1").select("anchor", "core"), "cores")
+    kept = bands.join(shared.hint("merge"), ["anchor", "core"], "left_semi").groupBy("key", "place").agg(F.collect_list("k").alias("ks"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strings = batch.column(5).to_pylist()
+            if strings:
+                which, k, _, lo, hi = cores(strings, batch.column(0).to_numpy().view(U), length)
+                ks = batch.column(6)
+                want = np.repeat(np.arange(len(ks)), np.diff(ks.offsets.to_numpy())) * 1_000 + ks.flatten().to_numpy()
+                which, lo, hi = runs(which, k, lo, hi, np.isin(which * 1_000 + k, want))
+                columns = [batch.column(c).take(pa.array(which)) for c in range(5)]
+                columns[3] = pa.array(columns[3].to_numpy() + lo)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pieces(strings, which, lo, hi, length), pa.binary())], ["anchor", "body", "key", "place", "bodies", "bytes"])
+
+    cut_ = hot.join(kept.hint("merge"), ["key", "place"]).select("anchor", "body", "key", "place", "bodies", "bytes", "ks")
+    return cut_.mapInArrow(cut, "anchor long, body long, key long, place long, bodies long, bytes binary"), shared
+
+
 def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
     """rows (key, part, text) -> (key, part, spans): the window starts [s, e) of each row that repeat an earlier place."""
     spark = rows.sparkSession
@@ -269,7 +402,7 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
-            for _, _, data, off in text_chunks(batch.column(0)):
+            for _, _, data, off in text_chunks(batch.column(0), SCAN):
                 cells += np.bincount(cell_of(passages(data, off, length)[3]), minlength=len(cells)).astype(np.uint32)
         yield pa.RecordBatch.from_arrays(cell_blocks(cells), ["block", "cells"])
 
@@ -282,7 +415,7 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
         salts = spread.value
         for batch in batches:
             keys, parts = (batch.column(c).to_numpy() for c in (0, 1))
-            for i, _, data, off in text_chunks(batch.column(2)):
+            for i, _, data, off in text_chunks(batch.column(2), SCAN):
                 text, first, n, anchor, whole = passages(data, off, length)
                 key, place = keys[i + text], (parts[i + text] << AT_BITS) + first
                 many = salts[cell_of(anchor)] if len(anchor) else anchor
@@ -325,14 +458,16 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                raw = (text.as_py() or "").encode()
-                x = want.values
-                place = x.field("place").to_numpy()
-                at = place & ((1 << AT_BITS) - 1)
+            wants, x = batch.column(2), batch.column(2).flatten()
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(wants).to_numpy())])
+            for i, n, data, off in text_chunks(batch.column(1)):
+                raw, own = data.tobytes(), x.slice(ends[i], ends[i + n] - ends[i])
+                doc = np.repeat(np.arange(n), np.diff(ends[i : i + n + 1]))
+                start = off[doc] + (own.field("place").to_numpy() & ((1 << AT_BITS) - 1))
+                end = start + own.field("n").to_numpy() + length - 1
                 yield pa.RecordBatch.from_arrays(
-                    [x.field("anchor"), x.field("body"), pa.array(np.full(len(at), key, np.int64)), x.field("place"), x.field("bodies"),
-                     pa.array([raw[a : a + b] for a, b in zip(at.tolist(), (x.field("n").to_numpy() + length - 1).tolist())], pa.binary())],
+                    [own.field("anchor"), own.field("body"), batch.column(0).take(pa.array(doc + i)), own.field("place"), own.field("bodies"),
+                     pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary())],
                     ["anchor", "body", "key", "place", "bodies", "bytes"],
                 )
 
@@ -340,33 +475,57 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
         rows.join(wanted.hint("merge"), ["key", "part"]).select("key", "text", "want")
         .mapInArrow(cut, "anchor long, body long, key long, place long, bodies long, bytes binary")
     )
+    strings = stored(strings, "strings")
+    release(spark)
+    cool, hot, cores_ = strings.filter(F.col("bodies") <= HOT), strings.filter(F.col("bodies") > HOT), None
+    if not hot.isEmpty():
+        hot, cores_ = hot_pieces(hot, length)
     salt = F.when(F.col("bodies") > HOT, F.pmod("body", F.ceil(F.col("bodies") / HOT).cast("long"))).otherwise(0)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = shared_path(spark, "bwt")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        left: list[Held] = []
         now = None
 
-        def judged() -> pa.RecordBatch:
-            held.sort(key=lambda x: (x[0], x[1]))
-            lost, told = judge_block(np.array([x[0] for x in held]), np.array([x[1] for x in held]), [x[2] for x in held], np.array([x[3] for x in held]), length, folder)
+        def told_of(lost: list, told: list) -> pa.RecordBatch:
             rows_ = [(k, a, b, None, None) for k, a, b in lost] + [(k, p, p + 1, h, g) for h, g, k, p in told]
             cols = list(zip(*rows_)) if rows_ else [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["key", "a", "b", "h", "g"])
 
+        def settled() -> pa.RecordBatch:
+            held.sort(key=lambda x: (x[0], x[1]))
+            docs, places, strings_, hot_, anchors = zip(*held)
+            block = Held(np.array(docs, np.int64), np.array(places, np.int64), list(strings_), np.array(anchors, np.int64).view(U), np.array(hot_, bool))
+            lost, *rest = block.contested(length)
+            left.extend(x for x in rest if len(x))
+            return told_of(lost, [])
+
+        def judged() -> pa.RecordBatch:
+            out = told_of(*judge_block(
+                np.concatenate([x.docs for x in left]), np.concatenate([x.places for x in left]), [s for x in left for s in x.strings],
+                np.concatenate([x.hot for x in left]), length, folder,
+            ))
+            left.clear()
+            return out
+
         for batch in batches:
-            for anchor, salt_, key, place, hot, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for anchor, salt_, key, place, hot_, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if (anchor, salt_) != now and len(held) >= BLOCK:
-                    yield judged()
+                    yield settled()
                     held = []
+                    if sum(map(len, left)) >= BLOCK:
+                        yield judged()
                 now = (anchor, salt_)
-                held.append((key, place, raw, hot))
+                held.append((key, place, raw, hot_, anchor))
         if held:
+            yield settled()
+        if left:
             yield judged()
 
     judged = (
-        strings.select("anchor", salt.cast("long").alias("salt"), "key", "place", (F.col("bodies") > HOT).alias("hot"), "bytes")
+        cool.unionByName(hot).select("anchor", salt.cast("long").alias("salt"), "key", "place", (F.col("bodies") > HOT).alias("hot"), "bytes")
         .repartition(partitions, "anchor", "salt").sortWithinPartitions("anchor", "salt")
         .mapInArrow(build, "key long, a long, b long, h long, g long")
     )
@@ -386,7 +545,7 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
         F.collect_list(F.struct(F.col("a").bitwiseAND(low).alias("a"), F.col("b").bitwiseAND(low).alias("b"))).alias("spans")
     )
     spans = stored(spans, "spans")
-    discard(again, left, bodies, judged)
+    discard(again, left, bodies, strings, judged, *([cores_] if cores_ is not None else []))
     return spans
 
 
